@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, ngram_join
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL}
+    return {
+        "op1_mix_sources": mixing.OP1_SQL,
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op7_ngram_join": ngram_join.OP7_SQL,
+    }
