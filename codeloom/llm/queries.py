@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join
+from . import decontaminate, line_dedup, mixing, ngram_join
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op7_ngram_join": ngram_join.op7_ngram_join,
     }
 
@@ -17,5 +18,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.OP1_SQL,
         "op2_decontaminate": decontaminate.OP2_SQL,
+        "op4_line_dedup": line_dedup.OP4_SQL,
         "op7_ngram_join": ngram_join.OP7_SQL,
     }
