@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, ngram_join
+from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op9_chat_format": chat_format.op9_chat_format,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.OP2_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op7_ngram_join": ngram_join.OP7_SQL,
+        "op9_chat_format": chat_format.OP9_SQL,
     }
