@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, url_filter
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, mpeg_audio, ngram_join, toxicity, url_filter, warc
 
 
 def queries() -> dict:
+    """opN of the N-th operator. op3, op5, op6, op8 and op10 are beyond SQL; tests hold them against brute force,
+    exact round trips or held-out labels."""
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_warc_derivatives": warc.op3_warc_derivatives,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_language_id": language_id.op5_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_url_filter": url_filter.op10_url_filter,
     }
