@@ -5,8 +5,10 @@ mixture in which the toxic share is the class prior. The risk of the unlabelled
 positives' share of it, estimates the negatives' risk; where that estimate falls below zero the step goes the other
 way, so that the classifier doesn't fit the mixture's noise.
 
-Features are the words of the whole text and their beginnings of 4 to 6 letters, present or not; those that at least
-``LEAST`` positives hold and that are ``LIFT`` times as common there as in the unlabelled texts. The fit sees at most
+Features are the words of the whole text, their beginnings of 3 to 8 letters, and the beginnings that two or more
+different words have: present or not; those that at least
+``LEAST`` positives hold, that are ``LIFT`` times as common there as in the unlabelled texts, and whose likelihood
+ratio against chance is ``SURE`` or more. A penalty on absolute weights leaves out what doesn't help. The fit sees at most
 ``POSITIVES`` and ``UNLABELLED`` whole texts of up to ``TRAIN_CHARS`` characters (the first by a hash of doc_id).
 
 Defined cases: a null or empty text has no features and the score of the intercept; labels of unknown documents, or
@@ -17,6 +19,7 @@ held-out fold; equal rows have equal scores; an empty table gives an empty table
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,20 +32,37 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 POSITIVES, UNLABELLED, TRAIN_CHARS = 2000, 4000, 20_000
-LEAST, LIFT, FEATURES = 4, 4.0, 20_000
-STEPS = 300
+LEAST, LIFT, SURE, FEATURES = 4, 4.0, 24.0, 20_000
+#: The penalty is PENALTY over the root of the number of positives: chance weighs less in larger samples.
+STEPS, PENALTY = 400, 4.5e-3
 
 _WORD = re.compile(r"\w+")
-_BEGINNINGS = (4, 5, 6)
+_BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
 def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
-def named(word: str) -> list[str]:
-    """The features of a word: itself, and its beginnings marked as such."""
-    return [word, *(f"{word[:n]}*" for n in _BEGINNINGS if len(word) > n)]
+def named(own: set[str]) -> set[str]:
+    """The features of a text's words: themselves, their beginnings (*), and those of two or more (**)."""
+    once: set[str] = set()
+    twice: set[str] = set()
+    for w in own:
+        for n in _BEGINNINGS:
+            if len(w) > n:
+                b = f"{w[:n]}*"
+                (twice if b in once else once).add(b)
+    return own | once | {f"{b}*" for b in twice}
+
+
+def without_copies(sets: list[set[str]]) -> list[set[str]]:
+    """One of each group of sets that agree in three minimal hashes: copies would make their words look telling."""
+    seen: dict[tuple[int, ...], set[str]] = {}
+    for own in sets:
+        hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own]
+        seen.setdefault(tuple(min(((h ^ salt) * 0x9E3779B1 & 0xFFFFFFFF for h in hashes), default=-1) for salt in (0x1B56C4E9, 0x5A7F3D21, 0x6C8E9CF5)), own)
+    return list(seen.values())
 
 
 @dataclass
@@ -50,18 +70,24 @@ class Classifier:
     weights: dict[str, float]
     intercept: float
 
+    def __post_init__(self) -> None:
+        known = {f.rstrip("*") for f in self.weights if f.endswith("*")}
+        self.beginnings = {n: {b for b in known if len(b) == n} for n in _BEGINNINGS}
+
     def scores(self, texts: list[str | None]) -> list[float]:
-        weights = self.weights
+        weights, begin = self.weights, self.beginnings
         out = []
         for text in texts:
-            found = set()
-            for w in words(text):
-                if w in weights:
-                    found.add(w)
-                for n in _BEGINNINGS:
-                    if len(w) > n and (b := f"{w[:n]}*") in weights:
-                        found.add(b)
-            z = self.intercept + sum(weights[f] for f in sorted(found))
+            own = words(text)
+            found = own & weights.keys()
+            for n, known in begin.items():
+                again = set()
+                for w in own:
+                    if len(w) > n and w[:n] in known:
+                        b = f"{w[:n]}*"
+                        found.add(f"{b}*" if b in again else b)
+                        again.add(b)
+            z = self.intercept + sum(weights.get(f, 0.0) for f in sorted(found))
             out.append(float(1 / (1 + np.exp(-z))) if z > -700 else 0.0)
         return out
 
@@ -83,11 +109,12 @@ def nn_pu(doc: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features
         own = np.where(positive, prior * (p - 1) / n_pos, 0.0)
         others = np.where(positive, -prior * p / n_pos, p / n_unl)
         slope = own + others if rest >= 0 else -others
-        grad = np.append(np.bincount(feature, slope[doc], n_features) + 1e-4 * w, slope.sum())
+        grad = np.append(np.bincount(feature, slope[doc], n_features), slope.sum())
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         step = 0.05 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w -= step[:-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.05 * PENALTY / np.sqrt(n_pos) / (np.sqrt(square[:-1] / (1 - 0.999**t)) + 1e-4), 0)
         b -= step[-1]
     return w, float(b)
 
@@ -96,22 +123,23 @@ def fit(positives: list[str], unlabelled: list[str], prior: float) -> Classifier
     if not positives:
         return Classifier({}, -1000.0)
     prior = min(0.95, max(0.001, prior))
-    held = [words(t) for t in positives]
-    count = Counter(f for own in held for f in {f for w in own for f in named(w)})
-    common = {f for f, n in count.items() if n >= min(LEAST, len(positives))}
+    held = without_copies([words(t) for t in positives])
+    count = Counter(f for own in held for f in named(own))
+    common = {f for f, n in count.items() if n >= min(LEAST, len(held))}
     count = {f: count[f] for f in common}
-    rest = [words(t) for t in unlabelled]
-    found = [{f for w in own for f in named(w)} & common for own in (*held, *rest)]
+    rest = without_copies([words(t) for t in unlabelled])
+    found = [named(own) & common for own in (*held, *rest)]
     base = Counter(f for own in found[len(held):] for f in own)
     # A feature of toxic texts alone is 1 / prior times as common among positives as in the mixture, at most.
     lift = {f: (n / len(held)) / ((base[f] + 0.5) / (len(rest) + 1)) for f, n in count.items()}
-    chosen = sorted((f for f in common if lift[f] >= min(LIFT, 0.5 / prior)), key=lambda f: (-lift[f] * min(count[f], 50), f))[:FEATURES]
+    sure = {f: 2 * n * np.log(n * (len(held) + len(rest)) / ((n + base[f]) * len(held))) for f, n in count.items()}
+    chosen = sorted((f for f in common if lift[f] >= min(LIFT, 0.5 / prior) and sure[f] >= SURE), key=lambda f: (-lift[f] * min(count[f], 50), f))[:FEATURES]
     number = {f: k for k, f in enumerate(chosen)}
     pairs = [(d, number[f]) for d, own in enumerate(found) for f in sorted(own) if f in number]
     doc, feature = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
     positive = np.arange(len(found)) < len(held)
     w, b = nn_pu(doc, feature, positive, len(chosen), prior)
-    return Classifier({f: float(w[k]) for f, k in number.items()}, b)
+    return Classifier({f: float(w[k]) for f, k in number.items() if w[k]}, b)
 
 
 # --- Spark --------------------------------------------------------------------------------------
