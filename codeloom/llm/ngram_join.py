@@ -275,6 +275,16 @@ def _deal(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     return rows.select(F.explode(tiles).alias("t"), "node", "elements").select("t.tile", "node", "t.side", "elements")
 
 
+def may_hold(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, and a few more: a filter of 2^23 bits, at most 2^17 rows of 64 bits each, goes
+    to every task, so that most other rows are left out before a shuffle. The join that follows is exact."""
+    word, bit = f"pmod({key}, {1 << 17})", f"cast(pmod(shiftright({key}, 20), 64) as int)"
+    bits = wanted.select(F.expr(word).alias("_word"), F.expr(f"shiftleft(1L, {bit})").alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
+    return near.filter(F.expr(f"shiftright(_bits, {bit}) & 1L = 1")).drop("_word", "_bits")
+
+
 # --- the join -----------------------------------------------------------------------------------
 
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -296,8 +306,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     clusters = components(spark, star).select("node", F.col("label").alias("cluster"))
     # The sets of the candidates alone, anew from their texts.
     wanted = scratch.write(nodes.select("node", "text_key").join(clusters, "node"), "wanted")
-    found = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key")
-    found = found.groupBy("text_key", "node", "cluster").agg(F.first("text").alias("text")).select("text", "node", "cluster")
+    found = may_hold(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
+    found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("text", "node", "cluster")
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
     dealt = _deal(members, rule, scratch).repartition("tile").sortWithinPartitions("tile")
     links = scratch.write(dealt.mapInArrow(_tiles(rule), "a long, b long"), "links")
