@@ -1,16 +1,18 @@
-"""Shared pieces of the corpus operators: scratch tables, text batches, word and shingle hashes."""
+"""Shared pieces of the corpus operators: whole rows, text batches, word and shingle hashes."""
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..scratch import Scratch
+
+__all__ = ["Scratch", "Words", "chunks", "mix64", "packed", "shingle_of", "signed", "text_bytes", "unpacked", "words_of"]
 
 #: Separators of the two word definitions, as bytes of UTF-8 text with A-Z lower-cased.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -20,52 +22,16 @@ NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 CHUNK_BYTES = 4 << 20
 
 
-# --- scratch tables -----------------------------------------------------------------------------
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="codeloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+# --- rows ---------------------------------------------------------------------------------------
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` whole, as the struct ``row``, beside the given keys: no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
 
-class Scratch:
-    """Tables that one run of an operator writes to the shared folder, so that a lost executor costs no more
-    than its own tasks. ``drop`` deletes what no later step reads; the rest goes when the driver ends."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._tables = 0
-        atexit.register(self.close)
-
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self._tables += 1
-        path = f"{self.base}/{self._tables:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            _delete(self.spark, t._scratch_path)
-
-    def close(self) -> None:
-        try:
-            if self.spark.sparkContext._jsc is not None:
-                _delete(self.spark, self.base)
-        except Exception:  # noqa: BLE001  the session has ended; its folder is cleaned with it
-            pass
+def unpacked(docs: DataFrame, without: tuple[str, ...] = (), **instead: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, some of them left out or computed anew."""
+    return [(instead[c] if c in instead else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in without]
 
 
 # --- hashes -------------------------------------------------------------------------------------
@@ -189,7 +155,3 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, Scratch, Words, chunks, sha256_hex, shingle_of, text_bytes, words_of
+from .common import NON_ALNUM, Scratch, Words, chunks, shingle_of, text_bytes, words_of
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -174,21 +174,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item, r.text) for r in part.collect()]
 
 
+def _indexed(texts: DataFrame, items: list[tuple[str, str]], window: int, shingle: int) -> tuple[Index, dict]:
+    """The index of a block of items, and its prefixes by the documents' counts."""
+    index = Index(items, window, shingle)
+    counts = texts.select("text").mapInArrow(_count_shingles(index.vocabulary()), "k int, hash long, n long")
+    counts = counts.groupBy("k", "hash").agg(F.sum("n").alias("n")).collect()  # one row for each shingle of the block at most
+    return index, index.prefixes({(r.k, r.hash & 0xFFFFFFFFFFFFFFFF): r.n for r in counts})
+
+
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted ids), spans (hit word ranges, end excluded)."""
     texts = docs.select("doc_id", "text")
-    parts, n_blocks = [], 0
-    for items in _blocks(benchmark, block_bytes):
-        n_blocks += 1
-        index = Index(items, window, shingle)
-        counts = texts.select("text").mapInArrow(_count_shingles(index.vocabulary()), "k int, hash long, n long")
-        seen = {
-            (r.k, r.hash & 0xFFFFFFFFFFFFFFFF): r.n  # one row for each shingle of the block at most
-            for r in counts.groupBy("k", "hash").agg(F.sum("n").alias("n")).collect()
-        }
-        parts.append((index, index.prefixes(seen)))
-    if n_blocks == 1:
+    parts = [_indexed(texts, items, window, shingle) for items in _blocks(benchmark, block_bytes)]
+    if len(parts) == 1:
         return texts.mapInArrow(_match(*parts[0], hits_only=False), _RESULT)
     # Several blocks: gather the hits of each, merge them by document, add them to the word counts.
     scratch = Scratch(spark, "decontaminate")
@@ -212,6 +211,31 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     )
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item. One pass for each block of items; no shuffle of texts."""
+    text = docs.columns.index("text")
+
+    def keep(index: Index, prefixes: dict):
+        match = _match(index, prefixes, hits_only=False)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "text"):
+                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text)], ["doc_id", "text"])
+                hit = np.zeros(batch.num_rows, dtype=bool)
+                for found in match(iter([numbered])):
+                    hit[found.column(0).to_numpy()] = found.column(2).to_numpy() > 0
+                yield batch.filter(pa.array(~hit))
+
+        return clean
+
+    out = docs
+    for k, items in enumerate(_blocks(benchmark, block_bytes)):
+        out = Scratch(spark, "uncontaminated").write(out, "block") if k else out
+        out = out.mapInArrow(keep(*_indexed(out, items, window, shingle)), docs.schema)
+    return out
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         words = Words(*text_bytes(batch.column(1)), NON_ALNUM)

@@ -249,12 +249,10 @@ def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Fi
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(field)
+    """The rows of ``docs`` with lang_pred and score (in place of columns of these names)."""
+    docs = docs.drop("lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(field)
     text = docs.columns.index("text")
-    names = [n for n in ("lang_pred", "score") if n not in docs.columns]
-    assert len(names) == 2, "docs has a column lang_pred or score"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
@@ -266,6 +264,20 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     return docs.mapInArrow(apply, schema)
 
 
+def with_language(docs: DataFrame, field: Field, least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    text = docs.columns.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for batch in chunks(batches, "text", 2 << 20):
+            langs, scores = tagger.documents(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], type=pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 # --- op5 ----------------------------------------------------------------------------------------
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, packed, unpacked
 
 MIN_WORDS = 25
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,21 +103,37 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     return scratch.write(runs, "runs")
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with later repeated runs cut from ``text``, and n_lines and n_deleted (lines)."""
-    runs = repeated_runs(spark, docs, min_words).select(F.col("doc_id").alias("_d"), F.col("hash").alias("_x"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["_d"]) & (keyed["_hash"] == runs["_x"]), "left")
-    rows = rows.withColumn("_lines", _lines(F.col("text")))
-    n = F.size("_lines")
-    gone = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+def _cut(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, new_text, n_lines, n_deleted) for each row of ``docs``."""
+    runs = repeated_runs(spark, docs, min_words).select(F.col("doc_id").alias("d"), F.col("hash").alias("x"), "runs")
+    rows = packed(docs, doc_id=F.col("doc_id"), hash=F.xxhash64("text"))
+    rows = rows.join(runs, rows["doc_id"].eqNullSafe(runs["d"]) & (rows["hash"] == runs["x"]), "left")
+    rows = rows.withColumn("lines", _lines(F.col("row.text")))
+    n = F.size("lines")
+    gone = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     # What stays lies between the runs.
-    kept = F.transform(F.sequence(F.lit(0), F.size("_runs")), lambda k: F.struct(
-        F.when(k == 0, 0).otherwise(F.try_element_at("_runs", k)["last"] + 1).alias("a"),
-        F.coalesce(F.try_element_at("_runs", k + 1)["first"], n).alias("b")))
-    text = F.array_join(F.flatten(F.transform(kept, lambda s: F.slice("_lines", s["a"] + 1, s["b"] - s["a"]))), "\n")
-    columns = [F.when(F.col("_runs").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_deleted"))
+    kept = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda k: F.struct(
+        F.when(k == 0, 0).otherwise(F.try_element_at("runs", k)["last"] + 1).alias("a"),
+        F.coalesce(F.try_element_at("runs", k + 1)["first"], n).alias("b")))
+    text = F.array_join(F.flatten(F.transform(kept, lambda s: F.slice("lines", s["a"] + 1, s["b"] - s["a"]))), "\n")
+    return rows.select(
+        "row", F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(text).alias("new_text"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_deleted"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` with later repeated runs cut from ``text``, and n_lines and n_deleted, the lines there
+    were and those cut (in place of columns of these names)."""
+    cut = _cut(spark, docs, min_words)
+    return cut.select(*unpacked(docs, without=("n_lines", "n_deleted"), text=F.col("new_text")), "n_lines", "n_deleted")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows and columns of ``docs``, with later repeated runs cut from ``text``; n_chars, if there, follows."""
+    anew = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        anew["n_chars"] = F.length("new_text").cast(dict(docs.dtypes)["n_chars"])
+    return _cut(spark, docs, min_words).select(*unpacked(docs, **anew))
 
 
 # --- op4 ----------------------------------------------------------------------------------------

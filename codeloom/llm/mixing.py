@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, packed, unpacked
 
 #: A copy in the whole numbers that are summed.
 UNIT_BITS = 28
@@ -114,21 +114,17 @@ def mix_sizes(spark: SparkSession, docs: DataFrame, seed: str = "", cap: int = C
 
 
 def mix(spark: SparkSession, docs: DataFrame, seed: str = "", cap: int = CAP) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` once per copy taken, with a column ``copy`` from 1."""
+    """The mixed corpus: every row of ``docs`` once per copy taken, with a column ``copy`` from 1 (in place of one
+    of that name). Of rows with equal doc_id, source and text, one stands for all, with the copies of all."""
     scratch = Scratch(spark, "mixing")
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    sized = scratch.write(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), "_hash"), "sized")
-    # Equal (doc_id, source, text) rows have equal keys: their copies are added up, and dealt out among them.
-    taken = plan(spark, sized, seed, cap).filter("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_hash").alias("_x"), "copies")
-    taken = taken.groupBy("_d", "_s", "_x").agg(F.sum("copies").alias("_copies"))
-    same = rows["doc_id"].eqNullSafe(taken["_d"]) & rows["source"].eqNullSafe(taken["_s"]) & (rows["_hash"] == taken["_x"])
-    joined = rows.join(taken, same)
-    keep = [c for c in docs.columns]
-    # One row of each set of equal rows stands for all of them: it carries the copies of the whole set.
-    once = F.row_number().over(W.partitionBy("_d", "_s", "_x").orderBy("_x"))
-    joined = joined.withColumn("_once", once).filter("_once = 1")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), hash=F.xxhash64("text"))
+    sized = scratch.write(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), size_of(F.col("text")).alias("size")), "sized")
+    taken = plan(spark, sized, seed, cap).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("hash").alias("x"))
+    taken = scratch.write(taken.agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"), "taken")
+    same = rows["doc_id"].eqNullSafe(taken["d"]) & rows["source"].eqNullSafe(taken["s"]) & (rows["hash"] == taken["x"])
+    once = F.row_number().over(W.partitionBy("d", "s", "x").orderBy("d", "s", "x"))
+    joined = rows.join(taken, same).withColumn("once", once).filter("once = 1")
+    return joined.select(*unpacked(docs, without=("copy",)), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 # --- op1 ----------------------------------------------------------------------------------------

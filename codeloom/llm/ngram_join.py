@@ -31,9 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, Words, chunks, mix64, signed, text_bytes
+from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, text_bytes, unpacked
 from .components import components
 
 #: Elements that one block of a tile holds about.
@@ -288,8 +289,8 @@ def may_hold(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 # --- the join -----------------------------------------------------------------------------------
 
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per document: doc_id, n_shingles, node (its set), component_id (the smallest doc_id reachable by links)
-    and is_first (a set's component is led by this node)."""
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_key (the hash
+    of its text) and component (a number that the documents of a component share; null for empty sets)."""
     rule = Similarity(num, den)
     scratch = Scratch(spark, "ngram_join")
     texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
@@ -314,15 +315,32 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     joined = components(spark, links)
     led = nodes.select("node", "doc_id").join(joined, "node")
     least = scratch.write(led.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
-    linked = led.join(least, "label").select("node", "least")
+    linked = led.join(least, "label").select("node", "label", "least")
     final = scratch.write(nodes.select("node", "doc_id").join(linked, "node", "left").select(
-        "node", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")), "final")
+        "node", F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("label", "node").alias("component")), "final")
     rows = every.select("doc_id", "n", "node", "text_key").filter("n > 0").join(final, "node")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
-    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "component")
+    empty = every.filter("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("component"))
     return rows.unionByName(empty)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, one of each component: the one with the smallest (doc_id, hash of the text), nulls
+    last; of equal ones, any. Empty sets all stay."""
+    groups = similar_groups(spark, docs, shingle, num, den)
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
+    first = groups.filter("component is not null").groupBy("component").agg(F.min(order).alias("w")).select("w.doc_id", "w.text_key", F.lit(True).alias("one"))
+    empty = groups.filter("component is null").select("doc_id", "text_key", F.lit(False).alias("one")).distinct()
+    kept = Scratch(spark, "one_of_each").write(first.unionByName(empty), "kept").select(
+        F.col("doc_id").alias("d"), F.col("text_key").alias("x"), "one")
+    rows = packed(docs, doc_id=F.col("doc_id"), key=F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["d"]) & (rows["key"] == kept["x"]))
+    again = F.row_number().over(W.partitionBy("d", "x").orderBy("d", "x"))
+    return rows.withColumn("again", again).filter("again = 1 or not one").select(*unpacked(docs))
+
+
 # --- op7 ----------------------------------------------------------------------------------------
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
