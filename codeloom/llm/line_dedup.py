@@ -129,11 +129,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = M
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows and columns of ``docs``, with later repeated runs cut from ``text``; n_chars, if there, follows."""
+    """The rows and columns of ``docs``, with later repeated runs cut from ``text``; n_chars, if there, follows.
+    Rows of which no word is left go."""
     anew = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
         anew["n_chars"] = F.length("new_text").cast(dict(docs.dtypes)["n_chars"])
-    return _cut(spark, docs, min_words).select(*unpacked(docs, **anew))
+    cut = _cut(spark, docs, min_words).filter((F.col("n_deleted") == 0) | F.col("new_text").rlike(WORD))
+    return cut.select(*unpacked(docs, **anew))
 
 
 # --- op4 ----------------------------------------------------------------------------------------
