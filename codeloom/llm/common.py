@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "Words", "chunks", "mix64", "packed", "shingle_of", "signed", "text_bytes", "unpacked", "words_of"]
+__all__ = ["Scratch", "Words", "chunks", "mix64", "packed", "shingle_of", "signed", "split_by_key", "text_bytes", "unpacked", "words_of"]
 
 #: Separators of the two word definitions, as bytes of UTF-8 text with A-Z lower-cased.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -34,6 +34,20 @@ def unpacked(docs: DataFrame, without: tuple[str, ...] = (), **instead: Column)
     return [(instead[c] if c in instead else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in without]
 
 
+def split_by_key(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long ``key`` may be among that of ``wanted``, rows whose key isn't): the first need a join.
+
+    A filter of 2^23 bits goes to every task, 2^17 rows of 64 bits at most, whatever the size of ``wanted``; so most
+    rows without a partner are never shuffled. Where it fills up, all rows are in the first part.
+    """
+    word, bit = f"pmod({key}, {1 << 17})", f"cast(pmod(shiftright({key}, 20), 64) as int)"
+    bits = wanted.select(F.expr(word).alias("_word"), F.expr(f"shiftleft(1L, {bit})").alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word", "left")
+    near = near.withColumn("_may", F.coalesce(F.expr(f"shiftright(_bits, {bit}) & 1L = 1"), F.lit(False))).drop("_word", "_bits")
+    return near.filter("_may").drop("_may"), near.filter("not _may").drop("_may")
+
+
 # --- hashes -------------------------------------------------------------------------------------
 
 def mix64(x: np.ndarray) -> np.ndarray:

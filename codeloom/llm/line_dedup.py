@@ -12,7 +12,8 @@ selected: two equal runs of ``min_words`` words hold an equal window and so shar
 4. Later repeated runs are deleted; the first occurrence, in the order of (doc_id, hash of the text, line), stays.
 
 So a line goes if and only if it lies in a run of at least ``min_words`` words that begins earlier in the corpus.
-No pairs are made: a window is compared with the first occurrence of its content only.
+No pairs are made: a window is compared with the first occurrence of its content only. Joins are sort-merge joins at
+every size, so that plans, and skewed keys that adaptive execution splits, are the same on small and large inputs.
 
 Defined cases: a null text stays null and has no lines; null doc_ids come last in the order; rows with equal doc_id
 and text are one document and keep the same lines; an empty table gives an empty table; other columns are carried
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, unpacked
+from .common import Scratch, packed, split_by_key, unpacked
 
 MIN_WORDS = 25
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,11 +90,11 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     spot = F.xxhash64("doc_id", "hash", "place")
     shared = windows.groupBy("fingerprint").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("fingerprint")
     shared = scratch.write(shared, "fingerprints")
-    matched = scratch.write(windows.join(shared, "fingerprint").select("doc_id", "hash", "first", "last", "content"), "matched")
+    matched = scratch.write(windows.join(shared.hint("merge"), "fingerprint").select("doc_id", "hash", "first", "last", "content"), "matched")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash", "first")
     begins = matched.groupBy("content").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
     begins = scratch.write(begins.filter("earliest < latest").select("content", "earliest"), "earliest")
-    later = matched.join(begins, "content").filter(order > F.col("earliest")).select("doc_id", "hash", "first", "last")
+    later = matched.join(begins.hint("merge"), "content").filter(order > F.col("earliest")).select("doc_id", "hash", "first", "last")
     # Windows that overlap or touch are one run.
     own = W.partitionBy("doc_id", "hash").orderBy("first", "last")
     later = later.distinct().withColumn("open", F.max("last").over(own.rowsBetween(W.unboundedPreceding, -1)))
@@ -107,7 +108,11 @@ def _cut(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFrame:
     """(row, new_text, n_lines, n_deleted) for each row of ``docs``."""
     runs = repeated_runs(spark, docs, min_words).select(F.col("doc_id").alias("d"), F.col("hash").alias("x"), "runs")
     rows = packed(docs, doc_id=F.col("doc_id"), hash=F.xxhash64("text"))
-    rows = rows.join(runs, rows["doc_id"].eqNullSafe(runs["d"]) & (rows["hash"] == runs["x"]), "left")
+    # Only texts that may have a run to lose are shuffled.
+    some, rest = split_by_key(rows, runs.select(F.col("x").alias("hash")), "hash")
+    some = some.join(runs.hint("merge"), some["doc_id"].eqNullSafe(runs["d"]) & (some["hash"] == runs["x"]), "left")
+    rest = rest.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    rows = some.select("row", "runs").unionByName(rest.select("row", "runs"))
     rows = rows.withColumn("lines", _lines(F.col("row.text")))
     n = F.size("lines")
     gone = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)

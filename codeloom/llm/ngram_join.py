@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, text_bytes, unpacked
+from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, split_by_key, text_bytes, unpacked
 from .components import components
 
 #: Elements that one block of a tile holds about.
@@ -276,16 +276,6 @@ def _deal(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     return rows.select(F.explode(tiles).alias("t"), "node", "elements").select("t.tile", "node", "t.side", "elements")
 
 
-def may_hold(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is wanted, and a few more: a filter of 2^23 bits, at most 2^17 rows of 64 bits each, goes
-    to every task, so that most other rows are left out before a shuffle. The join that follows is exact."""
-    word, bit = f"pmod({key}, {1 << 17})", f"cast(pmod(shiftright({key}, 20), 64) as int)"
-    bits = wanted.select(F.expr(word).alias("_word"), F.expr(f"shiftleft(1L, {bit})").alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    near = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
-    return near.filter(F.expr(f"shiftright(_bits, {bit}) & 1L = 1")).drop("_word", "_bits")
-
-
 # --- the join -----------------------------------------------------------------------------------
 
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -307,7 +297,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     clusters = components(spark, star).select("node", F.col("label").alias("cluster"))
     # The sets of the candidates alone, anew from their texts.
     wanted = scratch.write(nodes.select("node", "text_key").join(clusters, "node"), "wanted")
-    found = may_hold(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
+    found, _ = split_by_key(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
     found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("text", "node", "cluster")
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
     dealt = _deal(members, rule, scratch).repartition("tile").sortWithinPartitions("tile")
@@ -329,16 +319,20 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest (doc_id, hash of the text), nulls
     last; of equal ones, any. Empty sets all stay."""
-    groups = similar_groups(spark, docs, shingle, num, den)
+    scratch = Scratch(spark, "one_of_each")
+    groups = similar_groups(spark, docs, shingle, num, den).filter("component is not null")
+    groups = scratch.write(groups.groupBy("doc_id", "text_key", "component").agg(F.count("*").alias("times")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
-    first = groups.filter("component is not null").groupBy("component").agg(F.min(order).alias("w")).select("w.doc_id", "w.text_key", F.lit(True).alias("one"))
-    empty = groups.filter("component is null").select("doc_id", "text_key", F.lit(False).alias("one")).distinct()
-    kept = Scratch(spark, "one_of_each").write(first.unionByName(empty), "kept").select(
-        F.col("doc_id").alias("d"), F.col("text_key").alias("x"), "one")
+    first = groups.groupBy("component").agg(F.min(order).alias("w"))
+    rows = groups.join(first.hint("merge"), "component").withColumn("first", order == F.col("w"))
+    # Rows to look at: those that aren't their component's first, and first ones that are there several times.
+    odd = scratch.write(rows.filter("not first or times > 1").select(F.col("doc_id").alias("d"), F.col("text_key").alias("x"), "first"), "odd")
     rows = packed(docs, doc_id=F.col("doc_id"), key=F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["d"]) & (rows["key"] == kept["x"]))
-    again = F.row_number().over(W.partitionBy("d", "x").orderBy("d", "x"))
-    return rows.withColumn("again", again).filter("again = 1 or not one").select(*unpacked(docs))
+    some, rest = split_by_key(rows, odd.select(F.col("x").alias("key")), "key")
+    some = some.join(odd.hint("merge"), some["doc_id"].eqNullSafe(odd["d"]) & (some["key"] == odd["x"]), "left")
+    again = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("doc_id", "key"))
+    some = some.withColumn("again", again).filter("first is null or (first and again = 1)")
+    return some.select("row").unionByName(rest.select("row")).select(*unpacked(docs))
 
 
 # --- op7 ----------------------------------------------------------------------------------------
