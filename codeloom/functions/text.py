@@ -114,9 +114,7 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
-def stems(words: pd.Series) -> pd.Series:
-    """Porter stems of token arrays, batch by batch."""
+def _stem_batch(words: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
     def stem(w: str) -> str:
@@ -125,3 +123,8 @@ def stems(words: pd.Series) -> pd.Series:
         return known[w]
 
     return words.map(lambda own: None if own is None else [stem(w) for w in own])
+
+
+def stems(words: Column) -> Column:
+    """Porter stems of token arrays, batch by batch."""
+    return F.pandas_udf(_stem_batch, "array<string>")(words)
