@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, mix64
 
 TRAIN_DOCS, TRAIN_CHARS = 150, 20_000
 CHAIN = 256
@@ -41,15 +40,31 @@ CACHE_WORDS = 200_000
 _TOKEN = re.compile(r"\n|[^\W\d_]+")
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a word's affixes, n-grams and the word itself."""
-    edged = f"^{word}$"
-    named = {f"w{word}"}
-    named.update(f"p{word[:n]}" for n in range(1, min(4, len(word)) + 1))
-    named.update(f"s{word[-n:]}" for n in range(1, min(4, len(word)) + 1))
+_AT = mix64(np.arange(1, 1 << 12, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the features of all words: affixes of 1 to 4 letters, n-grams of 2 and 3 with the
+    word's edges, and the word itself. All words are hashed at once, as arrays of code points."""
+    code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    length = np.array([len(w) for w in words])
+    start = np.concatenate([[0], np.cumsum(length + 2)[:-1]])
+    number = np.arange(len(words))
+    owner = np.repeat(number, length + 2)
+    place = np.arange(len(code)) - start[owner]
+    owners, hashes = [number], [np.add.reduceat(code * _AT[np.minimum(place, len(_AT) - 8) + 7], start) + np.uint64(1)]
     for n in (2, 3):
-        named.update(f"g{edged[i:i + n]}" for i in range(len(edged) - n + 1))
-    return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in named})
+        at = np.flatnonzero(place <= length[owner] + 2 - n)
+        owners.append(owner[at])
+        hashes.append(sum(code[at + j] * _AT[j] for j in range(n)) + np.uint64(n))
+    front, back = np.full(len(words), 10, dtype=np.uint64), np.full(len(words), 20, dtype=np.uint64)
+    for n in range(1, 5):
+        long = np.flatnonzero(length >= n)
+        front[long] += code[start[long] + n] * _AT[n] + np.uint64(1)
+        back[long] += code[start[long] + length[long] + 1 - n] * _AT[n] + np.uint64(1)
+        owners += [long, long]
+        hashes += [front[long], back[long]]
+    return np.concatenate(owners), (mix64(np.concatenate(hashes)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -133,10 +148,7 @@ def fit(docs: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Fie
     truth = np.array([y for own in labels for y in own])
     lengths = np.array([len(c) for c in chains])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    own = [word_features(w) for w in number]
-    feature = np.concatenate([np.array(f) for f in own])
-    owner = np.repeat(np.arange(len(own)), [len(f) for f in own])
-    begin = np.concatenate([[0], np.cumsum([len(f) for f in own])[:-1]])
+    owner, feature = word_features(list(number))
     follows = np.ones(len(words), dtype=bool)
     follows[starts] = False
     seen_step = np.zeros((n, n))
@@ -145,11 +157,11 @@ def fit(docs: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Fie
     squares = [np.full_like(x, 1e-8) for x in (field.weights, field.step, field.init)]
     onehot = np.eye(n)[truth]
     for _ in range(rounds):
-        scores = np.add.reduceat(field.weights[feature], begin, axis=0)[words]
+        scores = _summed(field.weights, owner, feature, len(number))[words]
         potential = np.exp(scores - scores.max(axis=1, keepdims=True))
         marginal, _, expected = forward_backward(potential, starts, lengths, np.exp(field.step), np.exp(field.init), pairs=True)
         rest = onehot - marginal
-        by_word = np.stack([np.bincount(words, rest[:, k], len(own)) for k in range(n)], axis=1)
+        by_word = np.stack([np.bincount(words, rest[:, k], len(number)) for k in range(n)], axis=1)
         grad = np.stack([np.bincount(feature, by_word[owner, k], BUCKETS) for k in range(n)], axis=1) - 0.05 * field.weights
         for value, g, sq in zip(
             (field.weights, field.step, field.init),
@@ -160,6 +172,11 @@ def fit(docs: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Fie
     return field
 
 
+def _summed(weights: np.ndarray, owner: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    """(n, labels): the weights of each word's features, added up."""
+    return np.stack([np.bincount(owner, column[feature], n) for column in np.ascontiguousarray(weights.T)], axis=1)
+
+
 class Tagger:
     """Applies a field to texts. Word scores are kept for up to CACHE_WORDS words."""
 
@@ -171,9 +188,7 @@ class Tagger:
         self.table = np.empty((1 << 12, len(field.labels)), dtype=np.float32)
 
     def _learn(self, new: list[str]) -> None:
-        own = [word_features(w) for w in new]
-        begin = np.concatenate([[0], np.cumsum([len(f) for f in own])[:-1]])
-        scores = np.add.reduceat(self.weights[np.concatenate([np.array(f) for f in own])], begin, axis=0)
+        scores = _summed(self.weights, *word_features(new), len(new))
         at = len(self.number)
         while at + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
