@@ -7,19 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "Words", "chunks", "mix64", "packed", "shingle_of", "signed", "split_by_key", "text_bytes", "unpacked", "words_of"]
+__all__ = ["Scratch", "Words", "chunks", "mix64", "packed", "shingle_of", "signed", "split_by_key", "text_batches", "text_bytes", "unpacked", "words_of"]
 
 #: Separators of the two word definitions, as bytes of UTF-8 text with A-Z lower-cased.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-#: Bytes of text that one step of an Arrow operator handles at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that one step of an Arrow operator handles at once; arrays of its characters take 50 times as much.
+CHUNK_BYTES = 1 << 20
+#: Texts in an Arrow batch between Spark and Python; Spark's own default is meant for narrow rows.
+BATCH_ROWS = 1000
 
 
 # --- rows ---------------------------------------------------------------------------------------
@@ -139,6 +141,13 @@ def words_of(texts: list[str | None], separators: bytes) -> Words:
 
 # --- Arrow batches ------------------------------------------------------------------------------
 
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows where they have Spark's default size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each text begins; a null is an empty text."""
     if column.null_count:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, Scratch, Words, chunks, shingle_of, text_bytes, words_of
+from .common import NON_ALNUM, Scratch, Words, chunks, shingle_of, text_batches, text_bytes, words_of
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -176,6 +176,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 def _indexed(texts: DataFrame, items: list[tuple[str, str]], window: int, shingle: int) -> tuple[Index, dict]:
     """The index of a block of items, and its prefixes by the documents' counts."""
+    text_batches(texts.sparkSession)
     index = Index(items, window, shingle)
     counts = texts.select("text").mapInArrow(_count_shingles(index.vocabulary()), "k int, hash long, n long")
     counts = counts.groupBy("k", "hash").agg(F.sum("n").alias("n")).collect()  # one row for each shingle of the block at most

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix64
+from .common import chunks, mix64, text_batches
 
 TRAIN_DOCS, TRAIN_CHARS = 150, 20_000
 CHAIN = 256
@@ -266,12 +266,13 @@ def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Fi
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score (in place of columns of these names)."""
     docs = docs.drop("lang_pred", "score")
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     text = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             langs, scores = tagger.documents(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
@@ -281,12 +282,13 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
 
 def with_language(docs: DataFrame, field: Field, least: float) -> DataFrame:
     """The rows of ``docs`` whose language is known, with a score of ``least`` or more."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     text = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             langs, scores = tagger.documents(batch.column(text).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], type=pa.bool_()))
 

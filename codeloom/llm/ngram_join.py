@@ -3,14 +3,15 @@
 A document is the set of its word shingles, as sorted 64-bit hashes. Equal sets are one *node* from the start, so
 copies, however many, cost one node.
 
-Candidates. Two sets of a and b shingles whose Jaccard similarity is at least t differ in at most
-(a + b)(1 - t)/(1 + t) elements. Sizes fall in levels that grow by a half; at a level whose largest size is u the
-hash range is cut into k parts, more than 2u(1 - t)/(1 + t): then two similar sets agree in a part. A node writes
-one key per part, the hash of its elements there, at each level where it can meet a partner: its own and, near the
-top, the next. Parts with next to no elements agree by chance; k has as many parts to spare as a node has such weak
-parts as a rule, and a node writes its weak keys only if it has more. So no link is lost. Nodes that share a key
-are joined with the smallest of them, and the components of that star graph are the candidate clusters; pairs are
-never written out.
+Candidates. A partner of a set of n shingles lacks at most p = (1 - t)n of them, t being the least similarity. Every
+node writes the shingles of one range of hashes, a little more than p of them; one count over all nodes tells which
+of them any other node has. A node with more than p shingles of its own there has no partner and is done with. The
+others keep a prefix: in the order of their own shingles first, then rare ones, then common ones, the first p + 1 of
+the set, of which two partners must share one. Nodes that share a prefix shingle are joined with the smallest of
+them, and the components of that star graph are the candidate clusters; pairs are never written out. (Shingles
+beyond the range come last in the order; a node with fewer than p + 1 within it writes the next ones, too.) Clusters
+too large for one tile go through the same count once more, with all shingles of their nodes, and fall apart into
+those that hold real partners.
 
 Tiles. A cluster's nodes are dealt into size bands, and large bands into blocks of bounded weight; bands that are
 no further apart than t allows meet block by block in a tile. Within a tile, sets have bitmaps of hashed elements;
@@ -34,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, split_by_key, text_bytes, unpacked
+from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, split_by_key, text_batches, text_bytes, unpacked
 from .components import components
 
 #: Elements that one block of a tile holds about.
 BLOCK_WEIGHT = 500_000
 
-_LEVEL_GROWTH = 1.5
+#: The range of hashes that is written out, as a multiple of the share of a set that a partner can lack.
+RANGE = 1.5
 
 
 class Similarity:
@@ -48,41 +50,14 @@ class Similarity:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.tops = [1]
-        while self.tops[-1] < 1 << 40:
-            self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * _LEVEL_GROWTH)))
-        self.table = np.array(self.tops, dtype=np.int64)
-        self.parts = [self._parts(level) for level in range(len(self.tops))]
-
-    def most_different(self, a: int, b: int) -> int:
-        """Elements in which linked sets of these sizes can differ."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
+        self.range_end = np.uint64(min(1.0, (1 - num / den) * RANGE) * (2.0**64 - 2048))
 
     def largest_partner(self, n):
         return n * self.den // self.num
 
-    def _parts(self, level: int) -> tuple[int, int]:
-        """Parts at a level, and how many of them may be weak in a node that writes no weak keys."""
-        top = self.tops[level]
-        different = self.most_different(top, top)
-        if not different:
-            return 1, 0
-        low, spare = max(1, self.tops[level - 1]) if level else 1, 0
-        for _ in range(8):
-            k = different + 1 + spare
-            mean = low / k
-            weak = math.exp(-mean) * (1 + (mean if weak_below(mean) > 1 else 0))
-            spare = min(math.ceil(k * weak + 3 * math.sqrt(k * weak)), different // 2 + 1)
-        return different + 1 + spare, spare
-
-    def levels(self, n: int) -> list[int]:
-        own = int(np.searchsorted(self.table, n))
-        return list(range(own, int(np.searchsorted(self.table, self.largest_partner(n))) + 1))
-
-
-def weak_below(mean: float) -> int:
-    """A part is weak with fewer elements than this."""
-    return 2 if mean >= 2 else 1
+    def lacking(self, n: int) -> int:
+        """Elements of a set of n that a partner can lack."""
+        return n * (self.den - self.num) // self.den
 
 
 def sets_of(words: Words, k: int) -> list[np.ndarray]:
@@ -112,38 +87,19 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-def keys_of(elements: np.ndarray, rule: Similarity) -> np.ndarray:
-    """The candidate keys of a sorted set."""
-    n = len(elements)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(elements), dtype=np.uint64)])
-    out = []
-    for level in rule.levels(n):
-        k, spare = rule.parts[level]
-        edges = (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(elements, edges), [n]])
-        size = np.diff(cut)
-        content = sums[cut[1:]] - sums[cut[:-1]]
-        tag = np.uint64((level << 32) + 1) + np.arange(k, dtype=np.uint64)
-        keys = mix64(content + mix64(tag * np.uint64(0x9E3779B97F4A7C15)) + size.astype(np.uint64))
-        weak = size < weak_below((rule.tops[level - 1] if level else 1) / k)
-        if k > 1 and weak.sum() <= spare:
-            keys = keys[~weak]
-        out.append(keys)
-    return np.concatenate(out)
-
-
 def _nodes(k: int, rule: Similarity):
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             sets = sets_of(Words(*text_bytes(batch.column(1)), BLANKS), k)
             ids = [identity(s) if len(s) else (0, 0) for s in sets]
-            keys = [signed(keys_of(s, rule)) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            within = [int(np.searchsorted(s, rule.range_end)) for s in sets]
+            few = [s[: max(w, min(len(s), rule.lacking(len(s)) + 1))] for s, w in zip(sets, within)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in few])]).astype(np.int32)
+            whole = [[len(s) for s in sets], within, [i for i, _ in ids], [j for _, j in ids]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([i for i, _ in ids], type=pa.int64()),
-                 pa.array([j for _, j in ids], type=pa.int64()), batch.column(2),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))],
-                ["doc_id", "n", "node", "check", "text_key", "keys"],
+                [batch.column(0), *(pa.array(x, type=pa.int64()) for x in whole), batch.column(2),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(few))))],
+                ["doc_id", "n", "n_range", "node", "check", "text_key", "some"],
             )
 
     return nodes
@@ -151,7 +107,7 @@ def _nodes(k: int, rule: Similarity):
 
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             own = sets_of(Words(*text_bytes(batch.column(0)), BLANKS), k)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             values = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
@@ -276,30 +232,67 @@ def _deal(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     return rows.select(F.explode(tiles).alias("t"), "node", "elements").select("t.tile", "node", "t.side", "elements")
 
 
+# --- candidates ---------------------------------------------------------------------------------
+
+def _star(wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+    """(a, b): nodes that share a shingle of their prefixes, each with the smallest that has it."""
+    written = wide.select("node", "n", "n_range", F.posexplode("some").alias("at", "shingle"))
+    shared = written.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("times"))
+    shared = scratch.write(shared.filter("low < high").select("shingle", "times"), "shared")
+    common = written.join(shared.hint("merge"), "shingle")
+    beyond = F.col("at") >= F.col("n_range")
+    own = W.partitionBy("node")
+    common = common.withColumn("alone", F.col("n_range") - F.sum(F.when(beyond, 0).otherwise(1)).over(own))
+    common = common.withColumn("rank", F.row_number().over(own.orderBy(beyond, "times", "shingle")))
+    lacking = F.floor(F.col("n") * (rule.den - rule.num) / rule.den)
+    prefix = common.filter((F.col("alone") <= lacking) & (F.col("rank") <= lacking + 1 - F.col("alone")))
+    prefix = scratch.write(prefix.select("node", "shingle"), "prefixes")
+    least = prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("shingle", "low")
+    least = scratch.write(least, "least")
+    star = prefix.join(least.hint("merge"), "shingle").filter("node <> low")
+    return star.select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def _refined(spark: SparkSession, members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+    """(node, cluster, elements) with the clusters that outweigh a tile split by a count of all their shingles."""
+    weight = members.groupBy("cluster").agg(F.sum(F.size("elements")).alias("weight")).filter(F.col("weight") > BLOCK_WEIGHT)
+    large = scratch.write(weight.select("cluster"), "large")
+    if large.isEmpty():
+        return members
+    small = members.join(large.hint("merge"), "cluster", "left_anti")
+    whole = scratch.write(members.join(large.hint("merge"), "cluster", "left_semi").select("node", "elements"), "whole")
+    n = F.size("elements").cast("long")
+    star = _star(whole.select("node", n.alias("n"), n.alias("n_range"), F.col("elements").alias("some")), rule, scratch)
+    again = whole.join(components(spark, star).select("node", F.col("label").alias("cluster")), "node")
+    # A label is a node of its cluster: clusters that were split don't meet one that wasn't.
+    return small.select("node", "cluster", "elements").unionByName(again.select("node", "cluster", "elements"))
+
+
 # --- the join -----------------------------------------------------------------------------------
 
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_key (the hash
     of its text) and component (a number that the documents of a component share; null for empty sets)."""
+    text_batches(spark)
     rule = Similarity(num, den)
     scratch = Scratch(spark, "ngram_join")
     texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, n long, node long, check long, text_key long, keys array<long>"
-    every = scratch.write(texts.mapInArrow(_nodes(shingle, rule), schema), "sets")
-    some = every.filter("n > 0")
-    nodes = scratch.write(some.groupBy("node", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys")), "nodes")
-    # Nodes that share a key: join each with the smallest.
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = scratch.write(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                           .filter("low < high").select("key", "low"), "shared")
-    star = keyed.join(shared, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    clusters = components(spark, star).select("node", F.col("label").alias("cluster"))
+    schema = "doc_id long, n long, n_range long, node long, check long, text_key long, some array<long>"
+    sets = scratch.write(texts.mapInArrow(_nodes(shingle, rule), schema), "sets")
+    every = scratch.write(sets.drop("some", "n_range"), "documents")
+    wide = scratch.write(sets.filter("n > 0").groupBy("node", "check").agg(
+        F.first("n").alias("n"), F.first("n_range").alias("n_range"), F.first("some").alias("some")), "wide")
+    scratch.drop(sets)
+    nodes = scratch.write(every.filter("n > 0").groupBy("node", "check").agg(
+        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")), "nodes")
+    clusters = components(spark, _star(wide, rule, scratch)).select("node", F.col("label").alias("cluster"))
+    scratch.drop(wide)
     # The sets of the candidates alone, anew from their texts.
     wanted = scratch.write(nodes.select("node", "text_key").join(clusters, "node"), "wanted")
     found, _ = split_by_key(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
     found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("text", "node", "cluster")
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
+    members = _refined(spark, members, rule, scratch)
     dealt = _deal(members, rule, scratch).repartition("tile").sortWithinPartitions("tile")
     links = scratch.write(dealt.mapInArrow(_tiles(rule), "a long, b long"), "links")
     joined = components(spark, links)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, text_batches
 
 POSITIVES, UNLABELLED, TRAIN_CHARS = 2000, 4000, 20_000
 LEAST, LIFT, SURE, FEATURES = 4, 4.0, 24.0, 20_000
@@ -173,10 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, text) -> (doc_id, score)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double")

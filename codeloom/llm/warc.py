@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import text_batches
+
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:codeloom:warc")
 #: What one compressed payload may unfold to.
@@ -213,6 +215,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def responses(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> (page_id, record): WARC response records."""
+    text_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_respond, _RECORD)
 
 
