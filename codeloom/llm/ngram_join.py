@@ -10,7 +10,7 @@ others keep a prefix: in the order of their own shingles first, then rare ones,
 the set, of which two partners must share one. Nodes that share a prefix shingle are joined with the smallest of
 them, and the components of that star graph are the candidate clusters; pairs are never written out. (Shingles
 beyond the range come last in the order; a node with fewer than p + 1 within it writes the next ones, too.) Clusters
-too large for one tile go through the same count once more, with all shingles of their nodes, and fall apart into
+of very many tiles go through the same count once more, with all shingles of their nodes, and fall apart into
 those that hold real partners.
 
 Tiles. A cluster's nodes are dealt into size bands, and large bands into blocks of bounded weight; bands that are
@@ -41,8 +41,10 @@ from .components import components
 #: Elements that one block of a tile holds about.
 BLOCK_WEIGHT = 500_000
 
-#: The range of hashes that is written out, as a multiple of the share of a set that a partner can lack.
-RANGE = 1.5
+#: Elements beyond which a cluster is counted once more: dealing it out in blocks would move more than that.
+REFINE_WEIGHT = 16 * BLOCK_WEIGHT
+#: The range of hashes that is written out, beyond the share of a set that a partner can lack.
+RANGE_MARGIN = 0.1
 
 
 class Similarity:
@@ -50,7 +52,7 @@ class Similarity:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.range_end = np.uint64(min(1.0, (1 - num / den) * RANGE) * (2.0**64 - 2048))
+        self.range_end = np.uint64(min(1.0, 1 - num / den + RANGE_MARGIN) * (2.0**64 - 2048))
 
     def largest_partner(self, n):
         return n * self.den // self.num
@@ -254,8 +256,8 @@ def _star(wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
 
 
 def _refined(spark: SparkSession, members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
-    """(node, cluster, elements) with the clusters that outweigh a tile split by a count of all their shingles."""
-    weight = members.groupBy("cluster").agg(F.sum(F.size("elements")).alias("weight")).filter(F.col("weight") > BLOCK_WEIGHT)
+    """(node, cluster, elements) with the clusters that outweigh many tiles split by a count of all their shingles."""
+    weight = members.groupBy("cluster").agg(F.sum(F.size("elements")).alias("weight")).filter(F.col("weight") > REFINE_WEIGHT)
     large = scratch.write(weight.select("cluster"), "large")
     if large.isEmpty():
         return members
