@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,8 +167,6 @@ def pending_embeddings(nodes: DataFrame, stored: DataFrame, provider: str) -> Da
 def embed_nodes(nodes: DataFrame, stored: DataFrame, provider: str, embed) -> DataFrame:
     """The vector table with new and changed nodes embedded. ``embed``: list of texts -> list of vectors, called on
     batches in the executors; old vectors of the same names are replaced."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series(embed(texts.tolist()))

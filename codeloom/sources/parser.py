@@ -10,6 +10,7 @@ be parsed is reported by its File node alone.
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +38,7 @@ def language_of(path: str) -> str:
 
 def is_test(name: str, language: str, path: str) -> bool:
     base = path.rsplit("/", 1)[-1]
-    return name.startswith(keys.TEST_PREFIXES.get(language, ())) if keys.TEST_PREFIXES.get(language) and name.startswith(keys.TEST_PREFIXES[language]) else any(
-        m in base for m in keys.TEST_FILE_MARKS)
+    return name.startswith(keys.TEST_PREFIXES.get(language, ("\0",))) or any(m in base for m in keys.TEST_FILE_MARKS)
 
 
 class _Report:
@@ -52,7 +52,7 @@ class _Report:
 
     def node(self, kind: str, name: str, start: int, end: int, parent: str | None = None, params: str | None = None, returns: str | None = None,
              decorators: list[str] | None = None) -> None:
-        extra = {"decorators": str(decorators).replace("'", '"')} if decorators else None
+        extra = {"decorators": json.dumps(decorators)} if decorators else None
         self.nodes.append({
             "kind": kind, "name": name, "file_path": self.path, "line_start": start, "line_end": end, "language": self.language, "parent_name": parent,
             "params": params[:PARAMS] if params else None, "return_type": returns or None, "modifiers": None, "is_test": kind == "Test", "extra": extra})

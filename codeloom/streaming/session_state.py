@@ -18,9 +18,9 @@ def _best(tools: list[str]) -> tuple[str, int]:
     return (best, score[best]) if score[best] else ("exploring", 0)
 
 
-def intents(calls: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """(session, intent, score, n) after each batch of (session, seq, tool): state is a session's last hundred calls,
-    and goes after an hour without one."""
+def intents(calls: DataFrame, idle_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """(session, intent, score, n) after each batch of (session, seq, tool, ts): state is a session's last hundred
+    calls, and goes when the watermark has passed the last one by an hour."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -30,10 +30,10 @@ def intents(calls: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         new = pd.concat(list(batches)).sort_values("seq")
         kept = (kept + new["tool"].tolist())[-KEPT:]
         state.update((kept,))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(new["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         intent, score = _best(kept)
         yield pd.DataFrame({"session": [key[0]], "intent": [intent], "score": [score], "n": [len(kept)]})
 
-    rows = calls.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), "tool")
+    rows = calls.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), "tool", "ts").withWatermark("ts", late)
     return rows.groupBy("session").applyInPandasWithState(
-        update, "session string, intent string, score long, n long", "tools array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        update, "session string, intent string, score long, n long", "tools array<string>", "update", GroupStateTimeout.EventTimeTimeout)
