@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,13 +56,37 @@ def named(own: set[str]) -> set[str]:
     return own | once | {f"{b}*" for b in twice}
 
 
-def without_copies(sets: list[set[str]]) -> list[set[str]]:
+def without_copies(sets: Iterable[set[str]]) -> Iterator[set[str]]:
     """One of each group of sets that agree in three minimal hashes: copies would make their words look telling."""
-    seen: dict[tuple[int, ...], set[str]] = {}
+    seen: set[tuple[int, ...]] = set()
     for own in sets:
         hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own]
-        seen.setdefault(tuple(min(((h ^ salt) * 0x9E3779B1 & 0xFFFFFFFF for h in hashes), default=-1) for salt in (0x1B56C4E9, 0x5A7F3D21, 0x6C8E9CF5)), own)
-    return list(seen.values())
+        key = tuple(min(((h ^ salt) * 0x9E3779B1 & 0xFFFFFFFF for h in hashes), default=-1) for salt in (0x1B56C4E9, 0x5A7F3D21, 0x6C8E9CF5))
+        if key not in seen:
+            seen.add(key)
+            yield own
+
+
+def frequent(sets: list[set[str]], least: int) -> dict[str, int]:
+    """The features that at least ``least`` sets have, and how many do. Level by level: a beginning, or a word, can
+    only be frequent if the beginning one letter shorter is; so few are counted at all."""
+    out: dict[str, int] = {}
+    known: dict[int, set[str]] = {}
+    for n in _BEGINNINGS:
+        before = known.get(n - 1)
+        once: Counter = Counter()
+        twice: Counter = Counter()
+        for own in sets:
+            count = Counter(w[:n] for w in own if len(w) > n and (before is None or w[: n - 1] in before))
+            once.update(count.keys())
+            twice.update(b for b, times in count.items() if times > 1)
+        known[n] = {b for b, times in once.items() if times >= least}
+        out |= {f"{b}*": once[b] for b in known[n]} | {f"{b}**": t for b, t in twice.items() if t >= least}
+    shortest, longest = _BEGINNINGS[0], _BEGINNINGS[-1]
+    whole: Counter = Counter()
+    for own in sets:
+        whole.update(w for w in own if len(w) <= shortest or w[: (n := min(len(w) - 1, longest))] in known[n])
+    return out | {w: times for w, times in whole.items() if times >= least}
 
 
 @dataclass
@@ -123,16 +147,17 @@ def fit(positives: list[str], unlabelled: list[str], prior: float) -> Classifier
     if not positives:
         return Classifier({}, -1000.0)
     prior = min(0.95, max(0.001, prior))
-    held = without_copies([words(t) for t in positives])
-    count = Counter(f for own in held for f in named(own))
-    common = {f for f, n in count.items() if n >= min(LEAST, len(held))}
-    count = {f: count[f] for f in common}
-    rest = without_copies([words(t) for t in unlabelled])
-    found = [named(own) & common for own in (*held, *rest)]
+    held = list(without_copies(words(t) for t in positives))
+    count = frequent(held, min(LEAST, len(held)))
+    common = count.keys()
+    # Of the texts only the frequent features are kept.
+    found = [named(own) & common for own in held]
+    found += [named(own) & common for own in without_copies(words(t) for t in unlabelled)]
+    n_rest = len(found) - len(held)
     base = Counter(f for own in found[len(held):] for f in own)
     # A feature of toxic texts alone is 1 / prior times as common among positives as in the mixture, at most.
-    lift = {f: (n / len(held)) / ((base[f] + 0.5) / (len(rest) + 1)) for f, n in count.items()}
-    sure = {f: 2 * n * np.log(n * (len(held) + len(rest)) / ((n + base[f]) * len(held))) for f, n in count.items()}
+    lift = {f: (n / len(held)) / ((base[f] + 0.5) / (n_rest + 1)) for f, n in count.items()}
+    sure = {f: 2 * n * np.log(n * len(found) / ((n + base[f]) * len(held))) for f, n in count.items()}
     chosen = sorted((f for f in common if lift[f] >= min(LIFT, 0.5 / prior) and sure[f] >= SURE), key=lambda f: (-lift[f] * min(count[f], 50), f))[:FEATURES]
     number = {f: k for k, f in enumerate(chosen)}
     pairs = [(d, number[f]) for d, own in enumerate(found) for f in sorted(own) if f in number]
