@@ -35,4 +35,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     for up in reversed(maps[:-1]):
         above = label.select(F.col("node").alias("up"), "label")
         label = up.join(above, "up", "left").select("node", F.coalesce("label", "up").alias("label"))
-    return scratch.write(label, "labels")
+    labels = scratch.write(label, "labels")
+    scratch.drop(edges, *maps)
+    return labels

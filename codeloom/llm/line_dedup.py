@@ -87,10 +87,12 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     scratch = Scratch(spark, "line_dedup")
     lines = scratch.write(_signatures(docs.filter("text is not null")), "lines")
     windows = scratch.write(_windows(lines, min_words), "windows")
+    scratch.drop(lines)
     spot = F.xxhash64("doc_id", "hash", "place")
     shared = windows.groupBy("fingerprint").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("fingerprint")
     shared = scratch.write(shared, "fingerprints")
     matched = scratch.write(windows.join(shared.hint("merge"), "fingerprint").select("doc_id", "hash", "first", "last", "content"), "matched")
+    scratch.drop(windows, shared)
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash", "first")
     begins = matched.groupBy("content").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
     begins = scratch.write(begins.filter("earliest < latest").select("content", "earliest"), "earliest")
@@ -101,7 +103,9 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     later = later.withColumn("run", F.sum(F.when(F.col("first") <= F.col("open") + 1, 0).otherwise(1)).over(own))
     runs = later.groupBy("doc_id", "hash", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     runs = runs.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    return scratch.write(runs, "runs")
+    runs = scratch.write(runs, "runs")
+    scratch.drop(matched, begins)
+    return runs
 
 
 def _cut(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFrame:

@@ -39,10 +39,10 @@ from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, split
 from .components import components
 
 #: Elements that one block of a tile holds about.
-BLOCK_WEIGHT = 500_000
+BLOCK_WEIGHT = 150_000
 
 #: Elements beyond which a cluster is counted once more: dealing it out in blocks would move more than that.
-REFINE_WEIGHT = 16 * BLOCK_WEIGHT
+REFINE_WEIGHT = 8_000_000
 #: The range of hashes that is written out, beyond the share of a set that a partner can lack.
 RANGE_MARGIN = 0.1
 
@@ -236,8 +236,9 @@ def _deal(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
 
 # --- candidates ---------------------------------------------------------------------------------
 
-def _star(wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
-    """(a, b): nodes that share a shingle of their prefixes, each with the smallest that has it."""
+def _clusters(wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+    """(node, cluster): the components of nodes that share a shingle of their prefixes, each joined with the smallest
+    that has it."""
     written = wide.select("node", "n", "n_range", F.posexplode("some").alias("at", "shingle"))
     shared = written.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("times"))
     shared = scratch.write(shared.filter("low < high").select("shingle", "times"), "shared")
@@ -252,7 +253,9 @@ def _star(wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     least = prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("shingle", "low")
     least = scratch.write(least, "least")
     star = prefix.join(least.hint("merge"), "shingle").filter("node <> low")
-    return star.select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = components(wide.sparkSession, star.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    scratch.drop(shared, prefix, least)
+    return found.select("node", F.col("label").alias("cluster"))
 
 
 def _refined(spark: SparkSession, members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
@@ -264,8 +267,8 @@ def _refined(spark: SparkSession, members: DataFrame, rule: Similarity, scratch:
     small = members.join(large.hint("merge"), "cluster", "left_anti")
     whole = scratch.write(members.join(large.hint("merge"), "cluster", "left_semi").select("node", "elements"), "whole")
     n = F.size("elements").cast("long")
-    star = _star(whole.select("node", n.alias("n"), n.alias("n_range"), F.col("elements").alias("some")), rule, scratch)
-    again = whole.join(components(spark, star).select("node", F.col("label").alias("cluster")), "node")
+    again = _clusters(whole.select("node", n.alias("n"), n.alias("n_range"), F.col("elements").alias("some")), rule, scratch)
+    again = whole.join(again, "node")
     # A label is a node of its cluster: clusters that were split don't meet one that wasn't.
     return small.select("node", "cluster", "elements").unionByName(again.select("node", "cluster", "elements"))
 
@@ -287,16 +290,16 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     scratch.drop(sets)
     nodes = scratch.write(every.filter("n > 0").groupBy("node", "check").agg(
         F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")), "nodes")
-    clusters = components(spark, _star(wide, rule, scratch)).select("node", F.col("label").alias("cluster"))
+    clusters = _clusters(wide, rule, scratch)
     scratch.drop(wide)
     # The sets of the candidates alone, anew from their texts.
     wanted = scratch.write(nodes.select("node", "text_key").join(clusters, "node"), "wanted")
     found, _ = split_by_key(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
     found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("text", "node", "cluster")
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
-    members = _refined(spark, members, rule, scratch)
-    dealt = _deal(members, rule, scratch).repartition("tile").sortWithinPartitions("tile")
+    dealt = _deal(_refined(spark, members, rule, scratch), rule, scratch).repartition("tile").sortWithinPartitions("tile")
     links = scratch.write(dealt.mapInArrow(_tiles(rule), "a long, b long"), "links")
+    scratch.drop(wanted, members)
     joined = components(spark, links)
     led = nodes.select("node", "doc_id").join(joined, "node")
     least = scratch.write(led.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
