@@ -149,20 +149,30 @@ def fit(positives: list[str], unlabelled: list[str], prior: float) -> Classifier
     prior = min(0.95, max(0.001, prior))
     held = list(without_copies(words(t) for t in positives))
     count = frequent(held, min(LEAST, len(held)))
-    common = count.keys()
-    # Of the texts only the frequent features are kept.
-    found = [named(own) & common for own in held]
-    found += [named(own) & common for own in without_copies(words(t) for t in unlabelled)]
-    n_rest = len(found) - len(held)
-    base = Counter(f for own in found[len(held):] for f in own)
+    names = sorted(count)
+    index = {f: k for k, f in enumerate(names)}
+    # Of a text only the numbers of its frequent features are kept.
+    numbered = lambda own: np.array(sorted(index[f] for f in named(own) if f in index), dtype=np.int32)
+    found = [numbered(own) for own in held]
+    n_held = len(held)
+    del held
+    found += [numbered(own) for own in without_copies(words(t) for t in unlabelled)]
+    n_rest = len(found) - n_held
+    doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    feature = np.concatenate([np.empty(0, dtype=np.int32), *found]).astype(np.int64)
+    n = np.bincount(feature[doc < n_held], minlength=len(names))
+    base = np.bincount(feature[doc >= n_held], minlength=len(names))
     # A feature of toxic texts alone is 1 / prior times as common among positives as in the mixture, at most.
-    lift = {f: (n / len(held)) / ((base[f] + 0.5) / (n_rest + 1)) for f, n in count.items()}
-    sure = {f: 2 * n * np.log(n * len(found) / ((n + base[f]) * len(held))) for f, n in count.items()}
-    chosen = sorted((f for f in common if lift[f] >= min(LIFT, 0.5 / prior) and sure[f] >= SURE), key=lambda f: (-lift[f] * min(count[f], 50), f))[:FEATURES]
+    lift = (n / n_held) / ((base + 0.5) / (n_rest + 1))
+    sure = 2 * n * np.log(n * len(found) / ((n + base) * n_held))
+    ranked = sorted(np.flatnonzero((lift >= min(LIFT, 0.5 / prior)) & (sure >= SURE)).tolist(), key=lambda k: (-lift[k] * min(n[k], 50), k))
+    chosen = [names[k] for k in ranked[:FEATURES]]
     number = {f: k for k, f in enumerate(chosen)}
-    pairs = [(d, number[f]) for d, own in enumerate(found) for f in sorted(own) if f in number]
-    doc, feature = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
-    positive = np.arange(len(found)) < len(held)
+    place = np.full(len(names), -1, dtype=np.int64)
+    place[ranked[:FEATURES]] = np.arange(len(chosen))
+    kept = place[feature] >= 0
+    doc, feature = doc[kept], place[feature[kept]]
+    positive = np.arange(len(found)) < n_held
     w, b = nn_pu(doc, feature, positive, len(chosen), prior)
     return Classifier({f: float(w[k]) for f, k in number.items() if w[k]}, b)
 
