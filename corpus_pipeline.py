@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from codeloom.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, passages
 from codeloom.llm.common import Scratch
 
 #: A document whose most frequent language has less than this share of its words is rejected, as is one of no
@@ -34,8 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    return decontaminate.uncontaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents that hold a window of a benchmark item; of passages that are still repeated, wherever lines
+    end, the first stays. These are cut only here: a cut would hide near copies and benchmark items from the stages
+    that drop the whole document."""
+    clean = decontaminate.uncontaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return passages.without_repeated_passages(spark, Scratch(spark, "clean").write(clean, "clean"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

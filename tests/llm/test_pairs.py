@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import components, decontaminate, line_dedup, ngram_join
+from codeloom.llm import components, decontaminate, line_dedup, ngram_join, passages
 from codeloom.llm.common import BLANKS, words_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,3 +235,49 @@ def test_line_dedup_cases(spark):
     assert slim.columns == docs_of(spark, texts, extra=True).columns
     assert sorted((r.doc_id for r in slim.collect()), key=str) == [1, 2, 3, 3, 6]
     assert line_dedup.drop_repeated_lines(spark, docs_of(spark, [])).isEmpty()
+
+
+# --- passages -----------------------------------------------------------------------------------
+
+def brute_passages(texts, least):
+    """The words left of each text: one goes if it lies in a run of `least` words that occurs earlier."""
+    first, out = {}, []
+    for d, t in texts:
+        w = (t or "").split()
+        low, gone = [x.lower() for x in w], set()
+        for a in range(len(w) - least + 1):
+            if first.setdefault(tuple(low[a:a + least]), (d, a)) != (d, a):
+                gone |= set(range(a, a + least))
+        out.append((d, [x for i, x in enumerate(w) if i not in gone]))
+    return [(d, w) for (d, w), (_, t) in zip(out, texts) if w or not (t or "").split()]
+
+
+@pytest.mark.parametrize("least", [7, 50])
+def test_passages(spark, least):
+    rng = random.Random(least)
+    vocab = [f"w{i}" for i in range(2000)]
+    pool = [[rng.choice(vocab) for _ in range(least + n)] for n in (-1, 0, 1, 5, 2 * least)]
+    texts = []
+    for d in range(60):
+        own = [rng.choice(vocab) for _ in range(rng.choice([0, 3, 40, 300]))]
+        for p in rng.sample(pool, rng.randrange(3)):  # glued into longer lines
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = [x.upper() if d % 2 else x for x in p]
+        texts.append((d, "".join(x + rng.choice([" ", " ", "\n", "\t "]) for x in own)))
+    texts += [(100, None), (101, ""), (102, "é " * 3 * least), (103, " ".join(pool[1]))]
+    rows = docs_of(spark, texts, extra=True)
+    got = passages.without_repeated_passages(spark, rows, least)
+    assert got.columns == rows.columns
+    got = got.collect()
+    assert sorted((r.doc_id, (r.text or "").split()) for r in got) == brute_passages(texts, least)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    assert passages.without_repeated_passages(spark, docs_of(spark, [])).isEmpty()
+
+
+def test_glued_passages_are_cut_where_line_dedup_leaves_them(spark):
+    p = " ".join(f"p{i}" for i in range(27)) + "\n" + " ".join(f"q{i}" for i in range(27))
+    texts = [(1, f"one {p} two"), (2, f"three\nfour {p} five\nsix")]
+    left = line_dedup.without_repeated_lines(spark, docs_of(spark, texts))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == texts
+    got = passages.without_repeated_passages(spark, left)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [texts[0], (2, "three\nfour  five\nsix")]
