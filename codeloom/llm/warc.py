@@ -9,7 +9,8 @@ handled one by one, in the partitions in which they are read: no shuffle.
 
 Defined cases: a null html is an empty payload, a null url gives records without WARC-Target-URI, a null page_id
 counts as the empty string in the record id; bytes that aren't a WARC record give one row of kind ``error`` with the
-reason; equal rows give equal records; an empty table gives an empty table; other columns are ignored.
+reason, and so does a compressed payload that unfolds to more than ``MOST_BYTES`` or has a damaged later member; one
+that ends early gives records of what there is, with WARC-Truncated; equal rows give equal records; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import text_batches
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:codeloom:warc")
-#: What one compressed payload may unfold to.
+#: What one compressed payload may unfold to; one of more is an error, not a prefix.
 MOST_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 
@@ -94,8 +95,29 @@ def response(page_id: str, url: str | None, html: str | None) -> bytes:
     return write_record(headers, block)
 
 
-def _body(headers: Headers, body: bytes) -> bytes:
-    """The payload without transfer and content encodings."""
+def _unfold(body: bytes, bits: int) -> tuple[bytes, bool]:
+    """All members of a compressed payload, and whether its last one is complete."""
+    out, size, rest, whole = [], 0, body, True
+    while rest and whole:
+        member = zlib.decompressobj(bits)
+        try:
+            part = member.decompress(rest, MOST_BYTES - size + 1)
+        except zlib.error:
+            if not out:
+                raise
+            raise ValueError(f"member {len(out) + 1} of the compressed payload is damaged") from None
+        size += len(part)
+        if size > MOST_BYTES:
+            raise ValueError(f"the compressed payload unfolds to more than {MOST_BYTES} bytes")
+        out.append(part)
+        whole, rest = member.eof, member.unused_data
+        if rest[:2] != b"\x1f\x8b":  # padding, or foreign bytes
+            break
+    return b"".join(out), whole
+
+
+def _body(headers: Headers, body: bytes) -> tuple[bytes, bool]:
+    """The payload without transfer and content encodings, and whether it is whole."""
     if "chunked" in (get(headers, "Transfer-Encoding") or "").lower():
         out, at = [], 0
         while m := re.compile(rb"([0-9A-Fa-f]+)[^\n]*\n").match(body, at):
@@ -110,10 +132,10 @@ def _body(headers: Headers, body: bytes) -> bytes:
     if kind in ("gzip", "x-gzip", "deflate"):
         for bits in (47, -15):
             try:
-                return zlib.decompressobj(bits).decompress(body, MOST_BYTES)
+                return _unfold(body, bits)
             except zlib.error:
                 continue
-    return body
+    return body, True
 
 
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!doctype[^>]*>|<title\b.*?</title\s*>")
@@ -142,7 +164,7 @@ def derive_record(data: bytes) -> list[bytes]:
         raise ValueError(f"a {get(source, 'WARC-Type')} record")
     head, body = _split(block)
     status, http = _fields(head)
-    payload = _body(http, body)
+    payload, whole = _body(http, body)
     m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", get(http, "Content-Type") or "", re.I)
     charset = m[1] if m else "utf-8"
     try:
@@ -158,6 +180,8 @@ def derive_record(data: bytes) -> list[bytes]:
         links.append(("WARC-Refers-To-Target-URI", kept[0][1]))
     if kept[1][1] is not None:
         links.append(("WARC-Refers-To-Date", kept[1][1]))
+    if not whole:
+        links.append(("WARC-Truncated", get(source, "WARC-Truncated") or "unspecified"))
     fields: Headers = [("title", re.sub(r"\s+", " ", htmllib.unescape(title[1])).strip() if title else ""), ("charset", charset), ("http-status", status)]
     fields += [("http-header", f"{k}: {v}") for k, v in http]
     for name, content in (("Block", block), ("Payload", body)):

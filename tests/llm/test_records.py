@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,20 @@ def test_warc_encodings(http, body):
     assert warc.read_record(warc.derive_record(made(http, body))[1])[1] == b"hi"
 
 
+def test_compressed_payloads_are_read_whole_or_told(monkeypatch):
+    http, page = "HTTP/1.1 200 OK\r\nContent-Encoding: gzip", b"<p>hi</p>" * 20
+    two = [warc.read_record(r) for r in warc.derive_record(made(http, gzip.compress(page) + gzip.compress(b"<p>you</p><a href=z>") + b"\0" * 8))]
+    assert two[1][1] == b"hi\n" * 20 + b"you" and b"outlink: z" in two[0][1] and warc.get(two[0][0], "WARC-Truncated") is None
+    for headers, _ in map(warc.read_record, warc.derive_record(made(http, gzip.compress(page)[:-12]))):
+        assert warc.get(headers, "WARC-Truncated") == "unspecified"
+    rows = lambda body: next(warc._derive(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([made(http, body)])], ["page_id", "record"])]))).to_pylist()
+    monkeypatch.setattr(warc, "MOST_BYTES", len(page))
+    assert [r["kind"] for r in rows(gzip.compress(page))] == ["metadata", "conversion"]
+    for body in (gzip.compress(page + b"x"), gzip.compress(page) + gzip.compress(b"x"), gzip.compress(b"x") + b"\x1f\x8bjunk" * 9):
+        assert [(r["kind"], "compressed payload" in r["block"]) for r in rows(body)] == [("error", True)]
+    assert warc.read_record(warc.derive_record(made(http, b""))[1])[1] == b""
+
+
 def test_a_wrong_digest_is_told():
     record = made("HTTP/1.1 200 OK", b"x", **{"WARC-Payload-Digest": "sha1:AAAA"})
     assert b"source-payload-digest-holds: false" in warc.derive_record(record)[0]
