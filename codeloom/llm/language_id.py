@@ -228,7 +228,7 @@ class Tagger:
         sums = np.stack([np.bincount(doc, marginal[:, k], len(texts)) for k in range(len(self.field.labels))], axis=1)
         best, total = sums.argmax(axis=1), sums.sum(axis=1)
         # \w without digits holds a few signs that aren't letters.
-        found = [n > 0 and (len(s) > 8 or any(c.isalpha() for w in s for c in w)) for n, s in zip(total.tolist(), split)]
+        found = [n > 0 and any(c.isalpha() for w in s for c in w) for n, s in zip(total.tolist(), split)]
         score = sums[np.arange(len(texts)), best] / np.maximum(total, 1e-9)
         return (
             [self.field.labels[b] if f else "und" for b, f in zip(best.tolist(), found)],

@@ -69,6 +69,13 @@ def test_language_id(spark):
     assert kept.columns == d.columns and kept.count() == 3
 
 
+def test_signs_of_any_number_have_no_language():
+    tagger = language_id.Tagger(language_id.fit([("the thing", "aa"), ("que eau", "bb")]))
+    signs = ["²" + "\n" * 8, "½ " * 9, "½ " * 5000]
+    assert tagger.documents(signs) == (["und"] * 3, [0.0] * 3)
+    assert tagger.documents(["½ " * 9 + "the"])[0] != ["und"]
+
+
 def test_language_id_without_labels(spark):
     d = docs(spark, 5).withColumn("lang", F.lit(None).cast("string"))
     field = language_id.train(d, F.lit(True))
