@@ -371,7 +371,7 @@ def community_pages(g: Graph) -> DataFrame:
 
 @_query(None)
 def detect_communities(g: Graph) -> DataFrame:
-    return community.detect(g, 4)
+    return community.detect(g)
 
 
 @_query(f"""SELECT qualified_name, round(least(coalesce(c.n, 0) / 20.0::DOUBLE, 1.0) * 0.4::DOUBLE + CASE WHEN t.q IS NULL THEN 0.35 ELSE 0.0 END::DOUBLE

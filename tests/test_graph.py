@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import Graph
 from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, traverse
+from codeloom.plans import catalog
 
 NODE = ("id long, kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, "
         "params string, return_type string, signature string, is_test boolean, file_hash string, community_id long, extra map<string,string>")
@@ -260,6 +261,26 @@ def test_label_propagation(spark):
     assert got["a"] == got["b"] == got["c"] != got["d"] == got["e"] == got["f"]
 
 
+def test_communities_are_settled(spark):
+    """A long chain beside a pair that swings: labels by brute force until they are those of two rounds before."""
+    names = [f"n{i}" for i in range(30)]
+    pairs = [(i, i + 1) for i in range(23)] + [(24, 25), (0, 2), (21, 23)]
+    g = graph(spark, [dict(name=x) for x in names], [("CALLS", f"a.py::{names[a]}", f"a.py::{names[b]}") for a, b in pairs])
+    rows = g.nodes.select("qualified_name", F.xxhash64("qualified_name").alias("x")).collect()
+    label = {r.qualified_name.split("::")[-1]: r.x for r in rows}
+    near = {x: [names[b] if a == i else names[a] for a, b in pairs if i in (a, b)] for i, x in enumerate(names)}
+    before, rounds = {}, 0
+    while True:
+        votes = {x: [label[y] for y in near[x]] for x in names}
+        new = {x: min(v, key=lambda k: (-v.count(k), k)) if v else label[x] for x, v in votes.items()}
+        if new == label or new == before:
+            break
+        before, label, rounds = label, new, rounds + 1
+    want = {x: min(label[x], new[x]) for x in names}
+    got = {r.qualified_name.split("::")[-1]: r.community_id for r in catalog.detect_communities(g).collect()}
+    assert got == want and got["n24"] == got["n25"] and rounds > 4
+
+
 def test_stats(spark):
     g = graph(spark, [dict(name="app.py", kind="File", file="app.py"), dict(name="run", file="app.py"), dict(name="App", kind="Class", file="app.py")],
               [("CONTAINS", "app.py", "app.py::run"), ("CALLS", "app.py::run", "x")])
