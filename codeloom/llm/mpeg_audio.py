@@ -2,14 +2,16 @@
 
 ``encode`` stores bytes in an MPEG-1 Layer III stream, mono at 48 kHz: an ID3v2 tag, a frame with a table of
 variable bit rate (frames, bytes, 100 seek points), and audio frames of 160 and 80 kbit/s whose main data carry 384
-and 192 payload bytes; each frame has its checksum. ``read`` parses any such stream: it skips ID3v2 and ID3v1 tags,
-finds the next frame where bytes are missing or foreign (a header counts if another header, or the end, follows its
-frame), verifies the checksums, and gives exact durations (samples over rate), the offset of each frame, and seek
-points. Streams are made and read in the partitions of their rows: no shuffle.
+and 192 payload bytes; each frame has its checksum. ``read`` parses any such stream: it takes ID3v2 tags at the
+front, and an ID3v1 tag at the end where no frame covers it; it finds the next frame where bytes are missing or
+foreign (a header counts if another header, the last tag or the end follows its frame), reads a table of variable
+bit rate (Xing, Info or VBRI), verifies the checksums of Layer III (the other layers are told as unverified), and
+gives exact durations (samples over rate) and the offset of each frame. Streams are made and read in the partitions
+of their rows: no shuffle.
 
 Defined cases: null texts count as empty; an empty payload is padded to one unit; bytes without a frame are read as
-a stream of no frames; equal texts have equal streams; an empty table gives an empty table; other columns are
-ignored.
+a stream of no frames; payloads may hold tags, headers and tables of their own; equal texts have equal streams; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,6 +158,12 @@ class Stream:
     skipped: int = 0  # bytes that belong to no frame or tag
     checked: int = 0
     broken: int = 0  # frames whose checksum doesn't hold
+    unverified: int = 0  # frames of other layers that carry a checksum
+
+    @property
+    def checksums_hold(self) -> bool | None:
+        """None where checksums weren't verified, and none of the others is wrong."""
+        return False if self.broken else None if self.unverified else True
 
     @property
     def samples(self) -> int:
@@ -175,15 +183,21 @@ class Stream:
         return self.offsets[-1] if self.offsets else 0
 
 
+def _syncsafe_at(raw: bytes) -> int:
+    return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
+
+
 def _read_tag(data: bytes) -> tuple[int, dict[str, str]]:
     """Length of an ID3v2 tag at the front, and its texts."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0, {}
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
+    version, flags, size = data[3], data[5], _syncsafe_at(data[6:10])
     end, at, out = min(len(data), 10 + size), 10, {}
-    while at + 10 <= end and data[at] != 0:
+    if flags & 0x40 and version >= 3 and end >= 14:  # an extended header; from version 4 on its length includes itself
+        at += _syncsafe_at(data[10:14]) if version >= 4 else 4 + int.from_bytes(data[10:14], "big")
+    while version >= 3 and at + 10 <= end and data[at] != 0:
         raw = data[at + 4:at + 8]
-        n = raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3] if data[3] >= 4 else int.from_bytes(raw, "big")
+        n = _syncsafe_at(raw) if version >= 4 else int.from_bytes(raw, "big")
         name, own = data[at:at + 4].decode("latin-1"), data[at + 10:min(end, at + 10 + n)]
         if name[0] == "T" and own:
             code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(own[0], "latin-1")
@@ -191,13 +205,19 @@ def _read_tag(data: bytes) -> tuple[int, dict[str, str]]:
             key, _, text = text.partition("\0") if name == "TXXX" else (name, "", text)
             out[key] = text
         at += 10 + n
-    return end, out
+    return min(len(data), end + 10 * (version >= 4 and flags & 0x10 != 0)), out  # a footer repeats the header
 
 
 def _read_table(frame: bytes, h: Header) -> dict | None:
-    """The Xing or Info table of a first frame."""
+    """The Xing, Info or VBRI table of a first frame."""
+    if h.layer != 3:
+        return None
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, n, scale, width = struct.unpack(">IIHHH", frame[46:60])
+        points = [int.from_bytes(frame[62 + i * width:62 + (i + 1) * width], "big") * scale for i in range(n) if 62 + (i + 1) * width <= len(frame)]
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "lengths": points}
     at = 4 + 2 * h.checked + h.side
-    if h.layer != 3 or frame[at:at + 4] not in (b"Xing", b"Info"):
+    if frame[at:at + 4] not in (b"Xing", b"Info"):
         return None
     flags, at2, out = int.from_bytes(frame[at + 4:at + 8], "big"), at + 8, {"kind": frame[at:at + 4].decode()}
     for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "points", 100), (8, "quality", 4)):
@@ -209,29 +229,34 @@ def _read_table(frame: bytes, h: Header) -> dict | None:
 
 
 def read(data: bytes) -> Stream:
+    """Frames from the front on. What stands within a frame is its payload, whatever it looks like."""
     out = Stream()
     at, out.tags = _read_tag(data)
     end = len(data)
-    if end - at >= 128 and data[end - 128:end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("title", data[end + 3:end + 33].rstrip(b"\0 ").decode("latin-1"))
+    last = end - 128 if data[end - 128:end - 125] == b"TAG" and end >= 128 else end  # an ID3v1 tag, if no frame covers it
     first = True
     while at < end:
+        if at == last:
+            out.tags.setdefault("title", data[at + 3:at + 33].rstrip(b"\0 ").decode("latin-1"))
+            break
         h = header(data[at:at + 4])
-        if h is None or at + h.size > end or not (at + h.size == end or header(data[at + h.size:at + h.size + 4]) or (out.headers and _alike(h, out.headers[-1]))):
+        after = at + h.size if h else 0
+        if h is None or after > end or not (after == end or after == last or header(data[after:after + 4]) or (out.headers and _alike(h, out.headers[-1]))):
             following = data.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
+            if at < last < following:
+                following = last
             out.skipped += following - at
             at = following
             continue
-        table = _read_table(data[at:at + h.size], h) if first else None
+        table = _read_table(data[at:after], h) if first else None
         if table:
             out.table = table
         else:
             out.offsets.append(at)
             out.headers.append(h)
         first = False
-        at += h.size
+        at = after
     _verify(data, out)
     return out
 
@@ -247,6 +272,8 @@ def _verify(data: bytes, out: Stream) -> None:
     for at, h in zip(out.offsets, out.headers):
         if h.checked and h.layer == 3:
             groups.setdefault(h.side, []).append(at)
+        elif h.checked:
+            out.unverified += 1
     for side, offsets in groups.items():
         at = np.array(offsets)[:, None]
         rows = np.concatenate([raw[at + np.arange(2, 4)], raw[at + np.arange(6, 6 + side)]], axis=1)
@@ -263,12 +290,11 @@ def payload(data: bytes, stream: Stream) -> bytes:
 
 def feature(stream: Stream, size: int) -> str:
     rates = sorted({h.kbits for h in stream.headers})
-    points = [stream.offsets[len(stream.offsets) * i // 4] if stream.offsets else 0 for i in range(4)]
     told = stream.table is not None and stream.table.get("frames") == len(stream.headers)
     hz = stream.headers[0].rate if stream.headers else 0
     return (f"frames={len(stream.headers)};samples={stream.samples};hz={hz};kbits={'/'.join(map(str, rates))};"
-            f"checked={stream.checked};broken={stream.broken};skipped={stream.skipped};table={str(told).lower()};"
-            f"seek={','.join(map(str, points))};bytes={size}")
+            f"checked={stream.checked};broken={stream.broken};unverified={stream.unverified};skipped={stream.skipped};table={str(told).lower()};"
+            f"bytes={size}")
 
 
 # --- Spark --------------------------------------------------------------------------------------
@@ -286,11 +312,12 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 _FEATURES = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-             "feature string, n_frames long, duration double, checksums_hold boolean")
+             "feature string, n_frames long, n_samples long, duration double, checksums_hold boolean, seek_offsets array<long>")
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches, "media"):
         rows = []
         for media in batch.column(1):
             data = media.as_buffer().to_pybytes() if media.is_valid else b""
@@ -298,14 +325,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = payload(data, s)
             n = s.tags.get("bytes", "")
             rows.append((int(n) if n.isdigit() else len(own), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(data),
-                         hashlib.sha256(data).hexdigest(), feature(s, len(data)), len(s.headers), s.seconds, s.broken == 0))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
-        columns = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
+                         hashlib.sha256(data).hexdigest(), feature(s, len(data)), len(s.headers), s.samples, s.seconds, s.checksums_hold, np.array(s.offsets, dtype=np.int64)))
+        columns = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(_KINDS)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [x.split()[0] for x in _FEATURES.split(", ")])
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(doc_id, media) -> what the stored bytes hold, one row per stream."""
+    """(doc_id, media) -> what the stored bytes hold, one row per stream: digests of its payload, the exact duration
+    (n_samples over the rate) and where each frame begins (seek_offsets: frame i starts at i times a frame's samples)."""
     return media.select("doc_id", "media").mapInArrow(_features, _FEATURES)
 
 
@@ -313,7 +340,7 @@ def seek_table(media: DataFrame) -> DataFrame:
     """(doc_id, media) -> (doc_id, frame, sample, offset): where each frame begins."""
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "media"):
             for doc, one in zip(batch.column(0), batch.column(1).to_pylist()):
                 s = read(one or b"")
                 n = len(s.offsets)

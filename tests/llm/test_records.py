@@ -122,6 +122,34 @@ def test_mpeg_resynchronises_and_checks():
         assert mpeg_audio.read(junk).headers == []
 
 
+@pytest.mark.parametrize("sign", [b"TAG", b"ID3\x04\0\0\0\0\0\x7f", b"Xing\0\0\0\x0f", b"VBRI", b"\xff\xfa\xa4\xc4", b"\xff\xfb\x90\x00"])
+def test_mpeg_keeps_payloads_that_look_like_tags_or_frames(sign):
+    for units in (1, 2, 3):
+        for at in range(units * 192 - 192, units * 192 - len(sign) + 1):
+            for fill in (b"x", b"\0"):
+                data = fill * at + sign + b"y" * min(10, units * 192 - at - len(sign))
+                media = mpeg_audio.encode(data)
+                s = mpeg_audio.read(media)
+                assert mpeg_audio.payload(media, s) == padded(data) and s.skipped == s.broken == 0 and "title" not in s.tags
+    tagged = mpeg_audio.encode(sign * 40) + b"TAG" + b"T".ljust(125, b"\0")
+    assert mpeg_audio.payload(tagged, mpeg_audio.read(tagged)) == padded(sign * 40) and mpeg_audio.read(tagged).tags["title"] == "T"
+
+
+def test_mpeg_of_other_writers():
+    first = bytearray(417)
+    first[:4] = b"\xff\xfb\x90\x00"
+    first[36:62] = b"VBRI" + bytes(6) + (1251).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 2, 0, 1])
+    first[62:66] = bytes([1, 161, 1, 161])
+    plain = b"\xff\xfb\x90\x00" + bytes(413)
+    s = mpeg_audio.read(bytes(first) + plain * 2)
+    assert s.table == {"kind": "VBRI", "frames": 2, "bytes": 1251, "lengths": [417, 417]} and s.offsets == [417, 834]
+    assert s.seconds == 2 * 1152 / 44100 and s.checksums_hold is True  # frames without a checksum
+    second = mpeg_audio.read((b"\xff\xfc\x80\x00" + bytes(413)) * 3)  # Layer II with checksums
+    assert len(second.headers) == 3 and second.unverified == 3 and second.checksums_hold is None
+    footed = b"ID3\x04\0\x10" + bytes(4) + b"3DI\x04\0\x10" + bytes(4)
+    assert mpeg_audio.read(footed + plain * 2).offsets == [20, 437]
+
+
 def test_mpeg_headers():
     h = mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x00]))  # the common 128 kbit/s at 44.1 kHz
     assert (h.kbits, h.rate, h.size, h.samples, h.checked, h.side) == (128, 44100, 417, 1152, False, 32)
@@ -139,6 +167,9 @@ def test_mpeg_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((t or "").encode()), len(own), hashlib.sha256(own).hexdigest())
         assert r.tail_crc32 == zlib.crc32(own[-16:]) and r.checksums_hold
     assert rows[0].media_sha256 == rows[3].media_sha256 and rows[0].feature == rows[3].feature
+    for r in rows:
+        assert r.duration == r.n_samples / 48000 == 1152 * r.n_frames / 48000 and len(r.seek_offsets) == r.n_frames
+        assert all(b - a == 480 for a, b in zip(r.seek_offsets, r.seek_offsets[1:]))
     seek = mpeg_audio.seek_table(mpeg_audio.encoded(spark.createDataFrame(texts[:1], "doc_id long, text string"))).collect()
     assert [(r.frame, r["sample"]) for r in seek] == [(0, 0)]
 
