@@ -7,16 +7,21 @@ the response by WARC-Refers-To and keep its target URI and date; the metadata re
 WARC-Concurrent-To. Record ids are name-based, so a task that runs again writes the same records. Records are
 handled one by one, in the partitions in which they are read: no shuffle.
 
+A page is read by one scanner that never goes back, so its time is in proportion to the page's length, whatever
+is left open in it.
+
 Defined cases: a null html is an empty payload, a null url gives records without WARC-Target-URI, a null page_id
 counts as the empty string in the record id; bytes that aren't a WARC record give one row of kind ``error`` with the
-reason, and so does a compressed payload that unfolds to more than ``MOST_BYTES`` or has a damaged later member; one
-that ends early gives records of what there is, with WARC-Truncated; equal rows give equal records; an empty table gives an empty table; other columns are ignored.
+reason, and so do a damaged or torn compressed record, and a compressed payload that unfolds to more than
+``MOST_BYTES`` (a guard of the worker's memory) or has a damaged later member; a payload that ends early gives
+records of what there is, with WARC-Truncated; equal rows give equal records; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
+import codecs
 import hashlib
 import html as htmllib
 import re
@@ -27,12 +32,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import text_batches
+from .common import chunks, text_batches
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:codeloom:warc")
 #: What one compressed payload may unfold to; one of more is an error, not a prefix.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 512 << 20
 BATCH_BYTES = 8 << 20
 
 Headers = list[tuple[str, str]]
@@ -54,14 +59,14 @@ def write_record(headers: Headers, block: bytes) -> bytes:
 def _fields(head: bytes) -> tuple[str, Headers]:
     """First line and fields; a line that begins with a blank goes on with the field before."""
     lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
-    out: Headers = []
+    out: list[tuple[str, list[str]]] = []
     for line in lines[1:]:
         if line[:1] in (" ", "\t") and out:
-            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+            out[-1][1].append(line.strip())
         elif ":" in line:
             k, _, v = line.partition(":")
-            out.append((k.strip(), v.strip()))
-    return lines[0], out
+            out.append((k.strip(), [v.strip()]))
+    return lines[0], [(k, " ".join(v)) for k, v in out]
 
 
 def get(headers: Headers, name: str, default: str | None = None) -> str | None:
@@ -138,23 +143,122 @@ def _body(headers: Headers, body: bytes) -> tuple[bytes, bool]:
     return body, True
 
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!doctype[^>]*>|<title\b.*?</title\s*>")
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|hr|body|main|aside|form|dd|dt|dl)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_HREF = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+#: Codecs of Python that no page is written in, or that don't decode in linear time.
+_NO_CHARSETS = {"idna", "punycode", "raw-unicode-escape", "undefined", "unicode-escape"}
+_HIDDEN = {"noscript", "script", "style", "template", "title"}
+_BREAKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "header", "footer",
+           "blockquote", "pre", "hr", "body", "main", "aside", "form", "dd", "dt", "dl"}
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/][^\s=>/]*|=)(?:\s*=\s*(["']?))?""")
+_UNQUOTED, _SPACE_RUN = re.compile(r"[^\s>]*"), re.compile(r"[\s/]*")
+
+
+class Page:
+    """What a page shows, its title and its links, by one pass over its characters.
+
+    A comment, and the content of an element that isn't shown, is hidden if it is closed; a tag ends at the first
+    ``>`` outside a quoted value; ``<`` before anything but a tag is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.title = html, None
+        self.links: list[str] = []
+        self._missing: set[str] = set()
+        pieces, at = [], 0
+        while (i := html.find("<", at)) >= 0:
+            pieces.append(html[at:i])
+            at = self._markup(i, pieces)
+        pieces.append(html[at:])
+        text = htmllib.unescape("".join(pieces))
+        lines = (re.sub(r"[^\S\n]+", " ", line).strip() for line in text.split("\n"))
+        self.text = "\n".join(line for line in lines if line)
+
+    def _find(self, sign: str, at: int) -> int:
+        """Like find, but what was not found once is never searched for again."""
+        if sign in self._missing:
+            return -1
+        found = self.html.find(sign, at)
+        if found < 0:
+            self._missing.add(sign)
+        return found
+
+    def _markup(self, i: int, pieces: list[str]) -> int:
+        """What begins with the ``<`` at i goes to ``pieces`` and links; where it ends."""
+        html = self.html
+        if html.startswith("<!--", i) and (end := self._find("-->", i + 4)) >= 0:
+            pieces.append(" ")
+            return end + 3
+        end = self._find(">", i)
+        if end < 0 or not (html[i + 1:i + 2] in ("!", "?", "/") or "a" <= html[i + 1:i + 2].lower() <= "z"):
+            pieces.append("<")
+            return i + 1
+        m = _NAME.match(html, i + 1)
+        name = m[1].lower() if m else ""
+        opens = m is not None and html[i + 1] != "/"
+        if opens and (name == "a" or '"' in (tag := html[i:end]) or "'" in tag):
+            end = self._attributes(m.end(), end, name == "a")
+        if opens and name in _HIDDEN and (close := self._closing(name, end + 1)):
+            if name == "title" and self.title is None:
+                self.title = html[end + 1:close[0]]
+            pieces.append(" ")
+            return close[1]
+        pieces.append("\n" if name in _BREAKS else " " if html.startswith("<!", i) else "")
+        return end + 1
+
+    def _closing(self, name: str, at: int) -> tuple[int, int] | None:
+        """Where the element's closing tag begins and ends."""
+        key = f"</{name}"
+        if key in self._missing:
+            return None
+        m = _CLOSING[name].search(self.html, at)
+        if m is None:
+            self._missing.add(key)
+            return None
+        return m.start(), m.end()
+
+    def _attributes(self, at: int, first: int, link: bool) -> int:
+        """Where the tag ends whose attributes begin at ``at``; the first ``>`` if its quotes never end."""
+        html, target = self.html, None
+        while m := _ATTRIBUTE.match(html, at):
+            at = m.end()
+            if m[2]:
+                end = self._find(m[2], at)
+                if end < 0:
+                    break
+                value, at = html[at:end], end + 1
+            elif m[2] == "":
+                value = _UNQUOTED.match(html, at)[0]
+                at += len(value)
+            else:
+                continue
+            if link and target is None and m[1].lower() == "href":
+                target = value
+        if target is not None:
+            target = re.sub(r"\s+", "%20", htmllib.unescape(target).strip())
+            if target:
+                self.links.append(target)
+        at = _SPACE_RUN.match(html, at).end()
+        return at if html[at:at + 1] == ">" else first
+
+
+_CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in _HIDDEN}
 
 
 def plain_text(html: str) -> str:
     """Visible text: a line per block element, blanks run together, character references resolved."""
-    text = htmllib.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", html))))
-    lines = (re.sub(r"[^\S\n]+", " ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return Page(html).text
 
 
 def outlinks(html: str) -> list[str]:
-    found = (htmllib.unescape(m.strip("\"'")).strip() for m in _HREF.findall(html))
-    return list(dict.fromkeys(re.sub(r"\s+", "%20", x) for x in found if x))
+    return list(dict.fromkeys(Page(html).links))
+
+
+def _decoded(payload: bytes, charset: str) -> str:
+    try:
+        known = codecs.lookup(charset).name not in _NO_CHARSETS
+        return payload.decode(charset if known else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
 
 
 def derive_record(data: bytes) -> list[bytes]:
@@ -167,13 +271,9 @@ def derive_record(data: bytes) -> list[bytes]:
     payload, whole = _body(http, body)
     m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", get(http, "Content-Type") or "", re.I)
     charset = m[1] if m else "utf-8"
-    try:
-        page = payload.decode(charset, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+    page = Page(_decoded(payload, charset))
     origin = get(source, "WARC-Record-ID", "")
     meta_id, conv_id = record_id("metadata", origin), record_id("conversion", origin)
-    title = _TITLE.search(page)
     kept = [(k, get(source, k)) for k in ("WARC-Target-URI", "WARC-Date")]
     links: Headers = [("WARC-Refers-To", origin), *((k, v) for k, v in kept if v is not None)]
     if kept[0][1] is not None:
@@ -182,15 +282,15 @@ def derive_record(data: bytes) -> list[bytes]:
         links.append(("WARC-Refers-To-Date", kept[1][1]))
     if not whole:
         links.append(("WARC-Truncated", get(source, "WARC-Truncated") or "unspecified"))
-    fields: Headers = [("title", re.sub(r"\s+", " ", htmllib.unescape(title[1])).strip() if title else ""), ("charset", charset), ("http-status", status)]
+    fields: Headers = [("title", re.sub(r"\s+", " ", htmllib.unescape(page.title or "")).strip()), ("charset", charset), ("http-status", status)]
     fields += [("http-header", f"{k}: {v}") for k, v in http]
     for name, content in (("Block", block), ("Payload", body)):
         said = get(source, f"WARC-{name}-Digest")
         if said is not None:
             fields += [(f"source-{name.lower()}-digest", said), (f"source-{name.lower()}-digest-holds", str(said == digest(content)).lower())]
-    fields += [("outlink", x) for x in outlinks(page)]
-    about = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    text = plain_text(page).encode("utf-8", "replace")
+    fields += [("outlink", x) for x in dict.fromkeys(page.links)]
+    about = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
+    text = page.text.encode("utf-8", "replace")
     metadata = [("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *links, ("WARC-Concurrent-To", conv_id), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", digest(about))]
     conversion = [("WARC-Type", "conversion"), ("WARC-Record-ID", conv_id), *links, ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Block-Digest", digest(text))]
     return [write_record(metadata, about), write_record(conversion, text)]
@@ -206,28 +306,37 @@ _ARROW = pa.schema([("page_id", pa.int64()), *((k, pa.string()) for k in ("kind"
 
 
 def _respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, urls, pages = batch.columns
-        for i in range(0, batch.num_rows, 256):
-            part = [response("" if p is None else str(p), u, h) for p, u, h in zip(*(c.slice(i, 256).to_pylist() for c in (ids, urls, pages)))]
-            yield pa.RecordBatch.from_arrays([ids.slice(i, 256), pa.array(part, type=pa.binary())], ["page_id", "record"])
+    for batch in chunks(batches, "html", BATCH_BYTES):
+        part = [response("" if p is None else str(p), u, h) for p, u, h in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, type=pa.binary())], ["page_id", "record"])
+
+
+def _inflated(record: bytes) -> bytes:
+    """A record, which may be compressed."""
+    if record[:2] != b"\x1f\x8b":
+        return record
+    try:
+        data, whole = _unfold(record, 31)
+    except zlib.error as e:
+        raise ValueError(f"the compressed record is damaged: {e}") from None
+    if not whole:
+        raise ValueError("the compressed record ends early")
+    return data
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
     rows, held = [], 0
     for batch in batches:
         for page, record in zip(batch.column(0), batch.column(1)):
-            data, page = record.as_py(), page.as_py()
-            if data is not None and data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
+            page = page.as_py()
             try:
-                made = derive_record(data or b"")
+                made = derive_record(_inflated(record.as_py() or b""))
             except ValueError as e:
                 rows.append(dict(page_id=page, kind="error", block=str(e)))
                 continue
             for out in made:
                 headers, block = read_record(out)  # what the row says is read back from the record
-                names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
                 rows.append(dict(zip(_ARROW.names, (page, *(get(headers, k) for k in names), len(block), get(headers, "WARC-Block-Digest"), block.decode(), out))))
                 held += 2 * len(out)
             if held > BATCH_BYTES:

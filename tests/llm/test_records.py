@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +69,51 @@ def test_compressed_payloads_are_read_whole_or_told(monkeypatch):
     assert warc.read_record(warc.derive_record(made(http, b""))[1])[1] == b""
 
 
+def rows_of(record):
+    return [r for b in warc._derive(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([record], type=pa.binary())], ["page_id", "record"])])) for r in b.to_pylist()]
+
+
+def test_torn_and_damaged_compressed_records_are_error_rows():
+    whole = gzip.compress(made("HTTP/1.1 200 OK", b"<p>hi</p>" * 50))
+    assert [r["kind"] for r in rows_of(whole)] == ["metadata", "conversion"]
+    half = made("HTTP/1.1 200 OK", b"<p>hi</p>")
+    assert [r["kind"] for r in rows_of(gzip.compress(half[:60]) + gzip.compress(half[60:]))] == ["metadata", "conversion"]
+    for bad in (whole[:-12], whole[:20], whole[:2], whole[:10] + b"junk" * 20, whole[:-6] + b"\0" * 6, whole[:40] + b"\xff" * 9 + whole[49:]):
+        got = rows_of(bad)
+        assert [r["kind"] for r in got] == ["error"] and "compressed record" in got[0]["block"]
+
+
+def test_a_payload_over_64_mb_is_read_whole():
+    page = b"<p>" + b"word " * (14 << 20) + b"</p><a href=last>end</a>"
+    for http, body in (("HTTP/1.1 200 OK\r\nContent-Encoding: gzip", gzip.compress(page, 1)), ("HTTP/1.1 200 OK", page)):
+        about, text = (warc.read_record(r) for r in warc.derive_record(made(http, body)))
+        assert len(text[1]) == len(b"word ") * (14 << 20) - 1 + len(b"\nend") and b"outlink: last" in about[1]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", "<script>", "<title>", "<a href=", "<a href='", "<a x=\"> <b y='>", "<", "</", "<p", "<a b ", "<a = ", "<!", "&#", "<a     ", "<!-- --", "<style", "</script"])
+def test_pages_that_leave_things_open_take_linear_time(piece):
+    began = time.perf_counter()
+    for end in ("", ">", "'>", "</p>"):
+        warc.Page(piece * (500_000 // len(piece)) + end)
+    assert time.perf_counter() - began < 5
+
+
+def test_page_scanner():
+    page = warc.Page("a<!-- <a href=no> -->b<a title='x>y' HREF = \"q&amp;r s\" >c</a><A\nhref=t/>d</a><a data-href=no>e</a><a href=''>f</a>"
+                     "<p/>1 < 2 <3<style>p</style ><title>One</title><title>Two</title><script>open <i>x</i><a href='z")
+    assert page.links == ["q&r%20s", "t/"] and page.title == "One"
+    assert page.text == "a bcdef\n1 < 2 <3 open x<a href='z"
+    assert warc.Page("<!DOCTYPE html>x<?php y ?>z<!bad").text == "xz<!bad" and warc.Page("").text == "" and warc.Page("<!-- open").text == "<!-- open"
+    assert warc.Page("<a href='x>in</a> <p>out").text == "in\nout"
+
+
+def test_headers_of_many_lines_and_charsets_that_are_none():
+    long = "HTTP/1.1 200 OK\r\nA: 1" + "\r\n b" * 200_000
+    assert warc.read_record(warc.derive_record(made(long, b"<p>hi</p>"))[1])[1] == b"hi"
+    for charset in ("punycode", "idna", "unicode_escape", "hex", "undefined", "utf-7"):
+        assert warc.read_record(warc.derive_record(made(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}", b"<p>hi</p>"))[1])[1] == b"hi"
+
+
 def test_a_wrong_digest_is_told():
     record = made("HTTP/1.1 200 OK", b"x", **{"WARC-Payload-Digest": "sha1:AAAA"})
     assert b"source-payload-digest-holds: false" in warc.derive_record(record)[0]
