@@ -1,15 +1,19 @@
 """The operators on shared content against brute force: near duplicates, decontamination, line dedup."""
 
 import hashlib
+import pickle
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm import components, decontaminate, line_dedup, ngram_join, passages
-from codeloom.llm.common import BLANKS, words_of
+from codeloom.llm.common import BLANKS, Words, words_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -176,10 +180,14 @@ def test_decontamination(spark):
     texts, items = bench_case()
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(texts, items)
+    spans = []
     for block in (decontaminate.BLOCK_BYTES, 150):  # one block, and several
-        got = decontaminate.scan(spark, docs_of(spark, texts), bench, block_bytes=block)
-        rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in got.collect()]
+        got = decontaminate.scan(spark, docs_of(spark, texts), bench, block_bytes=block).collect()
+        rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in got]
         assert sorted(rows, key=str) == want
+        assert all(r.n_hit == sum(s.end - s.start for s in r.spans) for r in got)
+        spans.append(sorted(map(str, got)))
+        assert spans[0] == spans[-1]
         clean = decontaminate.uncontaminated(spark, docs_of(spark, texts, extra=True), bench, block_bytes=block)
         assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((w[0] for w in want if not w[2]), key=str)
     none = spark.createDataFrame([], "item_id long, text string")
@@ -187,6 +195,52 @@ def test_decontamination(spark):
     assert decontaminate.scan(spark, docs_of(spark, []), bench).isEmpty()
 
 
+def index_of(items, seen=None):
+    index = decontaminate.Index(pa.table({"item": pa.array([str(i) for i, t in items if t is not None], type=pa.string()),
+                                          "text": pa.array([t for _, t in items if t is not None], type=pa.string())}))
+    index.order(index.vocabulary(), pa.table({"k": pa.array([], type=pa.int32()), "hash": pa.array([], type=pa.int64()), "n": pa.array([], type=pa.int64())}))
+    return index
+
+
+def local_hits(texts, items):
+    words = words_of([t for _, t in texts], decontaminate.NON_ALNUM)
+    counts, found, spans = decontaminate.found_in(index_of(items), words)
+    rows = zip(texts, np.diff(words.first).tolist(), counts.tolist(), found.to_pylist())
+    return sorted(((i, n, hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest()) for (i, _), n, hit, own in rows), key=str)
+
+
+def test_decontamination_does_not_rest_on_hashes(monkeypatch):
+    """With hashes of three bits, of which most are equal, the words themselves decide."""
+    texts, items = bench_case()
+    plain = Words.shingles
+    monkeypatch.setattr(Words, "shingles", lambda self, k: plain(self, k) & np.uint64(7))
+    assert local_hits(texts, items) == brute_hits(texts, items)
+    monkeypatch.setattr(decontaminate, "COMPARE_BYTES", 7)
+    assert local_hits(texts, items) == brute_hits(texts, items)
+
+
+def test_decontamination_of_long_texts_and_common_words():
+    texts = [(1, "the " * 300_000), (2, "x" * 2_000_000 + " the"), (3, " ".join(f"a{i}" for i in range(100_000)))]
+    items = [(1, "the"), (2, "the the the"), (3, " ".join(f"a{i}" for i in range(50_000, 50_030))), (4, "x" * 2_000_000)]
+    began = time.perf_counter()
+    got = local_hits(texts, items)
+    assert time.perf_counter() - began < 20
+    assert [r[1:4] for r in got] == [(300_000, 300_000, 2), (2, 2, 2), (100_000, 30, 1)]
+
+
+def test_the_index_takes_a_few_times_its_text():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(50_000)]
+    items = [(i, " ".join(words[j] for j in rng.integers(0, len(words), 200))) for i in range(5000)]
+    size = sum(len(t) for _, t in items)
+    index = index_of(items)
+    assert len(pickle.dumps(index)) < 8 * size
+    tracemalloc.start()
+    index_of(items)
+    assert tracemalloc.get_traced_memory()[1] < 40 * size  # of 16 MB, 640 MB at the very most
+    tracemalloc.stop()
+
+
 # --- line dedup ---------------------------------------------------------------------------------
 
 def brute_lines(texts, least):
