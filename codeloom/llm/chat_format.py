@@ -8,8 +8,11 @@ The template writes a block per run of same-role turns::
 
 followed by a newline. Control strings inside texts are escaped: ``<``, some backslashes and ``|`` get one
 backslash more, so that ``<|`` never occurs within a text, and reading takes that backslash out again. Roles are
-escaped the same way, and their newlines and backslashes, too. ``parse`` reads the formatted text back, and
-``loss_spans`` says which characters an assistant wrote.
+escaped the same way, and their newlines and backslashes, too. ``parse`` reads the formatted text back.
+
+The loss mask is a span for each assistant text, without the template's strings around it. Where a text begins is a
+running sum over the turns before it, so it takes no more than their number; ``loss_text`` cuts the mask out of the
+formatted text by bytes, which takes no longer than copying it.
 
 Defined cases: a null text or role is empty; turns are in the order of (turn, role, text), nulls first; equal rows
 are separate turns; a null conv_id is a conversation of its own; an empty table gives an empty table; other columns
@@ -19,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -43,27 +47,38 @@ def _unescape_role(role: Column) -> Column:
 
 
 def merge_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, blocks): runs of same-role turns, as (role, texts).
+    """(conv_id, turn, role, text) -> (conv_id, blocks, loss_spans): runs of same-role turns, as (role, texts), and
+    where the formatted text holds what assistants wrote, escaped: a span of characters and of bytes for each text.
 
     A run begins where the role differs from the one before; slices between the beginnings are the runs. So the
     work is in proportion to the turns, where folding them into an accumulator would copy it again and again.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    one = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before, head, own = F.lag("role").over(order), _escape_role(F.col("role")), escape(F.col("text"))
+    # What stands between the text before and this one: a separator, or the end of a block and the head of the next.
+    head_size = lambda size: (F.when(before == F.col("role"), len(SEP)).when(before.isNull(), len(START) + 1 + size(head))
+                              .otherwise(len(END) + 1 + len(START) + 1 + size(head)))
+    rows = rows.select("*", head_size(F.length).alias("_h"), head_size(F.octet_length).alias("_hb"), F.length(own).alias("_n"), F.octet_length(own).alias("_nb"))
+    upto = lambda h, n: (F.sum(F.col(h) + F.col(n)).over(order.rowsBetween(W.unboundedPreceding, 0))).cast("int")
+    rows = rows.withColumn("end", upto("_h", "_n")).withColumn("end_byte", upto("_hb", "_nb"))
+    span = F.struct((F.col("end") - F.col("_n")).alias("begin"), "end", (F.col("end_byte") - F.col("_nb")).alias("begin_byte"), "end_byte")
+    one = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", span.alias("span")))).alias("turns"))
     differs = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (
         F.element_at("turns", i)["role"] != F.try_element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
     one = one.withColumn("begins", differs).withColumn("texts", F.col("turns.text"))
     blocks = F.transform("begins", lambda b, k: F.struct(
         F.element_at("turns", b)["role"].alias("role"),
         F.slice("texts", b, F.coalesce(F.try_element_at("begins", k + 2), F.size("turns") + 1) - b).alias("texts")))
-    return one.select("conv_id", blocks.alias("blocks"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["span"])
+    return one.select("conv_id", blocks.alias("blocks"), spans.alias("loss_spans"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, formatted)."""
+    """(conv_id, turn, role, text) -> (conv_id, formatted, loss_spans)."""
     piece = F.transform("blocks", lambda b: F.concat(
         F.lit(START), _escape_role(b["role"]), F.lit("\n"), F.array_join(F.transform(b["texts"], escape), SEP), F.lit(END + "\n")))
-    return merge_turns(turns).select("conv_id", F.array_join(piece, "").alias("formatted"))
+    return merge_turns(turns).select("conv_id", F.array_join(piece, "").alias("formatted"), "loss_spans")
 
 
 def parse(formatted: Column) -> Column:
@@ -77,27 +92,13 @@ def parse(formatted: Column) -> Column:
         _unescape_role(h["role"]).alias("role"), unescape(x).alias("text")))))
 
 
-def loss_text(turns: Column) -> Column:
-    """What the loss mask covers: each assistant text once, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-
-
-def loss_spans(blocks: Column) -> Column:
-    """Character ranges (begin, end excluded) of ``formatted`` that assistants wrote, escaped: one per block.
-
-    ``blocks`` is the column that ``merge_turns`` makes.
-    """
-    sized = F.transform(blocks, lambda b: F.struct(
-        (b["role"] == "assistant").alias("loss"),
-        (len(START) + 1 + F.length(_escape_role(b["role"]))).alias("head"),
-        F.length(F.array_join(F.transform(b["texts"], escape), SEP)).alias("chars")))
-    done = F.aggregate(
-        sized, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans")),
-        lambda a, s: F.struct(
-            (a["at"] + s["head"] + s["chars"] + (len(END) + 1)).alias("at"),
-            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct(
-                (a["at"] + s["head"]).alias("begin"), (a["at"] + s["head"] + s["chars"]).alias("end"))))).otherwise(a["spans"]).alias("spans")))
-    return done["spans"]
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """What stands under the loss mask, unescaped: each assistant text once, in order, nothing between."""
+    # As the element of an array the bytes are made once, not once for each span.
+    once = F.array(F.struct(formatted.cast("binary").alias("bytes"), spans.alias("spans")))
+    cut = F.transform(once, lambda o: F.transform(o["spans"], lambda s: unescape(
+        F.substr(o["bytes"], s["begin_byte"] + 1, s["end_byte"] - s["begin_byte"]).cast("string"))))
+    return F.array_join(cut[0], "")
 
 
 # --- op9 ----------------------------------------------------------------------------------------
@@ -110,7 +111,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     out = format_conversations(turns.unionByName(extra)).withColumn("turns", parse(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    out = out.withColumn("loss", loss_text(F.col("turns")))
+    out = out.withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -228,26 +229,40 @@ def test_chat_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system", "ro\nle\\n<|im_end|>", "", None]), rng.choice(hard)) for c in range(25) for t in range(rng.randrange(1, 9))]
     rows += [(None, 1, "user", "x"), (7, None, "user", "first"), (7, 3, "user", "tie"), (7, 3, "user", "tie")]
     out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)))
-    parsed = out.select("conv_id", "formatted", chat_format.parse(F.col("formatted")).alias("turns"))
-    got = {r.conv_id: r for r in parsed.select("*", chat_format.loss_text(F.col("turns")).alias("loss")).collect()}
+    parsed = out.select("conv_id", "formatted", "loss_spans", chat_format.parse(F.col("formatted")).alias("turns"))
+    got = {r.conv_id: r for r in parsed.select("*", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     assert len(got) == len({r[0] for r in rows})
     for c, r in got.items():
         own = sorted(((t is not None, t or 0, role or "", x or "") for i, t, role, x in rows if i == c))
         assert [(t.role, t.text) for t in r.turns] == [(role, x) for _, _, role, x in own]
         assert r.loss == "".join(x for _, _, role, x in own if role == "assistant")
+        cut = [r.formatted[s.begin:s.end] for s in r.loss_spans]
+        assert cut == [r.formatted.encode()[s.begin_byte:s.end_byte].decode() for s in r.loss_spans]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in cut] == [x for _, _, role, x in own if role == "assistant"]
         blocks = [role for k, (_, _, role, _) in enumerate(own) if not k or own[k - 1][2] != role]
         assert r.formatted.count("<|im_start|>") == len(blocks) == r.formatted.count("<|im_end|>")
 
 
-def test_loss_spans(spark):
+def test_the_loss_mask_decides(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a<|b"), (1, 2, "assistant", "c"), (1, 3, "user", "x"), (1, 4, "assistant", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    text = chat_format.format_conversations(turns).first().formatted
-    spans = chat_format.merge_turns(turns).select(chat_format.loss_spans(F.col("blocks"))).first()[0]
-    assert [text[s.begin:s.end] for s in spans] == ["a<\\|b<|im_sep|>c", ""]
+    out = chat_format.format_conversations(turns)
+    row = out.first()
+    assert [row.formatted[s.begin:s.end] for s in row.loss_spans] == ["a<\\|b", "c", ""]  # no separator between merged turns
+    shifted = F.transform("loss_spans", lambda s: F.struct((s["begin_byte"] + 1).alias("begin_byte"), s["end_byte"].alias("end_byte")))
+    assert out.select(chat_format.loss_text(F.col("formatted"), F.filter(shifted, lambda s: s["begin_byte"] < s["end_byte"]))).first()[0] == "<|b"
     assert chat_format.format_conversations(turns.limit(0)).isEmpty()
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    n = 60_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|"), F.col("id").cast("string")).alias("text"))
+    out = chat_format.format_conversations(turns)
+    row = out.select(chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert row.loss == "".join(f"é<|{i}" for i in range(n) if i % 3)
+
+
 # --- mixing -------------------------------------------------------------------------------------
 
 def filled(sizes):
