@@ -6,12 +6,14 @@ taken once for each whole number that its span crosses. Sums are whole numbers (
 of additions can't matter. The order within a source is by size class, then by a hash of doc_id: neighbours have
 like sizes, so the words taken stay near the target whatever the sizes are.
 
-The prefix sum never brings a source into one task: it is taken over the size classes of a source, over the
-hash cells of a class, and only then over the documents of a cell.
+The prefix sum never brings a source, or any other key, into one task: the rows are dealt out by ranges of the whole
+order, in which every row has a place of its own, even one of many that are alike. The rows of a source are counted
+by range, the counts summed up over the ranges, and only then the rows within a range.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last one; a null doc_id hashes
-as the empty string; equal rows are separate documents; an empty table gives an empty table; other columns are
-carried along by ``mix`` and may have any name.
+as the empty string; rows with equal ids are in the order of their texts' hashes; rows that are alike are separate
+documents, of which any may be the one that is taken once more; an empty table gives an empty table; other columns
+are carried along by ``mix`` and may have any name. Weights by rank need one row per source in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, unpacked
+from .common import Scratch, packed, split_by_key, unpacked
 
 #: A copy in the whole numbers that are summed.
 UNIT_BITS = 28
@@ -67,63 +69,61 @@ def targets(totals: DataFrame, cap: int = CAP) -> DataFrame:
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _source_key(source: Column) -> Column:
+    """The source, or for a null one a text that no source is."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def plan(spark: SparkSession, sized: DataFrame, seed: str = "", cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size) -> the same with source_size, weight, target and copies.
+    """(doc_id, source, size, hash, tie) -> the same with source_size, weight, target and copies.
 
-    ``sized`` is read three times and so should be a written table.
+    ``tie`` differs in all rows; ``sized`` should be a written table, as it is sampled before it is dealt out.
     """
-    keyed = sized.select(
-        *[F.col(f"`{c}`") for c in sized.columns],
-        _size_class(F.col("size")).alias("_class"),
-        _order_key(F.col("doc_id"), seed).alias("_h"),
-    ).withColumn("_cell", F.substring("_h", 1, 2))
-    cells = keyed.groupBy("source", "_class", "_cell").agg(F.count("*").alias("_n"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    scratch = Scratch(spark, "mixing-plan")
+    keyed = sized.select("*", _source_key(F.col("source")).alias("_s"), _size_class(F.col("size")).alias("_class"), _order_key(F.col("doc_id"), seed).alias("_h"))
+    order = ["_class", "_h", "doc_id", "hash", "tie"]
+    ranged = scratch.write(keyed.repartitionByRange("_s", *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("source").agg(F.sum("size").alias("source_size"))
     per_copy = float(1 << UNIT_BITS)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"offset{seed}:"), F.coalesce("source", F.lit("")))), 1, 7), 16, 10).cast("long")
     sources = targets(totals, cap).select(
-        F.col("source").alias("_source"), "source_size", "weight", "target",
+        _source_key(F.col("source")).alias("_s"), "source_size", "weight", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * per_copy + 0.5))
         .otherwise(0).cast("long").alias("_each"),
         offset.alias("_offset"),
     )
-    classes = cells.groupBy("source", "_class").agg(F.sum("_n").alias("_cn"))
-    classes = classes.withColumn("_cs", F.sum("_cn").over(W.partitionBy("source").orderBy("_class")) - F.col("_cn"))
-    classes = classes.join(sources, classes["source"].eqNullSafe(sources["_source"])).drop("_source")
-    classes = classes.select(F.col("source").alias("_source"), F.col("_class").alias("_k"), "_cs", "source_size", "weight", "target", "_each", "_offset")
-    within = F.sum("_n").over(W.partitionBy("source", "_class").orderBy("_cell")) - F.col("_n")
-    cells = cells.withColumn("_ws", within)
-    cells = cells.join(classes, cells["source"].eqNullSafe(classes["_source"]) & (cells["_class"] == classes["_k"]))
-    cells = cells.select(
-        F.col("source").alias("_source"), F.col("_class").alias("_k"), F.col("_cell").alias("_c"),
-        (F.col("_cs") + F.col("_ws")).alias("_start"), "source_size", "weight", "target", "_each", "_offset",
-    )
-    rows = keyed.join(cells, keyed["source"].eqNullSafe(cells["_source"]) & (keyed["_class"] == cells["_k"]) & (keyed["_cell"] == cells["_c"]))
-    rank = F.row_number().over(W.partitionBy("source", "_class", "_cell").orderBy("_h", "doc_id"))
-    upto = (F.col("_start") + rank) * F.col("_each") + F.col("_offset")
-    rows = rows.withColumn("_upto", upto)
+    ranges = ranged.groupBy("_s", "_range").agg(F.count("*").alias("_n"))
+    ranges = ranges.withColumn("_before", F.sum("_n").over(W.partitionBy("_s").orderBy("_range")) - F.col("_n")).drop("_n").join(sources, "_s")
+    rank = F.row_number().over(W.partitionBy("_s", "_range").orderBy(*order))
+    rows = ranged.join(ranges, ["_s", "_range"]).withColumn("_upto", (F.col("_before") + rank) * F.col("_each") + F.col("_offset"))
     copies = F.shiftright("_upto", UNIT_BITS) - F.shiftright(F.col("_upto") - F.col("_each"), UNIT_BITS)
-    return rows.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "weight", "target", copies.alias("copies"))
+    return rows.select(*sized.columns, "source_size", "weight", "target", copies.alias("copies"))
+
+
+def _sized(docs: DataFrame, hash_: Column) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_.alias("hash"), F.monotonically_increasing_id().alias("tie"))
 
 
 def mix_sizes(spark: SparkSession, docs: DataFrame, seed: str = "", cap: int = CAP) -> DataFrame:
     """Per document: doc_id, source, size, source_size, weight, target, copies."""
-    scratch = Scratch(spark, "mixing")
-    sized = scratch.write(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sized")
-    return plan(spark, sized, seed, cap)
+    sized = Scratch(spark, "mixing").write(_sized(docs, F.xxhash64("text")), "sized")
+    return plan(spark, sized, seed, cap).drop("hash", "tie")
 
 
 def mix(spark: SparkSession, docs: DataFrame, seed: str = "", cap: int = CAP) -> DataFrame:
     """The mixed corpus: every row of ``docs`` once per copy taken, with a column ``copy`` from 1 (in place of one
-    of that name). Of rows with equal doc_id, source and text, one stands for all, with the copies of all."""
+    of that name). Of rows that are alike in all columns (but maps), one stands for all, with the copies of all."""
     scratch = Scratch(spark, "mixing")
-    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), hash=F.xxhash64("text"))
-    sized = scratch.write(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), size_of(F.col("text")).alias("size")), "sized")
+    whole = F.xxhash64("text", *[f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    sized = scratch.write(_sized(docs, whole), "sized")
     taken = plan(spark, sized, seed, cap).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("hash").alias("x"))
-    taken = scratch.write(taken.agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"), "taken")
+    taken = scratch.write(taken.agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("times")), "taken")
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), hash=whole)
+    # Rows that are alike come to one before they are shuffled.
+    some, rest = split_by_key(rows, taken.filter("times > 1").select(F.col("x").alias("hash")), "hash")
+    rows = some.groupBy("doc_id", "source", "hash").agg(F.first("row").alias("row")).select(*rest.columns).unionByName(rest)
     same = rows["doc_id"].eqNullSafe(taken["d"]) & rows["source"].eqNullSafe(taken["s"]) & (rows["hash"] == taken["x"])
-    once = F.row_number().over(W.partitionBy("d", "s", "x").orderBy("d", "s", "x"))
-    joined = rows.join(taken, same).withColumn("once", once).filter("once = 1")
+    joined = rows.join(taken.filter("copies > 0"), same)
     return joined.select(*unpacked(docs, without=("copy",)), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 

@@ -320,3 +320,33 @@ def test_mix_emits_copies(spark):
         planned[r.doc_id, r.source] = planned.get((r.doc_id, r.source), 0) + r.copies
     assert {k: len(v) for k, v in taken.items()} == {k: v for k, v in planned.items() if v}
     assert mixing.mix(spark, docs.limit(0)).isEmpty()
+
+
+def test_mixing_splits_rows_of_one_key(spark):
+    """A third of all rows has no id, another is alike in everything: no task gets all of either."""
+    n = 30_000
+    docs = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("hot").alias("source"),
+        F.when(F.col("id") % 3 == 1, "same text").otherwise(F.concat(F.lit("w "), F.col("id").cast("string"))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(-1, "b", "x y z")], docs.schema))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix_sizes(spark, docs)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n + 1 and max(sizes) < n / 3
+        hot = got.filter("source = 'hot'").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).first()
+        assert abs(hot.taken - hot.target) <= 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    out = mixing.mix(spark, docs)
+    assert out.count() == got.agg(F.sum("copies")).first()[0]
+    assert out.filter("text = 'same text'").count() == got.filter("doc_id = 7").agg(F.sum("copies")).first()[0]
+
+
+def test_mixing_keeps_rows_that_differ_elsewhere(spark):
+    docs = spark.createDataFrame([(1, "a", "x y", 1), (1, "a", "x y", 2), (1, "a", "x y", 2), (2, "a", "w " * 300_000, None)], "doc_id long, source string, text string, n_chars int")
+    out = mixing.mix(spark, docs).filter("doc_id = 1").collect()
+    assert sorted((r.n_chars, r.copy) for r in out) == [(1, 1), (2, 1), (2, 2)]
