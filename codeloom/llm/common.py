@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "Words", "chunks", "mix64", "packed", "shingle_of", "signed", "split_by_key", "text_batches", "text_bytes", "unpacked", "words_of"]
+__all__ = ["Scratch", "Table", "Words", "chunks", "mix64", "packed", "signed", "split_by_key", "text_batches", "text_bytes", "unpacked", "words_of"]
 
 #: Separators of the two word definitions, as bytes of UTF-8 text with A-Z lower-cased.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -124,15 +124,46 @@ class Words:
             out += self.hash[j:j + n] * _IN_SHINGLE[j]
         return mix64(out + np.uint64(k))
 
+    def beginnings(self, which: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, words of ``which`` with more than n letters, the hash of their first n letters), for each length n."""
+        place = np.arange(len(self.data)) - np.repeat(np.append(0, self.begin), np.diff(np.concatenate([[0], self.begin, [len(self.data)]])))
+        inside = np.zeros(len(self.data) + 1, dtype=np.int8)
+        inside[self.begin] += 1
+        inside[self.end] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        part = np.where(inside, _BYTE[self.data] * _places(int(place.max(initial=0)) + 1)[place], np.uint64(0))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part, dtype=np.uint64)])
+        letter = np.flatnonzero(inside & (self.data & 0xC0 != 0x80))
+        first, last = np.searchsorted(letter, self.begin[which]), np.searchsorted(letter, self.end[which])
+        for n in lengths:
+            long = last - first > n
+            own = which[long]
+            yield n, own, mix64(total[letter[first[long] + n]] - total[self.begin[own]] + np.uint64(n))
+
     def starts(self, k: int) -> np.ndarray:
         """Words from which k words of the same text follow."""
         n = max(0, len(self.hash) - k + 1)
         return np.flatnonzero(self.doc[:n] == self.doc[k - 1:k - 1 + n])
 
 
-def shingle_of(words: np.ndarray) -> int:
-    """The hash that ``Words.shingles(len(words))`` gives these word hashes."""
-    return int(mix64((words * _IN_SHINGLE[: len(words)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)))[0])
+class Table:
+    """Sorted distinct hashes; a bit table turns most others away first."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.bits = np.zeros(1 << 16, dtype=bool)
+        self.bits[(values >> np.uint64(48)).astype(np.int64)] = True
+
+    def find(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the positions ``at``, those whose value is in the table, and the value's row there."""
+        if not len(at) or not len(self.values):
+            return at[:0], at[:0]
+        own = values[at]
+        near = self.bits[(own >> np.uint64(48)).astype(np.int64)]
+        at, own = at[near], own[near]
+        row = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        same = self.values[row] == own
+        return at[same], row[same]
 
 
 def words_of(texts: list[str | None], separators: bytes) -> Words:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NON_ALNUM, Scratch, Words, chunks, text_batches, text_bytes
+from .common import NON_ALNUM, Scratch, Table, Words, chunks, text_batches, text_bytes
 
 WINDOW, SHINGLE = 10, 5
 #: Item text of one block. Its index takes about 7 times as much in each task and 20 times on the driver.
@@ -58,26 +58,6 @@ def same_words(a, i: np.ndarray, b, j: np.ndarray, n: int) -> np.ndarray:
     return same
 
 
-class Table:
-    """Sorted distinct hashes; a bit table turns most others away first."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.bits = np.zeros(1 << 16, dtype=bool)
-        self.bits[(values >> np.uint64(48)).astype(np.int64)] = True
-
-    def find(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the positions ``at``, those whose value is in the table, and the value's row there."""
-        if not len(at) or not len(self.values):
-            return at[:0], at[:0]
-        own = values[at]
-        near = self.bits[(own >> np.uint64(48)).astype(np.int64)]
-        at, own = at[near], own[near]
-        row = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
-        same = self.values[row] == own
-        return at[same], row[same]
-
-
 class Windows:
     """The different windows of ``size`` words of a block of items."""
 

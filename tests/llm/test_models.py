@@ -3,8 +3,11 @@
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +114,106 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).isEmpty()
 
 
+def named(text):
+    """The features of a text by their names: words, beginnings (*), and beginnings of two words or more (**)."""
+    own = set(re.findall(r"\w+", text.lower())) if text else set()
+    times = Counter(w[:n] for n in range(3, 9) for w in own if len(w) > n)
+    return own | {f"{b}*" for b in times} | {f"{b}**" for b, k in times.items() if k > 1}
+
+
+def hashed(names):
+    """The operator's number of each name, from a text that has this feature (and others)."""
+    out = {}
+    for name in names:
+        base = name.rstrip("*")
+        words = toxicity.words_of(pa.array([base if base == name else f"{base}a {base}b"]))
+        kind = len(name) - len(base)
+        if not kind:
+            out[name] = int(words.hash[0] & ~np.uint64(3))
+        else:
+            out[name] = int(next(h for n, _, h in words.beginnings(np.array([0]), (len(base),)))[0] & ~np.uint64(3)) | kind
+    return out
+
+
+def odd_texts():
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice(["ab", "é", "Zü", "x_1", "ßa", "日本", "q"]) for _ in range(rng.randrange(1, 6))) + rng.choice(["", ",", "!", "\n", "…"]) for _ in range(rng.randrange(40)))
+             for _ in range(60)]
+    return [*texts, texts[0], None, "", "...", "abab" * 20_000, "ab " * 30_000]
+
+
+def test_toxicity_scores_by_brute_force():
+    texts = odd_texts()
+    every = sorted({f for t in texts for f in named(t)})
+    rng = random.Random(3)
+    weights = {f: rng.uniform(-1, 1) for f in rng.sample(every, 200)}
+    number = hashed(weights)
+    assert len(set(number.values())) == len(weights)
+    model = toxicity.Classifier(np.array([number[f] for f in weights], dtype=np.uint64), np.array(list(weights.values())), -0.3)
+    got = model.scores(pa.array(texts, type=pa.string()))
+    assert np.allclose(got, [1 / (1 + math.exp(0.3 - sum(weights.get(f, 0.0) for f in named(t)))) for t in texts])
+    assert np.allclose(got, [model.scores(pa.array([t], type=pa.string()))[0] for t in texts])
+
+
+def test_toxicity_features_by_brute_force():
+    texts = [t or "" for t in odd_texts()]
+    n, doc, own = toxicity._pairs(texts)
+    number = hashed({f for t in texts for f in named(t)})
+    different = list(dict.fromkeys(frozenset(re.findall(r"\w+", t.lower())) for t in texts))
+    assert n <= len(different)
+    words = toxicity.words_of(pa.array(texts))
+    pairs = sorted(zip(*(x.tolist() for x in toxicity.features(words, toxicity.distinct_words(words)))))
+    assert pairs == sorted((i, number[f]) for i, t in enumerate(texts) for f in named(t))
+    count = Counter(own.tolist())
+    assert set(toxicity._frequent(texts, 4).tolist()) == {f for f, k in count.items() if k >= 4}
+
+
+def test_only_near_copies_are_left_out():
+    a, b = [f"w{i}" for i in range(100)], [f"v{i}" for i in range(100)]
+    texts = [" ".join(a), " ".join(a[:95] + b[:5]), " ".join(a[:50] + b[:50]), " ".join(b), " ".join(b), "", ""]
+    known = toxicity._Distinct()
+    known_all = []
+    for t in texts:
+        own = np.sort(toxicity.words_of(pa.array([t])).hash)
+        new = known.is_new(own)
+        similar = any(len(set(own.tolist()) & o) >= 0.8 * len(set(own.tolist()) | o) for o in known_all)
+        assert new or similar
+        known_all.append(set(own.tolist()))
+    assert toxicity._pairs(texts)[0] <= 5
+
+
+def test_the_risk_and_its_slopes_by_brute_force():
+    rng = np.random.default_rng(4)
+    held = rng.random((30, 5)) < 0.4
+    positive = np.arange(30) < 12
+    doc, feature = np.nonzero(held)
+    for prior, b in ((0.2, 0.1), (0.9, -2.0)):  # with the latter the negatives' risk is below zero
+        w = rng.normal(size=5)
+
+        def parts(w, b):
+            z = [b + sum(w[f] for f in range(5) if held[i, f]) for i in range(30)]
+            loss = lambda z, y: math.log(1 + math.exp(-z if y else z))
+            own = prior * sum(loss(z[i], 1) for i in range(12)) / 12
+            return own, sum(loss(z[i], 0) for i in range(12, 30)) / 18 - prior * sum(loss(z[i], 0) for i in range(12)) / 12
+
+        own, rest, by_w, by_b = toxicity.risk(w, b, doc, feature, positive, prior)
+        assert np.allclose((own, rest), parts(w, b))
+        goal = (lambda w, b: sum(parts(w, b))) if rest >= 0 else (lambda w, b: -parts(w, b)[1])  # noqa: B023
+        for f in range(5):
+            step = np.eye(5)[f] * 1e-6
+            assert by_w[f] == pytest.approx((goal(w + step, b) - goal(w - step, b)) / 2e-6, abs=1e-5)
+        assert by_b == pytest.approx((goal(w, b + 1e-6) - goal(w, b - 1e-6)) / 2e-6, abs=1e-5)
+    assert rest < 0
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    d = spark.createDataFrame([(i % 50, "vile word" if i % 3 else "fine word", 1, "x", 2) for i in range(200)] + [(900, "word " * 400_000, 1, "x", 2)],
+                              "doc_id long, text string, score int, toxic string, _x int")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0), 5) for i in range(50)] * 2, "doc_id long, toxic int, text int")
+    rows = toxicity.score(d, toxicity.train(d, lab)).collect()
+    assert len(rows) == 201 and len({r.score for r in rows}) <= 3
+
+
 def test_the_risk_of_negatives_stays_non_negative():
     """A feature of all positives and of the prior's share of the mixture is what tells them apart."""
     n = 400
