@@ -1,9 +1,10 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features, all as Spark expressions.
 
-The trees are fitted on URLs that the rules label, a sample of ``TRAIN_ROWS`` of them at most (the first by a hash
-of the URL). Fitting sees only the sample's binned features; the fitted trees become CASE expressions, and the
-statistics of suffixes a lookup of ``SUFFIXES`` entries at most, so every row of a table is judged by built-in
-expressions in one pass without a shuffle.
+The statistics of suffixes are counts over all URLs that the rules label, a row per suffix in a written table; rows
+are joined with it by a broadcast if its size allows that, else by a sort-merge join, whose hot suffixes adaptive
+execution splits. The trees are fitted on a sample of ``TRAIN_ROWS`` labelled URLs at most (the first by a hash of
+the URL); fitting sees only the sample's binned features. The fitted trees become CASE expressions, so every row of
+a table is judged by built-in expressions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, meets no rule and is judged by its
 features (a null url as the empty string); equal rows are judged alike; without labelled URLs the method allows;
@@ -18,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: (verdict, rule): host and path in one.
 RULES = (
     ("block", "com/en/"),
@@ -26,8 +29,10 @@ RULES = (
     ("allow", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: Labelled URLs that the trees are fitted on, at most; suffixes with statistics of their own, at most.
-TRAIN_ROWS, SUFFIXES = 4096, 64
+#: Labelled URLs that the trees are fitted on, at most.
+TRAIN_ROWS = 4096
+#: Labelled URLs at the prior rate that a suffix's own are added to.
+SMOOTH = 4
 TREES, DEPTH, BINS, RATE = 24, 3, 16, 0.3
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -93,8 +98,6 @@ class Split:
 @dataclass
 class Model:
     base: float = -1.0
-    suffixes: dict[str, float] = field(default_factory=dict)
-    prior: float = 0.5
     trees: list[Leaf | Split] = field(default_factory=list)
 
 
@@ -131,18 +134,13 @@ def value(tree: Leaf | Split, row: dict[str, float]) -> float:
 
 
 def fit(rows: list[dict]) -> Model:
-    """rows: features by name, ``suffix`` and ``block`` (0 or 1). Second-order boosting of the logistic loss."""
+    """rows: features by name and ``block`` (0 or 1). Second-order boosting of the logistic loss."""
     if not rows or len({r["block"] for r in rows}) < 2:
         return Model(base=4.0 if rows and rows[0]["block"] else -4.0)
     y = [r["block"] for r in rows]
     prior = sum(y) / len(y)
-    by_suffix: dict[str, list[int]] = {}
-    for r in rows:
-        by_suffix.setdefault(r["suffix"], []).append(r["block"])
-    common = sorted(by_suffix, key=lambda s: (-len(by_suffix[s]), s))[:SUFFIXES]
-    model = Model(round(math.log(prior / (1 - prior)), 9), {s: round((sum(by_suffix[s]) + 4 * prior) / (len(by_suffix[s]) + 4), 6) for s in common}, round(prior, 6))
-    rows = [r | {"suffix_rate": model.suffixes.get(r["suffix"], model.prior)} for r in rows]
-    names = [k for k in rows[0] if k not in ("suffix", "block")]
+    model = Model(round(math.log(prior / (1 - prior)), 9))
+    names = [k for k in rows[0] if k != "block"]
     cuts, x = {}, {}
     for name in names:
         column = sorted(r[name] for r in rows)
@@ -171,29 +169,46 @@ def score(model: Model) -> Column:
     return total
 
 
-def _featured(pages: DataFrame, rules, model: Model | None = None) -> DataFrame:
+def _labelled(pages: DataFrame, rules) -> DataFrame:
+    """(page_id, url, host, path, suffix, rule, by_rule)."""
     rows = pages.select("page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return rows.select("*", suffix_of(F.col("host")).alias("suffix"), rule.alias("rule"), verdict.alias("by_rule"))
+
+
+def suffix_rates(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(suffix, rate): the smoothed share of blocked ones among all labelled URLs of a suffix; the suffix null has
+    the share among all."""
+    block = (F.col("by_rule") == "block").cast("long")
+    per = _labelled(pages, rules).filter("by_rule is not null").groupBy("suffix").agg(F.sum(block).alias("k"), F.count("*").alias("n"))
+    per = Scratch(pages.sparkSession, "url_filter").write(per, "suffixes")
+    prior = per.agg((F.sum("k") / F.sum("n")).alias("rate"))
+    share = F.lit(prior.first()[0]).cast("double")
+    own = per.select("suffix", F.round((F.col("k") + SMOOTH * share) / (F.col("n") + SMOOTH), 6).alias("rate"))
+    every = prior.select(F.lit(None).cast("string").alias("suffix"), F.round("rate", 6).alias("rate"))
+    return Scratch(pages.sparkSession, "url_filter").write(own.unionByName(every), "rates")
+
+
+def _featured(pages: DataFrame, rules, rates: DataFrame) -> DataFrame:
+    """The labelled rows with the struct ``_f`` of their features."""
+    prior = rates.filter("suffix is null").first().rate
+    known = rates.filter("suffix is not null").withColumnRenamed("rate", "_rate")
+    rows = _labelled(pages, rules).join(known, "suffix", "left")
     own = [v.alias(k) for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()]
-    if model is not None:
-        rate = F.lit(model.prior)
-        if model.suffixes:
-            known = F.create_map(*[F.lit(v) for pair in model.suffixes.items() for v in pair])
-            rate = F.coalesce(F.try_element_at(known, suffix_of(F.col("host"))), rate)
-        own.append(rate.alias("suffix_rate"))
-    return rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("_f", F.struct(*own))
-
-
-def train(pages: DataFrame, rules=RULES, rows: int = TRAIN_ROWS) -> Model:
-    labelled = _featured(pages, rules).filter("by_rule is not null")
-    sample = labelled.select(F.md5("url").alias("k"), "_f", suffix_of(F.col("host")).alias("suffix"), (F.col("by_rule") == "block").cast("int").alias("block"))
+    own.append(F.coalesce(F.col("_rate"), F.lit(0.5 if prior is None else prior)).alias("suffix_rate"))
+    return rows.withColumn("_f", F.struct(*own))
+
+
+def train(pages: DataFrame, rates: DataFrame, rules=RULES, rows: int = TRAIN_ROWS) -> Model:
+    labelled = _featured(pages, rules, rates).filter("by_rule is not null")
+    sample = labelled.select(F.md5("url").alias("k"), "_f", (F.col("by_rule") == "block").cast("int").alias("block"))
     sample = sample.dropDuplicates(["k"]).orderBy("k").limit(rows).collect()  # rows at most
-    return fit([r._f.asDict() | {"suffix": r.suffix, "block": r.block} for r in sample])
+    return fit([r._f.asDict() | {"block": r.block} for r in sample])
 
 
-def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, model: Model, rates: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score)."""
-    rows = _featured(pages, rules, model).withColumn("score", score(model))
+    rows = _featured(pages, rules, rates).withColumn("score", score(model))
     method = F.when(F.col("score") >= 0, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.round("score", 6).alias("score"))
 
@@ -202,4 +217,5 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, train(pages))
+    rates = suffix_rates(pages)
+    return judge(pages, train(pages, rates), rates)

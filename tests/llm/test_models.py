@@ -256,8 +256,9 @@ def test_url_rules_and_trees(spark, pages):
     odd = [(None, None), (1001, None), (1002, ""), (1003, "no scheme/en/"), (1004, "HTTP://EXAMPLE.Com/en/7x"), (1005, "http://com/en/1"), (1006, "http://xcom/en/1"),
            (1007, "http://a.net?x=/de/"), (1008, "x://y://z/en/"), (1009, "http://a.example.net/de/8#"), (1010, "http://h/" + "é" * 5000), (1010, "http://h/a\nb")]
     every = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string"))
-    model = url_filter.train(every)
-    got = url_filter.judge(every, model).collect()
+    rates = url_filter.suffix_rates(every)
+    model = url_filter.train(every, rates)
+    got = url_filter.judge(every.withColumn("host", F.lit(1)).withColumn("_rate", F.lit(2)).withColumn("suffix", F.lit("x")), model, rates).collect()
     assert len(got) == 612 and len(model.trees) == url_filter.TREES
     want = {r.page_id: brute_rule(r.url) for r in pages.collect()} | {i: brute_rule(u) for i, u in odd[:-2]}
     for r in got:
@@ -269,10 +270,10 @@ def test_url_rules_and_trees(spark, pages):
 
 def test_trees_learn_on_held_out_rows(spark, pages):
     """Labels that follow from the features: digits and depth."""
-    f = url_filter._featured(pages, url_filter.RULES)
-    rows = [r._f.asDict() | {"suffix": "com", "block": int(r._f.parameters > 0 or r._f.length > 42)} for r in f.collect()]
+    f = url_filter._featured(pages, url_filter.RULES, url_filter.suffix_rates(pages))
+    rows = [r._f.asDict() | {"block": int(r._f.parameters > 0 or r._f.length > 42)} for r in f.collect()]
     model = url_filter.fit(rows[:400])
-    score = lambda r: model.base + sum(url_filter.value(t, r | {"suffix_rate": model.prior}) for t in model.trees)
+    score = lambda r: model.base + sum(url_filter.value(t, r) for t in model.trees)
     assert np.mean([(score(r) >= 0) == r["block"] for r in rows[400:]]) > 0.95
 
 
@@ -286,7 +287,40 @@ def test_url_features(spark):
     assert got.entropy == pytest.approx(entropy, abs=1e-5) and got.digits == pytest.approx(4 / len(u))
 
 
+def test_expressions_score_like_the_trees(spark, pages):
+    """All rows by the trees in Python, over features and suffix rates counted in Python."""
+    rates = url_filter.suffix_rates(pages)
+    model = url_filter.train(pages, rates, rows=300)
+    rows = pages.collect()
+    label = {r.page_id: brute_rule(r.url)[2] for r in rows}
+    suffix = {r.page_id: brute_rule(r.url)[0].rsplit(".", 1)[-1] for r in rows}
+    prior = np.mean([x[0] == "block" for x in label.values() if x])
+    rate = {}
+    for s in set(suffix.values()):
+        own = [x[0] == "block" for i, x in label.items() if x and suffix[i] == s]
+        rate[s] = (sum(own) + 4 * prior) / (len(own) + 4)
+    assert {r.suffix: r.rate for r in rates.collect()} == pytest.approx({**{s: rate[s] for s in rate if any(x and suffix[i] == s for i, x in label.items())}, None: prior}, abs=1e-6)
+    plain = {r.page_id: r._f.asDict() for r in url_filter._featured(pages, url_filter.RULES, rates).select("page_id", "_f").collect()}
+    for r in url_filter.judge(pages, model, rates).collect():
+        f = plain[r.page_id]
+        assert f["suffix_rate"] == pytest.approx(rate[suffix[r.page_id]], abs=1e-6)
+        want = model.base + sum(url_filter.value(t, f) for t in model.trees)
+        assert r.score == pytest.approx(want, abs=2e-6)
+        assert r.verdict == (label[r.page_id][0] if label[r.page_id] else "block" if want >= 0 else "allow")
+
+
+def test_all_suffixes_have_statistics(spark):
+    rows = [(i, f"http://h{i}.s{i % 300}.{'com' if i % 2 else 'net'}/{'en' if i % 2 else 'de'}/") for i in range(600)]
+    rules = (("block", "com/en/"), *((("allow" if i % 3 else "block"), f"t{i}/x/") for i in range(200)))
+    rows += [(1000 + i, f"http://a.t{i % 200}/x/{i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    rates = url_filter.suffix_rates(d, rules)
+    assert rates.count() == 1 + 1 + 200
+    assert url_filter.judge(d, url_filter.train(d, rates, rules), rates, rules).count() == 1000
+
+
 def test_no_labelled_urls_allow(spark):
     d = spark.createDataFrame([(1, "http://x/y")], "page_id long, url string")
-    assert url_filter.judge(d, url_filter.train(d)).first().verdict == "allow"
-    assert url_filter.judge(d.limit(0), url_filter.train(d.limit(0))).isEmpty()
+    for own, n in ((d, 1), (d.limit(0), 0)):
+        rates = url_filter.suffix_rates(own)
+        assert [r.verdict for r in url_filter.judge(own, url_filter.train(own, rates), rates).collect()] == ["allow"] * n
