@@ -2,22 +2,26 @@
 
 Lines are what newlines separate; a line without a word is transparent (it belongs to no run, and goes only when it
 lies inside a deleted one). A *window* is a shortest run of lines with at least ``min_words`` words, by its first or
-by its last line; every repeated run of that many words is a union of windows. Per window the smallest line hash is
-selected: two equal runs of ``min_words`` words hold an equal window and so share a selected fingerprint.
-
-1. Fingerprints selected at more than one position of the corpus are kept (one pre-aggregated count per hash).
-2. Positions are joined with those fingerprints: windows without a repeated fingerprint are done with.
-3. From the matched positions, matches extend both ways: the windows, by first and by last line, around a matched
-   fingerprint whose whole content occurs earlier are repeated, and their union is the maximal repeated run.
+by its last line; every repeated run of that many words is a union of windows.
+
+1. Winnowing: of each window the smallest line hash is selected, the last one among equals. Windows that follow each
+   other mostly select the same line, so few positions are left; two equal runs of ``min_words`` words hold an equal
+   window and so are guaranteed to share a selected fingerprint at the same line of it.
+2. Positions are joined with the fingerprints that are selected at more than one position of the corpus (one
+   pre-aggregated count per fingerprint); the others are done with.
+3. From each matched position the match extends both ways, over the lines before and after it, until a window is
+   full; a window whose lines stand around the same fingerprint earlier is repeated. Windows that overlap or touch are
+   one run: the union is the maximal repeated run.
 4. Later repeated runs are deleted; the first occurrence, in the order of (doc_id, hash of the text, line), stays.
 
 So a line goes if and only if it lies in a run of at least ``min_words`` words that begins earlier in the corpus.
-No pairs are made: a window is compared with the first occurrence of its content only. Joins are sort-merge joins at
-every size, so that plans, and skewed keys that adaptive execution splits, are the same on small and large inputs.
+No pairs are made: what extends a position is compared with the first occurrence of the same lines only. Lines are
+compared by two independent hashes, 128 bits in all. Joins are sort-merge joins at every size, so that plans, and
+skewed keys that adaptive execution splits, are the same on small and large inputs.
 
 Defined cases: a null text stays null and has no lines; null doc_ids come last in the order; rows with equal doc_id
-and text are one document and keep the same lines; an empty table gives an empty table; other columns are carried
-along by ``drop_repeated_lines`` and may have any name.
+and text are one document and keep the same lines; a line of any length is one line; an empty table gives an empty
+table; other columns are carried along by ``drop_repeated_lines`` and may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, packed, split_by_key, unpacked
 
-MIN_WORDS = 25
+#: Words of the shortest run that counts as repeated: a window of ten words, as in decontamination. What is shorter
+#: is a phrase, which texts may share by chance.
+MIN_WORDS = 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,48 +43,47 @@ def _lines(text: Column) -> Column:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """Per document: where its worded lines are, their hashes and words."""
+    """Per document: where its worded lines are, their two hashes and their words."""
     line = F.transform(_lines(F.col("text")), lambda x, i: F.struct(
-        i.alias("at"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+        i.alias("at"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     d = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.filter(line, lambda s: s["w"] > 0).alias("line"))
-    return d.select("doc_id", "hash", F.col("line.at").alias("at"), F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-
+    return d.select("doc_id", "hash", *[F.col(f"line.{c}").alias(c) for c in ("at", "h", "g", "w")])
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, hash, at, first, last, content, fingerprint, place): a row for each window.
 
-    ``first`` and ``last`` are line numbers of the text, ``place`` that of the selected line.
-    """
+def _selected(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, hash, fingerprint, place, around): a row for each selected position. ``place`` is its line, ``around``
+    the windows that selected it, as their lines: structs of at, h and g arrays."""
     n = F.size("w")
 
     def reach(words: Column) -> Column:
         """Lines from the front of ``words`` that hold min_words words; 0 if all don't."""
-        state = F.aggregate(
+        return F.aggregate(
             words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")),
             lambda a, w: F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))),
             lambda a: F.when(a["sum"] >= min_words, a["n"]).otherwise(0),
         )
-        return state
+
+    def chosen(i: Column, m: Column) -> Column:
+        """The window of m lines from line i with the line that it selects, by number from 1; 0 if it is none."""
+        own = F.reverse(F.slice("h", i, m))
+        return F.struct(i.alias("i"), m.alias("n"), F.when(m > 0, i + m - F.array_position(own, F.array_min(own)).cast("int")).otherwise(0).alias("p"))
 
     every = F.sequence(F.lit(1), n)
-    forward = F.transform(every, lambda i: F.struct(i.alias("i"), reach(F.slice("w", i, F.lit(min_words))).alias("n")))
-    back = F.transform(every, lambda j: F.struct(
-        j.alias("j"), reach(F.reverse(F.slice("w", F.greatest(F.lit(1), j - min_words + 1), F.least(j, F.lit(min_words))))).alias("n")))
+    # The window of each first line, and that of each last line unless it is one of a first line, too.
+    forward = F.transform(F.transform(every, lambda i: F.struct(i.alias("i"), reach(F.slice("w", i, F.lit(min_words))).alias("n"))), lambda s: chosen(s["i"], s["n"]))
+    back = F.transform(every, lambda j: F.struct(j.alias("j"), reach(F.reverse(F.slice("w", F.greatest(F.lit(1), j - min_words + 1), F.least(j, F.lit(min_words))))).alias("n")))
     back = F.transform(back, lambda s: F.struct((s["j"] - s["n"] + 1).alias("i"), s["n"].alias("n")))
-    some = lines.filter(n > 0).select("doc_id", "hash", "at", "h", "w", F.explode(F.concat(
-        F.transform(forward, lambda s: F.struct(s["i"].alias("i"), s["n"].alias("n"), F.lit(True).alias("f"))),
-        F.transform(back, lambda s: F.struct(s["i"].alias("i"), s["n"].alias("n"), F.lit(False).alias("f"))),
-    )).alias("s")).filter("s.n > 0")
-    some = some.select("doc_id", "hash", F.col("s.i").alias("i"), F.col("s.f").alias("f"), F.slice("at", F.col("s.i"), F.col("s.n")).alias("at"),
-                       F.slice("h", F.col("s.i"), F.col("s.n")).alias("h"), F.slice("w", F.col("s.i"), F.col("s.n")).alias("w"))
-    # A window by its last line that is one by its first line, too, is there already.
-    some = some.filter("f or aggregate(w, 0, (a, x) -> a + x) - element_at(w, -1) >= %d" % min_words)
-    least = F.array_min("h")
-    return some.select(
-        "doc_id", "hash", F.element_at("at", 1).alias("first"), F.element_at("at", -1).alias("last"),
-        F.xxhash64("h").alias("content"), least.alias("fingerprint"),
-        F.element_at("at", F.array_position("h", least).cast("int")).alias("place"),
-    )
+    within = lambda s: F.aggregate(F.slice("w", s["i"], F.greatest(s["n"] - 1, F.lit(0))), F.lit(0), lambda a, w: a + w)
+    back = F.transform(back, lambda s: chosen(s["i"], F.when(within(s) >= min_words, s["n"]).otherwise(0)))
+    some = lines.filter(n > 0).select("doc_id", "hash", "at", "h", "g", forward.alias("forward"), back.alias("back"))
+    places = F.filter(F.array_distinct(F.concat("forward.p", "back.p")), lambda p: p > 0)
+    # What selects line p begins, or ends, less than min_words lines from it.
+    near = lambda p: F.filter(F.concat(
+        F.slice("forward", F.greatest(p - min_words + 1, F.lit(1)), F.least(p, F.lit(min_words))), F.slice("back", p, F.lit(min_words))), lambda s: s["p"] == p)
+    anchors = F.transform(places, lambda p: F.struct(
+        F.element_at("h", p).alias("fingerprint"), F.element_at("at", p).alias("place"),
+        F.transform(near(p), lambda s: F.struct(*[F.slice(c, s["i"], s["n"]).alias(c) for c in ("at", "h", "g")])).alias("around")))
+    return some.select("doc_id", "hash", F.explode(anchors).alias("a")).select("doc_id", "hash", "a.fingerprint", "a.place", "a.around")
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -86,17 +91,19 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     ``hash`` is xxhash64 of the text; runs are structs of first and last line number, from 0."""
     scratch = Scratch(spark, "line_dedup")
     lines = scratch.write(_signatures(docs.filter("text is not null")), "lines")
-    windows = scratch.write(_windows(lines, min_words), "windows")
+    positions = scratch.write(_selected(lines, min_words), "positions")
     scratch.drop(lines)
     spot = F.xxhash64("doc_id", "hash", "place")
-    shared = windows.groupBy("fingerprint").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("fingerprint")
+    shared = positions.groupBy("fingerprint").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("fingerprint")
     shared = scratch.write(shared, "fingerprints")
-    matched = scratch.write(windows.join(shared.hint("merge"), "fingerprint").select("doc_id", "hash", "first", "last", "content"), "matched")
-    scratch.drop(windows, shared)
+    matched = positions.join(shared.hint("merge"), "fingerprint").select("doc_id", "hash", F.explode("around").alias("x"))
+    matched = scratch.write(matched.select("doc_id", "hash", F.element_at("x.at", 1).alias("first"), F.element_at("x.at", -1).alias("last"),
+                                           F.xxhash64("x.h").alias("content"), F.xxhash64("x.g").alias("content2")), "matched")
+    scratch.drop(positions, shared)
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash", "first")
-    begins = matched.groupBy("content").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
-    begins = scratch.write(begins.filter("earliest < latest").select("content", "earliest"), "earliest")
-    later = matched.join(begins.hint("merge"), "content").filter(order > F.col("earliest")).select("doc_id", "hash", "first", "last")
+    begins = matched.groupBy("content", "content2").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
+    begins = scratch.write(begins.filter("earliest < latest").select("content", "content2", "earliest"), "earliest")
+    later = matched.join(begins.hint("merge"), ["content", "content2"]).filter(order > F.col("earliest")).select("doc_id", "hash", "first", "last")
     # Windows that overlap or touch are one run.
     own = W.partitionBy("doc_id", "hash").orderBy("first", "last")
     later = later.distinct().withColumn("open", F.max("last").over(own.rowsBetween(W.unboundedPreceding, -1)))
@@ -154,7 +161,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(spark, docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
-OP4_SQL = r"""
+OP4_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 worded AS (
@@ -165,10 +172,10 @@ ranked AS (
   FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 whole AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM ranked GROUP BY doc_id),
 spans AS (
-  SELECT a.doc_id, a.i AS i, min(b.i) AS j FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 25
+  SELECT a.doc_id, a.i AS i, min(b.i) AS j FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= {MIN_WORDS}
   GROUP BY a.doc_id, a.i
   UNION
-  SELECT b.doc_id, max(a.i) AS i, b.i AS j FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 25
+  SELECT b.doc_id, max(a.i) AS i, b.i AS j FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= {MIN_WORDS}
   GROUP BY b.doc_id, b.i),
 windows AS (
   SELECT s.doc_id, x.pos AS first, y.pos AS last, array_to_string(ls[s.i:s.j], chr(10)) AS content

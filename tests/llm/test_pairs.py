@@ -278,6 +278,30 @@ def test_line_dedup(spark, seed):
     assert sorted((r.doc_id, r.text, r.n_deleted) for r in got.collect()) == brute_lines(texts, 7)
 
 
+def test_line_dedup_of_a_long_text_of_many_lines(spark):
+    """100,000 different lines, of which the later half stand in another document, too; and one line of 1 MB, twice."""
+    lines = [f"a{i} b{i} c{i} d" for i in range(100_000)]
+    texts = [(1, "\n".join(lines)), (2, "x y\n" + "\n".join(lines[50_000:])), (3, "long " * 200_000), (4, "q\n" + "long " * 200_000)]
+    df = docs_of(spark, texts).withColumn("n_lines", F.lit("x")).withColumn("n_deleted", F.lit("y"))
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark, df).collect()}
+    assert time.perf_counter() - began < 60
+    assert {i: (r.n_lines, r.n_deleted) for i, r in got.items()} == {1: (100_000, 0), 2: (50_001, 50_000), 3: (1, 0), 4: (2, 1)}
+    assert got[2].text == "x y" and got[4].text == "q" and got[1].text == texts[0][1]
+
+
+def test_positions_are_thinned(spark):
+    """One position is selected for several windows, and equal runs select it at the same of their lines."""
+    rng = random.Random(3)
+    line = lambda: " ".join(str(rng.random()) for _ in range(2))
+    shared = [line() for _ in range(30)]
+    texts = [(i, "\n".join([line() for _ in range(20)] + shared + [line() for _ in range(20)])) for i in range(2)]
+    rows = line_dedup._selected(line_dedup._signatures(docs_of(spark, texts)), 10).collect()
+    assert len(rows) < 0.6 * 2 * 66 and sum(len(r.around) for r in rows) >= 2 * 66
+    own = [{(r.fingerprint, r.place) for r in rows if r.doc_id == i and 24 <= r.place < 46} for i in range(2)]
+    assert own[0] == own[1] and len(own[0]) >= 5
+
+
 def test_line_dedup_cases(spark):
     line = " ".join(f"w{i}" for i in range(30))
     texts = [(1, None), (2, ""), (3, f"a\n{line}\nb"), (3, f"a\n{line}\nb"), (None, line), (4, line), (5, f"{line}\n{line}"), (6, "w1\n" * 5000)]
