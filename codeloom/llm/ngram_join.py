@@ -19,6 +19,11 @@ each differing bit stands for at least one differing element, so the count of di
 from above. Pairs that pass, and are not yet in one component of the tile, get the exact intersection of their
 sorted arrays. A tile reports the links that span its components. The components of all tiles' links are exact.
 
+Pivots. Clusters of more than one block meet their pivots first: in each band the few sets whose elements are most
+common in their own blocks, the likely originals. A block and the pivots of its bands are a tile. The component that
+holds most of a cluster after that is its core, of which no two sets need to meet any more: blocks of the core only
+meet blocks of the rest. So the work on a group of copies that are like an original grows with their number.
+
 Defined cases: null and wordless texts are empty sets, linked with nothing; a text of fewer words than a shingle is
 one shingle of all its words; rows with equal texts are one node, whatever their ids; a null doc_id is never a
 component's smallest; a component of null ids only has a null component_id; an empty table gives an empty table.
@@ -40,6 +45,8 @@ from .components import components
 
 #: Elements that one block of a tile holds about.
 BLOCK_WEIGHT = 150_000
+#: Sets of each band of a large cluster that all others are compared with first.
+PIVOTS = 4
 
 #: Elements beyond which a cluster is counted once more: dealing it out in blocks would move more than that.
 REFINE_WEIGHT = 8_000_000
@@ -114,7 +121,7 @@ def _sets(k: int):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             values = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values)))],
+                [*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values)))],
                 ["node", "cluster", "elements"],
             )
 
@@ -131,12 +138,13 @@ def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity) -> list[tuple[int, int]]:
+def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity, labels: list | None = None) -> list[tuple[int, int]]:
     """Links that span the components of a tile. side: 0 within one block, else 1 and 2 for two blocks that meet
-    (pairs of one side belong to another tile)."""
+    (pairs of one side belong to another tile). Sets of one label (not None) are linked already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], dtype=np.int64)
-    parent = list(range(len(order)))
+    first: dict = {}
+    parent = [i if labels is None or labels[x] is None else first.setdefault(labels[x], i) for i, x in enumerate(order)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -176,62 +184,122 @@ def _tiles(rule: Similarity):
     """Rows sorted by tile -> links. A tile's rows follow each other; its weight is bounded."""
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(tile, nodes, sides, sets):
-            links = tile_links(sets, np.array(sides), rule) if len(sets) > 1 else []
+        def done(nodes, sides, labels, sets):
+            links = tile_links(sets, np.array(sides), rule, labels) if len(sets) > 1 else []
             return [(nodes[i], nodes[j]) for i, j in links]
 
-        now, nodes, sides, sets, out = None, [], [], [], []
+        now, rows, out = None, ([], [], [], []), []
         for batch in batches:
-            tile, node, side = (batch.column(c).to_pylist() for c in range(3))
-            lists = batch.column(3)
+            tile, node, side, label = (batch.column(c).to_pylist() for c in range(4))
+            lists = batch.column(4)
             values, cut = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
             for r in range(batch.num_rows):
                 if tile[r] != now:
-                    out += done(now, nodes, sides, sets)
-                    now, nodes, sides, sets = tile[r], [], [], []
-                nodes.append(node[r])
-                sides.append(side[r])
-                sets.append(values[cut[r]:cut[r + 1]].copy())
+                    out += done(*rows)
+                    now, rows = tile[r], ([], [], [], [])
+                for own, x in zip(rows, (node[r], side[r], label[r], values[cut[r]:cut[r + 1]].copy())):
+                    own.append(x)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], ["a", "b"])
                 out = []
-        out += done(now, nodes, sides, sets)
+        out += done(*rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return tiles
 
 
-def _deal(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
-    """(node, cluster, elements) -> (tile, node, side, elements), each node in every tile where it can have a link."""
+def _links(tiles: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+    dealt = tiles.select("tile", "node", "side", "label", "elements").repartition("tile").sortWithinPartitions("tile")
+    return scratch.write(dealt.mapInArrow(_tiles(rule), "a long, b long"), "links")
+
+
+def _dealt(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+    """(node, cluster, elements) -> plus the band of each set and the blocks of its cluster and band. All of a
+    cluster of one block is one band."""
     n = F.size("elements").cast("long")
-    growth = math.log(rule.den / rule.num)
     whole = members.groupBy("cluster").agg(F.sum(n).alias("weight"))
-    rows = members.join(whole, "cluster")
+    rows = members.join(whole, "cluster").withColumn("large", F.col("weight") > BLOCK_WEIGHT)
     # Partners are at most one band apart: a band spans a factor den / num in size.
-    rows = rows.withColumn("band", F.when(F.col("weight") <= BLOCK_WEIGHT, 0).otherwise(F.floor(F.log(n.cast("double")) / F.lit(growth)).cast("int")))
-    rows = scratch.write(rows.select("node", "cluster", "band", "elements"), "members")
-    blocks = rows.groupBy("cluster", "band").agg(F.ceil(F.sum(n) / F.lit(float(BLOCK_WEIGHT))).cast("int").alias("blocks"))
-    blocks = scratch.write(blocks, "blocks")
-    around = blocks.select("cluster", "band", "blocks").join(
-        blocks.select(F.col("cluster"), (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), ["cluster", "band"], "left").join(
-        blocks.select(F.col("cluster"), (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")), ["cluster", "band"], "left")
-    rows = rows.join(around, ["cluster", "band"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-    def name(low_band, low, high_band, high):
-        return F.xxhash64("cluster", low_band, low, high_band, high)
-
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        name(F.col("band"), F.least(o, F.col("block")), F.col("band"), F.greatest(o, F.col("block"))).alias("tile"),
-        F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")))
-    down = F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda o: F.struct(
-        name(F.col("band") - 1, o, F.col("band"), F.col("block")).alias("tile"), F.lit(2).alias("side")))
-    up = F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda o: F.struct(
-        name(F.col("band"), F.col("block"), F.col("band") + 1, o).alias("tile"), F.lit(1).alias("side")))
-    none = F.array().cast("array<struct<tile:bigint,side:int>>")
-    tiles = F.concat(own, F.coalesce(down, none), F.coalesce(up, none))
-    return rows.select(F.explode(tiles).alias("t"), "node", "elements").select("t.tile", "node", "t.side", "elements")
+    band = F.floor(F.log(n.cast("double")) / F.lit(math.log(rule.den / rule.num))).cast("int")
+    return scratch.write(rows.select("node", "cluster", "large", F.when(F.col("large"), band).otherwise(0).alias("band"), "elements"), "members")
+
+
+def _blocks(rows: DataFrame, *kind: str) -> DataFrame:
+    """(cluster, band, kind, blocks): how many blocks each part of a cluster is dealt into."""
+    return rows.groupBy("cluster", "band", *kind).agg(F.ceil(F.sum(F.size("elements").cast("long")) / F.lit(float(BLOCK_WEIGHT))).cast("int").alias("blocks"))
+
+
+def _nearby(parts: DataFrame) -> DataFrame:
+    """Rows of a band -> the same for each band that it can have links with, as ``band``; its own is ``own``."""
+    return parts.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+
+
+def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, node, cluster, band, elements) sorted by tile -> the PIVOTS sets of each tile whose elements are
+    most common in the others of it, with that share over the tile's median one: tiles are not alike."""
+    names = ["node", "cluster", "band", "share"]
+
+    def done(keys, sets):
+        values, times = np.unique(np.concatenate(sets), return_counts=True)
+        share = np.array([(times[np.searchsorted(values, s)].mean() - 1) / max(1, len(sets) - 1) for s in sets])
+        share = share / (np.median(share) or 1.0)
+        return [(*keys[i], float(share[i])) for i in np.argsort(-share, kind="stable")[:PIVOTS]]
+
+    now, keys, sets, out = None, [], [], []
+    for batch in batches:
+        tile, *rest = (batch.column(c).to_pylist() for c in range(4))
+        values, cut = batch.column(4).values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(4).offsets.to_numpy()
+        for r, key in enumerate(zip(*rest)):
+            if tile[r] != now:
+                out += done(keys, sets) if sets else []
+                now, keys, sets = tile[r], [], []
+            keys.append(key)
+            sets.append(values[cut[r]:cut[r + 1]].copy())
+    out += done(keys, sets) if sets else []
+    yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=pa.schema(
+        [("node", pa.int64()), ("cluster", pa.int64()), ("band", pa.int32()), ("share", pa.float64())]))
+
+
+def _pivot_links(rows: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+    """Links of the sets of large clusters with the pivots of their bands: each set is written once."""
+    large = rows.filter("large")
+    blocks = scratch.write(_blocks(large), "blocks")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tile = F.xxhash64("cluster", "band", "block").alias("tile")
+    own = large.join(blocks, ["cluster", "band"]).withColumn("block", block).select(tile, "node", "cluster", "band", "elements")
+    central = own.repartition("tile").sortWithinPartitions("tile").mapInArrow(_central, "node long, cluster long, band int, share double")
+    rank = F.row_number().over(W.partitionBy("cluster", "band").orderBy(F.col("share").desc(), "node"))
+    chosen = scratch.write(central.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("node", "cluster"), "chosen")
+    pivots = scratch.write(large.join(chosen.hint("merge"), ["cluster", "node"]).select("node", "cluster", "band", "elements"), "pivots")
+    none = F.lit(None).cast("long").alias("label")
+    met = _nearby(pivots).join(blocks, ["cluster", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _links(own.select("tile", "node", F.lit(2).alias("side"), none, "elements").unionByName(
+        met.select(tile, "node", F.lit(1).alias("side"), none, "elements")), rule, scratch)
+
+
+def _with_core(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with the label of their component so far, and whether that holds most of their cluster."""
+    own = rows.join(labels.hint("merge"), "node", "left")
+    weight = own.filter("label is not null").groupBy("cluster", "label").agg(F.sum(F.size("elements").cast("long")).alias("n"))
+    most = scratch.write(weight.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("most")), "cores")
+    own = own.join(most, "cluster", "left").withColumn("core", F.coalesce(F.col("label") == F.col("most"), F.lit(False)))
+    return scratch.write(own.drop("most"), "labelled")
+
+
+def _meet(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, cluster, band, core, label, elements) -> (tile, node, side, label, elements), each node in every tile
+    where it can have a link that isn't known."""
+    parts = scratch.write(_blocks(rows, "core"), "blocks")
+    around = _nearby(parts).groupBy("cluster", "band").agg(F.collect_list(F.struct(F.col("own").alias("band"), "core", "blocks")).alias("parts"))  # six at most
+    here = parts.select("cluster", "band", "core", "blocks").join(around, ["cluster", "band"])
+    rows = rows.join(here, ["cluster", "band", "core"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    me = F.struct(F.col("band").alias("band"), F.col("core").alias("core"), F.col("block").alias("block"))
+    others = F.flatten(F.transform(F.filter("parts", lambda p: ~(p["core"] & F.col("core"))), lambda p: F.transform(
+        F.sequence(F.lit(0), p["blocks"] - 1), lambda o: F.struct(p["band"].alias("band"), p["core"].alias("core"), o.alias("block")))))
+    tiles = F.transform(others, lambda o: F.struct(
+        F.xxhash64(F.col("cluster"), F.least(me, o), F.greatest(me, o)).alias("tile"), F.when(o == me, 0).when(me < o, 1).otherwise(2).alias("side")))
+    return rows.select(F.explode(tiles).alias("t"), "node", "label", "elements").select("t.tile", "node", "t.side", "label", "elements")
 
 
 # --- candidates ---------------------------------------------------------------------------------
@@ -297,10 +365,14 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     found, _ = split_by_key(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
     found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("text", "node", "cluster")
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
-    dealt = _deal(_refined(spark, members, rule, scratch), rule, scratch).repartition("tile").sortWithinPartitions("tile")
-    links = scratch.write(dealt.mapInArrow(_tiles(rule), "a long, b long"), "links")
+    rows = _dealt(_refined(spark, members, rule, scratch), rule, scratch)
     scratch.drop(wanted, members)
-    joined = components(spark, links)
+    near = _pivot_links(rows, rule, scratch)
+    labelled = _with_core(rows, components(spark, near), scratch)
+    scratch.drop(rows)
+    links = _links(_meet(labelled, scratch), rule, scratch)
+    scratch.drop(labelled)
+    joined = components(spark, near.unionByName(links))
     led = nodes.select("node", "doc_id").join(joined, "node")
     least = scratch.write(led.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     linked = led.join(least, "label").select("node", "label", "least")

@@ -101,6 +101,47 @@ def test_star_of_near_copies(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_a_large_group_of_near_copies_meets_its_originals_only(spark, monkeypatch):
+    """Sets of a core are written once for the pivots and never again; results stay those of all pairs."""
+    rng = random.Random(7)
+    texts = []
+    for g, n in ((0, 300), (1, 40)):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(n):
+            w = list(base)
+            for p in rng.sample(range(5, 115), 2 if i else 0):
+                w[p] = f"e{g}_{i}_{p}"
+            texts.append((1000 * g + i, " ".join(w)))
+    texts += [(5000 + i, " ".join([f"g0w{j}" for j in range(60)] + [f"z{i}_{j}" for j in range(60)])) for i in range(20)]
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 2000)
+    written = []
+    meet = ngram_join._meet
+
+    def watched(rows, scratch):
+        out = meet(rows, scratch)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_meet", watched)
+    got = ngram_join.similar_groups(spark, docs_of(spark, texts), 3, 90, 100)
+    rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect())
+    assert rows == brute(texts, 3, 90, 100)
+    assert len({r[2] for r in rows}) == 22
+    assert 0 < written[0] < 3 * 340  # all pairs of blocks would write each of 340 sets about 18 times
+
+
+def test_similar_groups_of_a_hundred_thousand_near_copies(spark):
+    """Each differs from one original in a word of its own."""
+    n, words = 100_000, 24
+    base = F.array(*[F.lit(f"w{i}") for i in range(words)])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.array_join(base, " ")).otherwise(
+        F.array_join(F.transform(base, lambda w, i: F.when(i == 23, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(w)), " ")).alias("text"))
+    began = time.perf_counter()
+    got = ngram_join.similar_groups(spark, docs, 3, 90, 100)
+    assert got.filter("component_id <> 0").isEmpty() and got.count() == n
+    assert time.perf_counter() - began < 240
+
+
 def test_bitmap_bound_never_exceeds_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(50):
