@@ -10,16 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import keys
 from ..operators.basic import IGNORE_PATTERNS, is_binary, is_ignored
 
-GIT_SECONDS = 30
-_REF = re.compile(r"^[A-Za-z0-9_.~^/@{}\-]+$")
+GIT_SECONDS = Settings.from_env().git_seconds
+#: Besides letters and digits, what names of revisions are written with: refs, ancestors (~ ^), reflogs (@ { }).
+REF_SIGNS = set("-._/~^@{}")
 
 
 def is_safe_ref(ref: str) -> bool:
-    """Whether a string may be passed to git as a revision."""
-    return bool(_REF.match(ref)) and not ref.startswith("-")
+    """Whether a string may be passed to git as a revision: no option, and no sign that means something elsewhere."""
+    return ref != "" and ref[0] != "-" and all(c in REF_SIGNS or c.isascii() and c.isalnum() for c in ref)
 
 
 def _git(root: str | Path, *args: str) -> str | None:
@@ -75,15 +77,53 @@ def ignore_patterns(root: str | Path, name: str = ".codeloomignore") -> tuple[st
     return (*IGNORE_PATTERNS, *(x.strip() for x in lines if x.strip() and not x.strip().startswith("#")))
 
 
-def read_sources(spark: SparkSession, root: str, patterns: tuple[str, ...] = IGNORE_PATTERNS, paths: list[str] | None = None) -> DataFrame:
+def _wanted(path, patterns: tuple[str, ...]):
+    return ~is_ignored(path, patterns) & (keys.detect_language(path) != "")
+
+
+def _parsed_rows(found: DataFrame) -> DataFrame:
+    rows = found.withColumn("language", keys.detect_language(F.col("file_path"))).filter(~is_binary(F.col("content")))
+    return rows.select("file_path", "content", F.sha2("content", 256).alias("file_hash"), "language")
+
+
+def _relative(base: str):
+    uri = base if re.match(r"^\w+://", base) else os.path.abspath(base)
+    return F.regexp_replace("path", f"^.*?{re.escape(uri)}/", "")
+
+
+def read_sources(spark: SparkSession, root: str, patterns: tuple[str, ...] = IGNORE_PATTERNS, listed: list[str] | None = None) -> DataFrame:
     """(file_path, content, file_hash, language): files of a known language that are neither ignored nor binary,
-    with paths relative to the root. A binaryFile scan: content is read where it is parsed."""
+    with paths relative to the root; only those listed, if a list is given. A binaryFile scan of the whole tree, for
+    full builds: names of files that no language has are left out before any content is read."""
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    uri = base if re.match(r"^\w+://", base) else os.path.abspath(base)
-    relative = F.regexp_replace("path", f"^.*?{re.escape(uri)}/", "")
-    rows = found.select(relative.alias("file_path"), "content").filter(~is_ignored(F.col("file_path"), patterns))
-    if paths is not None:
-        rows = rows.filter(F.col("file_path").isin(*paths) if paths else F.lit(False))
-    rows = rows.withColumn("language", keys.detect_language(F.col("file_path"))).filter("language <> ''")
-    return rows.filter(~is_binary(F.col("content"))).select("file_path", "content", F.sha2("content", 256).alias("file_hash"), "language")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _known_names()).load(base)
+    rows = found.select(_relative(base).alias("file_path"), "content").filter(_wanted(F.col("file_path"), patterns))
+    if listed is not None:
+        rows = rows.join(spark.createDataFrame([(p,) for p in listed], "file_path string"), "file_path", "left_semi")
+    return _parsed_rows(rows)
+
+
+def _known_names() -> str:
+    """A glob of the names of files in known languages, in small and capital letters."""
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*{" + ",".join(either(e) for e in keys.LANGUAGES) + "}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    if not re.match(r"^\w+:", path):
+        return os.path.isfile(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_files(spark: SparkSession, root: str, paths: list[str], patterns: tuple[str, ...] = IGNORE_PATTERNS) -> DataFrame:
+    """The same of the files with the given paths that are there: no other file of the tree is listed or read."""
+    base = root.rstrip("/")
+    named = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    wanted = [r.file_path for r in named.filter(_wanted(F.col("file_path"), patterns)).distinct().collect()]  # paths that were given
+    there = [f"{base}/{p}" for p in wanted if exists(spark, f"{base}/{p}")]
+    if not there:
+        return spark.createDataFrame([], "file_path string, content binary, file_hash string, language string")
+    # A path may hold signs of a glob.
+    found = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there])
+    return _parsed_rows(found.select(_relative(base).alias("file_path"), "content"))
