@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+import threading
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
+from .config import Settings
 from .operators import community
 from .operators.store import GraphStore
 from .plans import tools
@@ -21,8 +23,8 @@ from .streaming import watch as watching
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeloom", description="Code knowledge graphs on Spark.")
-    p.add_argument("--root", default=".", help="the source tree")
-    p.add_argument("--store", default=None, help="where the graph's tables are; .codeloom/graph in the tree by default")
+    p.add_argument("--root", default=None, help="the source tree; CODELOOM_ROOT, else the one around the working folder, by default")
+    p.add_argument("--store", default=None, help="where the graph's tables are; CODELOOM_DATA_DIR, else .codeloom in the tree, by default")
     p.add_argument("--registry", default=str(Path.home() / ".codeloom" / "repos.json"))
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("version", "build", "status", "postprocess", "repos"):
@@ -36,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_parser("visualize").add_argument("--out", default="graph.html")
     sub.add_parser("wiki").add_argument("--out", default="wiki")
     w = sub.add_parser("watch")
-    w.add_argument("events", help="a folder where file events land as JSON lines")
+    w.add_argument("events", nargs="?", help="a folder where file events land as JSON lines; without it the tree itself is followed")
     w.add_argument("--once", action="store_true")
     r = sub.add_parser("register")
     r.add_argument("path")
@@ -65,9 +67,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in registry.list():
             print(r["path"], r.get("alias", ""), sep="\t")
         return 0
-    root = str(tree.project_root(a.root))
+    settings = Settings.from_env()
+    root = str(tree.project_root(a.root or settings.root or "."))
     spark = spark or session()
-    c = tools.Context(spark, GraphStore(spark, a.store or f"{root}/.codeloom/graph"), root)
+    c = tools.Context(spark, GraphStore(spark, a.store or settings.store_path(root)), root, settings=settings)
+    c.store.migrate()
     if a.command == "build":
         print(tools.build_or_update_graph(c, full_rebuild=True))
     elif a.command == "update":
@@ -93,7 +97,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(tools.generate_wiki(c, rows))
     elif a.command == "watch":
         trigger = {"availableNow": True} if a.once else None
-        watching.watch(spark, watching.read_events(spark, a.events), root, c.store, f"{c.store.path}/watch", trigger).awaitTermination()
+        events, stop = a.events or f"{c.store.path}/events", threading.Event()
+        if not a.events:
+            Path(events).mkdir(parents=True, exist_ok=True)
+            watching.follow(root, events, stop, settings.quiet_ms / 1000)
+        try:
+            watching.watch(spark, watching.read_events(spark, events), root, c.store, f"{c.store.path}/watch", trigger, quiet_ms=settings.quiet_ms).awaitTermination()
+        finally:
+            stop.set()
     return 0
 
 

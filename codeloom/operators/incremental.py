@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..config import Settings
 from ..scratch import Scratch
 from ..sources import files as tree
 from ..sources.parser import parse_files, parsed_graph
 from . import store as tables
 from .traverse import file_dependents
 
-DEPENDENT_HOPS = 2
+DEPENDENT_HOPS = Settings.from_env().dependent_hops
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class Built:
     errors: int
 
 
-def _built(g: Graph, parsed: DataFrame) -> Built:
+def _built(parsed: DataFrame) -> Built:
     n = parsed.agg(F.count("*"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)), F.coalesce(F.sum(F.size("edges")), F.lit(0)), F.count("error")).first()
     return Built(*n)
 
@@ -41,27 +41,31 @@ def full_build(spark: SparkSession, root: str, store: tables.GraphStore) -> Buil
     scratch = Scratch(spark, "build")
     listed = tree.tracked_files(root) or None
     parsed = scratch.write(parse_files(tree.read_sources(spark, root, tree.ignore_patterns(root), listed)), "parsed")
-    g = parsed_graph(parsed)
-    store.write_graph(g)
+    store.write_graph(parsed_graph(parsed))
     _note(store, root, "full")
-    return _built(g, parsed)
+    built = _built(parsed)
+    scratch.close()
+    return built
 
 
-def incremental_update(spark: SparkSession, root: str, store: tables.GraphStore, changed: list[str] | None = None, base: str = "HEAD~1") -> Built:
+def incremental_update(spark: SparkSession, root: str, store: tables.GraphStore, changed: list[str] | None = None, base: str = "HEAD~1",
+                       hops: int = DEPENDENT_HOPS) -> Built:
     """Parses changed files and their dependents whose contents differ from the stored ones, and puts them in place
-    of their slices; slices of files that are gone go."""
+    of their slices; slices of files that are gone go. No other file is read, and only the buckets of the store that
+    hold one of these files are written."""
     changed = tree.changed_since(root, base) if changed is None else changed
     if not changed:
         return Built(0, 0, 0, 0)
     scratch = Scratch(spark, "update")
     g = store.graph()
-    named = spark.createDataFrame([(c,) for c in changed], "file_path string")
-    touched = scratch.write(named.unionByName(file_dependents(g, changed, DEPENDENT_HOPS).select("file_path")).distinct(), "touched")
-    present = tree.read_sources(spark, root, tree.ignore_patterns(root)).join(touched, "file_path", "left_semi")
-    gone = touched.join(present.select("file_path"), "file_path", "left_anti")
+    depend = file_dependents(g, changed, hops).select("file_path")
+    touched = sorted({*changed, *(r.file_path for r in depend.collect())})  # paths of the update
+    present = scratch.write(tree.read_files(spark, root, touched, tree.ignore_patterns(root)), "present")
+    gone = spark.createDataFrame([(p,) for p in touched], "file_path string").join(present.select("file_path"), "file_path", "left_anti")
     parsed = scratch.write(parse_files(tables.changed_files(g, present)), "parsed")
     new = parsed_graph(parsed)
-    slices = gone.unionByName(parsed.select("file_path"))
-    store.write_graph(tables.replace_files(g, slices, new.nodes, new.edges))
+    store.replace_slices(gone.unionByName(parsed.select("file_path")), new)
     _note(store, root, "incremental")
-    return _built(new, parsed)
+    built = _built(parsed)
+    scratch.close()
+    return built

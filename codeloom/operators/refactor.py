@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -72,6 +73,11 @@ def rename_edits(g: Graph, old_name: str, new_name: str) -> DataFrame:
     return rows.select("file_path", "line", F.col("name").alias("old"), F.lit(new_name).alias("new"), F.lit("high").alias("confidence"))
 
 
+def edit_stats(edits: DataFrame) -> DataFrame:
+    """(confidence, n): how many edits there are of each confidence."""
+    return edits.groupBy("confidence").agg(F.count("*").alias("n"))
+
+
 # --- applying, on the driver --------------------------------------------------------------------
 
 @dataclass
@@ -81,6 +87,7 @@ class Preview:
     new: str
     edits: list[tuple[str, int]]
     made: float = field(default_factory=time.time)
+    stats: dict[str, int] = field(default_factory=dict)
 
 
 class Refactorings:
@@ -100,7 +107,7 @@ class Refactorings:
         rows = rename_edits(g, old_name, new_name).orderBy("file_path", "line").collect()
         if not rows:
             raise LookupError(f"no node is called {old_name}")
-        own = Preview(uuid.uuid4().hex[:8], rows[0].old, new_name, [(r.file_path, r.line) for r in rows], self.clock())
+        own = Preview(uuid.uuid4().hex[:8], rows[0].old, new_name, [(r.file_path, r.line) for r in rows], self.clock(), dict(Counter(r.confidence for r in rows)))
         self.pending[own.id] = own
         return own
 

@@ -22,9 +22,9 @@ INDEXED = ("name", "qualified_name", "file_path", "signature")
 
 # --- full text ----------------------------------------------------------------------------------
 
-def fts_index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = INDEXED, stem: bool = False) -> DataFrame:
-    """(key, lines, n_tokens): per column the spaced tokens, and all tokens' number. To be written once and read by
-    searches; rebuilt when the nodes change."""
+def fts_index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = INDEXED, stem: bool = True) -> DataFrame:
+    """(key, lines, n_tokens): per column the spaced stems of its tokens, and all tokens' number. To be written once
+    and read by searches; rebuilt when the nodes change."""
     cells = [words.tokens(F.col(c)) for c in columns]
     if stem:
         cells = [words.stems(c) for c in cells]
@@ -34,10 +34,11 @@ def fts_index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = INDEX
         F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.size(c)).alias("n_tokens"))
 
 
-def bm25(index: DataFrame, query: str, limit: int | None = None, key: str = "id", stem: bool = False) -> DataFrame:
+def bm25(index: DataFrame, query: str, limit: int | None = None, key: str = "id", stem: bool = True) -> DataFrame:
     """(key, score) of the rows that hold the whole query as a phrase, best first.
 
-    The phrase counts as one term; its inverse document frequency is at least 1e-6. One pass over the index.
+    The phrase counts as one term; its inverse document frequency is at least 1e-6. The query is stemmed as the
+    index is (``stem`` says how both are made).
     """
     phrase = words.query_tokens(query)
     if stem:
@@ -177,3 +178,6 @@ def embed_nodes(nodes: DataFrame, stored: DataFrame, provider: str, embed) -> Da
     return kept.unionByName(new)
 
 
+def remove_embeddings(stored: DataFrame, names: DataFrame) -> DataFrame:
+    """The vector table without the rows of ``names`` (qualified_name)."""
+    return stored.join(names.select("qualified_name"), "qualified_name", "left_anti")

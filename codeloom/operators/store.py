@@ -1,13 +1,18 @@
-"""Stored tables: upserts, file slices, metadata; written as Parquet in versions that a pointer names.
+"""Stored tables: upserts, file slices, metadata; written as Parquet in versions that one manifest names.
 
-A table's directory holds versions; ``CURRENT`` names the one that counts. A write makes a new version and then
-moves the pointer, so that readers, and a job that dies, never see half a table, and no path is overwritten while
-it is read.
+Nodes and edges are dealt into buckets by their files. The manifest says of each bucket of each table which version
+counts. A write makes new versions of the buckets that it touches and then puts a new manifest in place by a rename:
+readers, and a job that dies, never see half a write, tables written together switch together, and an update of few
+files writes few buckets. Versions that no manifest names any more stay for ``RETAIN_SECONDS``, so that a plan made
+before a write can still be run after it. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions import keys
 from ..graph import Graph
-from ..schema import EDGE, FLOW, MEMBERSHIP, METADATA, NODE, SCHEMA_VERSION, conform
+from ..schema import (ADDED_IN, COMMUNITY, COMMUNITY_SUMMARY, EDGE, FLOW, FLOW_SNAPSHOT, MEMBERSHIP, METADATA, NODE, RISK, SCHEMA_VERSION, VECTOR,
+                      conform)
 
 EDGE_KEY = ("kind", "source_qualified", "target_qualified", "file_path", "line")
 #: Columns of a stored node that an upsert leaves alone.
@@ -84,59 +90,113 @@ def changed_files(g: Graph, current: DataFrame) -> DataFrame:
 class GraphStore:
     """The tables of one graph under a path that all executors see."""
 
-    SCHEMAS = {"nodes": NODE, "edges": EDGE, "metadata": METADATA, "flows": FLOW, "memberships": MEMBERSHIP}
+    SCHEMAS = {"nodes": NODE, "edges": EDGE, "metadata": METADATA, "flows": FLOW, "memberships": MEMBERSHIP, "vectors": VECTOR, "communities": COMMUNITY,
+               "community_summaries": COMMUNITY_SUMMARY, "flow_snapshots": FLOW_SNAPSHOT, "risk": RISK}
+    #: Tables that are dealt into buckets by file_path.
+    BY_FILE = ("nodes", "edges")
+    BUCKETS = 64
+    RETAIN_SECONDS = 3600
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    # --- files
+
     def _fs(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.path}/{table}/CURRENT"
-
-    def current(self, table: str) -> str | None:
-        where, fs = self._fs(self._pointer(table))
+    def manifest(self) -> dict:
+        """{"buckets": n, "tables": {table: {bucket: version}}}"""
+        where, fs = self._fs(f"{self.path}/MANIFEST")
         if not fs.exists(where):
-            return None
+            return {"buckets": self.BUCKETS, "tables": {}}
         stream = fs.open(where)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
+    def _put(self, manifest: dict) -> None:
+        new, fs = self._fs(f"{self.path}/.MANIFEST-{uuid.uuid4().hex}")
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(new, self._fs(f"{self.path}/MANIFEST")[0], rename)
+
+    def vacuum(self, retain: float | None = None) -> int:
+        """Deletes versions that the manifest doesn't name and that are older than ``retain`` seconds; how many."""
+        retain = self.RETAIN_SECONDS if retain is None else retain
+        named, gone = self.manifest()["tables"], 0
+        for table in self.SCHEMAS:
+            where, fs = self._fs(f"{self.path}/{table}")
+            for status in fs.listStatus(where) if fs.exists(where) else ():
+                version = status.getPath().getName()
+                if version not in set(named.get(table, {}).values()) and status.getModificationTime() <= (time.time() - retain) * 1000:
+                    fs.delete(status.getPath(), True)
+                    gone += 1
+        return gone
+
+    # --- tables
+
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")
+
+    def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets. A column that a version lacks, since it was added later, is null."""
         schema: T.StructType = self.SCHEMAS[table]
-        version = self.current(table)
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return conform(self.spark.read.parquet(f"{self.path}/{table}/{version}"), schema)
+        named = self.manifest()["tables"].get(table, {})
+        paths = [f"{self.path}/{table}/{v}/bucket={b}" for b, v in named.items() if buckets is None or int(b) in buckets]
+        return conform(self.spark.read.schema(schema).parquet(*paths), schema) if paths else self.spark.createDataFrame([], schema)
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        before = self.current(table)
+    def _write(self, table: str, rows: DataFrame, buckets: int) -> dict[str, str]:
+        """Writes rows as a new version; {bucket: version} of the buckets that have some."""
         version = uuid.uuid4().hex
-        conform(rows, self.SCHEMAS[table]).write.parquet(f"{self.path}/{table}/{version}")
-        where, fs = self._fs(self._pointer(table))
-        stream = fs.create(where, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        if before:
-            old, fs = self._fs(f"{self.path}/{table}/{before}")
-            fs.delete(old, True)
+        rows = conform(rows, self.SCHEMAS[table])
+        if table in self.BY_FILE:
+            rows = rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket")
+        else:
+            rows = rows.withColumn("bucket", F.lit(0))
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/{table}/{version}")
+        where, fs = self._fs(f"{self.path}/{table}/{version}")
+        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        return {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}
+
+    def write(self, **tables: DataFrame) -> None:
+        """Puts whole tables in place of the stored ones, all at once."""
+        buckets = self.manifest()["buckets"]
+        written = {t: self._write(t, rows, buckets) for t, rows in tables.items()}
+        manifest = self.manifest()
+        manifest["tables"] |= written
+        self._put(manifest)
+        self.vacuum()
 
     def graph(self) -> Graph:
         return Graph(self.read("nodes"), self.read("edges"))
 
     def write_graph(self, g: Graph) -> None:
-        # Both are computed before the first old version goes.
-        from ..scratch import Scratch
-
-        scratch = Scratch(self.spark, "store")
-        nodes, edges = scratch.write(g.nodes, "nodes"), scratch.write(g.edges, "edges")
-        self.write("nodes", nodes)
-        self.write("edges", edges)
-        scratch.close()
+        self.write(nodes=g.nodes, edges=g.edges)
+
+    def replace_slices(self, files: DataFrame, new: Graph) -> None:
+        """Puts the slices of ``files`` (file_path) in place of the stored ones: new ones come from ``new``. Only the
+        buckets of these files are read and written."""
+        before = self.manifest()
+        buckets = [r.b for r in files.select(self._bucket(before["buckets"]).alias("b")).distinct().collect()]  # as many as buckets at most
+        if not buckets:
+            return
+        part = Graph(*(self.read(t, buckets) for t in self.BY_FILE))
+        own = Graph(*(conform(rows, self.SCHEMAS[t]) for t, rows in zip(self.BY_FILE, (new.nodes, new.edges))))
+        merged = replace_files(part, files, own.nodes, own.edges)
+        for table, rows in zip(self.BY_FILE, (merged.nodes, merged.edges)):
+            written = self._write(table, rows, before["buckets"])
+            stored = before["tables"].setdefault(table, {})
+            before["tables"][table] = {b: v for b, v in stored.items() if int(b) not in buckets} | written
+        self._put(before)
+        self.vacuum()
 
     def metadata(self, key: str) -> str:
         row = self.read("metadata").filter(F.col("key") == key).select("value").first()
@@ -147,4 +207,19 @@ class GraphStore:
         new = self.spark.createDataFrame(list(values.items()), "key string, value string")
         kept = self.read("metadata").filter(~F.col("key").isin(*values))
         rows = kept.unionByName(new).collect()  # a row a key
-        self.write("metadata", self.spark.createDataFrame(rows, METADATA))
+        self.write(metadata=self.spark.createDataFrame(rows, METADATA))
+
+    def migrate(self) -> list[int]:
+        """Brings a store of an older schema up to date, version by version; the versions that were applied. Columns
+        added since are null until their rows are written again; tables added since are empty."""
+        if not self.manifest()["tables"]:
+            return []
+        applied = []
+        for version in range(int(self.metadata("schema_version") or 1) + 1, SCHEMA_VERSION + 1):
+            tables, columns = ADDED_IN[version]
+            changed = {t: self.spark.createDataFrame([], self.SCHEMAS[t]) for t in tables if t not in self.manifest()["tables"]}
+            changed |= {t: self.read(t) for t in columns if t in self.manifest()["tables"]}
+            self.write(**changed)
+            self.set_metadata(schema_version=str(version))
+            applied.append(version)
+        return applied

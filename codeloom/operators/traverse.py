@@ -8,6 +8,7 @@ to the shared folder when ``depth`` is large: the lineage stays short, and a los
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from ..scratch import Scratch
 LAZY_LEVELS = 3
 
 
-def reach(seeds: DataFrame, steps: DataFrame, max_depth: int, key: list[str] | None = None) -> DataFrame:
-    """Everything within ``max_depth`` steps of the seeds, with the least ``depth``.
+def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, key: list[str] | None = None) -> DataFrame:
+    """Everything within ``max_depth`` steps of the seeds (None: any number), with the least ``depth``.
 
     seeds: (*key, node), at depth 0. steps: (src, dst). With a key, each key's seeds go their own way: rows are
     unique by (*key, node).
@@ -28,13 +29,13 @@ def reach(seeds: DataFrame, steps: DataFrame, max_depth: int, key: list[str] | N
     key = key or []
     own = [*key, "node"]
     spark = seeds.sparkSession
-    scratch = Scratch(spark, "reach") if max_depth > LAZY_LEVELS else None
+    scratch = Scratch(spark, "reach") if max_depth is None or max_depth > LAZY_LEVELS else None
     frontier = seeds.select(*own).distinct().withColumn("depth", F.lit(0))
     steps = steps.select("src", "dst").distinct()
     if scratch:
         frontier, steps = scratch.write(frontier, "level"), scratch.write(steps, "steps")
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(steps, frontier["node"] == steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select(*own), own, "left_anti").withColumn("depth", F.lit(depth))
         if scratch:
@@ -100,3 +101,11 @@ def file_dependents(g: Graph, files: list[str], hops: int = 2) -> DataFrame:
     seeds = spark.createDataFrame([(f,) for f in files], "node string")
     found = reach(seeds, file_steps(g), hops).filter("depth > 0")
     return found.select(F.col("node").alias("file_path"), "depth")
+
+
+def descendants(g: Graph, names: DataFrame) -> DataFrame:
+    """(ancestor, qualified_name, depth): all that the given nodes (qualified_name) hold, at any depth."""
+    steps = g.edges_of("CONTAINS").select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst"))
+    seeds = names.select(F.col("qualified_name").alias("ancestor"), F.col("qualified_name").alias("node"))
+    found = reach(seeds, steps, None, key=["ancestor"]).filter("depth > 0")
+    return found.select("ancestor", F.col("node").alias("qualified_name"), "depth")

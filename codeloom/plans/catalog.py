@@ -193,6 +193,14 @@ def file_dependents(g: Graph) -> DataFrame:
     return traverse.file_dependents(g, [FILE], 2)
 
 
+@_query(""", walk AS (
+  SELECT qualified_name AS ancestor, qualified_name, 0 AS depth FROM nodes WHERE kind = 'File'
+  UNION SELECT ancestor, target_qualified, depth + 1 FROM walk JOIN edges ON kind = 'CONTAINS' AND source_qualified = walk.qualified_name)
+SELECT ancestor, qualified_name, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0""")
+def contained(g: Graph) -> DataFrame:
+    return traverse.descendants(g, g.nodes.filter("kind = 'File'"))
+
+
 # --- flows --------------------------------------------------------------------------------------
 
 _ENTRY = r"regexp_matches(name, '^main$|^__main__$|^test_|^Test[A-Z]|^on_|^handle_')"
@@ -312,16 +320,24 @@ def suggestions(g: Graph) -> DataFrame:
     return refactor.suggestions(g)
 
 
-@_query(""", target AS (SELECT * FROM nodes WHERE lower(name) LIKE '%auth%' OR lower(qualified_name) LIKE '%auth%' ORDER BY name = 'auth' DESC, qualified_name LIMIT 1),
+_RENAME = """, target AS (SELECT * FROM nodes WHERE lower(name) LIKE '%auth%' OR lower(qualified_name) LIKE '%auth%' ORDER BY name = 'auth' DESC, qualified_name LIMIT 1),
 site AS (
   SELECT file_path, line_start AS line, name, 0 AS rank FROM target
   UNION ALL SELECT e.file_path, e.line, t.name, CASE e.kind WHEN 'CALLS' THEN 1 ELSE 2 END FROM edges e JOIN target t ON e.target_qualified = t.qualified_name
   WHERE e.kind IN ('CALLS', 'IMPORTS_FROM'))
-SELECT DISTINCT file_path, line, name AS old, 'identify' AS new, 'high' AS confidence FROM site""")
+SELECT DISTINCT file_path, line, name AS old, 'identify' AS new, 'high' AS confidence FROM site"""
+
+
+@_query(_RENAME)
 def rename_preview(g: Graph) -> DataFrame:
     return refactor.rename_edits(g, "auth", "identify")
 
 
+@_query(_RENAME.replace("SELECT DISTINCT file_path, line, name AS old, 'identify' AS new, 'high' AS confidence FROM site", "SELECT 'high' AS confidence, count(*) AS n FROM (SELECT DISTINCT file_path, line FROM site)"))
+def rename_stats(g: Graph) -> DataFrame:
+    return refactor.edit_stats(refactor.rename_edits(g, "auth", "identify"))
+
+
 # --- communities and export ---------------------------------------------------------------------
 
 @_query("""SELECT community_id, count(*) AS size, any_value(language) AS dominant_language FROM nodes WHERE community_id IS NOT NULL GROUP BY 1""")
@@ -441,8 +457,15 @@ found AS (
 
 @_query("WITH " + _bm25_sql("doc_id", "documents", ["text"], ["the", "thing"]) + " SELECT key AS doc_id, round(score, 6) AS score FROM found", on_graph=False)
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.fts_index(_table(spark, sf_dir, "documents"), "doc_id", ("text",))
-    return search.bm25(index, "The thing", key="doc_id").withColumn("score", F.round("score", 6))
+    index = search.fts_index(_table(spark, sf_dir, "documents"), "doc_id", ("text",), stem=False)  # SQL has no stemmer
+    return search.bm25(index, "The thing", key="doc_id", stem=False).withColumn("score", F.round("score", 6))
+
+
+@_query("""SELECT vec_id, embedding[1] AS head FROM embeddings WHERE vec_id % 7 <> 0""", on_graph=False)
+def remove_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "qualified_name")
+    kept = search.remove_embeddings(rows, rows.filter("qualified_name % 7 = 0"))
+    return kept.select(F.col("qualified_name").alias("vec_id"), F.element_at("embedding", 1).alias("head"))
 
 
 @_query(", " + _bm25_sql("qualified_name", "nodes", ["name", "qualified_name", "file_path"], ["auth"]) + " SELECT key AS qualified_name, round(score, 6) AS score FROM found")

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..graph import Graph
 from ..operators import basic, community, export, flows, hints, incremental, refactor, search, traverse
 from ..operators.store import GraphStore
@@ -26,6 +27,7 @@ class Context:
     index: DataFrame | None = None
     refactorings: refactor.Refactorings = field(default_factory=refactor.Refactorings)
     session: hints.Session = field(default_factory=hints.Session)
+    settings: Settings = field(default_factory=Settings.from_env)
 
     @property
     def graph(self) -> Graph:
@@ -37,15 +39,17 @@ def _changed(c: Context, files: list[str] | None, base: str) -> list[str]:
 
 
 def build_or_update_graph(c: Context, full_rebuild: bool = False, base: str = "HEAD~1") -> incremental.Built:
-    return incremental.full_build(c.spark, c.root, c.store) if full_rebuild else incremental.incremental_update(c.spark, c.root, c.store, base=base)
+    return incremental.full_build(c.spark, c.root, c.store) if full_rebuild else incremental.incremental_update(
+        c.spark, c.root, c.store, base=base, hops=c.settings.dependent_hops)
 
 
 def get_minimal_context(c: Context) -> DataFrame:
     return basic.graph_stats(c.graph).select("total_nodes", "total_edges", "files_count", "languages")
 
 
-def get_impact_radius(c: Context, changed_files: list[str], max_depth: int = 2, max_nodes: int = 500) -> traverse.Impact:
-    return traverse.impact_radius(c.graph, changed_files, max_depth, max_nodes)
+def get_impact_radius(c: Context, changed_files: list[str], max_depth: int | None = None, max_nodes: int | None = None) -> traverse.Impact:
+    return traverse.impact_radius(c.graph, changed_files, c.settings.impact_depth if max_depth is None else max_depth,
+                                  c.settings.impact_nodes if max_nodes is None else max_nodes)
 
 
 def query_graph(c: Context, query_type: str, target: str) -> DataFrame:
@@ -58,13 +62,16 @@ def query_graph(c: Context, query_type: str, target: str) -> DataFrame:
     raise ValueError(f"unknown query type {query_type}")
 
 
-def semantic_search_nodes(c: Context, query: str, kind: str | None = None, limit: int = 20, context_files: list[str] | None = None) -> DataFrame:
+def semantic_search_nodes(c: Context, query: str, kind: str | None = None, limit: int | None = None, context_files: list[str] | None = None) -> DataFrame:
     vector = c.embed_query(query) if c.embed_query and c.vectors is not None else None
-    return search.hybrid_search(c.graph, query, c.index, c.vectors, vector, kind, limit, context_files)
+    return search.hybrid_search(c.graph, query, c.index, c.vectors, vector, kind, c.settings.search_results if limit is None else limit, context_files)
 
 
 def list_graph_stats(c: Context) -> DataFrame:
-    return basic.graph_stats(c.graph).withColumn("last_updated", F.lit(c.store.metadata("last_updated")))
+    """Totals, when the graph was last updated, and how many rows have text and vector entries."""
+    stats = basic.graph_stats(c.graph).withColumn("last_updated", F.lit(c.store.metadata("last_updated")))
+    count = lambda t: 0 if t is None else t.count()
+    return stats.withColumns({"text_entries": F.lit(count(c.index)), "vector_entries": F.lit(count(c.vectors))})
 
 
 def find_large_functions(c: Context, min_lines: int = 50, kind: str | None = None, limit: int = 50) -> DataFrame:
@@ -121,8 +128,19 @@ def find_dead_code(c: Context, kind: str | None = None, file_pattern: str | None
     return refactor.dead_code(c.graph, kind, file_pattern)
 
 
+def _flow_parts(c: Context) -> tuple[DataFrame | None, DataFrame | None]:
+    """(entry, criticality, depth) and (entry, node) of the stored flows; None if none are stored."""
+    if _stored_flows(c).isEmpty():
+        return None, None
+    named = c.graph.nodes.select("id", "qualified_name")
+    entries = _stored_flows(c).select(F.col("id").alias("flow_id"), F.col("entry_point_id").alias("id"), "criticality", "depth").join(named, "id")
+    entries = entries.select("flow_id", F.col("qualified_name").alias("entry"), "criticality", "depth")
+    members = c.store.read("memberships").join(entries, "flow_id").select("entry", F.col("node_id").alias("id")).join(named, "id")
+    return entries.drop("flow_id"), members.select("entry", F.col("qualified_name").alias("node"))
+
+
 def generate_wiki(c: Context, communities: DataFrame) -> dict[str, int]:
-    return community.write_pages(community.pages(c.graph, communities), c.wiki)
+    return community.write_pages(community.pages(c.graph, communities, *_flow_parts(c)), c.wiki)
 
 
 def get_wiki_page(c: Context, page_name: str) -> str | None:
@@ -139,9 +157,8 @@ def rebuild_fts_index(c: Context, path: str) -> int:
 def postprocess(c: Context) -> int:
     """Traces and stores all flows; their number."""
     g = c.graph
-    built = flows.build_flows(g, flows.trace(g))
-    c.store.write("flows", built)
-    c.store.write("memberships", flows.memberships(_stored_flows(c)))
+    c.store.write(flows=flows.build_flows(g, flows.trace(g, c.settings.flow_depth)))
+    c.store.write(memberships=flows.memberships(_stored_flows(c)))
     return _stored_flows(c).count()
 
 

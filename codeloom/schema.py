@@ -50,6 +50,12 @@ RISK = _struct(
     ("last_computed", T.TimestampType()))
 
 SCHEMA_VERSION = 6
+#: What each version of the schema added: tables, and tables with new columns. Version 5 is that of the text index,
+#: which is built from the nodes.
+ADDED_IN: dict[int, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    2: ((), ("nodes",)), 3: (("flows", "memberships"), ()), 4: (("communities",), ("nodes",)), 5: ((), ()),
+    6: (("community_summaries", "flow_snapshots", "risk"), ()),
+}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

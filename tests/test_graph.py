@@ -1,6 +1,9 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import porter
 from codeloom.graph import Graph
 from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, traverse
 from codeloom.plans import catalog
@@ -245,8 +248,8 @@ def test_communities(spark, tmp_path):
                                  "id long, name string, cohesion double, size long, dominant_language string, description string")
     pages = {r.id: r for r in community.pages(g, rows).collect()}
     assert [pages[i].slug for i in range(3)] == ["core-api", "core-api-2", "empty"]
-    assert "| f00 | Function | a.py | 1-10 |" in pages[0].page and "more members" in pages[0].page and "- `ext` (2 edge(s))" in pages[0].page
-    assert "No members found." in pages[2].page and "No cross-community dependencies detected." in pages[2].page and "Second" in pages[1].page
+    assert "| f00 | Function | a.py | 1-10 |" in pages[0].page and "others)" in pages[0].page and "2 x `ext`" in pages[0].page
+    assert "It is empty." in pages[2].page and "It stands alone." in pages[2].page and "Second" in pages[1].page
     made = community.write_pages(community.pages(g, rows), tmp_path)
     assert made == {"generated": 4, "updated": 0, "unchanged": 0}
     assert community.write_pages(community.pages(g, rows), tmp_path) == {"generated": 0, "updated": 0, "unchanged": 4}
@@ -333,8 +336,74 @@ def test_store_round_trip(spark, tmp_path):
     s.set_metadata(test_key="test_value")
     s.set_metadata(other="1")
     assert names(s.graph().nodes) == ["a.py::f"] and s.metadata("test_key") == "test_value"
+    before = s.graph().nodes
     s.write_graph(Graph(s.graph().nodes.withColumn("name", F.lit("z")), s.graph().edges))  # reads what it replaces
-    assert names(s.graph().nodes, "name") == ["z"]
+    assert names(s.graph().nodes, "name") == ["z"] and names(before, "name") == ["f"]  # a plan made before still runs
+    assert s.vacuum(0) > 0 and names(s.graph().nodes, "name") == ["z"] and s.vacuum(0) == 0
+
+
+def test_slices_write_their_buckets_only(spark, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path / "g"))
+    s.write_graph(graph(spark, [dict(name=f"f{i}", file=f"{i}.py") for i in range(200)], [("CALLS", f"{i}.py::f{i}", "x") for i in range(200)]))
+    first = s.manifest()["tables"]
+    new = graph(spark, [dict(name="g", file="7.py")], [("CALLS", "7.py::g", "y")])
+    s.replace_slices(spark.createDataFrame([("7.py",), ("8.py",)], "file_path string"), new)
+    second = s.manifest()["tables"]
+    for table in ("nodes", "edges"):
+        assert sum(second[table].get(b) != v for b, v in first[table].items()) <= 2
+    want = sorted([f"{i}.py::f{i}" for i in range(200) if i not in (7, 8)] + ["7.py::g"])
+    assert names(s.graph().nodes) == want and names(s.graph().edges, "source_qualified") == want
+
+
+def test_older_stores_are_brought_up_to_date(spark, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path / "g"))
+    assert s.migrate() == []
+    s.write_graph(graph(spark, [dict(name="f")]))
+    s.set_metadata(schema_version="3")
+    assert s.migrate() == [4, 5, 6] and s.migrate() == [] and s.metadata("schema_version") == "6"
+    assert {"communities", "risk"} <= set(s.manifest()["tables"]) and names(s.graph().nodes) == ["a.py::f"]
+
+
+def test_descendants(spark):
+    g = graph(spark, [dict(name="a.py", kind="File"), dict(name="C", kind="Class"), dict(name="m")],
+              [("CONTAINS", "a.py", "a.py::C"), ("CONTAINS", "a.py::C", "a.py::m"), ("CONTAINS", "a.py::m", "a.py"), ("CALLS", "a.py::C", "x")])
+    got = {(r.ancestor, r.qualified_name): r.depth for r in traverse.descendants(g, g.nodes.filter("kind = 'File'")).collect()}
+    assert got == {("a.py", "a.py::C"): 1, ("a.py", "a.py::m"): 2}
+
+
+def test_search_finds_other_forms_of_a_word(spark):
+    g = graph(spark, [dict(name="send_request"), dict(name="handle_requests"), dict(name="requesting_user"), dict(name="other")])
+    index = search.fts_index(g.nodes, "qualified_name")
+    hits = {r.qualified_name for r in search.bm25(index, "Requests", key="qualified_name").collect()}
+    assert hits == {"a.py::send_request", "a.py::handle_requests", "a.py::requesting_user"}
+    assert search.hybrid_search(g, "requested", index).count() == 3
+    assert search.bm25(search.fts_index(g.nodes, "qualified_name", stem=False), "requests", key="qualified_name", stem=False).count() == 1
+
+
+def test_stemmed_scores_by_brute_force(spark):
+    texts = ["connection connected connecting", "connect the dots", "nothing here", None, "connections " * 5 + "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.score for r in search.bm25(search.fts_index(rows, "id", ("text",)), "connective").collect()}
+    stems = [[porter(w) for w in (t or "").split()] for t in texts]
+    f = [s.count(porter("connective")) for s in stems]
+    mean, df = sum(map(len, stems)) / 5, sum(x > 0 for x in f)
+    idf = max(math.log((5 - df + 0.5) / (df + 0.5)), 1e-6)
+    assert got == pytest.approx({i: idf * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * len(stems[i]) / mean)) for i, x in enumerate(f) if x})
+
+
+def test_resolution_of_a_name_that_everybody_has(spark):
+    """Two thousand files ask for a name that two thousand nodes have."""
+    n = 2000
+    nodes = spark.range(n).select(F.concat(F.lit("d/"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".ts").otherwise(".tsx")).alias("file_path"))
+    nodes = nodes.select("file_path", F.lit("run").alias("name"), F.lit("Function").alias("kind"), F.concat("file_path", F.lit("::run")).alias("qualified_name"))
+    callers = spark.range(n).select(F.concat(F.lit("d/"), F.col("id").cast("string"), F.lit(".ts")).alias("file_path"))
+    callers = callers.select("file_path", F.lit("call").alias("name"), F.lit("Function").alias("kind"), F.concat("file_path", F.lit("::call")).alias("qualified_name"))
+    edges = callers.select(F.lit("CALLS").alias("kind"), F.col("qualified_name").alias("source_qualified"), F.lit("run").alias("target_qualified"), "file_path", F.lit(1).alias("line"))
+    got = export.resolve_edges(Graph(nodes.unionByName(callers), edges)).collect()
+    assert len(got) == n
+    for r in got:  # 7.ts has no run of its own, but 7.tsx begins with its path
+        i = int(r.file_path[2:-3])
+        assert r.target_qualified == f"d/{i}.{'ts' if i % 2 == 0 else 'tsx'}::run"
 
 
 # --- sessions -----------------------------------------------------------------------------------

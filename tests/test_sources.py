@@ -4,7 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import incremental
+from codeloom.operators import export, incremental
 from codeloom.operators.store import GraphStore
 from codeloom.plans import tools
 from codeloom.sources import files as tree
@@ -113,7 +113,7 @@ def content(g):
     return (sorted((r.kind, r.qualified_name, r.file_hash) for r in g.nodes.collect()), sorted((r.kind, r.source_qualified, r.target_qualified, r.line) for r in g.edges.collect()))
 
 
-def test_build_update_and_tools(spark, tmp_path):
+def test_build_update_and_tools(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     (root / "pkg").mkdir(parents=True)
     (root / "node_modules").mkdir()
@@ -137,8 +137,14 @@ def test_build_update_and_tools(spark, tmp_path):
     git(root, "add", "-A")
     git(root, "commit", "-qm", "two")
     assert sorted(tree.changed_since(root)) == ["pkg/b.py", "pkg/c.py"]
+    asked = []
+    read = tree.read_files
+    monkeypatch.setattr(tree, "read_files", lambda s, r, paths, patterns: asked.append(paths) or read(s, r, paths, patterns))
+    monkeypatch.setattr(tree, "read_sources", None)  # a scan of the tree would fail
     updated = incremental.incremental_update(spark, str(root), store)
     assert updated.files == 1  # what hasn't changed isn't parsed again
+    assert asked == [["pkg/b.py", "pkg/c.py"]]
+    monkeypatch.undo()
     after = content(store.graph())
     assert {r.qualified_name: r.id for r in store.graph().nodes.collect()}["pkg/a.py::main"] == ids["pkg/a.py::main"]
     incremental.full_build(spark, str(root), store)
@@ -155,6 +161,13 @@ def test_build_update_and_tools(spark, tmp_path):
     assert tools.call(c, "semantic_search_nodes", query="helper")[0].first().name == "helper"
     assert tools.postprocess(c) == 0  # raw calls don't resolve
     assert tools.call(c, "list_flows")[0].isEmpty()
+    store.write_graph(export.resolved_graph(store.graph()))
+    assert tools.postprocess(c) == 1
+    pages = store.graph().nodes.withColumn("community_id", F.lit(1))
+    store.write(nodes=pages)
+    named = spark.createDataFrame([(1, "all", 0.5, 5, "python", None)], "id long, name string, cohesion double, size long, dominant_language string, description string")
+    assert tools.call(c, "generate_wiki", communities=named)[0]["generated"] == 2
+    assert "1. `main`, weighs" in tools.call(c, "get_wiki_page", page_name="all")[0]
     assert tools.call(c, "detect_changes")[0].first().changed_files == 2
     with pytest.raises(ValueError):
         tools.call(c, "query_graph", query_type="x", target="y")

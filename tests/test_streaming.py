@@ -1,5 +1,7 @@
 import json
 import os
+import threading
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -36,6 +38,58 @@ def test_watch_keeps_the_graph_up_to_date(spark, tmp_path):
     assert store.metadata("last_updated")
 
 
+def test_watch_waits_until_a_file_has_settled(spark, tmp_path):
+    """A burst of writes is one refresh, the last event without a successor is applied, and no other file is read."""
+    root, events = tmp_path / "src", tmp_path / "events"
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    pass\n")
+    store, batches = GraphStore(spark, str(tmp_path / "store")), []
+    events.mkdir()
+    rows = watch.relevant(watch.read_events(spark, str(events)))
+    seen = watch.settled(rows, 1500).writeStream.foreachBatch(lambda d, n: batches.extend(d.collect())).option("checkpointLocation", str(tmp_path / "cp0"))
+    q = seen.trigger(processingTime="100 milliseconds").start()
+    for k in range(4):
+        land(events, f"{k}.json", [("a.py", "write", 100 * k), ("b.py", "write", 0)] if k < 3 else [("b.py", "remove", 500)])
+        time.sleep(0.05)
+    until(lambda: len(batches) == 2)
+    time.sleep(2)
+    q.stop()
+    assert sorted((r.path, r.op) for r in batches) == [("a.py", "write"), ("b.py", "remove")]
+    q = watch.watch(spark, watch.read_events(spark, str(events)), str(root), store, str(tmp_path / "cp"), quiet_ms=200)
+    until(lambda: store.graph().nodes.count() == 2)
+    q.stop()
+
+
+def until(done, seconds=90):
+    began = time.monotonic()
+    while not done():
+        assert time.monotonic() - began < seconds
+        time.sleep(0.2)
+
+
+def test_changes_of_a_tree_become_events(tmp_path):
+    root, folder = tmp_path / "src", tmp_path / "events"
+    (root / "node_modules").mkdir(parents=True)
+    (root / "node_modules/x.js").write_text("x")
+    (root / "a.py").write_text("a")
+    state = watch.tree_state(root)
+    assert set(state) == {"a.py"} and watch.land_changes(root, folder, state) == state and not folder.exists()
+    (root / "new/deep").mkdir(parents=True)
+    (root / "new/deep/b.py").write_text("b")
+    (root / "a.py").write_text("changed")
+    state = watch.land_changes(root, folder, state)
+    (root / "a.py").unlink()
+    watch.land_changes(root, folder, state)
+    said = [json.loads(line) for f in sorted(folder.iterdir()) for line in f.read_text().splitlines()]
+    assert sorted((e["path"], e["op"]) for e in said) == [("a.py", "remove"), ("a.py", "write"), ("new/deep/b.py", "create")]
+    stop = threading.Event()
+    thread = watch.follow(root, folder, stop, 0.05)
+    (root / "c.py").write_text("c")
+    until(lambda: any("c.py" in f.read_text() for f in folder.glob("*.json")), 10)
+    stop.set()
+    thread.join(5)
+
+
 def test_debounce(spark, tmp_path):
     land(tmp_path / "e", "1.json", [("a.py", "write", ms) for ms in (0, 100, 350, 1000)] + [("b.py", "write", 0)])
     land(tmp_path / "e", "2.json", [("z.py", "write", 60_000)])
