@@ -44,7 +44,7 @@ from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, split
 from .components import components
 
 #: Elements that one block of a tile holds about.
-BLOCK_WEIGHT = 150_000
+BLOCK_WEIGHT = 50_000
 #: Sets of each band of a large cluster that all others are compared with first.
 PIVOTS = 4
 
