@@ -173,9 +173,9 @@ def words_of(texts: list[str | None], separators: bytes) -> Words:
 # --- Arrow batches ------------------------------------------------------------------------------
 
 def text_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows where they have Spark's default size."""
+    """Lowers the session's Arrow batches to BATCH_ROWS rows at most."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 

@@ -3,16 +3,18 @@
 A text is cut into chains: its lines, long ones every ``CHAIN`` words. A word's features are its affixes, its letter
 n-grams and itself (the lexicon), hashed into a table of weights per language; transitions between the languages of
 neighbouring words are learned, too. Forward-backward gives every word of every text a distribution over languages;
-a document's language is the one with the most words by that measure, and its score is that share.
+``tag_words`` labels the stretches of a code-switched text with them. A document's language is the one with the most
+words by that measure, its score that share, and its certainty the mean of the words' greatest probabilities: a text
+in several known languages has a low score, one in none of them a low certainty.
 
-The field is fitted with numpy on whole texts of ``TRAIN_DOCS`` labelled documents per language at most (the first by
-a hash of doc_id, of up to ``TRAIN_CHARS`` characters each). Every word of a training document has the document's
+The field is fitted with numpy on whole texts of ``TRAIN_DOCS`` labelled documents per language and ``TRAIN_ALL`` in
+all at most (the first by a hash of doc_id, of up to ``TRAIN_CHARS`` characters each). Every word of a training document has the document's
 language; so that transitions are learned, half of the chains are joined from pieces of two languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in code
 point order; a null lang isn't learned from; a null doc_id counts as the empty text for the held-out fold; without
 any labelled document everything is ``und``; equal rows have equal results; an empty table gives an empty table;
-other columns are carried along by ``tag`` and may have any name.
+other columns are carried along by ``tag`` and ``tag_words`` and may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, mix64, text_batches
 
-TRAIN_DOCS, TRAIN_CHARS = 150, 20_000
+TRAIN_DOCS, TRAIN_ALL, TRAIN_CHARS = 150, 6000, 20_000
 CHAIN = 256
 BUCKETS = 1 << 16
 ROUNDS = 24
@@ -67,9 +69,15 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (mix64(np.concatenate(hashes)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def lowered(text: str) -> str:
+    """The text in small letters, character by character: places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def tokens(text: str | None) -> list[str]:
     """Letter words and the newlines between them."""
-    return _TOKEN.findall(text.lower()) if text else []
+    return _TOKEN.findall(lowered(text)) if text else []
 
 
 # --- forward-backward ---------------------------------------------------------------------------
@@ -220,20 +228,47 @@ class Tagger:
         marginal, _, _ = forward_backward(self.table[ids[word]], start, lengths, self.step, self.init)
         return marginal, doc[word], split
 
-    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and certainty of each text."""
         if not self.field.labels:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        marginal, doc, split = self.marginals(texts)
-        sums = np.stack([np.bincount(doc, marginal[:, k], len(texts)) for k in range(len(self.field.labels))], axis=1)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        return self._summary(*self.marginals(texts))
+
+    def _summary(self, marginal: np.ndarray, doc: np.ndarray, split: list[list[str]]) -> tuple[list[str], list[float], list[float]]:
+        n_labels, n = len(self.field.labels), len(split)
+        sums = np.stack([np.bincount(doc, marginal[:, k], n) for k in range(n_labels)], axis=1)
         best, total = sums.argmax(axis=1), sums.sum(axis=1)
         # \w without digits holds a few signs that aren't letters.
-        found = [n > 0 and any(c.isalpha() for w in s for c in w) for n, s in zip(total.tolist(), split)]
-        score = sums[np.arange(len(texts)), best] / np.maximum(total, 1e-9)
-        return (
-            [self.field.labels[b] if f else "und" for b, f in zip(best.tolist(), found)],
-            [min(1.0, max(0.0, s)) if f else 0.0 for s, f in zip(score.tolist(), found)],
-        )
+        found = [t > 0 and any(c.isalpha() for w in s for c in w) for t, s in zip(total.tolist(), split)]
+        score = sums[np.arange(n), best] / np.maximum(total, 1e-9)
+        certainty = np.bincount(doc, marginal.max(axis=1, initial=0.0), n) / np.maximum(np.bincount(doc, minlength=n), 1)
+        within = lambda values: [min(1.0, max(0.0, v)) if f else 0.0 for v, f in zip(values.tolist(), found)]
+        return [self.field.labels[b] if f else "und" for b, f in zip(best.tolist(), found)], within(score), within(certainty)
+
+    def stretches(self, texts: list[str | None]) -> tuple[list[list[dict]], tuple[list[str], list[float], list[float]]]:
+        """Of each text the stretches of words in one language (start and end in characters, lang, words, and
+        their mean probability), and what ``documents`` says of it, from the same marginals."""
+        if not self.field.labels:
+            return [[] for _ in texts], self.documents(texts)
+        marginal, doc, split = self.marginals(texts)
+        label, probability = marginal.argmax(axis=1).tolist(), marginal.max(axis=1, initial=0.0).tolist()
+        out, k = [], 0
+        for text in texts:
+            own: list[dict] = []
+            for m in _TOKEN.finditer(lowered(text)) if text else ():
+                if m[0] == "\n":
+                    continue
+                lang = self.field.labels[label[k]]
+                if own and own[-1]["lang"] == lang:
+                    own[-1]["end"], own[-1]["words"], own[-1]["probability"] = m.end(), own[-1]["words"] + 1, own[-1]["probability"] + probability[k]
+                else:
+                    own.append({"start": m.start(), "end": m.end(), "lang": lang, "words": 1, "probability": probability[k]})
+                k += 1
+            for stretch in own:
+                stretch["probability"] = min(1.0, stretch["probability"] / stretch["words"])
+            out.append(own)
+        summary = self._summary(marginal, doc, split)
+        return [own if lang != "und" else [] for own, lang in zip(out, summary[0])], summary
 
     def words(self, text: str | None) -> list[tuple[str, str]]:
         """Each word of a text with its own language: the labelling of code-switched text."""
@@ -253,7 +288,7 @@ def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Fi
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     first = F.row_number().over(W.partitionBy("lang").orderBy("_k", "_x"))
     ids = rows.select("doc_id", "lang", key.alias("_k"), F.xxhash64("text").alias("_x")).withColumn("_n", first).filter(F.col("_n") <= per_language)
-    ids = [(r._x, r.lang) for r in ids.select("_x", "lang").collect()]  # per_language rows a language at most
+    ids = [(r._x, r.lang) for r in ids.orderBy("_n", "_k", "_x", "lang").limit(TRAIN_ALL).select("_x", "lang").collect()]  # TRAIN_ALL rows at most
     if not ids:
         return Field([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
     spark = docs.sparkSession
@@ -263,9 +298,9 @@ def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Fi
     return fit([(r.text, r.lang) for r in found])
 
 
-def tag(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score (in place of columns of these names)."""
-    docs = docs.drop("lang_pred", "score")
+def _applied(docs: DataFrame, field: Field, added: list[T.StructField], make) -> DataFrame:
+    """The rows of ``docs`` with columns added (in place of those of their names): make(tagger, texts) -> arrays."""
+    docs = docs.drop(*[f.name for f in added])
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     text = docs.columns.index("text")
@@ -273,15 +308,35 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in chunks(batches, "text"):
-            langs, scores = tagger.documents(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            columns = make(tagger, batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in added)])
+
+    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, *added]))
+
+
+_SUMMARY = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())]
+_STRETCH = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("probability", pa.float64())])
+
+
+def tag(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs`` with lang_pred, score and certainty."""
+    return _applied(docs, field, _SUMMARY, lambda tagger, texts: [pa.array(x) for x in tagger.documents(texts)])
+
+
+def tag_words(docs: DataFrame, field: Field) -> DataFrame:
+    """The same with ``stretches``, the runs of words in one language: structs of start and end (characters of the
+    text, end excluded), lang, words and probability."""
+
+    def make(tagger: Tagger, texts: list[str | None]) -> list[pa.Array]:
+        stretches, summary = tagger.stretches(texts)
+        return [*(pa.array(x) for x in summary), pa.array(stretches, type=pa.list_(_STRETCH))]
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(apply, schema)
+    kind = T.ArrayType(T.StructType.fromDDL("start int, end int, lang string, words int, probability double"))
+    return _applied(docs, field, [*_SUMMARY, T.StructField("stretches", kind)], make)
 
 
 def with_language(docs: DataFrame, field: Field, least: float) -> DataFrame:
-    """The rows of ``docs`` whose language is known, with a score of ``least`` or more."""
+    """The rows of ``docs`` whose language is known, with a certainty of ``least`` or more."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     text = docs.columns.index("text")
@@ -289,8 +344,8 @@ def with_language(docs: DataFrame, field: Field, least: float) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in chunks(batches, "text"):
-            langs, scores = tagger.documents(batch.column(text).to_pylist())
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], type=pa.bool_()))
+            langs, _, certainty = tagger.documents(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([x != "und" and c >= least for x, c in zip(langs, certainty)], type=pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)
 

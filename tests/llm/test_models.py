@@ -65,17 +65,51 @@ def test_language_id(spark):
     said = [lang for _, lang in tagger.words(mixed)]
     assert said[:15].count("aa") >= 13 and said[-15:].count("bb") >= 13
     odd = [None, "", "123 !", "²", "thing\n\nthing", "thing " * 3000, "x" * 50_000]
-    langs, scores = tagger.documents(odd)
+    langs, scores, certainty = tagger.documents(odd)
+    assert certainty[:4] == [0.0] * 4 and all(c >= s - 1e-6 for c, s in zip(certainty, scores))
     assert langs[:4] == ["und"] * 4 and scores[:4] == [0.0] * 4 and langs[4] == langs[5] == "aa"
     assert tagger.documents(odd) == language_id.Tagger(field).documents(odd)
     kept = language_id.with_language(d.limit(3).unionByName(spark.createDataFrame([(900, None, None, None, None)], d.schema)), field, 0.35)
     assert kept.columns == d.columns and kept.count() == 3
 
 
+def test_stretches_of_code_switched_text(spark):
+    d = docs(spark)
+    field = language_id.train(d, F.lit(True))
+    rng = random.Random(5)
+    parts = [text(rng, lang, 25) for lang in ("aa", "bb", "cc")]
+    # A letter whose small form is two characters doesn't move the places.
+    texts = [" ".join(parts), "İ " + parts[0] + " -- 12\n" + parts[1], None, "", "½ ½", parts[2]]
+    rows = language_id.tag_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("stretches", F.lit(1)), field).orderBy("doc_id").collect()
+    plain = language_id.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).orderBy("doc_id").collect()
+    for r, p in zip(rows, plain):
+        assert (r.lang_pred, r.score, r.certainty) == (p.lang_pred, p.score, p.certainty)
+        assert all(a.end <= b.start and a.lang != b.lang for a, b in zip(r.stretches, r.stretches[1:])) and all(0 < s.probability <= 1 for s in r.stretches)
+        assert sum(s.words for s in r.stretches) == (len(re.findall(r"[^\W\d_]+", r.text)) if r.lang_pred != "und" else 0)
+    assert [r.stretches for r in rows[2:5]] == [[], [], []]
+    longest = sorted(sorted(rows[0].stretches, key=lambda s: -s.words)[:3], key=lambda s: s.start)
+    assert [s.lang for s in longest] == ["aa", "bb", "cc"] and min(s.words for s in longest) > 15
+    at = len(parts[0]) + 1
+    assert abs(longest[1].start - at) < 60
+    # Three languages in equal parts have a low score, yet they are known.
+    assert rows[0].score < 0.5 < rows[0].certainty
+    assert language_id.with_language(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), field, 0.35).count() == 1
+
+
+def test_training_rows_are_bounded_over_all_languages(spark, monkeypatch):
+    seen = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "TRAIN_ALL", 30)
+    monkeypatch.setattr(language_id, "fit", lambda rows: seen.append(rows) or fit(rows, rounds=1))
+    d = spark.createDataFrame([(i, f"word{i} here", f"l{i % 20}") for i in range(400)], "doc_id long, text string, lang string")
+    field = language_id.train(d, F.lit(True))
+    assert len(seen[0]) == 30 and len(field.labels) == 20
+
+
 def test_signs_of_any_number_have_no_language():
     tagger = language_id.Tagger(language_id.fit([("the thing", "aa"), ("que eau", "bb")]))
     signs = ["²" + "\n" * 8, "½ " * 9, "½ " * 5000]
-    assert tagger.documents(signs) == (["und"] * 3, [0.0] * 3)
+    assert tagger.documents(signs) == (["und"] * 3, [0.0] * 3, [0.0] * 3)
     assert tagger.documents(["½ " * 9 + "the"])[0] != ["und"]
 
 
