@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from codeloom.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, passages
 from codeloom.llm.common import Scratch
 
-#: A document whose most frequent language has less than this share of its words is rejected, as is one of no
-#: language. Documents in two languages stay.
-LEAST_SHARE = 0.35
+#: A document whose words have their languages with less than this certainty is rejected, as is one of no language.
+#: Documents in several languages stay.
+LEAST_CERTAINTY = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language."""
     field = language_id.train(docs, language_id.fold(F.col("doc_id"), 4) != 2)
-    return language_id.with_language(docs, field, LEAST_SHARE)
+    return language_id.with_language(docs, field, LEAST_CERTAINTY)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
