@@ -241,7 +241,7 @@ class Tagger:
         # \w without digits holds a few signs that aren't letters.
         found = [t > 0 and any(c.isalpha() for w in s for c in w) for t, s in zip(total.tolist(), split)]
         score = sums[np.arange(n), best] / np.maximum(total, 1e-9)
-        certainty = np.bincount(doc, marginal.max(axis=1, initial=0.0), n) / np.maximum(np.bincount(doc, minlength=n), 1)
+        certainty = np.bincount(doc, marginal.max(axis=1, initial=0.0), n) / np.maximum(total, 1e-9)
         within = lambda values: [min(1.0, max(0.0, v)) if f else 0.0 for v, f in zip(values.tolist(), found)]
         return [self.field.labels[b] if f else "und" for b, f in zip(best.tolist(), found)], within(score), within(certainty)
 
