@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -117,26 +118,30 @@ class _Python(ast.NodeVisitor):
 
 @dataclass(frozen=True)
 class Rules:
+    """Patterns; LIST in that of functions stands for a list in parentheses."""
+
     classes: str
     functions: str
     imports: tuple[str, ...]
-    comments: str = r"//[^\n]*|/\*.*?\*/"
+    comments: str = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
     braces: bool = True
 
 
-_C_LIKE = r"^[ \t]*(?:[\w:<>,\[\]*&~.?]+[ \t]+)+[*&]*(?P<name>~?[A-Za-z_]\w*(?:::~?\w+)*)[ \t]*(?P<params>\([^;{}]*?\))[^;{}()]*\{"
-_JS = (r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]+)[ \t]*(?P<params>\([^{}]*?\))"
-       r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name2>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]+)?(?P<params2>\([^{}]*?\)|[\w$]+)[^=\n]*=>"
-       r"|^[ \t]+(?:(?:public|private|protected|static|async|get|set|override)[ \t]+)*(?P<name3>[\w$#]+)[ \t]*(?P<params3>\([^{};]*?\))[^;{}()=]*\{")
+#: A list in parentheses, with lists of up to two levels in it; what was read once is not tried again.
+_LIST = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_C_LIKE = r"^[ \t]*(?:[\w:<>,\[\]*&~.?]+[ \t]+)+[*&]*(?P<name>~?[A-Za-z_]\w*(?:::~?\w+)*)[ \t]*(?P<params>LIST)[^;{}()]*\{"
+_JS = (r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]+)[ \t]*(?P<params>LIST)"
+       r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name2>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]+)?(?P<params2>LIST|[\w$]+)[^=\n]*=>"
+       r"|^[ \t]+(?:(?:public|private|protected|static|async|get|set|override)[ \t]+)*(?P<name3>[\w$#]+)[ \t]*(?P<params3>LIST)[^;{}()=]*\{")
 _JS_IMPORT = (r"""\bimport\b[^;'"]*['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]""", r"""\bexport\b[^;'"]*\bfrom\s*['"]([^'"]+)['"]""")
 _JS_RULES = Rules(r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:abstract[ \t]+)?(?:class|interface)[ \t]+(?P<name>[\w$]+)", _JS, _JS_IMPORT)
 _HASH = r"#[^\n]*"
 
 RULES = {
-    "go": Rules(r"^type[ \t]+(?P<name>\w+)[ \t]+(?:struct|interface)\b", r"^func[ \t]*(?:\([^)]*\)[ \t]*)?(?P<name>\w+)[ \t]*(?:\[[^\]]*\])?(?P<params>\([^{}]*?\))(?P<ret>[^{}\n]*)\{",
+    "go": Rules(r"^type[ \t]+(?P<name>\w+)[ \t]+(?:struct|interface)\b", r"^func[ \t]*(?:\([^)]*\)[ \t]*)?(?P<name>\w+)[ \t]*(?:\[[^\]]*\])?(?P<params>LIST)(?P<ret>[^{}\n]*)\{",
                 (r'^import[ \t]+(?:[\w.]+[ \t]+)?"([^"]+)"', r'^[ \t]+(?:[\w.]+[ \t]+)?"([^"\s]+)"[ \t]*$')),
     "rust": Rules(r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:struct|enum|trait|impl(?:<[^>]*>)?(?:[ \t]+[\w:<>, ]+[ \t]+for)?)[ \t]+(?P<name>\w+)",
-                  r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:const[ \t]+|async[ \t]+|unsafe[ \t]+)*fn[ \t]+(?P<name>\w+)(?:<[^>]*>)?(?P<params>\([^{}]*?\))(?P<ret>[^{};]*)\{",
+                  r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:const[ \t]+|async[ \t]+|unsafe[ \t]+)*fn[ \t]+(?P<name>\w+)(?:<[^>]*>)?(?P<params>LIST)(?P<ret>[^{};]*)\{",
                   (r"^[ \t]*(?:pub[ \t]+)?use[ \t]+([^;]+);",)),
     "java": Rules(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed)[ \t]+)*(?:class|interface|enum|record)[ \t]+(?P<name>\w+)", _C_LIKE,
                   (r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.*]+);",)),
@@ -144,13 +149,13 @@ RULES = {
                     (r"^[ \t]*using[ \t]+([\w.]+);",)),
     "c": Rules(r"^[ \t]*(?:typedef[ \t]+)?(?:struct|union|enum)[ \t]+(?P<name>\w+)[ \t]*\{", _C_LIKE, (r'^[ \t]*#[ \t]*include[ \t]*[<"]([^>"]+)[>"]',)),
     "cpp": Rules(r"^[ \t]*(?:class|struct|union|enum(?:[ \t]+class)?)[ \t]+(?P<name>\w+)[^;(){}]*\{", _C_LIKE, (r'^[ \t]*#[ \t]*include[ \t]*[<"]([^>"]+)[>"]',)),
-    "kotlin": Rules(r"^[ \t]*(?:\w+[ \t]+)*(?:class|interface|object)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:\w+[ \t]+)*fun[ \t]+(?:<[^>]*>[ \t]*)?(?:[\w.]+\.)?(?P<name>\w+)[ \t]*(?P<params>\([^{}]*?\))",
+    "kotlin": Rules(r"^[ \t]*(?:\w+[ \t]+)*(?:class|interface|object)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:\w+[ \t]+)*fun[ \t]+(?:<[^>]*>[ \t]*)?(?:[\w.]+\.)?(?P<name>\w+)[ \t]*(?P<params>LIST)",
                     (r"^[ \t]*import[ \t]+([\w.*]+)",)),
-    "swift": Rules(r"^[ \t]*(?:\w+[ \t]+)*(?:class|struct|enum|protocol|extension)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:[\w@]+[ \t]+)*func[ \t]+(?P<name>\w+)[^({]*(?P<params>\([^{}]*?\))",
+    "swift": Rules(r"^[ \t]*(?:\w+[ \t]+)*(?:class|struct|enum|protocol|extension)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:[\w@]+[ \t]+)*func[ \t]+(?P<name>\w+)[^({]*(?P<params>LIST)",
                    (r"^[ \t]*import[ \t]+(?:\w+[ \t]+)?([\w.]+)",)),
-    "php": Rules(r"^[ \t]*(?:(?:abstract|final)[ \t]+)*(?:class|interface|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:\w+[ \t]+)*function[ \t]+&?(?P<name>\w+)[ \t]*(?P<params>\([^{}]*?\))",
+    "php": Rules(r"^[ \t]*(?:(?:abstract|final)[ \t]+)*(?:class|interface|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:\w+[ \t]+)*function[ \t]+&?(?P<name>\w+)[ \t]*(?P<params>LIST)",
                  (r"^[ \t]*use[ \t]+([\w\\]+)", r"""\b(?:require|include)(?:_once)?[ \t(]+['"]([^'"]+)""")),
-    "scala": Rules(r"^[ \t]*(?:\w+[ \t]+)*(?:class|object|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:\w+[ \t]+)*def[ \t]+(?P<name>\w+)[^(={\n]*(?P<params>\([^{}]*?\))?",
+    "scala": Rules(r"^[ \t]*(?:\w+[ \t]+)*(?:class|object|trait)[ \t]+(?P<name>\w+)", r"^[ \t]*(?:\w+[ \t]+)*def[ \t]+(?P<name>\w+)[^(={\n]*(?P<params>LIST)?",
                    (r"^[ \t]*import[ \t]+([\w.{}, _=>]+)",)),
     "ruby": Rules(r"^[ \t]*(?:class|module)[ \t]+(?P<name>[\w:]+)", r"^[ \t]*def[ \t]+(?:self\.)?(?P<name>[\w?!=]+)[ \t]*(?P<params>\([^)]*\))?",
                   (r"""^[ \t]*require(?:_relative)?[ \t(]+['"]([^'"]+)""",), _HASH, False),
@@ -167,58 +172,92 @@ def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])
 
 
-def _end_of(code: str, at: int, braces: bool, start: int) -> int:
-    """Where the block that a declaration opens ends: at its closing brace, or its end line by indentation."""
-    if braces:
-        depth, i = 0, code.find("{", at)
-        stop = code.find(";", at)
-        if i < 0 or (0 <= stop < i):
-            return code.find("\n", at) if code.find("\n", at) >= 0 else len(code)
-        while i < len(code):
-            if code[i] == "{":
-                depth += 1
-            elif code[i] == "}":
-                depth -= 1
-                if not depth:
-                    return i + 1
-            i += 1
-        return len(code)
-    line = code.rfind("\n", 0, start) + 1
-    indent = re.match(r"[ \t]*", code[line:])[0]
-    m = re.compile(rf"^{indent}end\b[^\n]*", re.M).search(code, at)
-    return m.end() if m else len(code)
+class _Places:
+    """Where lines, blocks and statements of a text begin and end, found in one pass each."""
+
+    def __init__(self, bare: str, braces: bool):
+        self.bare, self.braces = bare, braces
+        find = lambda pattern: [m.start() for m in re.finditer(pattern, bare)]
+        self.lines = find("\n")
+        self.opens, self.stops = find(r"\{"), find(";")
+        self.closed: dict[int, int] = {}
+        pending: list[int] = []
+        for m in re.finditer(r"[{}]", bare):
+            if m[0] == "{":
+                pending.append(m.start())
+            elif pending:
+                self.closed[pending.pop()] = m.end()
+        self.unclosed = pending
+        self.ends: dict[str, list[tuple[int, int]]] = {}
+        for m in re.finditer(r"^([ \t]*)end\b[^\n]*", bare, re.M) if not braces else ():
+            self.ends.setdefault(m[1], []).append(m.span())
+
+    @staticmethod
+    def _from(places: list[int], at: int) -> int | None:
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
+
+    def end(self, at: int, start: int) -> int:
+        """Where the block that a declaration opens ends: at its closing brace, or its end line by indentation. A
+        block that never closes ends where the next such block begins."""
+        if self.braces:
+            i, stop = self._from(self.opens, at), self._from(self.stops, at)
+            if i is None or (stop is not None and stop < i):
+                line = self._from(self.lines, at)
+                return len(self.bare) if line is None else line
+            if i in self.closed:
+                return self.closed[i]
+            return self._from(self.unclosed, i + 1) or len(self.bare)
+        line = self.lines[k - 1] + 1 if (k := bisect_left(self.lines, start)) else 0
+        own = self.ends.get(re.compile(r"[ \t]*").match(self.bare, line)[0], [])
+        k = bisect_left(own, (at, 0))
+        return own[k][1] if k < len(own) else len(self.bare)
 
 
 def _lexical(out: _Report, source: str, rules: Rules) -> None:
     code = re.sub(rules.comments, _blank, source, flags=re.S)
     bare = _STRING.sub(_blank, code)
-    line_of = lambda at: code.count("\n", 0, at) + 1
-    spans = []
+    places = _Places(bare, rules.braces)
+    spans, known = [], set()
     for m in re.finditer(rules.classes, bare, re.M):
-        end = _end_of(bare, m.end() - (bare[m.end() - 1] == "{"), rules.braces, m.start("name"))
+        end = places.end(m.end() - (bare[m.end() - 1] == "{"), m.start("name"))
         spans.append((m.start(), end, m["name"]))
-        if not any(n["kind"] == "Class" and n["name"] == m["name"] for n in out.nodes):
-            out.cls(m["name"], line_of(m.start("name")), line_of(max(m.start(), end - 1)))
-    for m in re.finditer(rules.functions, bare, re.M):
+        if m["name"] not in known:
+            known.add(m["name"])
+            out.cls(m["name"], places.line(m.start("name")), places.line(max(m.start(), end - 1)))
+    around: list[tuple[int, int, str]] = []  # the classes that hold the place, innermost last
+    next_class = iter([*spans, (len(bare) + 1, 0, "")])
+    ahead = next(next_class)
+    found = list(re.finditer(rules.functions.replace("LIST", _LIST), bare, re.M))
+    for m, after in zip(found, [*(m.start() for m in found[1:]), len(bare)]):
         groups = m.groupdict()
         which = next((s for s in ("", "2", "3") if groups.get(f"name{s}")), None)
         if which is None or groups[f"name{which}"] in _NO_CALL:
             continue
         name = groups[f"name{which}"]
         where = m.start(f"name{which}")
-        end = _end_of(bare, m.end() - (bare[m.end() - 1] == "{"), rules.braces, where)
-        parent = next((n for a, b, n in reversed(spans) if a <= where < b), None)
+        end = places.end(m.end() - (bare[m.end() - 1] == "{"), where)
+        end = after if not rules.braces and end == len(bare) else end  # without an end line it goes to the next one
+        while ahead[0] <= where:
+            around.append(ahead)
+            ahead = next(next_class)
+        while around and around[-1][1] <= where:
+            around.pop()
+        parent = around[-1][2] if around else None
         span = m.span(f"params{which}") if groups.get(f"params{which}") else (0, 0)
-        own = out.function(name, line_of(where), line_of(max(where, end - 1)), parent, code[slice(*span)] or None, (groups.get("ret") or "").strip())
+        own = out.function(name, places.line(where), places.line(max(where, end - 1)), parent, code[slice(*span)] or None, (groups.get("ret") or "").strip())
         for c in _CALL.finditer(bare, m.end(), end):
             if c[1].rsplit(".", 1)[-1] not in _NO_CALL:
-                out.call(own, c[1], line_of(c.start(1)))
+                out.call(own, c[1], places.line(c.start(1)))
     seen = set()
     for pattern in rules.imports:
         for m in re.finditer(pattern, code, re.M):
-            if (m[1].strip(), line_of(m.start(1))) not in seen:
-                seen.add((m[1].strip(), line_of(m.start(1))))
-                out.edge("IMPORTS_FROM", out.path, m[1].strip(), line_of(m.start(1)))
+            if (m[1].strip(), places.line(m.start(1))) not in seen:
+                seen.add((m[1].strip(), places.line(m.start(1))))
+                out.edge("IMPORTS_FROM", out.path, m[1].strip(), places.line(m.start(1)))
 
 
 def parse(path: str, content: bytes) -> Parsed:

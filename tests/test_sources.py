@@ -1,5 +1,6 @@
 import json
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,20 @@ def test_other_languages(path, source, expected, imported):
     assert imported in [t for _, t in edges(p, "IMPORTS_FROM")]
 
 
+@pytest.mark.parametrize("piece", ["function f(a) {\n", "  go (1\n", "class A {\n", "int f(int a)\n", "{", "}", "f((((", "def f\n", "a b c ", "x = (y) => {\n", "/* ", "'", "\n", "fn f(", "import "])
+def test_hostile_files_take_linear_time(piece):
+    began = time.perf_counter()
+    for path in ("a.js", "b.go", "c.rb", "d.java", "e.rs", "f.cpp"):
+        parse(path, (piece * (60_000 // len(piece))).encode())
+    assert time.perf_counter() - began < 20
+
+
+def test_lists_in_parentheses_may_hold_braces_and_lists():
+    names = lambda path, code: [(n["name"], n["params"]) for n in parse(path, code).nodes if n["kind"] == "Function"]
+    assert names("a.js", b"function f({a, b} = {}, c = g(1, h(2))) {\n  k();\n}\nconst q = ({x}) => { r(); };\n") == [("f", "({a, b} = {}, c = g(1, h(2)))"), ("q", "({x})")]
+    assert names("b.go", b"func Run(f func(int) error, g func(a func()) int) error {\n}\n") == [("Run", "(f func(int) error, g func(a func()) int)")]
+
+
 def test_unknown_language():
     with pytest.raises(ValueError):
         parse("file.xyz", b"x")
