@@ -97,11 +97,20 @@ def flow_steps(g: Graph, flows: DataFrame, flow_id: int) -> DataFrame:
     return steps.join(g.nodes.select("id", "name", "qualified_name", "kind", "file_path", "line_start", "line_end"), "id").orderBy("position")
 
 
-def affected_flows(g: Graph, members: DataFrame, metrics: DataFrame, files: list[str]) -> DataFrame:
-    """Flows with a node in one of the files, most critical first."""
-    touched = g.nodes.filter(F.col("file_path").isin(*files) if files else F.lit(False)).select(F.col("qualified_name").alias("node"))
-    hit = members.join(touched, "node", "left_semi").select("entry").distinct()
-    return metrics.join(hit, "entry", "left_semi").orderBy(F.col("criticality").desc(), "entry")
+def entries_through(g: Graph, files: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Entry points whose flows come through one of the files: calls are followed back from the files' nodes, so the
+    work grows with what can reach them, not with the number of flows."""
+    known = g.nodes.select(F.col("qualified_name").alias("src"))
+    back = g.edges_of("CALLS").select(F.col("target_qualified").alias("src"), F.col("source_qualified").alias("dst")).join(known, "src", "left_semi")
+    seeds = g.nodes.filter(F.col("file_path").isin(*files) if files else F.lit(False)).select(F.col("qualified_name").alias("node"))
+    found = reach(seeds, back, max_depth).select(F.col("node").alias("qualified_name"))
+    return entry_points(g).join(found, "qualified_name", "left_semi")
+
+
+def affected_flows(g: Graph, files: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The metrics of flows with a node in one of the files, most critical first. Only these flows are traced."""
+    members = trace(g, max_depth, entries_through(g, files, max_depth))
+    return flow_metrics(g, members).orderBy(F.col("criticality").desc(), "entry")
 
 
 def ordered_members(members: DataFrame) -> DataFrame:

@@ -269,8 +269,7 @@ def flow_steps(g: Graph) -> DataFrame:
 
 @_query(_METRICS + f"""SELECT * FROM metric WHERE entry IN (SELECT entry FROM member JOIN nodes ON qualified_name = node WHERE file_path = '{FILE}')""")
 def affected_flows(g: Graph) -> DataFrame:
-    members = flows.trace(g)
-    return flows.affected_flows(g, members, _rounded(flows.flow_metrics(g, members)), [FILE])
+    return _rounded(flows.affected_flows(g, [FILE]))
 
 
 @_query("""SELECT source_qualified AS node, count(*) AS outside FROM edges WHERE kind = 'CALLS'

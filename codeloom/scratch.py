@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,28 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 class Scratch:
     """Tables that one run of an operator writes to the shared folder, so that a lost executor costs no more
-    than its own tasks. ``drop`` deletes what no later step reads; the rest goes when the driver ends."""
+    than its own tasks. ``drop`` deletes what no later step reads; the rest goes when the driver ends, or, in a
+    driver that goes on and on, KEEP_SECONDS after the run began: results that are read later are to be written."""
+
+    KEEP_SECONDS = 24 * 3600
+    _open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
         self._tables = 0
-        atexit.register(self.close)
+        self.began = time.monotonic()
+        Scratch.sweep(self.KEEP_SECONDS)
+        Scratch._open.append(self)
+
+    @classmethod
+    def sweep(cls, older_than: float) -> int:
+        """Deletes the tables of this driver's runs that began that many seconds ago; how many runs."""
+        now = time.monotonic()
+        gone = [s for s in cls._open if now - s.began >= older_than]
+        for s in gone:
+            s.close()
+        return len(gone)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._tables += 1
@@ -49,8 +65,13 @@ class Scratch:
             _delete(self.spark, self._paths.pop(id(t)))
 
     def close(self) -> None:
+        if self in Scratch._open:
+            Scratch._open.remove(self)
         try:
             if self.spark.sparkContext._jsc is not None:
                 _delete(self.spark, self.base)
         except Exception:  # noqa: BLE001  the session has ended; its folder is cleaned with it
             pass
+
+
+atexit.register(lambda: Scratch.sweep(0))

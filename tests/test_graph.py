@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from codeloom.functions.text import porter
 from codeloom.graph import Graph
 from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, traverse
 from codeloom.plans import catalog
+from codeloom.scratch import Scratch
 
 NODE = ("id long, kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, "
         "params string, return_type string, signature string, is_test boolean, file_hash string, community_id long, extra map<string,string>")
@@ -102,10 +104,19 @@ def test_stored_flows(flow):
 
 
 def test_affected_flows(flow):
-    members = flows.trace(flow)
-    metrics = flows.flow_metrics(flow, members)
-    assert names(flows.affected_flows(flow, members, metrics, ["b.py"]), "entry") == ["a.py::main"]
-    assert flows.affected_flows(flow, members, metrics, ["t.py"]).isEmpty()
+    assert names(flows.affected_flows(flow, ["b.py"]), "entry") == ["a.py::main"]
+    assert flows.affected_flows(flow, ["t.py"]).isEmpty() and flows.affected_flows(flow, []).isEmpty()
+    assert flows.affected_flows(flow, ["b.py"]).drop("n").collect() == flows.flow_metrics(flow, flows.trace(flow)).collect()
+
+
+def test_scratch_tables_go_with_time(spark):
+    s = Scratch(spark, "old")
+    kept = Scratch(spark, "new")
+    path = s.write(spark.range(3)).inputFiles()[0].removeprefix("file:").removeprefix("//")
+    other = kept.write(spark.range(2))
+    s.began -= 100_000
+    Scratch(spark, "next")
+    assert not os.path.exists(path) and other.count() == 2
 
 
 def test_dead_code(spark):
