@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, Scratch, Words, chunks, mix64, packed, signed, split_by_key, text_batches, text_bytes, unpacked
 from .components import components
 
-#: Elements that one block of a tile holds about.
-BLOCK_WEIGHT = 50_000
+#: What one block of a tile weighs about: the elements of its sets, and SET_WEIGHT for each set.
+BLOCK_WEIGHT, SET_WEIGHT = 50_000, 64
 #: Sets of each band of a large cluster that all others are compared with first.
 PIVOTS = 4
 
@@ -218,7 +218,7 @@ def _dealt(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     """(node, cluster, elements) -> plus the band of each set and the blocks of its cluster and band. All of a
     cluster of one block is one band."""
     n = F.size("elements").cast("long")
-    whole = members.groupBy("cluster").agg(F.sum(n).alias("weight"))
+    whole = members.groupBy("cluster").agg(F.sum(n + SET_WEIGHT).alias("weight"))
     rows = members.join(whole, "cluster").withColumn("large", F.col("weight") > BLOCK_WEIGHT)
     # Partners are at most one band apart: a band spans a factor den / num in size.
     band = F.floor(F.log(n.cast("double")) / F.lit(math.log(rule.den / rule.num))).cast("int")
@@ -227,7 +227,7 @@ def _dealt(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
 
 def _blocks(rows: DataFrame, *kind: str) -> DataFrame:
     """(cluster, band, kind, blocks): how many blocks each part of a cluster is dealt into."""
-    return rows.groupBy("cluster", "band", *kind).agg(F.ceil(F.sum(F.size("elements").cast("long")) / F.lit(float(BLOCK_WEIGHT))).cast("int").alias("blocks"))
+    return rows.groupBy("cluster", "band", *kind).agg(F.ceil(F.sum(F.size("elements").cast("long") + SET_WEIGHT) / F.lit(float(BLOCK_WEIGHT))).cast("int").alias("blocks"))
 
 
 def _nearby(parts: DataFrame) -> DataFrame:
