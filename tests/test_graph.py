@@ -280,7 +280,7 @@ def test_communities_are_settled(spark):
     names = [f"n{i}" for i in range(30)]
     pairs = [(i, i + 1) for i in range(23)] + [(24, 25), (0, 2), (21, 23)]
     g = graph(spark, [dict(name=x) for x in names], [("CALLS", f"a.py::{names[a]}", f"a.py::{names[b]}") for a, b in pairs])
-    rows = g.nodes.select("qualified_name", F.xxhash64("qualified_name").alias("x")).collect()
+    rows = g.nodes.select("qualified_name", community.first_label(F.col("qualified_name")).alias("x")).collect()
     label = {r.qualified_name.split("::")[-1]: r.x for r in rows}
     near = {x: [names[b] if a == i else names[a] for a, b in pairs if i in (a, b)] for i, x in enumerate(names)}
     before, rounds = {}, 0
