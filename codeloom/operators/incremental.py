@@ -39,7 +39,7 @@ def _note(store: tables.GraphStore, root: str, kind: str) -> None:
 def full_build(spark: SparkSession, root: str, store: tables.GraphStore) -> Built:
     """Parses every file of the tree; files no longer there are gone from the graph."""
     scratch = Scratch(spark, "build")
-    listed = tree.tracked_files(root) or None
+    listed = tree.tracked_files(root) or (None if "://" in root else tree.walked_files(root))
     parsed = scratch.write(parse_files(tree.read_sources(spark, root, tree.ignore_patterns(root), listed)), "parsed")
     store.write_graph(parsed_graph(parsed))
     _note(store, root, "full")

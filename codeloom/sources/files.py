@@ -45,8 +45,22 @@ def project_root(start: str | Path = ".", override: str | None = None) -> Path:
 
 
 def tracked_files(root: str | Path, submodules: bool = False) -> list[str]:
-    out = _git(root, "ls-files", *["--recurse-submodules"] * submodules)
-    return [x for x in (out or "").splitlines() if x]
+    """Tracked files; links are none."""
+    if submodules:  # for which git doesn't tell the kinds of entries
+        paths = [x for x in (_git(root, "ls-files", "-z", "--recurse-submodules") or "").split("\0") if x]
+        return [p for p in paths if not os.path.islink(os.path.join(root, p))]
+    rows = (x.partition("\t") for x in (_git(root, "ls-files", "-z", "--stage") or "").split("\0") if x)
+    return [path for about, _, path in rows if not about.startswith("120000")]
+
+
+def walked_files(root: str | Path) -> list[str]:
+    """Files of a local tree, links left out, and folders that are always ignored."""
+    skipped = {p[:-3] for p in IGNORE_PATTERNS if p.endswith("/**") and "/" not in p[:-3]}
+    out = []
+    for where, folders, names in os.walk(root):
+        folders[:] = [d for d in folders if d not in skipped]
+        out += [os.path.relpath(os.path.join(where, n), root) for n in names if not os.path.islink(os.path.join(where, n))]
+    return out
 
 
 def changed_since(root: str | Path, base: str = "HEAD~1") -> list[str]:
@@ -110,8 +124,9 @@ def _known_names() -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file, and not a link, of that path."""
     if not re.match(r"^\w+:", path):
-        return os.path.isfile(path)
+        return os.path.isfile(path) and not os.path.islink(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 

@@ -123,17 +123,13 @@ def watch(spark: SparkSession, events: DataFrame, root: str, store: tables.Graph
 def tree_state(root: str | Path) -> dict[str, tuple[int, int]]:
     """{path: (modified, size)} of the files under root, folders that ignore patterns name left out; new folders are
     found like any others."""
-    skipped = {p[:-3] for p in IGNORE_PATTERNS if p.endswith("/**") and "/" not in p[:-3]}
     out = {}
-    for where, folders, names in os.walk(root):
-        folders[:] = [d for d in folders if d not in skipped]
-        for name in names:
-            path = os.path.join(where, name)
-            try:
-                at = os.stat(path, follow_symlinks=False)
-            except OSError:  # gone since
-                continue
-            out[os.path.relpath(path, root)] = (at.st_mtime_ns, at.st_size)
+    for path in tree.walked_files(root):
+        try:
+            at = os.stat(os.path.join(root, path))
+        except OSError:  # gone since
+            continue
+        out[path] = (at.st_mtime_ns, at.st_size)
     return out
 
 

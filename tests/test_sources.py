@@ -128,6 +128,20 @@ def content(g):
     return (sorted((r.kind, r.qualified_name, r.file_hash) for r in g.nodes.collect()), sorted((r.kind, r.source_qualified, r.target_qualified, r.line) for r in g.edges.collect()))
 
 
+def test_links_are_no_files(spark, tmp_path):
+    root = tmp_path / "r"
+    (root / "d").mkdir(parents=True)
+    (root / "d/a.py").write_text("def f():\n    pass\n")
+    (root / "b.py").symlink_to("d/a.py")
+    assert tree.walked_files(root) == ["d/a.py"]
+    git(root, "init", "-q")
+    git(root, "add", "-A")
+    assert tree.tracked_files(root) == ["d/a.py"]
+    assert [r.file_path for r in tree.read_files(spark, str(root), ["b.py", "d/a.py", "no.py"]).collect()] == ["d/a.py"]
+    store = GraphStore(spark, str(tmp_path / "store"))
+    assert incremental.full_build(spark, str(root), store).files == 1
+
+
 def test_build_update_and_tools(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     (root / "pkg").mkdir(parents=True)
