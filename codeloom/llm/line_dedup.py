@@ -55,13 +55,12 @@ def _selected(lines: DataFrame, min_words: int) -> DataFrame:
     the windows that selected it, as their lines: structs of at, h and g arrays."""
     n = F.size("w")
 
+    high = 1 << 32
+
     def reach(words: Column) -> Column:
-        """Lines from the front of ``words`` that hold min_words words; 0 if all don't."""
-        return F.aggregate(
-            words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")),
-            lambda a, w: F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))),
-            lambda a: F.when(a["sum"] >= min_words, a["n"]).otherwise(0),
-        )
+        """Lines from the front of ``words`` until they hold min_words words, times ``high``, and their words; of all
+        lines if they don't. A plain number: nothing is allocated per line."""
+        return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.when(a % high >= min_words, a).otherwise(a + w + high))
 
     def chosen(i: Column, m: Column) -> Column:
         """The window of m lines from line i with the line that it selects, by number from 1; 0 if it is none."""
@@ -69,12 +68,12 @@ def _selected(lines: DataFrame, min_words: int) -> DataFrame:
         return F.struct(i.alias("i"), m.alias("n"), F.when(m > 0, i + m - F.array_position(own, F.array_min(own)).cast("int")).otherwise(0).alias("p"))
 
     every = F.sequence(F.lit(1), n)
+    size = lambda r: F.shiftright(r, 32).cast("int")
     # The window of each first line, and that of each last line unless it is one of a first line, too.
-    forward = F.transform(F.transform(every, lambda i: F.struct(i.alias("i"), reach(F.slice("w", i, F.lit(min_words))).alias("n"))), lambda s: chosen(s["i"], s["n"]))
-    back = F.transform(every, lambda j: F.struct(j.alias("j"), reach(F.reverse(F.slice("w", F.greatest(F.lit(1), j - min_words + 1), F.least(j, F.lit(min_words))))).alias("n")))
-    back = F.transform(back, lambda s: F.struct((s["j"] - s["n"] + 1).alias("i"), s["n"].alias("n")))
-    within = lambda s: F.aggregate(F.slice("w", s["i"], F.greatest(s["n"] - 1, F.lit(0))), F.lit(0), lambda a, w: a + w)
-    back = F.transform(back, lambda s: chosen(s["i"], F.when(within(s) >= min_words, s["n"]).otherwise(0)))
+    forward = F.transform(F.transform(every, lambda i: reach(F.slice("w", i, F.lit(min_words)))), lambda r, k: chosen(
+        k + 1, F.when(r % high >= min_words, size(r)).otherwise(0)))
+    ahead = F.transform(every, lambda j: reach(F.reverse(F.slice("w", F.greatest(F.lit(1), j - min_words + 1), F.least(j, F.lit(min_words))))))
+    back = F.transform(ahead, lambda r, k: chosen(k + 2 - size(r), F.when(r % high - F.element_at("w", k + 1) >= min_words, size(r)).otherwise(0)))
     some = lines.filter(n > 0).select("doc_id", "hash", "at", "h", "g", forward.alias("forward"), back.alias("back"))
     places = F.filter(F.array_distinct(F.concat("forward.p", "back.p")), lambda p: p > 0)
     # What selects line p begins, or ends, less than min_words lines from it.
