@@ -83,10 +83,11 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = PASS
     windows = scratch.write(some.mapInArrow(compare, T.StructType([*key, long("at"), long("content")])), "windows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash", "at")
     begins = windows.groupBy("content").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
-    begins = begins.filter("earliest < latest").select("content", "earliest")
+    # As a written table, so that a join on a content that very many windows have can be split.
+    begins = scratch.write(begins.filter("earliest < latest").select("content", "earliest"), "earliest")
     later = windows.join(begins.hint("merge"), "content").filter(order > F.col("earliest"))
     later = scratch.write(later.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set("at")).alias("at")), "later")
-    scratch.drop(grams, marked, windows)
+    scratch.drop(grams, marked, windows, begins)
     return later
 
 
