@@ -116,13 +116,15 @@ class Words:
         """n words from word i, joined by a blank."""
         return b" ".join(self.data[self.begin[j]:self.end[j]].tobytes() for j in range(i, i + n))
 
-    def shingles(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word of the whole array; those that run past their text mean nothing."""
+    def shingles(self, k: int, salt: int = 0) -> np.ndarray:
+        """Hash of the k words from each word of the whole array; those that run past their text mean nothing.
+        Another salt gives another hash of the same words."""
         n = max(0, len(self.hash) - k + 1)
+        own = mix64(self.hash + np.uint64(salt)) if salt else self.hash
         out = np.zeros(n, dtype=np.uint64)
         for j in range(k):
-            out += self.hash[j:j + n] * _IN_SHINGLE[j]
-        return mix64(out + np.uint64(k))
+            out += own[j:j + n] * _IN_SHINGLE[j]
+        return mix64(out + np.uint64(k + salt))
 
     def beginnings(self, which: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(n, words of ``which`` with more than n letters, the hash of their first n letters), for each length n."""

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: candidate clusters, size-banded tiles with bitmap signatures, exact intersections.
 
-A document is the set of its word shingles, as sorted 64-bit hashes. Equal sets are one *node* from the start, so
-copies, however many, cost one node.
+A document is the set of its word shingles, as sorted 64-bit hashes. Equal sets (by 128 bits) are one *node* from the
+start, so copies, however many, cost one node.
 
 Candidates. A partner of a set of n shingles lacks at most p = (1 - t)n of them, t being the least similarity. Every
 node writes the shingles of one range of hashes, a little more than p of them; one count over all nodes tells which
@@ -106,9 +106,9 @@ def _nodes(k: int, rule: Similarity):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in few])]).astype(np.int32)
             whole = [[len(s) for s in sets], within, [i for i, _ in ids], [j for _, j in ids]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, type=pa.int64()) for x in whole), batch.column(2),
+                [batch.column(0), *(pa.array(x, type=pa.int64()) for x in whole), *batch.columns[2:],
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(few))))],
-                ["doc_id", "n", "n_range", "node", "check", "text_key", "some"],
+                ["doc_id", "n", "n_range", "node", "check", "text_key", "text_check", "some"],
             )
 
     return nodes
@@ -304,6 +304,13 @@ def _meet(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 # --- candidates ---------------------------------------------------------------------------------
 
+def _numbered(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sets with a number of its own for each: where two that differ have one, their other half decides anew."""
+    halves = sets.filter("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    clash = scratch.write(halves.filter("low <> high").select("node", F.lit(True).alias("clash")), "clashes")
+    return sets.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash")
+
+
 def _clusters(wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     """(node, cluster): the components of nodes that share a shingle of their prefixes, each joined with the smallest
     that has it."""
@@ -349,21 +356,23 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     text_batches(spark)
     rule = Similarity(num, den)
     scratch = Scratch(spark, "ngram_join")
-    texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, n long, n_range long, node long, check long, text_key long, some array<long>"
-    sets = scratch.write(texts.mapInArrow(_nodes(shingle, rule), schema), "sets")
-    every = scratch.write(sets.drop("some", "n_range"), "documents")
+    text_key, text_check = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    texts = docs.select("doc_id", "text", text_key.alias("text_key"), text_check.alias("text_check"))
+    schema = "doc_id long, n long, n_range long, node long, check long, text_key long, text_check long, some array<long>"
+    written = scratch.write(texts.mapInArrow(_nodes(shingle, rule), schema), "sets")
+    sets = _numbered(written, scratch)
+    every = scratch.write(sets.select("doc_id", "n", "node", "check", "text_key", "text_check"), "documents")
     wide = scratch.write(sets.filter("n > 0").groupBy("node", "check").agg(
         F.first("n").alias("n"), F.first("n_range").alias("n_range"), F.first("some").alias("some")), "wide")
-    scratch.drop(sets)
+    scratch.drop(written)
     nodes = scratch.write(every.filter("n > 0").groupBy("node", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")), "nodes")
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", "text_check")).alias("t")).select("node", "doc_id", "t.*"), "nodes")
     clusters = _clusters(wide, rule, scratch)
     scratch.drop(wide)
     # The sets of the candidates alone, anew from their texts.
-    wanted = scratch.write(nodes.select("node", "text_key").join(clusters, "node"), "wanted")
-    found, _ = split_by_key(docs.select("text", F.xxhash64("text").alias("text_key")), wanted, "text_key")
-    found = found.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("text", "node", "cluster")
+    wanted = scratch.write(nodes.select("node", "text_key", "text_check").join(clusters, "node"), "wanted")
+    found, _ = split_by_key(texts.drop("doc_id"), wanted, "text_key")
+    found = found.groupBy("text_key", "text_check").agg(F.first("text").alias("text")).join(wanted, ["text_key", "text_check"]).select("text", "node", "cluster")
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
     rows = _dealt(_refined(spark, members, rule, scratch), rule, scratch)
     scratch.drop(wanted, members)

@@ -6,8 +6,8 @@ and newlines separate, A-Z lower-cased, as in the near-duplicate stage; the blan
 
 1. Of each window of ``min_words`` words the smallest hash of ``GRAM`` words is selected (winnowing): equal windows
    select equal ones. Hashes selected at more than one place are kept.
-2. Only documents with such a hash are read again: their windows that selected one are compared as a whole, with the
-   first occurrence of their content. No pairs are made.
+2. Only documents with such a hash are read again: their windows that selected one are compared as a whole, by
+   128 bits, with the first occurrence of their content. No pairs are made.
 3. What later windows cover is cut.
 
 Defined cases: a null text stays; null doc_ids come last in the order; rows with equal doc_id and text are one
@@ -76,16 +76,17 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = PASS
             wanted = [np.isin(own[edge[i]:edge[i + 1]], np.array(known[i].as_py(), dtype=np.int64)) for i in range(batch.num_rows)]
             at = np.flatnonzero(np.concatenate(wanted))
             who = pa.array(doc[at])
+            content = [pa.array(signed(words.shingles(min_words, salt)[starts[at]])) for salt in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(who), batch.column(1).take(who), pa.array((starts - words.first[doc])[at]), pa.array(signed(words.shingles(min_words)[starts[at]]))],
-                ["doc_id", "hash", "at", "content"])
+                [batch.column(0).take(who), batch.column(1).take(who), pa.array((starts - words.first[doc])[at]), *content],
+                ["doc_id", "hash", "at", "content", "content2"])
 
-    windows = scratch.write(some.mapInArrow(compare, T.StructType([*key, long("at"), long("content")])), "windows")
+    windows = scratch.write(some.mapInArrow(compare, T.StructType([*key, long("at"), long("content"), long("content2")])), "windows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash", "at")
-    begins = windows.groupBy("content").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
+    begins = windows.groupBy("content", "content2").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
     # As a written table, so that a join on a content that very many windows have can be split.
-    begins = scratch.write(begins.filter("earliest < latest").select("content", "earliest"), "earliest")
-    later = windows.join(begins.hint("merge"), "content").filter(order > F.col("earliest"))
+    begins = scratch.write(begins.filter("earliest < latest").select("content", "content2", "earliest"), "earliest")
+    later = windows.join(begins.hint("merge"), ["content", "content2"]).filter(order > F.col("earliest"))
     later = scratch.write(later.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set("at")).alias("at")), "later")
     scratch.drop(grams, marked, windows, begins)
     return later

@@ -80,6 +80,24 @@ def test_similar_groups(spark, k, num, den, seed, monkeypatch):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == want
 
 
+def test_sets_of_one_number_stay_apart(spark, monkeypatch):
+    """Half of a set's identity is the same for all: the other half tells them apart."""
+    plain = ngram_join._nodes
+
+    def poor(k, rule):
+        def nodes(batches):
+            for b in plain(k, rule)(batches):
+                at = b.schema.get_field_index("node")
+                yield b.set_column(at, "node", pa.array([x and 7 for x in b.column(at).to_pylist()], type=pa.int64()))
+
+        return nodes
+
+    monkeypatch.setattr(ngram_join, "_nodes", poor)
+    texts = corpus(random.Random(3), 40)
+    got = ngram_join.similar_groups(spark, docs_of(spark, texts), 5, 80, 100)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute(texts, 5, 80, 100)
+
+
 def test_one_of_each(spark):
     texts = [(5, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y z"), (4, ""), (6, None), (6, None), (None, "x y z")]
     got = ngram_join.one_of_each(spark, docs_of(spark, texts, extra=True))
