@@ -78,6 +78,32 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["mix_sources"])
 
 
+def test_stages_with_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Null ids, languages and sources, rows that are alike, a text of 200,000 words and columns of any name."""
+    rng = random.Random(4)
+    text = lambda n, lang: " ".join("".join(rng.choice({"en": ["th", "er", "ing"], "fr": ["eau", "que", "oi"]}[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(30, "en" if i % 2 else "fr"), "en" if i % 2 else "fr", f"s{i % 2}") for i in range(30)]
+    rows += [(None, text(40, "en"), None, None), (None, text(40, "fr"), "fr", None), (None, None, None, None), (None, "", "en", "s0")]
+    rows += [rows[3]] * 3 + [(100, text(200_000, "en"), None, "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "hash", "node", "cluster", "tie", "_s", "copies", "certainty", "content", "at", "text_key", "bucket"):
+        docs = docs.withColumn(c, F.lit("x"))
+    spark.createDataFrame([(None, None), (1, ""), (1, rows[5][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns + (["copy"] if name == "mix_sources" else [])
+        at.write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        kept[name] = sorted(str(r.doc_id) for r in at.collect())
+    assert kept["language_id"] == sorted([*(str(r[0]) for r in rows if r[1])])
+    # Rows that are alike are one document to line dedup, which keeps all of them; one stays of near copies.
+    assert kept["line_dedup"] == kept["language_id"] and kept["near_duplicates"] == sorted({*map(str, range(30)), "100"} | {"None"}) + ["None"]
+    assert kept["decontaminate"] == sorted(set(kept["near_duplicates"]) - {"5", "None"}) + ["None", "None"]
+    assert spark.read.parquet(str(tmp_path / "decontaminate")).filter("doc_id = 100").first().n_chars == len(rows[-1][1])
+    assert set(kept["mix_sources"]) <= set(kept["decontaminate"])
+
+
 def test_stages_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     at = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
