@@ -25,8 +25,10 @@ def spaced(words: Column) -> Column:
 
 
 def phrase_count(line: Column, phrase: list[str]) -> Column:
-    """Occurrences of a phrase in ``spaced`` tokens."""
+    """How often a phrase begins in ``spaced`` tokens; occurrences may overlap."""
     needle = " " + "  ".join(phrase) + " "
+    if any(phrase[i:] == phrase[:-i] for i in range(1, len(phrase))):
+        return F.regexp_count(line, F.lit(f"(?=\\Q{needle}\\E)")).cast("int")
     return ((F.length(line) - F.length(F.replace(line, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 

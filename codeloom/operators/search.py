@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,9 @@ from ..functions.vectors import cosine
 from ..graph import Graph
 from .basic import keyword_filter
 
+if TYPE_CHECKING:
+    from .text_index import TextIndex
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 INDEXED = ("name", "qualified_name", "file_path", "signature")
@@ -34,6 +38,12 @@ def fts_index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = INDEX
         F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.size(c)).alias("n_tokens"))
 
 
+def bm25_score(f: Column, n_tokens: Column, n: Column, mean: Column, df: Column) -> Column:
+    """Of a row that holds the phrase f times among n_tokens, in a table of n rows of which df hold it."""
+    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n_tokens / mean))
+
+
 def bm25(index: DataFrame, query: str, limit: int | None = None, key: str = "id", stem: bool = True) -> DataFrame:
     """(key, score) of the rows that hold the whole query as a phrase, best first.
 
@@ -48,8 +58,7 @@ def bm25(index: DataFrame, query: str, limit: int | None = None, key: str = "id"
     found = F.aggregate("lines", F.lit(0), lambda n, line: n + words.phrase_count(line, phrase))
     rows = index.select(key, "n_tokens", found.alias("f"))
     total = rows.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), F.count_if(F.col("f") > 0).alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
+    score = bm25_score(F.col("f"), F.col("n_tokens"), F.col("n"), F.col("mean"), F.col("df"))
     hits = rows.filter("f > 0").crossJoin(F.broadcast(total)).select(key, score.alias("score"))  # of one row
     return hits if limit is None else hits.orderBy(F.col("score").desc(), key).limit(limit)
 
@@ -105,12 +114,13 @@ def boost(query: str, context_files: list[str] | None = None) -> Column:
 
 
 def hybrid_search(
-    g: Graph, query: str, index: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    g: Graph, query: str, index: DataFrame | TextIndex | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
     kind: str | None = None, limit: int = 20, context_files: list[str] | None = None,
 ) -> DataFrame:
     """Ranked nodes: full text and vectors fused by rank, or keywords where both find nothing; then boosts.
 
-    ``index`` is a full-text index by qualified_name (none yet: keywords answer), ``vectors`` (qualified_name, vector).
+    ``index`` is a full-text index by qualified_name, as rows or postings (none yet: keywords answer), ``vectors``
+    (qualified_name, vector).
     Candidates are the best 3 * limit of each list; a kind is filtered after ranking. All steps are one plan: the
     keyword list joins in only if the fused one is empty.
     """
@@ -119,7 +129,7 @@ def hybrid_search(
     key, fetch = "qualified_name", 3 * limit
     lists = []
     if index is not None:
-        lists.append(bm25(index, query, fetch, key))
+        lists.append(bm25(index, query, fetch, key) if isinstance(index, DataFrame) else index.search(query, fetch))
     if vectors is not None and query_vector is not None:
         lists.append(vector_topk(vectors, query_vector, fetch, key))
     plain = keyword_search(g.nodes, query, fetch, key)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..graph import Graph
 from ..operators import basic, community, export, flows, hints, refactor, search, store, traverse
+from ..operators.text_index import TextIndex
+from ..scratch import Scratch
 from ..sources.fixture_graph import GRAPH_SQL, fixture_graph
 from ..sources.parser import parse_files
 from ..streaming.watch import sessions
@@ -466,6 +468,13 @@ found AS (
   FROM counted, total WHERE f > 0)"""
 
 
+@_query("WITH " + _bm25_sql("doc_id", "documents", ["text"], ["is", "the"]) + " SELECT key AS doc_id, round(score, 6) AS score FROM found", on_graph=False)
+def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'postings').base}/index"
+    index = TextIndex.build(_table(spark, sf_dir, "documents"), path, "doc_id", ("text",), stem=False)  # SQL has no stemmer
+    return index.search("is the").withColumn("score", F.round("score", 6))
+
+
 @_query("WITH " + _bm25_sql("doc_id", "documents", ["text"], ["the", "thing"]) + " SELECT key AS doc_id, round(score, 6) AS score FROM found", on_graph=False)
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.fts_index(_table(spark, sf_dir, "documents"), "doc_id", ("text",), stem=False)  # SQL has no stemmer

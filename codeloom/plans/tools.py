@@ -13,6 +13,7 @@ from ..config import Settings
 from ..graph import Graph
 from ..operators import basic, community, export, flows, hints, incremental, refactor, search, traverse
 from ..operators.store import GraphStore
+from ..operators.text_index import TextIndex
 from ..sources import files as tree
 
 
@@ -24,7 +25,7 @@ class Context:
     wiki: str = ".codeloom/wiki"
     vectors: DataFrame | None = None
     embed_query: Callable[[str], list[float]] | None = None
-    index: DataFrame | None = None
+    index: DataFrame | TextIndex | None = None
     refactorings: refactor.Refactorings = field(default_factory=refactor.Refactorings)
     session: hints.Session = field(default_factory=hints.Session)
     settings: Settings = field(default_factory=Settings.from_env)
@@ -149,8 +150,7 @@ def get_wiki_page(c: Context, page_name: str) -> str | None:
 
 def rebuild_fts_index(c: Context, path: str) -> int:
     """Writes the full-text index and counts its rows; searches read the written one."""
-    search.fts_index(c.graph.nodes, "qualified_name").write.mode("overwrite").parquet(path)
-    c.index = c.spark.read.parquet(path)
+    c.index = TextIndex.build(c.graph.nodes, path, "qualified_name")
     return c.index.count()
 
 

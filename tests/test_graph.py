@@ -1,5 +1,7 @@
 import math
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import porter
 from codeloom.graph import Graph
 from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, traverse
+from codeloom.operators.text_index import TextIndex
 from codeloom.plans import catalog
 from codeloom.scratch import Scratch
 
@@ -402,6 +405,21 @@ def test_stemmed_scores_by_brute_force(spark):
     assert got == pytest.approx({i: idf * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * len(stems[i]) / mean)) for i, x in enumerate(f) if x})
 
 
+def test_postings_find_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gammas", "Gamma", "the"]) for _ in range(rng.randrange(30))) for _ in range(60)] + [None, "the the the the"]
+    rows = spark.createDataFrame([(i, t, f"n{i}") for i, t in enumerate(texts)], "id long, text string, name string")
+    plain = search.fts_index(rows, "id", ("text", "name"))
+    index = TextIndex.build(rows, str(tmp_path / "index"), "id", ("text", "name"), buckets=8)
+    assert index.count() == 62
+    for query in ("alpha", "beta gamma", "gammas the alpha", "the the", "n7", "nothing", "Alpha BETA"):
+        want = {r.id: round(r.score, 9) for r in search.bm25(plain, query).collect()}
+        assert {r.id: round(r.score, 9) for r in index.search(query).collect()} == want
+    assert index.search("").isEmpty() and index.search("the", 3).count() == 3
+    plan = index.hits(["alpha"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*token", plan)
+
+
 def test_resolution_of_a_name_that_everybody_has(spark):
     """Two thousand files ask for a name that two thousand nodes have."""
     n = 2000
