@@ -13,7 +13,7 @@ from ..operators import basic, community, export, flows, hints, refactor, search
 from ..operators.text_index import TextIndex
 from ..scratch import Scratch
 from ..sources.fixture_graph import GRAPH_SQL, fixture_graph
-from ..sources.parser import parse_files
+from ..sources.parser import parse_files, parsed_graph
 from ..streaming.watch import sessions
 
 FILE = "src/Brand13/economy.py"
@@ -269,6 +269,20 @@ def flow_steps(g: Graph) -> DataFrame:
     return flows.ordered_members(flows.trace(g)).select("entry", "node", "position")
 
 
+@_query(_METRICS + """, ordered AS (SELECT entry, string_agg(node, ' > ' ORDER BY depth, node) AS path FROM member GROUP BY entry)
+SELECT entry, depth, node_count, file_count, criticality, path FROM metric JOIN ordered USING (entry)""")
+def stored_flows(g: Graph) -> DataFrame:
+    """The rows that are stored of flows, with names in place of ids."""
+    named = F.col("id").alias("node_id"), F.col("qualified_name").alias("node")
+    built = _rounded(flows.build_flows(g, flows.trace(g)))
+    steps = flows.memberships(built).join(g.nodes.select(*named), "node_id").groupBy(F.col("flow_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "node"))).alias("p"))
+    entries = g.nodes.select(F.col("id").alias("entry_point_id"), F.col("qualified_name").alias("entry"))
+    rows = built.drop("path").join(steps, "id").join(entries, "entry_point_id")
+    return rows.select("entry", "depth", F.col("node_count").cast("long").alias("node_count"), F.col("file_count").cast("long").alias("file_count"), "criticality",
+                       F.array_join("p.node", " > ").alias("path"))
+
+
 @_query(_METRICS + f"""SELECT * FROM metric WHERE entry IN (SELECT entry FROM member JOIN nodes ON qualified_name = node WHERE file_path = '{FILE}')""")
 def affected_flows(g: Graph) -> DataFrame:
     return _rounded(flows.affected_flows(g, [FILE]))
@@ -503,6 +517,18 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(index, "The thing", key="doc_id", stem=False).withColumn("score", F.round("score", 6))
 
 
+@_query(""", said AS (SELECT qualified_name, name || ' ' || lower(kind) || ' python' AS text FROM nodes WHERE kind <> 'File')
+SELECT qualified_name, text, sha256(text) AS text_hash FROM said WHERE NOT (length(qualified_name) % 3 = 0)""")
+def pending_embeddings(g: Graph) -> DataFrame:
+    """A third of the nodes has vectors of their present texts, another third of former ones."""
+    text = F.concat_ws(" ", "name", F.lower("kind"), "language")
+    third = F.length("qualified_name") % 3
+    stored = g.nodes.filter("kind <> 'File'").filter(third < 2).select(
+        "qualified_name", F.array(F.lit(0.0)).cast("array<float>").alias("vector"), F.sha2(F.when(third == 0, text).otherwise("former"), 256).alias("text_hash"), F.lit("p").alias("provider"))
+    nodes = g.nodes.withColumns({c: F.lit(None).cast("string") for c in ("params", "return_type")})
+    return search.pending_embeddings(nodes, stored, "p")
+
+
 @_query("""SELECT vec_id, embedding[1] AS head FROM embeddings WHERE vec_id % 7 <> 0""", on_graph=False)
 def remove_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "qualified_name")
@@ -541,16 +567,29 @@ def rrf_merge(g: Graph) -> DataFrame:
     return fused.withColumn("score", F.round("score", 9))
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, vectors = _with_vectors(spark, sf_dir)
+    return search.semantic_search(g, "", vectors, _first_vector(spark, sf_dir), 30).select("qualified_name", "kind", "score")
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     g = fixture_graph(spark, sf_dir)
     key = F.regexp_extract("name", r"_(\d+)$", 1)
     parts = g.nodes.filter("kind <> 'File'").select("qualified_name", (key.cast("long") - 1).alias("vec_id"))
-    vectors = _table(spark, sf_dir, "embeddings").join(parts, "vec_id").select("qualified_name", F.col("embedding").alias("vector"))
+    return g, _table(spark, sf_dir, "embeddings").join(parts, "vec_id").select("qualified_name", F.col("embedding").alias("vector"))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, vectors = _with_vectors(spark, sf_dir)
     index = search.fts_index(g.nodes, "qualified_name")
     found = search.hybrid_search(g, "auth_", index, vectors, _first_vector(spark, sf_dir), limit=20, context_files=[FILE])
     return found.select("qualified_name", "kind", F.round("score", 9).alias("score"))
 
 
+_QUERIES["semantic_search"] = _semantic
+_SQL["semantic_search"] = GRAPH_SQL + f""", vectors AS (SELECT s.file_path || '::' || s.name AS qualified_name, embedding AS v FROM embeddings JOIN symbols s ON s.key = vec_id + 1),
+near AS (SELECT qualified_name, {_COSINE} AS score FROM vectors, (SELECT embedding AS v0 FROM embeddings WHERE vec_id = 0) q)
+SELECT qualified_name, kind, round(score, 4) AS score FROM (SELECT * FROM near ORDER BY score DESC, qualified_name LIMIT 30) JOIN nodes USING (qualified_name)"""
 _QUERIES["hybrid_search"] = _hybrid
 _SQL["hybrid_search"] = GRAPH_SQL + ", " + _bm25_sql("qualified_name", "nodes", ["name", "qualified_name", "file_path"], ["auth"]) + f""",
 vectors AS (SELECT s.file_path || '::' || s.name AS qualified_name, embedding AS v FROM embeddings JOIN symbols s ON s.key = vec_id + 1),
@@ -604,6 +643,19 @@ def slice_replace(g: Graph) -> DataFrame:
     return store.replace_files(g, files, new, g.edges.filter(F.col("file_path") == FILE)).nodes.select("qualified_name", "line_start")
 
 
+@_query(f"""SELECT qualified_name, line_start, community_id FROM nodes WHERE file_path <> '{FILE}'
+UNION ALL SELECT qualified_name, line_start + 5, NULL FROM nodes WHERE file_path = '{FILE}' AND kind <> 'Test'""")
+def stored_update(g: Graph) -> DataFrame:
+    """The same by a store: written whole, one file's slice put in place, read back."""
+    kept = store.GraphStore(g.spark, f"{Scratch(g.spark, 'stored').base}/graph")
+    nodes = g.nodes.withColumns({c: F.lit(None).cast("string") for c in ("params", "return_type", "modifiers", "file_hash")})
+    kept.write_graph(Graph(nodes, g.edges))
+    new = nodes.filter((F.col("file_path") == FILE) & (F.col("kind") != "Test"))
+    new = new.withColumn("line_start", F.col("line_start") + 5).withColumn("community_id", F.lit(None).cast("long"))
+    kept.replace_slices(g.spark.createDataFrame([(FILE,)], "file_path string"), Graph(new, g.edges.filter(F.col("file_path") == FILE)))
+    return kept.graph().nodes.select("qualified_name", "line_start", "community_id")
+
+
 @_query(f"SELECT kind, source_qualified, target_qualified FROM edges WHERE file_path <> '{FILE}'")
 def remove_file(g: Graph) -> DataFrame:
     files = g.nodes.sparkSession.createDataFrame([(FILE,)], "file_path string")
@@ -752,10 +804,22 @@ UNION ALL SELECT 'CONTAINS', path, path || '::' || fn, 7 FROM p
 UNION ALL SELECT 'CALLS', path || '::' || fn, callee, 8 FROM p
 UNION ALL SELECT 'IMPORTS_FROM', path, 'os.path', 1 FROM p""", on_graph=False)
 def parse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = parse_files(_files(spark, sf_dir)).select(F.explode("edges").alias("e"))
+    return edges.select("e.kind", "e.source_qualified", "e.target_qualified", "e.line")
+
+
+@_query(_SOURCE + """SELECT 'File' AS kind, path AS qualified_name, 1 AS line_start, 8 AS line_end, NULL AS params, NULL AS return_type FROM p
+UNION ALL SELECT 'Class', path || '::' || cls, 3, 5, NULL, NULL FROM p
+UNION ALL SELECT 'Function', path || '::' || cls || '.go', 4, 5, '(self)', NULL FROM p
+UNION ALL SELECT 'Function', path || '::' || fn, 7, 8, '(x: int)', 'str' FROM p""", on_graph=False)
+def parsed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = parsed_graph(parse_files(_files(spark, sf_dir))).nodes
+    return nodes.select("kind", "qualified_name", "line_start", "line_end", "params", "return_type")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     code = F.format_string("from os.path import join\n\nclass Box%s(Base):\n    def go(self):\n        self.run_%s()\n\ndef run_%s(x: int) -> str:\n    return run_%s(x)\n",
                            k, (F.col("p_partkey") + 1).cast("string"), k, (F.col("p_partkey") + 1).cast("string"))
     path = F.concat(F.lit("m"), (F.col("p_partkey") % 50).cast("string"), F.lit("/f"), k, F.lit(".py"))
-    files = _table(spark, sf_dir, "part").select(path.alias("file_path"), code.cast("binary").alias("content")).withColumn("file_hash", F.sha2("content", 256))
-    edges = parse_files(files).select(F.explode("edges").alias("e"))
-    return edges.select("e.kind", "e.source_qualified", "e.target_qualified", "e.line")
+    return _table(spark, sf_dir, "part").select(path.alias("file_path"), code.cast("binary").alias("content")).withColumn("file_hash", F.sha2("content", 256))
