@@ -45,6 +45,8 @@ from .components import components
 
 #: What one block of a tile weighs about: the elements of its sets, and SET_WEIGHT for each set.
 BLOCK_WEIGHT, SET_WEIGHT = 50_000, 64
+#: The same of the blocks that meet pivots: as a set is in one of them only, smaller ones cost nothing.
+PIVOT_BLOCK_WEIGHT = 16_000
 #: Sets of each band of a large cluster that all others are compared with first.
 PIVOTS = 4
 
@@ -225,9 +227,9 @@ def _dealt(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     return scratch.write(rows.select("node", "cluster", "large", F.when(F.col("large"), band).otherwise(0).alias("band"), "elements"), "members")
 
 
-def _blocks(rows: DataFrame, *kind: str) -> DataFrame:
+def _blocks(rows: DataFrame, weight: int, *kind: str) -> DataFrame:
     """(cluster, band, kind, blocks): how many blocks each part of a cluster is dealt into."""
-    return rows.groupBy("cluster", "band", *kind).agg(F.ceil(F.sum(F.size("elements").cast("long") + SET_WEIGHT) / F.lit(float(BLOCK_WEIGHT))).cast("int").alias("blocks"))
+    return rows.groupBy("cluster", "band", *kind).agg(F.ceil(F.sum(F.size("elements").cast("long") + SET_WEIGHT) / F.lit(float(weight))).cast("int").alias("blocks"))
 
 
 def _nearby(parts: DataFrame) -> DataFrame:
@@ -264,7 +266,7 @@ def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pivot_links(rows: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     """Links of the sets of large clusters with the pivots of their bands: each set is written once."""
     large = rows.filter("large")
-    blocks = scratch.write(_blocks(large), "blocks")
+    blocks = scratch.write(_blocks(large, PIVOT_BLOCK_WEIGHT), "blocks")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tile = F.xxhash64("cluster", "band", "block").alias("tile")
     own = large.join(blocks, ["cluster", "band"]).withColumn("block", block).select(tile, "node", "cluster", "band", "elements")
@@ -290,7 +292,7 @@ def _with_core(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFram
 def _meet(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, cluster, band, core, label, elements) -> (tile, node, side, label, elements), each node in every tile
     where it can have a link that isn't known."""
-    parts = scratch.write(_blocks(rows, "core"), "blocks")
+    parts = scratch.write(_blocks(rows, BLOCK_WEIGHT, "core"), "blocks")
     around = _nearby(parts).groupBy("cluster", "band").agg(F.collect_list(F.struct(F.col("own").alias("band"), "core", "blocks")).alias("parts"))  # six at most
     here = parts.select("cluster", "band", "core", "blocks").join(around, ["cluster", "band"])
     rows = rows.join(here, ["cluster", "band", "core"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

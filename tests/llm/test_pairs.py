@@ -75,6 +75,7 @@ def test_similar_groups(spark, k, num, den, seed, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == want
     if k == 5:  # blocks, bands and the second count, on clusters that are small
         monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 150)
+        monkeypatch.setattr(ngram_join, "PIVOT_BLOCK_WEIGHT", 100)
         monkeypatch.setattr(ngram_join, "REFINE_WEIGHT", 300)
         got = ngram_join.similar_groups(spark, docs_of(spark, texts), k, num, den)
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == want
@@ -132,6 +133,7 @@ def test_a_large_group_of_near_copies_meets_its_originals_only(spark, monkeypatc
             texts.append((1000 * g + i, " ".join(w)))
     texts += [(5000 + i, " ".join([f"g0w{j}" for j in range(60)] + [f"z{i}_{j}" for j in range(60)])) for i in range(20)]
     monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 2000)
+    monkeypatch.setattr(ngram_join, "PIVOT_BLOCK_WEIGHT", 2000)
     written = []
     meet = ngram_join._meet
 
