@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Table, Words, chunks, mix64, text_batches, text_bytes
+from .common import BLANKS, Scratch, Table, Words, chunks, mix64, text_batches, text_bytes
 
 POSITIVES, UNLABELLED, TRAIN_CHARS = 2000, 4000, 20_000
 LEAST, LIFT, SURE = 4, 4.0, 24.0
@@ -231,27 +231,26 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _texts(docs: DataFrame, keys: list[int]) -> list[str]:
-    """The texts of a bounded list of rows, by the hash of the text."""
-    if not keys:
-        return []
-    wanted = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(keys))], "_x long")
-    found = docs.select("text", F.xxhash64("text").alias("_x")).join(F.broadcast(wanted), "_x")
-    text = {r._x: r.text for r in found.groupBy("_x").agg(F.first("text").alias("text")).collect()}
-    return [text[k] for k in keys if k in text]
-
-
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
-    """Fit on the given documents and labels (the caller leaves held-out rows out of both)."""
+    """Fit on the given documents and labels (the caller leaves held-out rows out of both). Two passes over the
+    texts: one for their hashes, one for the texts that are chosen."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, total = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
     if not toxic:
         return fit([], [], 0.0)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("_x"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_k"))
-    confirmed = rows.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("_x"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_k"))
+    keyed = scratch.write(keyed, "keys")
+    confirmed = keyed.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     pick = lambda d, n: [r._x for r in d.select("_k", "_x").orderBy("_k", "_x").limit(n).collect()]  # noqa: E731  n rows at most
-    return fit(_texts(docs, pick(confirmed, positives)), _texts(docs, pick(rows, unlabelled)), toxic / total)
+    chosen = pick(confirmed, positives), pick(keyed, unlabelled)
+    scratch.close()
+    wanted = spark.createDataFrame([(k,) for k in sorted({*chosen[0], *chosen[1]})], "_x long")  # both bounds at most
+    found = rows.select("text", F.xxhash64("text").alias("_x")).join(F.broadcast(wanted), "_x")
+    text = {r._x: r.text for r in found.groupBy("_x").agg(F.first("text").alias("text")).collect()}
+    return fit(*([text[k] for k in keys if k in text] for keys in chosen), toxic / total)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
