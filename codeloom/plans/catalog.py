@@ -804,7 +804,7 @@ UNION ALL SELECT 'CONTAINS', path, path || '::' || fn, 7 FROM p
 UNION ALL SELECT 'CALLS', path || '::' || fn, callee, 8 FROM p
 UNION ALL SELECT 'IMPORTS_FROM', path, 'os.path', 1 FROM p""", on_graph=False)
 def parse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = parse_files(_files(spark, sf_dir)).select(F.explode("edges").alias("e"))
+    edges = parse_files(_files(spark, sf_dir), spark.sparkContext.defaultParallelism).select(F.explode("edges").alias("e"))
     return edges.select("e.kind", "e.source_qualified", "e.target_qualified", "e.line")
 
 
@@ -813,7 +813,7 @@ UNION ALL SELECT 'Class', path || '::' || cls, 3, 5, NULL, NULL FROM p
 UNION ALL SELECT 'Function', path || '::' || cls || '.go', 4, 5, '(self)', NULL FROM p
 UNION ALL SELECT 'Function', path || '::' || fn, 7, 8, '(x: int)', 'str' FROM p""", on_graph=False)
 def parsed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parsed_graph(parse_files(_files(spark, sf_dir))).nodes
+    nodes = parsed_graph(parse_files(_files(spark, sf_dir), spark.sparkContext.defaultParallelism)).nodes
     return nodes.select("kind", "qualified_name", "line_start", "line_end", "params", "return_type")
 
 

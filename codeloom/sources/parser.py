@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import keys
 from ..graph import Graph
 
@@ -292,7 +293,12 @@ _DDL = ("file_path string, file_hash string, "
         "edges array<struct<kind:string,source_qualified:string,target_qualified:string,file_path:string,line:int,extra:map<string,string>>>, error string")
 
 
+#: Nodes and edges that are sent back at once.
+ROWS = 5000
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
     for batch in batches:
         for path, content, digest in zip(*(batch.column(c).to_pylist() for c in range(3))):
             try:
@@ -301,12 +307,20 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, error = Parsed([], []), str(e)
             for row in (*p.nodes, *p.edges):
                 row["extra"] = list(row["extra"].items()) if row["extra"] else None
-            yield pa.RecordBatch.from_pylist([dict(file_path=path, file_hash=digest, nodes=p.nodes, edges=p.edges, error=error)], schema=_SCHEMA)
-
-
-def parse_files(files: DataFrame) -> DataFrame:
-    """(file_path, content, file_hash) -> (file_path, file_hash, nodes, edges, error), a row per file."""
-    return files.select("file_path", "content", "file_hash").mapInArrow(_parse, _DDL)
+            rows.append(dict(file_path=path, file_hash=digest, nodes=p.nodes, edges=p.edges, error=error))
+            held += 1 + len(p.nodes) + len(p.edges)
+            if held >= ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+
+def parse_files(files: DataFrame, partitions: int = Settings.from_env().parse_partitions) -> DataFrame:
+    """(file_path, content, file_hash) -> (file_path, file_hash, nodes, edges, error), a row per file. ``partitions``
+    deals files out anew where they come in too few partitions for the work that parsing is; 0 leaves them."""
+    files = files.select("file_path", "content", "file_hash")
+    return (files.repartition(partitions) if partitions else files).mapInArrow(_parse, _DDL)
 
 
 def parsed_graph(parsed: DataFrame) -> Graph:
