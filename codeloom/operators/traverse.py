@@ -1,8 +1,8 @@
 """Bounded traversals: impact radius and file dependents.
 
 A traversal is an unrolled loop of frontier joins. Each level joins only the nodes found in the level before, and an
-anti join keeps out what has been seen, so a node is expanded once however many walks lead to it. Levels are written
-to the shared folder when ``depth`` is large: the lineage stays short, and a lost executor costs one level.
+anti join keeps out what has been seen, so a node is expanded once however many walks lead to it. Each level is written
+to the shared folder: no level is computed twice, the lineage stays short, and a lost executor costs one level.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..scratch import Scratch
 
-#: Beyond this many levels each is written out.
-LAZY_LEVELS = 3
+#: A walk of more levels reads its steps from a table of their own, one of fewer scans the edges again.
+FEW_LEVELS = 3
 
 
 def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, key: list[str] | None = None) -> DataFrame:
@@ -29,20 +29,19 @@ def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, key: list[s
     key = key or []
     own = [*key, "node"]
     spark = seeds.sparkSession
-    scratch = Scratch(spark, "reach") if max_depth is None or max_depth > LAZY_LEVELS else None
-    frontier = seeds.select(*own).distinct().withColumn("depth", F.lit(0))
-    steps = steps.select("src", "dst").distinct()
-    if scratch:
-        frontier, steps = scratch.write(frontier, "level"), scratch.write(steps, "steps")
+    scratch = Scratch(spark, "reach")
+    frontier = scratch.write(seeds.select(*own).distinct().withColumn("depth", F.lit(0)), "level")
+    many = max_depth is None or max_depth > FEW_LEVELS
+    steps = scratch.write(steps.select("src", "dst").distinct(), "steps") if many else steps.select("src", "dst")
     seen = frontier
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(steps, frontier["node"] == steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select(*own), own, "left_anti").withColumn("depth", F.lit(depth))
-        if scratch:
-            frontier = scratch.write(frontier, "level")
-            if frontier.isEmpty():
-                break
+        frontier = scratch.write(step.join(seen.select(*own), own, "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
+    if many:
+        scratch.drop(steps)
     return seen
 
 
