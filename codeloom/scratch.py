@@ -34,12 +34,15 @@ class Scratch:
 
     KEEP_SECONDS = 24 * 3600
     _open: list[Scratch] = []
+    _at_exit: list = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
         self._tables = 0
         self.began = time.monotonic()
+        if not Scratch._at_exit:  # once a session is there, so that it goes before the session does
+            Scratch._at_exit.append(atexit.register(Scratch.sweep, 0))
         Scratch.sweep(self.KEEP_SECONDS)
         Scratch._open.append(self)
 
@@ -73,5 +76,3 @@ class Scratch:
         except Exception:  # noqa: BLE001  the session has ended; its folder is cleaned with it
             pass
 
-
-atexit.register(lambda: Scratch.sweep(0))
