@@ -220,7 +220,8 @@ def _dealt(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
     """(node, cluster, elements) -> plus the band of each set and the blocks of its cluster and band. All of a
     cluster of one block is one band."""
     n = F.size("elements").cast("long")
-    whole = members.groupBy("cluster").agg(F.sum(n + SET_WEIGHT).alias("weight"))
+    # A written table, here and below: joins with it on a cluster that very many sets are in can be split.
+    whole = scratch.write(members.groupBy("cluster").agg(F.sum(n + SET_WEIGHT).alias("weight")), "weights")
     rows = members.join(whole, "cluster").withColumn("large", F.col("weight") > BLOCK_WEIGHT)
     # Partners are at most one band apart: a band spans a factor den / num in size.
     band = F.floor(F.log(n.cast("double")) / F.lit(math.log(rule.den / rule.num))).cast("int")
@@ -294,7 +295,7 @@ def _meet(rows: DataFrame, scratch: Scratch) -> DataFrame:
     where it can have a link that isn't known."""
     parts = scratch.write(_blocks(rows, BLOCK_WEIGHT, "core"), "blocks")
     around = _nearby(parts).groupBy("cluster", "band").agg(F.collect_list(F.struct(F.col("own").alias("band"), "core", "blocks")).alias("parts"))  # six at most
-    here = parts.select("cluster", "band", "core", "blocks").join(around, ["cluster", "band"])
+    here = scratch.write(parts.select("cluster", "band", "core", "blocks").join(around, ["cluster", "band"]), "around")
     rows = rows.join(here, ["cluster", "band", "core"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     me = F.struct(F.col("band").alias("band"), F.col("core").alias("core"), F.col("block").alias("block"))
     others = F.flatten(F.transform(F.filter("parts", lambda p: ~(p["core"] & F.col("core"))), lambda p: F.transform(
