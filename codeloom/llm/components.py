@@ -31,10 +31,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         edges = fewer
         if edges.isEmpty():
             break
-    label = maps[-1].select("node", F.col("up").alias("label"))
+    labels = scratch.write(maps[-1].select("node", F.col("up").alias("label")), "labels")
     for up in reversed(maps[:-1]):
-        above = label.select(F.col("node").alias("up"), "label")
-        label = up.join(above, "up", "left").select("node", F.coalesce("label", "up").alias("label"))
-    labels = scratch.write(label, "labels")
+        above = labels.select(F.col("node").alias("up"), "label")
+        fewer, labels = labels, scratch.write(up.join(above, "up", "left").select("node", F.coalesce("label", "up").alias("label")), "labels")
+        scratch.drop(fewer)
     scratch.drop(edges, *maps)
     return labels

@@ -60,7 +60,8 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = PASS
             yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(signed(gram[place]))], ["doc_id", "hash", "gram"])
 
     grams = scratch.write(docs.mapInArrow(select, T.StructType([*key, long("gram")])), "grams")
-    shared = grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Written tables, here and below: joins with them on what very many documents have can be split.
+    shared = scratch.write(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "shared")
     marked = grams.join(shared.hint("merge"), "gram").groupBy("doc_id", "hash").agg(F.collect_set("gram").alias("grams"))
     marked = scratch.write(marked.select(F.col("doc_id").alias("d"), F.col("hash").alias("x"), "grams"), "marked")
     some, _ = split_by_key(docs, marked.select(F.col("x").alias("hash")), "hash")
@@ -84,11 +85,10 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = PASS
     windows = scratch.write(some.mapInArrow(compare, T.StructType([*key, long("at"), long("content"), long("content2")])), "windows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "hash", "at")
     begins = windows.groupBy("content", "content2").agg(F.min(order).alias("earliest"), F.max(order).alias("latest"))
-    # As a written table, so that a join on a content that very many windows have can be split.
     begins = scratch.write(begins.filter("earliest < latest").select("content", "content2", "earliest"), "earliest")
     later = windows.join(begins.hint("merge"), ["content", "content2"]).filter(order > F.col("earliest"))
     later = scratch.write(later.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set("at")).alias("at")), "later")
-    scratch.drop(grams, marked, windows, begins)
+    scratch.drop(grams, shared, marked, windows, begins)
     return later
 
 
