@@ -164,6 +164,7 @@ class Page:
         self.html, self.title = html, None
         self.links: list[str] = []
         self._missing: set[str] = set()
+        self._endless: set[int] = set()
         pieces, at = [], 0
         while (i := html.find("<", at)) >= 0:
             pieces.append(html[at:i])
@@ -188,8 +189,9 @@ class Page:
         if html.startswith("<!--", i) and (end := self._find("-->", i + 4)) >= 0:
             pieces.append(" ")
             return end + 3
-        end = self._find(">", i)
-        if end < 0 or not (html[i + 1:i + 2] in ("!", "?", "/") or "a" <= html[i + 1:i + 2].lower() <= "z"):
+        follows = html[i + 1:i + 2]  # before the search for an end, which for a mere sign would be in vain
+        end = self._find(">", i) if follows in ("!", "?", "/") or "a" <= follows.lower() <= "z" else -1
+        if end < 0:
             pieces.append("<")
             return i + 1
         m = _NAME.match(html, i + 1)
@@ -217,13 +219,16 @@ class Page:
         return m.start(), m.end()
 
     def _attributes(self, at: int, first: int, link: bool) -> int:
-        """Where the tag ends whose attributes begin at ``at``; the first ``>`` if its quotes never end."""
-        html, target = self.html, None
-        while m := _ATTRIBUTE.match(html, at):
+        """Where the tag ends whose attributes begin at ``at``; the first ``>`` if its quotes never end, and then only
+        what stands before it are its attributes. From where attributes were once read in vain, they aren't again."""
+        html, target, target_end, begins = self.html, None, 0, []
+        while at not in self._endless and (m := _ATTRIBUTE.match(html, at)):
+            begins.append(at)
             at = m.end()
             if m[2]:
                 end = self._find(m[2], at)
                 if end < 0:
+                    at = len(html)
                     break
                 value, at = html[at:end], end + 1
             elif m[2] == "":
@@ -232,13 +237,16 @@ class Page:
             else:
                 continue
             if link and target is None and m[1].lower() == "href":
-                target = value
-        if target is not None:
+                target, target_end = value, at
+        ends = at if at in self._endless else _SPACE_RUN.match(html, at).end()
+        if html[ends:ends + 1] != ">" or at in self._endless:
+            self._endless.update(begins)
+            ends = first
+        if target is not None and target_end <= ends:
             target = re.sub(r"\s+", "%20", htmllib.unescape(target).strip())
             if target:
                 self.links.append(target)
-        at = _SPACE_RUN.match(html, at).end()
-        return at if html[at:at + 1] == ">" else first
+        return ends
 
 
 _CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in _HIDDEN}
