@@ -171,7 +171,7 @@ class Page:
             at = self._markup(i, pieces)
         pieces.append(html[at:])
         text = htmllib.unescape("".join(pieces))
-        lines = (re.sub(r"[^\S\n]+", " ", line).strip() for line in text.split("\n"))
+        lines = (" ".join(line.split()) for line in text.split("\n"))
         self.text = "\n".join(line for line in lines if line)
 
     def _find(self, sign: str, at: int) -> int:
