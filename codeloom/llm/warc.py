@@ -7,8 +7,8 @@ the response by WARC-Refers-To and keep its target URI and date; the metadata re
 WARC-Concurrent-To. Record ids are name-based, so a task that runs again writes the same records. Records are
 handled one by one, in the partitions in which they are read: no shuffle.
 
-A page is read by one scanner that never goes back, so its time is in proportion to the page's length, whatever
-is left open in it.
+A page is read by one scanner that looks for nothing twice in vain, so its time is in proportion to the page's
+length, whatever is left open in it.
 
 Defined cases: a null html is an empty payload, a null url gives records without WARC-Target-URI, a null page_id
 counts as the empty string in the record id; bytes that aren't a WARC record give one row of kind ``error`` with the
