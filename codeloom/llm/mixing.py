@@ -95,7 +95,8 @@ def plan(spark: SparkSession, sized: DataFrame, seed: str = "", cap: int = CAP)
     ranges = ranged.groupBy("_s", "_range").agg(F.count("*").alias("_n"))
     ranges = ranges.withColumn("_before", F.sum("_n").over(W.partitionBy("_s").orderBy("_range")) - F.col("_n")).drop("_n").join(sources, "_s")
     rank = F.row_number().over(W.partitionBy("_s", "_range").orderBy(*order))
-    rows = ranged.join(ranges, ["_s", "_range"]).withColumn("_upto", (F.col("_before") + rank) * F.col("_each") + F.col("_offset"))
+    # A merge join: were the rows broadcast, the window would take over how the ranges are dealt, by source.
+    rows = ranged.join(ranges.hint("merge"), ["_s", "_range"]).withColumn("_upto", (F.col("_before") + rank) * F.col("_each") + F.col("_offset"))
     copies = F.shiftright("_upto", UNIT_BITS) - F.shiftright(F.col("_upto") - F.col("_each"), UNIT_BITS)
     return rows.select(*sized.columns, "source_size", "weight", "target", copies.alias("copies"))
 

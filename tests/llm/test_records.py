@@ -324,25 +324,30 @@ def test_mix_emits_copies(spark):
     assert mixing.mix(spark, docs.limit(0)).isEmpty()
 
 
-def test_mixing_splits_rows_of_one_key(spark):
-    """A third of all rows has no id, another is alike in everything: no task gets all of either."""
+@pytest.mark.parametrize("threshold", ["-1", "10MB", "1GB"])
+def test_mixing_splits_rows_of_one_key(spark, tmp_path, threshold):
+    """A third of all rows has no id, another is alike in everything: no task gets all of either, whatever may be
+    broadcast."""
     n = 30_000
     docs = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("hot").alias("source"),
         F.when(F.col("id") % 3 == 1, "same text").otherwise(F.concat(F.lit("w "), F.col("id").cast("string"))).alias("text"))
     docs = docs.unionByName(spark.createDataFrame([(-1, "b", "x y z")], docs.schema))
-    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": threshold}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        got = mixing.mix_sizes(spark, docs)
-        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        # Whole rows, written with the task that made them.
+        mixing.mix_sizes(spark, docs).withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "mixed"))
+        got = spark.read.parquet(str(tmp_path / "mixed"))
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
         assert sum(sizes) == n + 1 and max(sizes) < n / 3
         hot = got.filter("source = 'hot'").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).first()
         assert abs(hot.taken - hot.target) <= 4
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before[0])
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = mixing.mix(spark, docs)
     assert out.count() == got.agg(F.sum("copies")).first()[0]
     assert out.filter("text = 'same text'").count() == got.filter("doc_id = 7").agg(F.sum("copies")).first()[0]
