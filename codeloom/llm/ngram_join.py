@@ -98,13 +98,13 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-def _nodes(k: int, rule: Similarity):
+def _nodes(k: int, rule: Similarity, method):
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             sets = sets_of(Words(*text_bytes(batch.column(1)), BLANKS), k)
             ids = [identity(s) if len(s) else (0, 0) for s in sets]
             within = [int(np.searchsorted(s, rule.range_end)) for s in sets]
-            few = [s[: max(w, min(len(s), rule.lacking(len(s)) + 1))] for s, w in zip(sets, within)]
+            few = method.kept(sets, rule)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in few])]).astype(np.int32)
             whole = [[len(s) for s in sets], within, [i for i, _ in ids], [j for _, j in ids]]
             yield pa.RecordBatch.from_arrays(
@@ -140,9 +140,24 @@ def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity, labels: list | None = None) -> list[tuple[int, int]]:
+def bitmap_screen(sets: list[np.ndarray], rule: Similarity):
+    """(i, partners) -> those whose bits leave room for the overlap that a link needs."""
+    width, sizes = 1, np.array([len(s) for s in sets], dtype=np.int64)
+    while width * 64 < 2 * np.median(sizes) and width < 512:
+        width *= 2
+    maps = bitmaps(sets, width)
+
+    def screen(i: int, near: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        return near[differ * (rule.den + rule.num) <= (sizes[near] + sizes[i]) * (rule.den - rule.num)]
+
+    return screen
+
+
+def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity, labels: list | None = None, screens=bitmap_screen) -> list[tuple[int, int]]:
     """Links that span the components of a tile. side: 0 within one block, else 1 and 2 for two blocks that meet
-    (pairs of one side belong to another tile). Sets of one label (not None) are linked already."""
+    (pairs of one side belong to another tile). Sets of one label (not None) are linked already. ``screens`` makes
+    the function that turns partners away before the exact intersection."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], dtype=np.int64)
     first: dict = {}
@@ -154,10 +169,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity, label
             i = parent[i]
         return i
 
-    width = 1
-    while width * 64 < 2 * np.median(sizes) and width < 512:
-        width *= 2
-    maps = bitmaps([sets[i] for i in order], width) if len(order) > 2 else None
+    screen = screens([sets[i] for i in order], rule) if len(order) > 2 else None
     sides = side[order]
     found = []
     for i in range(len(order) - 1):
@@ -167,10 +179,8 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity, label
         near = np.arange(i + 1, end)
         if sides[i]:
             near = near[sides[near] != sides[i]]
-        if maps is not None and len(near):
-            differ = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            total = sizes[near] + sizes[i]
-            near = near[differ * (rule.den + rule.num) <= total * (rule.den - rule.num)]
+        if screen is not None and len(near):
+            near = screen(i, near)
         for j in near.tolist():
             a, b = root(i), root(j)
             if a == b:
@@ -182,12 +192,12 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, rule: Similarity, label
     return found
 
 
-def _tiles(rule: Similarity):
+def _tiles(rule: Similarity, screens):
     """Rows sorted by tile -> links. A tile's rows follow each other; its weight is bounded."""
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(nodes, sides, labels, sets):
-            links = tile_links(sets, np.array(sides), rule, labels) if len(sets) > 1 else []
+            links = tile_links(sets, np.array(sides), rule, labels, screens) if len(sets) > 1 else []
             return [(nodes[i], nodes[j]) for i, j in links]
 
         now, rows, out = None, ([], [], [], []), []
@@ -211,9 +221,9 @@ def _tiles(rule: Similarity):
     return tiles
 
 
-def _links(tiles: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+def _links(tiles: DataFrame, rule: Similarity, scratch: Scratch, screens) -> DataFrame:
     dealt = tiles.select("tile", "node", "side", "label", "elements").repartition("tile").sortWithinPartitions("tile")
-    return scratch.write(dealt.mapInArrow(_tiles(rule), "a long, b long"), "links")
+    return scratch.write(dealt.mapInArrow(_tiles(rule, screens), "a long, b long"), "links")
 
 
 def _dealt(members: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
@@ -264,7 +274,7 @@ def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [("node", pa.int64()), ("cluster", pa.int64()), ("band", pa.int32()), ("share", pa.float64())]))
 
 
-def _pivot_links(rows: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+def _pivot_links(rows: DataFrame, rule: Similarity, scratch: Scratch, screens) -> DataFrame:
     """Links of the sets of large clusters with the pivots of their bands: each set is written once."""
     large = rows.filter("large")
     blocks = scratch.write(_blocks(large, PIVOT_BLOCK_WEIGHT), "blocks")
@@ -278,7 +288,7 @@ def _pivot_links(rows: DataFrame, rule: Similarity, scratch: Scratch) -> DataFra
     none = F.lit(None).cast("long").alias("label")
     met = _nearby(pivots).join(blocks, ["cluster", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return _links(own.select("tile", "node", F.lit(2).alias("side"), none, "elements").unionByName(
-        met.select(tile, "node", F.lit(1).alias("side"), none, "elements")), rule, scratch)
+        met.select(tile, "node", F.lit(1).alias("side"), none, "elements")), rule, scratch, screens)
 
 
 def _with_core(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -353,16 +363,33 @@ def _refined(spark: SparkSession, members: DataFrame, rule: Similarity, scratch:
 
 # --- the join -----------------------------------------------------------------------------------
 
-def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+class PrefixMethod:
+    """How candidates are found, turned away in a tile, and how links become components."""
+
+    name, screens = "ngram_join", staticmethod(bitmap_screen)
+
+    def kept(self, sets: list[np.ndarray], rule: Similarity) -> list[np.ndarray]:
+        """What each set writes for the search of candidates."""
+        within = [int(np.searchsorted(s, rule.range_end)) for s in sets]
+        return [s[: max(w, min(len(s), rule.lacking(len(s)) + 1))] for s, w in zip(sets, within)]
+
+    def clusters(self, wide: DataFrame, rule: Similarity, scratch: Scratch) -> DataFrame:
+        return _clusters(wide, rule, scratch)
+
+    def components(self, spark: SparkSession, links: DataFrame) -> DataFrame:
+        return components(spark, links)
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, method=PrefixMethod()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_key (the hash
     of its text) and component (a number that the documents of a component share; null for empty sets)."""
     text_batches(spark)
     rule = Similarity(num, den)
-    scratch = Scratch(spark, "ngram_join")
+    scratch = Scratch(spark, method.name)
     text_key, text_check = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
     texts = docs.select("doc_id", "text", text_key.alias("text_key"), text_check.alias("text_check"))
     schema = "doc_id long, n long, n_range long, node long, check long, text_key long, text_check long, some array<long>"
-    written = scratch.write(texts.mapInArrow(_nodes(shingle, rule), schema), "sets")
+    written = scratch.write(texts.mapInArrow(_nodes(shingle, rule, method), schema), "sets")
     sets = _numbered(written, scratch)
     every = scratch.write(sets.select("doc_id", "n", "node", "check", "text_key", "text_check"), "documents")
     wide = scratch.write(sets.filter("n > 0").groupBy("node", "check").agg(
@@ -370,7 +397,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     scratch.drop(written)
     nodes = scratch.write(every.filter("n > 0").groupBy("node", "check").agg(
         F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", "text_check")).alias("t")).select("node", "doc_id", "t.*"), "nodes")
-    clusters = _clusters(wide, rule, scratch)
+    clusters = method.clusters(wide, rule, scratch)
     scratch.drop(wide)
     # The sets of the candidates alone, anew from their texts.
     wanted = scratch.write(nodes.select("node", "text_key", "text_check").join(clusters, "node"), "wanted")
@@ -379,12 +406,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     members = scratch.write(found.mapInArrow(_sets(shingle), "node long, cluster long, elements array<long>"), "candidates")
     rows = _dealt(_refined(spark, members, rule, scratch), rule, scratch)
     scratch.drop(wanted, members)
-    near = _pivot_links(rows, rule, scratch)
-    labelled = _with_core(rows, components(spark, near), scratch)
+    near = _pivot_links(rows, rule, scratch, method.screens)
+    labelled = _with_core(rows, method.components(spark, near), scratch)
     scratch.drop(rows)
-    links = _links(_meet(labelled, scratch), rule, scratch)
+    links = _links(_meet(labelled, scratch), rule, scratch, method.screens)
     scratch.drop(labelled)
-    joined = components(spark, near.unionByName(links))
+    joined = method.components(spark, near.unionByName(links))
     led = nodes.select("node", "doc_id").join(joined, "node")
     least = scratch.write(led.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     linked = led.join(least, "label").select("node", "label", "least")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, line_dedup, mixing, mpeg_audio, ngram_join, toxicity, url_filter, warc
+from . import chat_format, decontaminate, language_id, line_dedup, minhash, mixing, mpeg_audio, ngram_join, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_minhash_dedup": minhash.op11_minhash_dedup,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op7_ngram_join": ngram_join.OP7_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
+        "op11_minhash_dedup": minhash.OP11_SQL,
     }

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import components, decontaminate, line_dedup, ngram_join, passages
+from codeloom.llm import components, decontaminate, line_dedup, minhash, ngram_join, passages
 from codeloom.llm.common import BLANKS, Words, words_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,9 +85,9 @@ def test_sets_of_one_number_stay_apart(spark, monkeypatch):
     """Half of a set's identity is the same for all: the other half tells them apart."""
     plain = ngram_join._nodes
 
-    def poor(k, rule):
+    def poor(k, rule, method):
         def nodes(batches):
-            for b in plain(k, rule)(batches):
+            for b in plain(k, rule, method)(batches):
                 at = b.schema.get_field_index("node")
                 yield b.set_column(at, "node", pa.array([x and 7 for x in b.column(at).to_pylist()], type=pa.int64()))
 
@@ -171,7 +171,58 @@ def test_bitmap_bound_never_exceeds_the_difference():
         assert int(np.bitwise_count(m[0] ^ m[1]).sum()) <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_minhash_groups(spark, seed, monkeypatch):
+    """All links of brute force, also where clusters are dealt out in many small blocks."""
+    texts = corpus(random.Random(seed))
+    want = brute(texts, 4, 80, 100)
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 150)
+            monkeypatch.setattr(ngram_join, "PIVOT_BLOCK_WEIGHT", 100)
+        got = minhash.near_duplicates(spark, docs_of(spark, texts, extra=True), 4).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_minhash_defined_cases(spark):
+    assert minhash.near_duplicates(spark, docs_of(spark, [])).isEmpty()
+    long = " ".join(f"w{i % 977}x{i // 1000}" for i in range(200_000))
+    texts = [(1, None), (2, ""), (3, "a b"), (4, "A  b\n"), (None, "a b"), (5, long), (6, long + " end"), (None, "q r s t u"), (7, None)]
+    got = {(r.doc_id, r.n_shingles > 1): (r.component_id, r.kept) for r in minhash.near_duplicates(spark, docs_of(spark, texts), 4).collect()}
+    assert got == {(1, False): (1, True), (2, False): (2, True), (3, False): (3, True), (4, False): (3, False), (None, False): (3, False), (5, True): (5, True),
+                   (6, True): (5, False), (None, True): (None, True), (7, False): (7, True)}
+
+
+def test_minhash_signatures_estimate_similarity():
+    rng = np.random.default_rng(5)
+    for share in (0.5, 0.8, 0.95):
+        agree, met = [], 0
+        for _ in range(60):
+            both = rng.integers(0, 2**64, int(300 * share), dtype=np.uint64)
+            own = [np.concatenate([both, rng.integers(0, 2**64, (300 - len(both)) // 2, dtype=np.uint64)]) for _ in range(2)]
+            sig = minhash.signatures(own)
+            agree.append((sig[0] == sig[1]).mean())
+            met += bool((minhash.bands(sig)[0] == minhash.bands(sig)[1]).any())
+        assert abs(np.mean(agree) - share) < 0.02
+        assert met == 60 or share < 0.8
+    assert (1 - 0.8**minhash.ROWS) ** minhash.BANDS < 1e-10
+    assert 60 < minhash.least_agreeing(0.8) < 102
+
+
+def test_minhash_of_many_near_copies(spark):
+    """30,000 texts that each differ from one original, as many exact copies of another: one group each."""
+    n, words = 30_000, 40
+    base = F.array(*[F.lit(f"w{i}") for i in range(words)])
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") >= n, "the same words for everybody").when(F.col("id") == 0, F.array_join(base, " ")).otherwise(
+        F.array_join(F.transform(base, lambda w, i: F.when(i == 39, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(w)), " ")).alias("text"))
+    got = minhash.near_duplicates(spark, docs, 4)
+    assert got.groupBy("component_id").count().orderBy("component_id").collect() == [(0, n), (n, n)]
+    assert got.filter("kept").count() == 2
+
+
+@pytest.mark.parametrize("find", [components.components, components.star_components])
+def test_components(spark, find):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
@@ -183,9 +234,9 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(root(a), root(b))] = min(root(a), root(b))
-    got = {r.node: r.label for r in components.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in find(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
-    assert components.components(spark, spark.createDataFrame([], "a long, b long")).isEmpty()
+    assert find(spark, spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
 def test_words_are_those_of_the_definition():
