@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, line_dedup, minhash, mixing, mpeg_audio, ngram_join, toxicity, url_filter, warc
+from . import chat_format, decontaminate, language_id, line_dedup, minhash, mixing, mpeg_audio, ngram_join, prefix_trie, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_minhash_dedup": minhash.op11_minhash_dedup,
+        "op12_conversation_trie": prefix_trie.op12_conversation_trie,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.OP7_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
         "op11_minhash_dedup": minhash.OP11_SQL,
+        "op12_conversation_trie": prefix_trie.OP12_SQL,
     }
