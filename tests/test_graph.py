@@ -420,6 +420,39 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*token", plan)
 
 
+def test_segments_are_an_index_of_what_counts(spark, tmp_path):
+    """Texts added, replaced, removed and added again, in several segments: as an index that is built anew."""
+    rng = random.Random(11)
+    vocab = ["alpha", "beta", "gamma", "the", "of", "naïve"]
+    make = lambda i: (i, " ".join(rng.choices(vocab, k=rng.randrange(0, 9))) if i % 11 else None, f"n{i}")
+    shape = "id long, text string, name string"
+    now, path = {}, str(tmp_path / "index")
+    first = [make(i) for i in range(40)]
+    now.update({r[0]: r for r in first})
+    index = TextIndex.build(spark.createDataFrame(first, shape), path, "id", ("text", "name"), buckets=8)
+    steps = [(range(30, 60), []), (range(0, 5), range(10, 20)), ([], range(0, 3)), (range(12, 14), [1, 99])]
+    for number, (added, removed) in enumerate(steps, 1):
+        rows = [make(i) for i in added]
+        now = {k: v for k, v in now.items() if k not in removed} | {r[0]: r for r in rows}
+        for _ in range(2):  # a step that is run again changes nothing
+            index = index.add(spark.createDataFrame(rows, shape), number, spark.createDataFrame([(i,) for i in removed], "id long"))
+    anew = TextIndex.build(spark.createDataFrame(list(now.values()), shape), str(tmp_path / "anew"), "id", ("text", "name"), buckets=8)
+    merged = index.merged(str(tmp_path / "merged"))
+    assert merged.segments == [0] and index.segments == [0, 1, 2, 3, 4]
+    for own in (index, merged):
+        assert (own.rows, own.tokens) == (anew.rows, anew.tokens) == (len(now), anew.tokens)
+        for query in ("alpha", "beta gamma", "the of", "n13", "nothing", "naive"):
+            want = {r.id: round(r.score, 9) for r in anew.search(query).collect()}
+            assert {r.id: round(r.score, 9) for r in own.search(query).collect()} == want
+    # A segment that was interrupted before its last step isn't seen.
+    half = spark.createDataFrame([(500, 3, 9)], "key long, n_tokens long, segment int")
+    half.write.mode("append").partitionBy("segment").parquet(f"{path}/texts")
+    assert 500 not in names(TextIndex(spark, path).texts(), "key") and TextIndex(spark, path).rows == len(now)
+    # Few files whatever the number of tasks and buckets; an index of nothing can be searched.
+    assert len(spark.read.parquet(f"{path}/postings").filter("segment = 0").inputFiles()) < 8 * 5 * 5
+    assert TextIndex.build(spark.createDataFrame([], shape), path, "id", ("text",)).search("alpha").isEmpty()
+
+
 def test_resolution_of_a_name_that_everybody_has(spark):
     """Two thousand files ask for a name that two thousand nodes have."""
     n = 2000
