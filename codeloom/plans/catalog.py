@@ -227,12 +227,15 @@ per AS (
   SELECT entry, count(*) AS node_count, count(DISTINCT file_path) AS file_count, max(depth) AS depth, sum(secure)::BIGINT AS secure,
     sum(tested)::BIGINT AS tested, sum(outside)::BIGINT AS outside
   FROM member JOIN about USING (node) GROUP BY entry),
-metric AS (
-  SELECT entry, node_count, file_count, depth, round(least(greatest(
+metric_rows AS (
+  SELECT entry, node_count, file_count, depth, least(greatest(
     CASE WHEN file_count > 1 THEN least((file_count - 1) / 4.0::DOUBLE, 1.0) ELSE 0.0 END * 0.30::DOUBLE + least(outside / 5.0::DOUBLE, 1.0) * 0.20::DOUBLE
-    + secure::DOUBLE / node_count * 0.25::DOUBLE + (1 - tested::DOUBLE / node_count) * 0.15::DOUBLE + least(depth / 10.0::DOUBLE, 1.0) * 0.10::DOUBLE, 0.0), 1.0), 6) AS criticality
-  FROM per)
+    + secure::DOUBLE / node_count * 0.25::DOUBLE + (1 - tested::DOUBLE / node_count) * 0.15::DOUBLE + least(depth / 10.0::DOUBLE, 1.0) * 0.10::DOUBLE, 0.0), 1.0) AS criticality
+  FROM per),
+metric AS (SELECT entry, node_count, file_count, depth, round(criticality, 6) AS criticality FROM metric_rows)
 """
+#: To go after the graph's SQL: ``member`` (entry, node, depth) and ``metric_rows``, the metrics of each flow.
+FLOW_METRICS_SQL = _METRICS
 
 
 def _rounded(metrics: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import porter
 from codeloom.graph import Graph
 from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, traverse
+from codeloom.operators.ranking import rank_within
 from codeloom.operators.text_index import TextIndex
 from codeloom.plans import catalog
 from codeloom.scratch import Scratch
@@ -468,6 +470,20 @@ def test_resolution_of_a_name_that_everybody_has(spark):
         assert r.target_qualified == f"d/{i}.{'ts' if i % 2 == 0 else 'tsx'}::run"
 
 
+def test_ranks_of_a_large_group_are_made_in_many_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("g"), (F.col("id") * 7919 % 20_011).alias("x"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rank_within(rows, "g", F.col("x").desc()).withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "ranked"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    got = spark.read.parquet(str(tmp_path / "ranked"))
+    want = rows.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.col("x").desc())))
+    assert got.drop("task").exceptAll(want).isEmpty() and got.count() == 20_000
+    assert got.filter("g = 'many'").select("task").distinct().count() > 1
+
+
 # --- sessions -----------------------------------------------------------------------------------
 
 def test_intent_and_next_steps(spark):
