@@ -44,30 +44,24 @@ def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """The same as ``components`` by alternating large-star and small-star.
 
     A large-star takes a node's larger neighbours to the smallest of its neighbourhood, a small-star takes a node's
-    smaller neighbours and itself there; both keep the components. When neither changes the edges, each component is
-    a star around its smallest node. Minima are pre-aggregated and written before they are joined, so no
-    neighbourhood comes to one task and a join on a hub can be split.
+    smaller neighbours and itself there; both keep the components. It ends when no node has two smaller neighbours, or
+    one smaller and one larger: then each component is a star around its smallest node. Minima are pre-aggregated and
+    written before they are joined, so no neighbourhood comes to one task and a join on a hub can be split.
     """
     scratch = Scratch(spark, "stars")
-
-    def mark(t: DataFrame):
-        return tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
     # Edges go from the larger to the smaller end.
     edges = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    now = mark(edges)
-    while now[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.write(both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m")), "least")
-        # (v, u) with v > u: v goes to the least of u's neighbourhood.
-        large = edges.join(least, F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).distinct()
-        large = scratch.write(large, "large")
-        least2 = scratch.write(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
-        down = large.join(least2, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = scratch.write(down.unionByName(least2.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        scratch.drop(edges, least, large, least2)
-        edges, before, now = small, now, mark(small)
-        if now == before:
+    while True:
+        both = edges.select("a", "b", F.lit(1).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("down")))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m"), F.sum("down").alias("down"), F.count("*").alias("all"))
+        least = scratch.write(least, "least")
+        if least.filter("down > 1 or (down = 1 and all > 1)").isEmpty():
             break
-    roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("label"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+        large = scratch.write(edges.join(least.select("u", "m"), F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).distinct(), "large")
+        own = scratch.write(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "own")
+        down = large.join(own, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = scratch.write(down.unionByName(own.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        scratch.drop(edges, least, large, own)
+        edges = small
+    scratch.drop(edges)
+    return least.select(F.col("u").alias("node"), F.col("m").alias("label"))
