@@ -12,9 +12,10 @@ length, whatever is left open in it.
 
 Defined cases: a null html is an empty payload, a null url gives records without WARC-Target-URI, a null page_id
 counts as the empty string in the record id; bytes that aren't a WARC record give one row of kind ``error`` with the
-reason, and so do a damaged or torn compressed record, and a compressed payload that unfolds to more than
-``MOST_BYTES`` (a guard of the worker's memory) or has a damaged later member; a payload that ends early gives
-records of what there is, with WARC-Truncated; equal rows give equal records; an empty table gives an empty table;
+reason, and so do a damaged or torn compressed record, a payload in an unknown encoding or not in the one it is said to
+be in (damaged, or no chunk size where one is due), and a compressed payload that unfolds to more than ``MOST_BYTES``
+(a guard of the worker's memory); a payload that ends early, in its compression or its chunks, gives records of what
+there is, with WARC-Truncated; equal rows give equal records; an empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -121,26 +122,50 @@ def _unfold(body: bytes, bits: int) -> tuple[bytes, bool]:
     return b"".join(out), whole
 
 
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;[^\n]*)?\r?\n")
+_TORN_SIZE = re.compile(rb"[ \t]*(?:[0-9A-Fa-f]+[ \t]*(?:;[^\n]*)?\r?)?\Z")
+
+
+def _unchunked(body: bytes) -> tuple[bytes, bool]:
+    """The chunks' content, and whether the last one and its end are there."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        n, at = int(m[1], 16), m.end()
+        if not n:
+            return b"".join(out), True
+        out.append(body[at:at + n])
+        at += n
+        if at > len(body):
+            break
+        at += 2 if body[at:at + 2] == b"\r\n" else body[at:at + 1] == b"\n"
+    if at < len(body) and not _TORN_SIZE.match(body, at):
+        raise ValueError(f"no chunk size at byte {at} of the payload")
+    return b"".join(out), False
+
+
 def _body(headers: Headers, body: bytes) -> tuple[bytes, bool]:
-    """The payload without transfer and content encodings, and whether it is whole."""
-    if "chunked" in (get(headers, "Transfer-Encoding") or "").lower():
-        out, at = [], 0
-        while m := re.compile(rb"([0-9A-Fa-f]+)[^\n]*\n").match(body, at):
-            n = int(m[1], 16)
-            out.append(body[m.end(): m.end() + n])
-            at = m.end() + n
-            at += 2 if body[at:at + 2] == b"\r\n" else body[at:at + 1] == b"\n"
-            if not n:
-                break
-        body = b"".join(out)
-    kind = (get(headers, "Content-Encoding") or "").lower()
-    if kind in ("gzip", "x-gzip", "deflate"):
-        for bits in (47, -15):
-            try:
-                return _unfold(body, bits)
-            except zlib.error:
-                continue
-    return body, True
+    """The payload without transfer and content encodings, the last one first, and whether it is whole. An encoding
+    that is unknown, or that the payload isn't in, is an error."""
+    named = ",".join(v for name in ("Content-Encoding", "Transfer-Encoding") for k, v in headers if k.lower() == name.lower())
+    whole = True
+    for kind in reversed([x.strip().lower() for x in named.split(",")]):
+        if kind in ("", "identity"):
+            continue
+        if kind == "chunked":
+            body, complete = _unchunked(body)
+        elif kind in ("gzip", "x-gzip", "deflate"):
+            for bits in (31,) if kind != "deflate" else (47, -15):
+                try:
+                    body, complete = _unfold(body, bits)
+                    break
+                except zlib.error as e:
+                    wrong = e
+            else:
+                raise ValueError(f"the payload is no {kind}, or damaged: {wrong}")
+        else:
+            raise ValueError(f"unknown encoding {kind}")
+        whole = whole and complete
+    return body, whole
 
 
 #: Codecs of Python that no page is written in, or that don't decode in linear time.
@@ -163,7 +188,8 @@ class Page:
     def __init__(self, html: str):
         self.html, self.title = html, None
         self.links: list[str] = []
-        self._missing: set[str] = set()
+        self._missing: dict[str, int] = {}
+        self._unclosed: set[str] = set()
         self._endless: set[int] = set()
         pieces, at = [], 0
         while (i := html.find("<", at)) >= 0:
@@ -175,12 +201,11 @@ class Page:
         self.text = "\n".join(line for line in lines if line)
 
     def _find(self, sign: str, at: int) -> int:
-        """Like find, but what was not found once is never searched for again."""
-        if sign in self._missing:
-            return -1
-        found = self.html.find(sign, at)
+        """Like find; where the sign is known to be missing from some place on, it is looked for before that place only."""
+        known = self._missing.get(sign, len(self.html))
+        found = self.html.find(sign, at, known + len(sign) - 1) if at < known else -1
         if found < 0:
-            self._missing.add(sign)
+            self._missing[sign] = min(at, known)
         return found
 
     def _markup(self, i: int, pieces: list[str]) -> int:
@@ -209,21 +234,28 @@ class Page:
 
     def _closing(self, name: str, at: int) -> tuple[int, int] | None:
         """Where the element's closing tag begins and ends."""
-        key = f"</{name}"
-        if key in self._missing:
+        if name in self._unclosed:  # each is looked for further on than the one before
             return None
         m = _CLOSING[name].search(self.html, at)
         if m is None:
-            self._missing.add(key)
+            self._unclosed.add(name)
             return None
         return m.start(), m.end()
 
     def _attributes(self, at: int, first: int, link: bool) -> int:
         """Where the tag ends whose attributes begin at ``at``; the first ``>`` if its quotes never end, and then only
-        what stands before it are its attributes. From where attributes were once read in vain, they aren't again."""
-        html, target, target_end, begins = self.html, None, 0, []
-        while at not in self._endless and (m := _ATTRIBUTE.match(html, at)):
-            begins.append(at)
+        what stands before it are its attributes. From where attributes were once read in vain, they are read up to
+        the first ``>`` only, for the link."""
+        html, target, target_end, begins, vain = self.html, None, 0, [], False
+        while True:
+            vain = vain or at in self._endless
+            if vain and (not link or at >= first or target is not None):
+                break
+            m = _ATTRIBUTE.match(html, at)
+            if m is None:
+                break
+            if not vain:
+                begins.append(at)
             at = m.end()
             if m[2]:
                 end = self._find(m[2], at)
@@ -238,8 +270,8 @@ class Page:
                 continue
             if link and target is None and m[1].lower() == "href":
                 target, target_end = value, at
-        ends = at if at in self._endless else _SPACE_RUN.match(html, at).end()
-        if html[ends:ends + 1] != ">" or at in self._endless:
+        ends = first if vain else _SPACE_RUN.match(html, at).end()
+        if vain or html[ends:ends + 1] != ">":
             self._endless.update(begins)
             ends = first
         if target is not None and target_end <= ends:
