@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..graph import Graph
+from ..scratch import Scratch
 from .traverse import reach
 
 MAX_DEPTH = 15
@@ -28,34 +31,83 @@ def entry_points(g: Graph) -> DataFrame:
     return nodes.filter(keep).drop("called")
 
 
-def trace(g: Graph, max_depth: int = MAX_DEPTH, entries: DataFrame | None = None) -> DataFrame:
-    """(entry, node, depth) of all flows at once: calls followed forward, each node once per entry, known nodes only.
-    Flows of a single node are left out."""
+@dataclass(frozen=True)
+class Traced:
+    """All flows, with what they share written once.
+
+    Entries that call the same known names, themselves left out, reach the same nodes at the same depths: they are one
+    *class*, named by its first entry. entries: (entry, cls); reached: (cls, node, depth), from depth 1 on, written.
+    An entry's flow is itself at depth 0 and what its class reaches, without itself.
+    """
+
+    entries: DataFrame
+    reached: DataFrame
+
+    def members(self) -> DataFrame:
+        """(entry, node, depth), written out: as many rows as flows have nodes."""
+        own = self.entries.select("entry", F.col("entry").alias("node"), F.lit(0).alias("depth"))
+        rest = self.entries.join(self.reached, "cls").filter("entry <> node").select("entry", "node", "depth")
+        return own.unionByName(rest)
+
+    def metrics(self, g: Graph) -> DataFrame:
+        """What ``flow_metrics`` gives for ``members()``, summed up by class; members aren't written out."""
+        scratch = Scratch(g.spark, "flow_metrics")
+        about = scratch.write(_about(g), "about")
+        reached = self.reached.join(about, "node")
+        sums = [F.count("*").alias("node_count"), *[F.sum(c).alias(c) for c in ("secure", "tested", "outside")]]
+        levels = reached.groupBy("cls", "depth").agg(*sums)
+        totals = levels.groupBy("cls").agg(  # a row for each depth
+            *[F.sum(c).alias(f"c_{c}") for c in ("node_count", "secure", "tested", "outside")], F.collect_list(F.struct("depth", F.col("node_count").alias("n"))).alias("levels"))
+        files = scratch.write(reached.select("cls", "file_path").distinct(), "files")
+        classes = scratch.write(totals.join(files.groupBy("cls").agg(F.count("*").alias("c_files")), "cls"), "classes")
+        rows = self.entries.join(about.withColumnRenamed("node", "entry"), "entry").join(classes, "cls")
+        rows = rows.join(self.reached.select("cls", F.col("node").alias("entry"), F.col("depth").alias("again")), ["cls", "entry"], "left")
+        rows = rows.join(files.withColumn("shared_file", F.lit(True)), ["cls", "file_path"], "left")
+        more = F.when(F.col("again").isNull(), 1).otherwise(0)  # the entry itself, where its class doesn't come back to it
+        deepest = F.array_max(F.transform(F.filter("levels", lambda x: x["n"] > (x["depth"].eqNullSafe(F.col("again"))).cast("int")), lambda x: x["depth"]))
+        return _criticality(rows.select(
+            "entry", (F.col("c_node_count") + more).alias("node_count"), (F.col("c_files") + F.col("shared_file").isNull().cast("int")).alias("file_count"), deepest.alias("depth"),
+            *[(F.col(f"c_{c}") + more * F.col(c)).alias(c) for c in ("secure", "tested", "outside")]))
+
+
+def traced(g: Graph, max_depth: int = MAX_DEPTH, entries: DataFrame | None = None) -> Traced:
+    """All flows at once: calls followed forward, each node once per flow, known nodes only. Flows of a single node are
+    left out. The walk goes from classes of entries, so that a utility's reach is found once, not for each caller."""
+    scratch = Scratch(g.spark, "trace")
     entries = entry_points(g) if entries is None else entries
     known = g.nodes.select(F.col("qualified_name").alias("dst"))
     steps = g.edges_of("CALLS").select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst")).join(known, "dst", "left_semi")
-    seeds = entries.select(F.col("qualified_name").alias("entry"), F.col("qualified_name").alias("node"))
-    found = reach(seeds, steps, max_depth, key=["entry"])
-    more = found.filter("depth > 0").select("entry").distinct()
-    return found.join(more, "entry", "left_semi")
+    steps = scratch.write(steps.filter("src <> dst").distinct(), "steps")
+    first = steps.join(entries.select(F.col("qualified_name").alias("src")), "src", "left_semi")
+    # A set of names is told by their number and 128 bits of their hashes.
+    sets = first.groupBy(F.col("src").alias("entry")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("dst")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "dst")).alias("y"))
+    sets = scratch.write(sets if max_depth > 0 else sets.limit(0), "sets")
+    named = scratch.write(sets.groupBy("n", "x", "y").agg(F.min("entry").alias("cls")), "classes")
+    own = scratch.write(sets.join(named, ["n", "x", "y"]).select("entry", "cls"), "entries")
+    seeds = steps.join(named.select(F.col("cls").alias("src")), "src").select(F.col("src").alias("cls"), F.col("dst").alias("node"))
+    found = reach(seeds, steps, max(0, max_depth - 1), key=["cls"])
+    return Traced(own, scratch.write(found.withColumn("depth", F.col("depth") + 1), "reached"))
 
 
-def flow_metrics(g: Graph, members: DataFrame) -> DataFrame:
-    """Per entry: node_count, file_count, depth and criticality. ``members``: (entry, node, depth).
+def trace(g: Graph, max_depth: int = MAX_DEPTH, entries: DataFrame | None = None) -> DataFrame:
+    """(entry, node, depth) of all flows."""
+    return traced(g, max_depth, entries).members()
 
-    criticality = 0.30 spread over files + 0.20 calls to unknown names + 0.25 share of security-relevant nodes +
-    0.15 share of untested nodes + 0.10 depth, each at most 1.
-    """
+
+def _about(g: Graph) -> DataFrame:
+    """(node, file_path, secure, tested, outside): what a node adds to the metrics of a flow."""
     tested = g.edges_of("TESTED_BY").select(F.col("target_qualified").alias("node")).distinct().withColumn("tested", F.lit(1))
     calls = g.edges_of("CALLS").select(F.col("source_qualified").alias("node"), "target_qualified")
     outside = calls.join(g.nodes.select(F.col("qualified_name").alias("target_qualified")), "target_qualified", "left_anti")
     outside = outside.groupBy("node").agg(F.count("*").alias("outside"))
     about = g.nodes.select(
         F.col("qualified_name").alias("node"), "file_path", keys.is_security_relevant(F.col("name"), F.col("qualified_name")).cast("int").alias("secure"))
-    about = about.join(tested, "node", "left").join(outside, "node", "left")
-    per = members.join(about, "node").groupBy("entry").agg(
-        F.count("*").alias("node_count"), F.countDistinct("file_path").alias("file_count"), F.max("depth").alias("depth"),
-        F.sum("secure").alias("secure"), F.coalesce(F.sum("tested"), F.lit(0)).alias("tested"), F.coalesce(F.sum("outside"), F.lit(0)).alias("outside"))
+    return about.join(tested, "node", "left").join(outside, "node", "left").fillna(0, ["tested", "outside"])
+
+
+def _criticality(per: DataFrame) -> DataFrame:
+    """criticality = 0.30 spread over files + 0.20 calls to unknown names + 0.25 share of security-relevant nodes +
+    0.15 share of untested nodes + 0.10 depth, each at most 1."""
     one = F.lit(1.0)
     spread = F.when(F.col("file_count") > 1, F.least((F.col("file_count") - 1) / 4.0, one)).otherwise(0.0)
     total = (
@@ -64,6 +116,17 @@ def flow_metrics(g: Graph, members: DataFrame) -> DataFrame:
     return per.select("entry", "node_count", "file_count", "depth", F.least(F.greatest(total, F.lit(0.0)), one).alias("criticality"))
 
 
+def flow_metrics(g: Graph, members: DataFrame) -> DataFrame:
+    """Per entry: node_count, file_count, depth and criticality. ``members``: (entry, node, depth)."""
+    per = members.join(_about(g), "node").groupBy("entry").agg(
+        F.count("*").alias("node_count"), F.countDistinct("file_path").alias("file_count"), F.max("depth").alias("depth"), *[F.sum(c).alias(c) for c in ("secure", "tested", "outside")])
+    return _criticality(per)
+
+
+def flow_id(entry: Column) -> Column:
+    return keys.stable_id(F.concat(F.lit("flow:"), entry))
+
+
 def build_flows(g: Graph, members: DataFrame) -> DataFrame:
     """Flow rows: name, entry, metrics and the path of node ids, in the order of depth and name."""
     metrics = flow_metrics(g, members)
@@ -73,7 +136,7 @@ def build_flows(g: Graph, members: DataFrame) -> DataFrame:
     who = g.nodes.select(F.col("qualified_name").alias("entry"), "name", F.col("id").alias("entry_point_id"))
     now = F.current_timestamp()
     return metrics.join(path, "entry").join(who, "entry").select(
-        keys.stable_id(F.concat(F.lit("flow:"), "entry")).alias("id"), "name", "entry_point_id", F.col("depth").cast("int").alias("depth"),
+        flow_id(F.col("entry")).alias("id"), "name", "entry_point_id", F.col("depth").cast("int").alias("depth"),
         F.col("node_count").cast("int").alias("node_count"), F.col("file_count").cast("int").alias("file_count"), "criticality", "path",
         now.alias("created_at"), now.alias("updated_at"))
 
@@ -97,20 +160,52 @@ def flow_steps(g: Graph, flows: DataFrame, flow_id: int) -> DataFrame:
     return steps.join(g.nodes.select("id", "name", "qualified_name", "kind", "file_path", "line_start", "line_end"), "id").orderBy("position")
 
 
+def _back_from(g: Graph, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(qualified_name): what comes to the seeds (node) by at most ``max_depth`` calls between known names."""
+    known = g.nodes.select(F.col("qualified_name").alias("src"))
+    back = g.edges_of("CALLS").select(F.col("target_qualified").alias("src"), F.col("source_qualified").alias("dst")).join(known, "src", "left_semi")
+    return reach(seeds, back, max_depth).select(F.col("node").alias("qualified_name"))
+
+
 def entries_through(g: Graph, files: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
     """Entry points whose flows come through one of the files: calls are followed back from the files' nodes, so the
     work grows with what can reach them, not with the number of flows."""
-    known = g.nodes.select(F.col("qualified_name").alias("src"))
-    back = g.edges_of("CALLS").select(F.col("target_qualified").alias("src"), F.col("source_qualified").alias("dst")).join(known, "src", "left_semi")
     seeds = g.nodes.filter(F.col("file_path").isin(*files) if files else F.lit(False)).select(F.col("qualified_name").alias("node"))
-    found = reach(seeds, back, max_depth).select(F.col("node").alias("qualified_name"))
-    return entry_points(g).join(found, "qualified_name", "left_semi")
+    return entry_points(g).join(_back_from(g, seeds, max_depth), "qualified_name", "left_semi")
 
 
 def affected_flows(g: Graph, files: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
     """The metrics of flows with a node in one of the files, most critical first. Only these flows are traced."""
-    members = trace(g, max_depth, entries_through(g, files, max_depth))
-    return flow_metrics(g, members).orderBy(F.col("criticality").desc(), "entry")
+    found = traced(g, max_depth, entries_through(g, files, max_depth))
+    return found.metrics(g).orderBy(F.col("criticality").desc(), "entry")
+
+
+def _stirred(g: Graph, files: DataFrame, max_depth: int) -> DataFrame:
+    """(qualified_name): nodes from which a flow can be another one if these files (file_path) are.
+
+    A flow follows from its nodes, their calls and whether these names are known, and from which nodes have tests. So
+    it changes with a node or call of the files in it, or one call beyond its deepest nodes; with a test in the files;
+    or when an entry is called, or called no more, by them.
+    """
+    nodes = g.nodes.join(files, "file_path", "left_semi").select(F.col("qualified_name").alias("node"))
+    edges = g.edges_of("CALLS", "TESTED_BY").join(files, "file_path", "left_semi")
+    ends = edges.select(F.col("target_qualified").alias("node"))
+    return _back_from(g, nodes.unionByName(ends).distinct(), max_depth + 1)
+
+
+def changed_flows(before: Graph, after: Graph, files: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(gone, flows): ids of the flows that an update of ``files`` (file_path) can have changed, and the rows of
+    ``build_flows`` for those that are there now. All other flows are what they were; they aren't traced."""
+    scratch = Scratch(after.spark, "changed_flows")
+    files = scratch.write(files.select("file_path").distinct(), "files")
+    names = scratch.write(_stirred(before, files, max_depth).unionByName(_stirred(after, files, max_depth)).distinct(), "names")
+    entries = scratch.write(entry_points(after).join(names, "qualified_name", "left_semi"), "entries")
+    return names.select(flow_id(F.col("qualified_name")).alias("id")), scratch.write(build_flows(after, trace(after, max_depth, entries)), "flows")
+
+
+def refreshed(flows: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """``flows`` without the ones that are gone (id) and with the new ones."""
+    return flows.join(gone, "id", "left_anti").unionByName(new.select(*flows.columns))
 
 
 def ordered_members(members: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..graph import Graph
+from ..schema import conform
 from ..scratch import Scratch
 from ..sources import files as tree
 from ..sources.parser import parse_files, parsed_graph
+from . import flows
 from . import store as tables
 from .traverse import file_dependents
 
@@ -36,6 +39,16 @@ def _note(store: tables.GraphStore, root: str, kind: str) -> None:
     store.set_metadata(last_updated=now, last_build_type=kind, git_branch=branch, git_head_sha=sha)
 
 
+def _flow_changes(store: tables.GraphStore, before: Graph, files: DataFrame, new: Graph) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What ``replace_slices`` is to replace of the stored flows; nothing where none are stored."""
+    if "flows" not in store.manifest()["tables"]:
+        return {}
+    own = Graph(conform(new.nodes, store.SCHEMAS["nodes"]), conform(new.edges, store.SCHEMAS["edges"]))
+    after = tables.replace_files(before, files, own.nodes, own.edges)
+    gone, rows = flows.changed_flows(before, after, files, int(store.metadata("flow_depth") or flows.MAX_DEPTH))
+    return {"flows": (gone, rows), "memberships": (gone, flows.memberships(rows))}
+
+
 def full_build(spark: SparkSession, root: str, store: tables.GraphStore) -> Built:
     """Parses every file of the tree; files no longer there are gone from the graph."""
     scratch = Scratch(spark, "build")
@@ -52,7 +65,8 @@ def incremental_update(spark: SparkSession, root: str, store: tables.GraphStore,
                        hops: int = DEPENDENT_HOPS) -> Built:
     """Parses changed files and their dependents whose contents differ from the stored ones, and puts them in place
     of their slices; slices of files that are gone go. No other file is read, and only the buckets of the store that
-    hold one of these files are written."""
+    hold one of these files are written. Where flows are stored, those that the update can have changed are traced
+    anew, and they switch together with the graph."""
     changed = tree.changed_since(root, base) if changed is None else changed
     if not changed:
         return Built(0, 0, 0, 0)
@@ -64,7 +78,8 @@ def incremental_update(spark: SparkSession, root: str, store: tables.GraphStore,
     gone = spark.createDataFrame([(p,) for p in touched], "file_path string").join(present.select("file_path"), "file_path", "left_anti")
     parsed = scratch.write(parse_files(tables.changed_files(g, present)), "parsed")
     new = parsed_graph(parsed)
-    store.replace_slices(gone.unionByName(parsed.select("file_path")), new)
+    replaced = gone.unionByName(parsed.select("file_path"))
+    store.replace_slices(replaced, new, **_flow_changes(store, g, replaced, new))
     _note(store, root, "incremental")
     built = _built(parsed)
     scratch.close()

@@ -92,7 +92,8 @@ class GraphStore:
 
     SCHEMAS = {"nodes": NODE, "edges": EDGE, "metadata": METADATA, "flows": FLOW, "memberships": MEMBERSHIP, "vectors": VECTOR, "communities": COMMUNITY,
                "community_summaries": COMMUNITY_SUMMARY, "flow_snapshots": FLOW_SNAPSHOT, "risk": RISK}
-    #: Tables that are dealt into buckets by file_path.
+    #: The column by which a table is dealt into buckets; the others have one bucket.
+    DEALT_BY = {"nodes": "file_path", "edges": "file_path", "flows": "id", "memberships": "flow_id"}
     BY_FILE = ("nodes", "edges")
     BUCKETS = 64
     RETAIN_SECONDS = 3600
@@ -143,8 +144,8 @@ class GraphStore:
 
     # --- tables
 
-    def _bucket(self, buckets: int):
-        return F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")
+    def _bucket(self, buckets: int, key: str = "file_path"):
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
         """A table, or some of its buckets. A column that a version lacks, since it was added later, is null."""
@@ -157,8 +158,8 @@ class GraphStore:
         """Writes rows as a new version; {bucket: version} of the buckets that have some."""
         version = uuid.uuid4().hex
         rows = conform(rows, self.SCHEMAS[table])
-        if table in self.BY_FILE:
-            rows = rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket")
+        if table in self.DEALT_BY:
+            rows = rows.withColumn("bucket", self._bucket(buckets, self.DEALT_BY[table])).repartition("bucket")
         else:
             rows = rows.withColumn("bucket", F.lit(0))
         rows.write.partitionBy("bucket").parquet(f"{self.path}/{table}/{version}")
@@ -172,6 +173,7 @@ class GraphStore:
         written = {t: self._write(t, rows, buckets) for t, rows in tables.items()}
         manifest = self.manifest()
         manifest["tables"] |= written
+        manifest["dealt"] = sorted({*manifest.get("dealt", []), *(t for t in written if t in self.DEALT_BY)})
         self._put(manifest)
         self.vacuum()
 
@@ -181,22 +183,42 @@ class GraphStore:
     def write_graph(self, g: Graph) -> None:
         self.write(nodes=g.nodes, edges=g.edges)
 
-    def replace_slices(self, files: DataFrame, new: Graph) -> None:
-        """Puts the slices of ``files`` (file_path) in place of the stored ones: new ones come from ``new``. Only the
-        buckets of these files are read and written."""
+    def _of_keys(self, manifest: dict, table: str, *keys: DataFrame) -> list[int] | None:
+        """The buckets of the keys (the first column of each); None if the table was stored before it was dealt out."""
+        if table not in (*self.BY_FILE, *manifest.get("dealt", [])):
+            return None
+        own = [k.select(F.col(k.columns[0]).cast(self.SCHEMAS[table][self.DEALT_BY[table]].dataType).alias("k")).select(self._bucket(manifest["buckets"], "k").alias("b")) for k in keys]
+        rows = own[0]
+        for other in own[1:]:
+            rows = rows.unionByName(other)
+        return [r.b for r in rows.distinct().collect()]  # as many as buckets at most
+
+    def replace_slices(self, files: DataFrame, new: Graph, **others: tuple[DataFrame, DataFrame]) -> None:
+        """Puts the slices of ``files`` (file_path) in place of the stored ones: new ones come from ``new``. Of other
+        tables, given as (keys, rows), the rows of these keys and of the new rows' keys go and the rows come. All of it
+        switches at once, and only the buckets of these files and keys are read and written."""
         before = self.manifest()
-        buckets = [r.b for r in files.select(self._bucket(before["buckets"]).alias("b")).distinct().collect()]  # as many as buckets at most
-        if not buckets:
-            return
-        part = Graph(*(self.read(t, buckets) for t in self.BY_FILE))
-        own = Graph(*(conform(rows, self.SCHEMAS[t]) for t, rows in zip(self.BY_FILE, (new.nodes, new.edges))))
-        merged = replace_files(part, files, own.nodes, own.edges)
-        for table, rows in zip(self.BY_FILE, (merged.nodes, merged.edges)):
+        work = []
+        buckets = self._of_keys(before, "nodes", files.select("file_path"))
+        if buckets:
+            part = Graph(*(self.read(t, buckets) for t in self.BY_FILE))
+            own = Graph(*(conform(rows, self.SCHEMAS[t]) for t, rows in zip(self.BY_FILE, (new.nodes, new.edges))))
+            merged = replace_files(part, files, own.nodes, own.edges)
+            work = [("nodes", buckets, merged.nodes), ("edges", buckets, merged.edges)]
+        for table, (gone, rows) in others.items():
+            key = self.DEALT_BY[table]
+            keys = gone.select(F.col(gone.columns[0]).alias(key))
+            some = self._of_keys(before, table, keys, rows.select(key))
+            every = keys.unionByName(rows.select(key)).distinct()
+            work.append((table, some, self.read(table, some).join(every, key, "left_anti").unionByName(conform(rows, self.SCHEMAS[table]))))
+        for table, some, rows in work:
             written = self._write(table, rows, before["buckets"])
             stored = before["tables"].setdefault(table, {})
-            before["tables"][table] = {b: v for b, v in stored.items() if int(b) not in buckets} | written
-        self._put(before)
-        self.vacuum()
+            before["tables"][table] = ({} if some is None else {b: v for b, v in stored.items() if int(b) not in some}) | written
+            before["dealt"] = sorted({*before.get("dealt", []), table})
+        if work:
+            self._put(before)
+            self.vacuum()
 
     def metadata(self, key: str) -> str:
         row = self.read("metadata").filter(F.col("key") == key).select("value").first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -259,12 +260,12 @@ def flow_trace(g: Graph) -> DataFrame:
 
 @_query(_METRICS + "SELECT * FROM metric")
 def flow_metrics(g: Graph) -> DataFrame:
-    return _rounded(flows.flow_metrics(g, flows.trace(g)))
+    return _rounded(flows.traced(g).metrics(g))
 
 
 @_query(_METRICS + "SELECT * FROM metric ORDER BY criticality DESC, entry LIMIT 50")
 def list_flows(g: Graph) -> DataFrame:
-    return flows.list_flows(_rounded(flows.flow_metrics(g, flows.trace(g))), "criticality", 50)
+    return flows.list_flows(_rounded(flows.traced(g).metrics(g)), "criticality", 50)
 
 
 @_query(_FLOWS + """SELECT entry, node, (row_number() OVER (PARTITION BY entry ORDER BY depth, node) - 1)::INT AS position FROM member""")
@@ -291,6 +292,24 @@ def affected_flows(g: Graph) -> DataFrame:
     return _rounded(flows.affected_flows(g, [FILE]))
 
 
+# The same CTEs over the graph without one file.
+_WITHOUT = re.sub(r"\b(nodes|edges)\b", r"other_\1", _METRICS)
+
+
+@_query(f""", other_nodes AS (SELECT * FROM nodes WHERE file_path <> '{FILE}'), other_edges AS (SELECT * FROM edges WHERE file_path <> '{FILE}')""" + _WITHOUT + "SELECT * FROM metric")
+def updated_flows(g: Graph) -> DataFrame:
+    """Stored flows after a file is gone: only those that it can have changed are traced again."""
+    scratch = Scratch(g.spark, "updated_flows")
+    g = Graph(scratch.write(g.nodes, "nodes"), scratch.write(g.edges, "edges"))
+    stored = scratch.write(flows.build_flows(g, flows.trace(g)), "stored")
+    files = g.spark.createDataFrame([(FILE,)], "file_path string")
+    after = store.remove_files(g, files)
+    now = flows.refreshed(stored, *flows.changed_flows(g, after, files))
+    entries = after.nodes.select(F.col("id").alias("entry_point_id"), F.col("qualified_name").alias("entry"))
+    rows = _rounded(now.join(entries, "entry_point_id"))
+    return rows.select("entry", F.col("node_count").cast("long").alias("node_count"), F.col("file_count").cast("long").alias("file_count"), "depth", "criticality")
+
+
 @_query("""SELECT source_qualified AS node, count(*) AS outside FROM edges WHERE kind = 'CALLS'
 AND target_qualified NOT IN (SELECT qualified_name FROM nodes) GROUP BY 1""")
 def external_calls(g: Graph) -> DataFrame:
@@ -421,8 +440,8 @@ def community_pages(g: Graph) -> DataFrame:
     rows = community.summaries(g).select(
         F.col("community_id").alias("id"), F.concat(F.lit("Brand "), F.col("community_id").cast("string")).alias("name"), F.lit(0.5).alias("cohesion"), "size",
         "dominant_language", F.lit(None).cast("string").alias("description"))
-    members = flows.trace(g)
-    return community.pages(g, rows, _rounded(flows.flow_metrics(g, members)), members)
+    found = flows.traced(g)
+    return community.pages(g, rows, _rounded(found.metrics(g)), found.members())
 
 
 # Rounds enough for all labels to stay, or to swing between two, on the fixture at any of its sizes.

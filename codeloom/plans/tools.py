@@ -14,6 +14,7 @@ from ..graph import Graph
 from ..operators import basic, community, export, flows, hints, incremental, refactor, search, traverse
 from ..operators.store import GraphStore
 from ..operators.text_index import TextIndex
+from ..scratch import Scratch
 from ..sources import files as tree
 
 
@@ -155,11 +156,12 @@ def rebuild_fts_index(c: Context, path: str) -> int:
 
 
 def postprocess(c: Context) -> int:
-    """Traces and stores all flows; their number."""
+    """Traces and stores all flows; their number. Updates keep them up to date from then on."""
     g = c.graph
-    c.store.write(flows=flows.build_flows(g, flows.trace(g, c.settings.flow_depth)))
-    c.store.write(memberships=flows.memberships(_stored_flows(c)))
-    return _stored_flows(c).count()
+    rows = Scratch(c.spark, "postprocess").write(flows.build_flows(g, flows.trace(g, c.settings.flow_depth)), "flows")
+    c.store.write(flows=rows, memberships=flows.memberships(rows))
+    c.store.set_metadata(flow_depth=str(c.settings.flow_depth))
+    return rows.count()
 
 
 TOOLS: dict[str, Callable] = {

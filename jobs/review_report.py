@@ -49,9 +49,9 @@ def review_rows(g: Graph, settings: dict) -> DataFrame:
         F.count("*").alias("symbols"), F.count_if((F.col("kind") == "Function") & (F.col("line_end") - F.col("line_start") + 1 >= settings["long"])).alias("long_functions"),
         F.count_if(checked & F.col("tested").isNull()).alias("untested"), F.count_if(F.col("dead").isNotNull()).alias("dead"))
     dependents = traverse.file_steps(g).groupBy(F.col("src").alias("file_path")).agg(F.count("*").alias("dependents"))
-    members = flows.trace(g)
-    metrics = flows.flow_metrics(g, members).select("entry", "criticality")
-    through = members.join(g.nodes.select(F.col("qualified_name").alias("node"), "file_path"), "node").select("entry", "file_path").distinct()
+    found = flows.traced(g)
+    metrics = found.metrics(g).select("entry", "criticality")
+    through = found.members().join(g.nodes.select(F.col("qualified_name").alias("node"), "file_path"), "node").select("entry", "file_path").distinct()
     through = through.join(metrics, "entry").groupBy("file_path").agg(F.count("*").alias("flows"), F.max("criticality").alias("criticality"))
     rows = g.nodes.select("file_path").distinct()
     for part in (about, dependents, through):

@@ -114,6 +114,90 @@ def test_affected_flows(flow):
     assert flows.affected_flows(flow, ["b.py"]).drop("n").collect() == flows.flow_metrics(flow, flows.trace(flow)).collect()
 
 
+def calls_of(rng, files, per_file, n_calls):
+    """A random call graph with loops, calls of oneself, unknown names, tests, and entries that call the same."""
+    nodes = [dict(name=f"{rng.choice(['f', 'f', 'auth', 'test_'])}{i}", file=f"{f}.py", kind=rng.choice(["Function", "Function", "Test"])) for f in range(files) for i in range(per_file)]
+    qn = [f"{n['file']}::{n['name']}" for n in nodes]
+    edges = [("CALLS", rng.choice(qn), rng.choice([*qn, "ext"]), 1) for _ in range(n_calls)] + [("TESTED_BY", rng.choice(qn), rng.choice(qn), 1) for _ in range(5)]
+    return nodes, edges + [("CALLS", q, qn[0], 2) for q in qn[-6:]]
+
+
+def flows_by_hand(nodes, edges, max_depth):
+    known = {f"{n['file']}::{n['name']}": n for n in nodes}
+    calls = {}
+    for kind, a, b, _ in edges:
+        if kind == "CALLS":
+            calls.setdefault(a, []).append(b)
+    called, tested = {b for bs in calls.values() for b in bs}, {b for kind, _, b, _ in edges if kind == "TESTED_BY"}
+    members, metrics = set(), {}
+    for e, n in known.items():
+        if e in called and not re.match("test_|handle_|on_", n["name"]):
+            continue
+        depth, level = {e: 0}, [e]
+        for d in range(1, max_depth + 1):
+            level = sorted({b for a in level for b in calls.get(a, []) if b in known and b not in depth})
+            depth |= dict.fromkeys(level, d)
+        if len(depth) < 2:
+            continue
+        members |= {(e, m, d) for m, d in depth.items()}
+        files = {known[m]["file"] for m in depth}
+        outside = sum(b not in known for m in depth for b in calls.get(m, []))
+        crit = (0.3 * (min((len(files) - 1) / 4, 1) if len(files) > 1 else 0) + 0.2 * min(outside / 5, 1) + 0.25 * sum("auth" in m for m in depth) / len(depth)
+                + 0.15 * (1 - len(tested & set(depth)) / len(depth)) + 0.1 * min(max(depth.values()) / 10, 1))
+        metrics[e] = (len(depth), len(files), max(depth.values()), round(crit, 9))
+    return members, metrics
+
+
+@pytest.mark.parametrize("seed, max_depth", [(1, 15), (2, 2), (3, 4), (4, 1)])
+def test_flows_of_random_graphs(spark, seed, max_depth):
+    nodes, edges = calls_of(random.Random(seed), 6, 6, 45)
+    g = graph(spark, nodes, edges)
+    members, metrics = flows_by_hand(nodes, edges, max_depth)
+    found = flows.traced(g, max_depth)
+    assert set(map(tuple, found.members().collect())) == members and found.members().count() == len(members)
+    for got in (found.metrics(g), flows.flow_metrics(g, found.members())):
+        assert {r.entry: (r.node_count, r.file_count, r.depth, round(r.criticality, 9)) for r in got.collect()} == metrics
+    assert flows.traced(g, 0).members().isEmpty()
+
+
+def test_a_shared_utility_is_walked_once(spark):
+    """10,000 entries that call one utility, which reaches 200 nodes: the walk has the utility's rows, not 2 million."""
+    name = lambda p, c: F.concat(F.lit(f"{p}.py::{p}"), c.cast("string"))
+    node = lambda p, n: spark.range(n).select(F.lit("Function").alias("kind"), F.concat(F.lit(p), F.col("id").cast("string")).alias("name"), name(p, F.col("id")).alias("qualified_name"), F.lit(f"{p}.py").alias("file_path"))
+    nodes = node("e", 10_000).unionByName(node("u", 200)).withColumn("id", F.xxhash64("qualified_name")).withColumn("extra", F.lit(None).cast("map<string,string>"))
+    into = spark.range(10_000).select(name("e", F.col("id")).alias("source_qualified"), F.lit("u.py::u0").alias("target_qualified"))
+    on = spark.range(199).select(F.when(F.col("id") < 100, F.lit("u.py::u0")).otherwise(name("u", F.col("id") - 99)).alias("source_qualified"), name("u", F.col("id") + 1).alias("target_qualified"))
+    edges = into.unionByName(on).withColumn("kind", F.lit("CALLS")).withColumn("file_path", F.split_part("source_qualified", F.lit("::"), F.lit(1)))
+    g = Graph(nodes, edges)
+    found = flows.traced(g)
+    assert found.reached.count() == 200 and found.entries.count() == 10_000
+    rows = found.metrics(g)
+    assert rows.count() == 10_000 and rows.select("node_count", "file_count", "depth").distinct().collect() == [(201, 2, 3)]
+
+
+@pytest.mark.parametrize("seed, max_depth", [(5, 15), (6, 2), (7, 3)])
+def test_changed_flows_are_a_full_trace(spark, seed, max_depth):
+    """Files that lose, gain and change nodes, calls and tests: stored flows with the changed ones put in are those of
+    a trace of everything, and flows that have nothing to do with the files aren't traced."""
+    rng = random.Random(seed)
+    nodes, edges = calls_of(rng, 8, 5, 40)
+    qn = [f"{n['file']}::{n['name']}" for n in nodes]
+    files = ["1.py", "4.py", "9.py"]
+    own = lambda e: e[1].split("::")[0]
+    later = [n for n in nodes if n["file"] not in files or rng.random() < 0.6] + [dict(name="fresh", file="9.py"), dict(name="ext", file="4.py")]
+    new = [("CALLS", f"{f}::{rng.choice(['fresh', 'f1'])}", rng.choice(qn), 3) for f in files for _ in range(2)] + [("TESTED_BY", "4.py::t", rng.choice(qn), 3)]
+    lines = [e for e in edges if own(e) not in files or rng.random() < 0.5] + new
+    before, after = graph(spark, nodes, edges), graph(spark, later, lines)
+    by_name = lambda g: Graph(g.nodes.withColumn("id", F.xxhash64("qualified_name")), g.edges)
+    before, after = by_name(before), by_name(after)
+    shape = ("id", "name", "entry_point_id", "depth", "node_count", "file_count", "criticality", "path")
+    told = lambda df: sorted((tuple(tuple(v) if isinstance(v, list) else round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*shape).collect()))
+    stored = flows.build_flows(before, flows.trace(before, max_depth))
+    gone, rows = flows.changed_flows(before, after, spark.createDataFrame([(f,) for f in files], "file_path string"), max_depth)
+    assert told(flows.refreshed(stored, gone, rows)) == told(flows.build_flows(after, flows.trace(after, max_depth)))
+    assert max_depth > 3 or gone.count() < len(nodes)
+
+
 def test_scratch_tables_go_with_time(spark):
     s = Scratch(spark, "old")
     kept = Scratch(spark, "new")
@@ -371,6 +455,27 @@ def test_slices_write_their_buckets_only(spark, tmp_path):
     assert names(s.graph().nodes) == want and names(s.graph().edges, "source_qualified") == want
 
 
+def test_rows_by_key_switch_with_the_slices(spark, tmp_path):
+    """Flows go and come with the graph, in their own buckets; a table from before it was dealt out is dealt out then."""
+    s = store.GraphStore(spark, str(tmp_path / "g"))
+    row = lambda i, depth=1: (i, f"f{i}", i, depth, 2, 1, 0.5, [i, i + 1])
+    shape = "id long, name string, entry_point_id long, depth int, node_count int, file_count int, criticality double, path array<long>"
+    s.write(nodes=graph(spark, [dict(name="f")]).nodes, flows=spark.createDataFrame([row(i) for i in range(300)], shape))
+    first = s.manifest()["tables"]["flows"]
+    files = spark.createDataFrame([("a.py",)], "file_path string")
+    new = graph(spark, [dict(name="g")])
+    s.replace_slices(files, new, flows=(spark.createDataFrame([(3,), (999,)], "id long"), spark.createDataFrame([row(5, 9), row(400)], shape)))
+    second = s.manifest()["tables"]["flows"]
+    assert 0 < sum(second.get(b) != v for b, v in first.items()) <= 4 and names(s.graph().nodes) == ["a.py::g"]
+    want = sorted([(i, 9 if i == 5 else 1) for i in range(300) if i != 3] + [(400, 1)])
+    assert sorted((r.id, r.depth) for r in s.read("flows").collect()) == want
+    m = s.manifest()
+    m["dealt"] = ["edges", "nodes"]
+    s._put(m)
+    s.replace_slices(files, new, flows=(spark.createDataFrame([(7,)], "id long"), spark.createDataFrame([], shape)))
+    assert sorted((r.id, r.depth) for r in s.read("flows").collect()) == [w for w in want if w[0] != 7] and "flows" in s.manifest()["dealt"]
+
+
 def test_older_stores_are_brought_up_to_date(spark, tmp_path):
     s = store.GraphStore(spark, str(tmp_path / "g"))
     assert s.migrate() == []

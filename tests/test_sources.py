@@ -198,6 +198,16 @@ def test_build_update_and_tools(spark, tmp_path, monkeypatch):
     assert tools.call(c, "generate_wiki", communities=named)[0]["generated"] == 2
     assert "1. `main`, weighs" in tools.call(c, "get_wiki_page", page_name="all")[0]
     assert tools.call(c, "detect_changes")[0].first().changed_files == 2
+
+    # Flows are kept up to date by updates: those of a trace of everything, and the others' rows are left alone.
+    told = lambda rows: sorted((r.id, r.name, r.node_count, r.depth, r.criticality, tuple(r.path)) for r in rows.collect())
+    (root / "pkg/d.py").write_text("def main():\n    helper()\n\ndef helper():\n    pass\n")
+    for changed in (["pkg/d.py"], ["pkg/b.py"]):
+        (root / "pkg/b.py").write_text("def run():\n    pass\n")
+        incremental.incremental_update(spark, str(root), store, changed)
+        assert told(store.read("flows")) == told(flows.build_flows(store.graph(), flows.trace(store.graph())))
+        ids = {r.id for r in store.read("flows").collect()}
+        assert {r.flow_id for r in store.read("memberships").collect()} == ids
     with pytest.raises(ValueError):
         tools.call(c, "query_graph", query_type="x", target="y")
     with pytest.raises(KeyError):
