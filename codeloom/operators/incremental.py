@@ -13,9 +13,8 @@ from ..schema import conform
 from ..scratch import Scratch
 from ..sources import files as tree
 from ..sources.parser import parse_files, parsed_graph
-from . import flows
+from . import flows, stored
 from . import store as tables
-from .traverse import file_dependents
 
 DEPENDENT_HOPS = Settings.from_env().dependent_hops
 
@@ -64,15 +63,15 @@ def full_build(spark: SparkSession, root: str, store: tables.GraphStore) -> Buil
 def incremental_update(spark: SparkSession, root: str, store: tables.GraphStore, changed: list[str] | None = None, base: str = "HEAD~1",
                        hops: int = DEPENDENT_HOPS) -> Built:
     """Parses changed files and their dependents whose contents differ from the stored ones, and puts them in place
-    of their slices; slices of files that are gone go. No other file is read, and only the buckets of the store that
-    hold one of these files are written. Where flows are stored, those that the update can have changed are traced
+    of their slices; slices of files that are gone go. No other file is read. Dependents are found in the buckets of
+    the changed files and of what depends on them; only buckets that hold one of these files are written. Where flows are stored, those that the update can have changed are traced
     anew, and they switch together with the graph."""
     changed = tree.changed_since(root, base) if changed is None else changed
     if not changed:
         return Built(0, 0, 0, 0)
     scratch = Scratch(spark, "update")
     g = store.graph()
-    depend = file_dependents(g, changed, hops).select("file_path")
+    depend = stored.file_dependents(store, changed, hops).select("file_path")
     touched = sorted({*changed, *(r.file_path for r in depend.collect())})  # paths of the update
     present = scratch.write(tree.read_files(spark, root, touched, tree.ignore_patterns(root)), "present")
     gone = spark.createDataFrame([(p,) for p in touched], "file_path string").join(present.select("file_path"), "file_path", "left_anti")

@@ -14,15 +14,15 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys
 from ..graph import Graph
-from ..schema import (ADDED_IN, COMMUNITY, COMMUNITY_SUMMARY, EDGE, FLOW, FLOW_SNAPSHOT, MEMBERSHIP, METADATA, NODE, RISK, SCHEMA_VERSION, VECTOR,
-                      conform)
+from ..schema import (ADDED_IN, COMMUNITY, COMMUNITY_SUMMARY, COUNT, EDGE, FLOW, FLOW_SNAPSHOT, LINK, MEMBERSHIP, METADATA, NODE, RISK, SCHEMA_VERSION,
+                      VECTOR, conform)
 
 EDGE_KEY = ("kind", "source_qualified", "target_qualified", "file_path", "line")
 #: Columns of a stored node that an upsert leaves alone.
@@ -87,14 +87,28 @@ def changed_files(g: Graph, current: DataFrame) -> DataFrame:
     return current.join(known, ["file_path", "file_hash"], "left_anti")
 
 
+def owner_of(name: Column) -> Column:
+    """The file that a qualified name belongs to; a name of no file is its own owner."""
+    return F.split_part(name, F.lit("::"), F.lit(1))
+
+
+def links_of(edges: DataFrame) -> DataFrame:
+    """Each edge as seen from both of its ends."""
+    ends = [("source_qualified", "target_qualified", True), ("target_qualified", "source_qualified", False)]
+    seen = F.array(*[F.struct(owner_of(F.col(a)).alias("owner"), F.col(a).alias("name"), F.col(b).alias("other"), F.lit(out).alias("outgoing")) for a, b, out in ends])
+    return edges.select(F.explode(seen).alias("e"), "kind", "file_path", "line").select("e.*", "kind", "file_path", "line")
+
+
 class GraphStore:
     """The tables of one graph under a path that all executors see."""
 
     SCHEMAS = {"nodes": NODE, "edges": EDGE, "metadata": METADATA, "flows": FLOW, "memberships": MEMBERSHIP, "vectors": VECTOR, "communities": COMMUNITY,
-               "community_summaries": COMMUNITY_SUMMARY, "flow_snapshots": FLOW_SNAPSHOT, "risk": RISK}
+               "community_summaries": COMMUNITY_SUMMARY, "flow_snapshots": FLOW_SNAPSHOT, "risk": RISK, "links": LINK, "counts": COUNT}
     #: The column by which a table is dealt into buckets; the others have one bucket.
-    DEALT_BY = {"nodes": "file_path", "edges": "file_path", "flows": "id", "memberships": "flow_id"}
+    DEALT_BY = {"nodes": "file_path", "edges": "file_path", "flows": "id", "memberships": "flow_id", "links": "owner", "counts": "part"}
     BY_FILE = ("nodes", "edges")
+    #: Tables that are made from nodes and edges when they are first asked for, and kept up to date from then on.
+    DERIVED = ("links", "counts")
     BUCKETS = 64
     RETAIN_SECONDS = 3600
 
@@ -149,8 +163,11 @@ class GraphStore:
 
     def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
         """A table, or some of its buckets. A column that a version lacks, since it was added later, is null."""
+        return self._versions(self.manifest(), table, buckets)
+
+    def _versions(self, manifest: dict, table: str, buckets: Iterable[int] | None) -> DataFrame:
         schema: T.StructType = self.SCHEMAS[table]
-        named = self.manifest()["tables"].get(table, {})
+        named = manifest["tables"].get(table, {})
         paths = [f"{self.path}/{table}/{v}/bucket={b}" for b, v in named.items() if buckets is None or int(b) in buckets]
         return conform(self.spark.read.schema(schema).parquet(*paths), schema) if paths else self.spark.createDataFrame([], schema)
 
@@ -173,6 +190,8 @@ class GraphStore:
         written = {t: self._write(t, rows, buckets) for t, rows in tables.items()}
         manifest = self.manifest()
         manifest["tables"] |= written
+        if set(tables) & set(self.BY_FILE):
+            manifest["tables"] = {t: v for t, v in manifest["tables"].items() if t not in self.DERIVED}
         manifest["dealt"] = sorted({*manifest.get("dealt", []), *(t for t in written if t in self.DEALT_BY)})
         self._put(manifest)
         self.vacuum()
@@ -199,12 +218,18 @@ class GraphStore:
         switches at once, and only the buckets of these files and keys are read and written."""
         before = self.manifest()
         work = []
+        derived = [t for t in self.DERIVED if t in before["tables"]]
         buckets = self._of_keys(before, "nodes", files.select("file_path"))
         if buckets:
             part = Graph(*(self.read(t, buckets) for t in self.BY_FILE))
             own = Graph(*(conform(rows, self.SCHEMAS[t]) for t, rows in zip(self.BY_FILE, (new.nodes, new.edges))))
             merged = replace_files(part, files, own.nodes, own.edges)
             work = [("nodes", buckets, merged.nodes), ("edges", buckets, merged.edges)]
+            if "links" in derived:
+                old, fresh = links_of(part.edges.join(files.select("file_path"), "file_path", "left_semi")), links_of(own.edges)
+                some = self._of_keys(before, "links", old.select("owner"), fresh.select("owner"))
+                rest = self.read("links", some).join(files.select("file_path"), "file_path", "left_anti").select(*LINK.names)
+                work.append(("links", some, rest.unionByName(fresh)))
         for table, (gone, rows) in others.items():
             key = self.DEALT_BY[table]
             keys = gone.select(F.col(gone.columns[0]).alias(key))
@@ -216,10 +241,39 @@ class GraphStore:
             stored = before["tables"].setdefault(table, {})
             before["tables"][table] = ({} if some is None else {b: v for b, v in stored.items() if int(b) not in some}) | written
             before["dealt"] = sorted({*before.get("dealt", []), table})
+        if buckets and "counts" in derived:
+            counts = self._counts(before, buckets)
+            parts = self.spark.createDataFrame([(b,) for b in buckets], "part int")
+            some = self._of_keys(before, "counts", parts)
+            written = self._write("counts", self.read("counts", some).join(parts, "part", "left_anti").select(*COUNT.names).unionByName(counts), before["buckets"])
+            before["tables"]["counts"] = {b: v for b, v in before["tables"]["counts"].items() if int(b) not in some} | written
         if work:
             self._put(before)
             self.vacuum()
 
+    # --- what is derived
+
+    def _counts(self, manifest: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Rows of COUNT for some buckets of the nodes and edges that the manifest names."""
+        every = []
+        for table in self.BY_FILE:
+            rows = self._versions(manifest, table, buckets)
+            language = F.col("language") if table == "nodes" else F.lit(None).cast("string")
+            every.append(rows.groupBy(self._bucket(manifest["buckets"]).alias("part"), "kind", language.alias("language")).agg(F.count("*").alias("n")).withColumn("counted", F.lit(table)))
+        return every[0].unionByName(every[1]).select(*COUNT.names)
+
+    def derive(self, table: str) -> None:
+        """Makes links or counts from nodes and edges, if they aren't there."""
+        manifest = self.manifest()
+        if table not in manifest["tables"]:
+            self.write(**{table: links_of(self.read("edges")) if table == "links" else self._counts(manifest)})
+
+    def near(self, table: str, names: DataFrame) -> DataFrame:
+        """The buckets of a table in which what belongs to the names (the first column) is: nodes and edges by the file
+        that a name begins with, links by either end. Others aren't read."""
+        owner = names.select(owner_of(F.col(names.columns[0])).alias("owner"))
+        return self.read(table, self._of_keys(self.manifest(), table, owner))
+
     def metadata(self, key: str) -> str:
         row = self.read("metadata").filter(F.col("key") == key).select("value").first()
         return row.value if row and row.value is not None else ""

@@ -7,6 +7,7 @@ to the shared folder: no level is computed twice, the lineage stays short, and a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count
 
@@ -20,22 +21,24 @@ from ..scratch import Scratch
 FEW_LEVELS = 3
 
 
-def reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None, key: list[str] | None = None) -> DataFrame:
+def reach(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], max_depth: int | None, key: list[str] | None = None) -> DataFrame:
     """Everything within ``max_depth`` steps of the seeds (None: any number), with the least ``depth``.
 
-    seeds: (*key, node), at depth 0. steps: (src, dst). With a key, each key's seeds go their own way: rows are
-    unique by (*key, node).
+    seeds: (*key, node), at depth 0. steps: (src, dst), or what finds those of a level (node, a written table). With a
+    key, each key's seeds go their own way: rows are unique by (*key, node).
     """
     key = key or []
     own = [*key, "node"]
     spark = seeds.sparkSession
     scratch = Scratch(spark, "reach")
     frontier = scratch.write(seeds.select(*own).distinct().withColumn("depth", F.lit(0)), "level")
-    many = max_depth is None or max_depth > FEW_LEVELS
-    steps = scratch.write(steps.select("src", "dst").distinct(), "steps") if many else steps.select("src", "dst")
+    many = not callable(steps) and (max_depth is None or max_depth > FEW_LEVELS)
+    if many:
+        steps = scratch.write(steps.select("src", "dst").distinct(), "steps")
     seen = frontier
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = frontier.join(steps, frontier["node"] == steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
+        own_steps = (steps(frontier) if callable(steps) else steps).select("src", "dst")
+        step = frontier.join(own_steps, frontier["node"] == own_steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
         frontier = scratch.write(step.join(seen.select(*own), own, "left_anti").withColumn("depth", F.lit(depth)), "level")
         if frontier.isEmpty():
             break
@@ -72,11 +75,12 @@ def impacted(g: Graph, files: list[str], max_depth: int = 2) -> DataFrame:
     return g.nodes.join(found, "qualified_name")
 
 
-def impact_radius(g: Graph, files: list[str], max_depth: int = 2, max_nodes: int = 500) -> Impact:
+def impact_radius(g: Graph, files: list[str], max_depth: int = 2, max_nodes: int = 500, found: DataFrame | None = None) -> Impact:
     """The impact of changed files: counted whole, then cut to the ``max_nodes`` nearest, by name among equals.
 
-    The walk is done once and written; nodes, files, edges and summary all come from that table."""
-    every = Scratch(g.spark, "impact").write(impacted(g, files, max_depth), "impacted")
+    The walk (``found``, if it was done elsewhere) is done once and written; nodes, files, edges and summary all come
+    from that table."""
+    every = Scratch(g.spark, "impact").write(impacted(g, files, max_depth) if found is None else found, "impacted")
     kept = every.orderBy("min_depth", "qualified_name").limit(max_nodes)
     seeds = seeds_of(g, files)
     names = seeds.select("qualified_name").unionByName(kept.select("qualified_name"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..graph import Graph
-from ..operators import basic, community, export, flows, hints, refactor, search, store, traverse
+from ..operators import basic, community, export, flows, hints, refactor, search, store, stored, traverse
 from ..operators.text_index import TextIndex
 from ..scratch import Scratch
 from ..sources.fixture_graph import GRAPH_SQL, fixture_graph
@@ -58,14 +58,18 @@ SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges)
 """
 
 
-@_query(_STATS)
-def graph_stats(g: Graph) -> DataFrame:
+def _said(stats: DataFrame) -> DataFrame:
     said = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return basic.graph_stats(g).select(
+    return stats.select(
         "total_nodes", "total_edges", "files_count", said("nodes_by_kind").alias("nodes_by_kind"), said("edges_by_kind").alias("edges_by_kind"),
         F.array_join("languages", ",").alias("languages"))
 
 
+@_query(_STATS)
+def graph_stats(g: Graph) -> DataFrame:
+    return _said(basic.graph_stats(g))
+
+
 @_query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
 def nodes_by_kind(g: Graph) -> DataFrame:
     return basic.count_by_kind(g.nodes)
@@ -186,12 +190,15 @@ def impact_summary(g: Graph) -> DataFrame:
     return traverse.impact_radius(g, [FILE], 2, 100).summary
 
 
-@_query(f""", step AS (
+_DEPENDENTS = f""", step AS (
   SELECT DISTINCT n.file_path AS s, e.file_path AS t FROM edges e JOIN nodes n ON n.qualified_name = e.target_qualified
   WHERE e.kind IN ('CALLS', 'IMPORTS_FROM', 'INHERITS', 'IMPLEMENTS') AND n.file_path <> e.file_path
   UNION SELECT target_qualified, file_path FROM edges WHERE kind = 'IMPORTS_FROM' AND target_qualified <> file_path),
 walk AS (SELECT '{FILE}' AS n, 0 AS depth UNION SELECT t, depth + 1 FROM walk JOIN step ON s = n WHERE depth < 2)
-SELECT n AS file_path, min(depth) AS depth FROM walk GROUP BY n HAVING min(depth) > 0""")
+SELECT n AS file_path, min(depth) AS depth FROM walk GROUP BY n HAVING min(depth) > 0"""
+
+
+@_query(_DEPENDENTS)
 def file_dependents(g: Graph) -> DataFrame:
     return traverse.file_dependents(g, [FILE], 2)
 
@@ -292,11 +299,17 @@ def affected_flows(g: Graph) -> DataFrame:
     return _rounded(flows.affected_flows(g, [FILE]))
 
 
-# The same CTEs over the graph without one file.
-_WITHOUT = re.sub(r"\b(nodes|edges)\b", r"other_\1", _METRICS)
+# The graph without one file, as other_nodes and other_edges, and SQL over these.
+
+
+_OTHER_GRAPH = f""", other_nodes AS (SELECT * FROM nodes WHERE file_path <> '{FILE}'), other_edges AS (SELECT * FROM edges WHERE file_path <> '{FILE}')"""
 
 
-@_query(f""", other_nodes AS (SELECT * FROM nodes WHERE file_path <> '{FILE}'), other_edges AS (SELECT * FROM edges WHERE file_path <> '{FILE}')""" + _WITHOUT + "SELECT * FROM metric")
+def _other(sql: str) -> str:
+    return _OTHER_GRAPH + re.sub(r"\b(nodes|edges)\b", r"other_\1", sql)
+
+
+@_query(_other(_METRICS) + "SELECT * FROM metric")
 def updated_flows(g: Graph) -> DataFrame:
     """Stored flows after a file is gone: only those that it can have changed are traced again."""
     scratch = Scratch(g.spark, "updated_flows")
@@ -665,19 +678,57 @@ def slice_replace(g: Graph) -> DataFrame:
     return store.replace_files(g, files, new, g.edges.filter(F.col("file_path") == FILE)).nodes.select("qualified_name", "line_start")
 
 
+def _kept(g: Graph) -> store.GraphStore:
+    """A store of the graph, in a folder of its own."""
+    kept = store.GraphStore(g.spark, f"{Scratch(g.spark, 'stored').base}/graph")
+    kept.write_graph(Graph(g.nodes.withColumns({c: F.lit(None).cast("string") for c in ("params", "return_type", "modifiers", "file_hash")}), g.edges))
+    return kept
+
+
 @_query(f"""SELECT qualified_name, line_start, community_id FROM nodes WHERE file_path <> '{FILE}'
 UNION ALL SELECT qualified_name, line_start + 5, NULL FROM nodes WHERE file_path = '{FILE}' AND kind <> 'Test'""")
 def stored_update(g: Graph) -> DataFrame:
     """The same by a store: written whole, one file's slice put in place, read back."""
-    kept = store.GraphStore(g.spark, f"{Scratch(g.spark, 'stored').base}/graph")
-    nodes = g.nodes.withColumns({c: F.lit(None).cast("string") for c in ("params", "return_type", "modifiers", "file_hash")})
-    kept.write_graph(Graph(nodes, g.edges))
+    kept = _kept(g)
+    nodes = kept.graph().nodes
     new = nodes.filter((F.col("file_path") == FILE) & (F.col("kind") != "Test"))
     new = new.withColumn("line_start", F.col("line_start") + 5).withColumn("community_id", F.lit(None).cast("long"))
     kept.replace_slices(g.spark.createDataFrame([(FILE,)], "file_path string"), Graph(new, g.edges.filter(F.col("file_path") == FILE)))
     return kept.graph().nodes.select("qualified_name", "line_start", "community_id")
 
 
+@_query(_WALK + "SELECT * FROM hit")
+def stored_impact(g: Graph) -> DataFrame:
+    """The impact by a store's links: a level reads the buckets of its own names."""
+    return stored.impacted(_kept(g), [FILE], 2).select("qualified_name", "kind", "file_path", "min_depth")
+
+
+@_query(_DEPENDENTS)
+def stored_dependents(g: Graph) -> DataFrame:
+    return stored.file_dependents(_kept(g), [FILE], 2)
+
+
+@_query(f"""SELECT 'node' AS said, kind, qualified_name AS name, file_path AS other FROM nodes WHERE file_path = '{FILE}'
+  UNION ALL SELECT 'caller', kind, target_qualified, source_qualified FROM edges WHERE target_qualified = 'ext.lib_3'
+  UNION ALL SELECT 'callee', kind, source_qualified, target_qualified FROM edges WHERE source_qualified = '{FILE}'""")
+def stored_lookups(g: Graph) -> DataFrame:
+    """Nodes by name, edges by either end: each reads the buckets of what is asked for."""
+    kept = _kept(g)
+    nodes = stored.nodes_named(kept, stored.nodes_by_file(kept, FILE).select("qualified_name"))
+    return nodes.select(F.lit("node").alias("said"), "kind", F.col("qualified_name").alias("name"), F.col("file_path").alias("other")).unionByName(
+        stored.edges_by_target(kept, "ext.lib_3").select(F.lit("caller").alias("said"), "kind", F.col("target_qualified").alias("name"), F.col("source_qualified").alias("other"))).unionByName(
+        stored.edges_by_source(kept, FILE).select(F.lit("callee").alias("said"), "kind", F.col("source_qualified").alias("name"), F.col("target_qualified").alias("other")))
+
+
+@_query(_other(_STATS))
+def stored_stats(g: Graph) -> DataFrame:
+    """Totals after a file is gone, from the counts that the store keeps for each bucket."""
+    kept = _kept(g)
+    stored.graph_stats(kept)
+    kept.replace_slices(g.spark.createDataFrame([(FILE,)], "file_path string"), Graph(g.nodes.limit(0), g.edges.limit(0)))
+    return _said(stored.graph_stats(kept))
+
+
 @_query(f"SELECT kind, source_qualified, target_qualified FROM edges WHERE file_path <> '{FILE}'")
 def remove_file(g: Graph) -> DataFrame:
     files = g.nodes.sparkSession.createDataFrame([(FILE,)], "file_path string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..graph import Graph
-from ..operators import basic, community, export, flows, hints, incremental, refactor, search, traverse
+from ..operators import basic, community, export, flows, hints, incremental, refactor, search, stored, traverse
 from ..operators.store import GraphStore
 from ..operators.text_index import TextIndex
 from ..scratch import Scratch
@@ -46,21 +46,22 @@ def build_or_update_graph(c: Context, full_rebuild: bool = False, base: str = "H
 
 
 def get_minimal_context(c: Context) -> DataFrame:
-    return basic.graph_stats(c.graph).select("total_nodes", "total_edges", "files_count", "languages")
+    return stored.graph_stats(c.store).select("total_nodes", "total_edges", "files_count", "languages")
 
 
 def get_impact_radius(c: Context, changed_files: list[str], max_depth: int | None = None, max_nodes: int | None = None) -> traverse.Impact:
-    return traverse.impact_radius(c.graph, changed_files, c.settings.impact_depth if max_depth is None else max_depth,
-                                  c.settings.impact_nodes if max_nodes is None else max_nodes)
+    max_depth = c.settings.impact_depth if max_depth is None else max_depth
+    found = stored.impacted(c.store, changed_files, max_depth)
+    return traverse.impact_radius(c.graph, changed_files, max_depth, c.settings.impact_nodes if max_nodes is None else max_nodes, found)
 
 
 def query_graph(c: Context, query_type: str, target: str) -> DataFrame:
     if query_type == "file_symbols":
-        return basic.node_rows(basic.nodes_by_file(c.graph, target))
+        return basic.node_rows(stored.nodes_by_file(c.store, target))
     if query_type in ("callers_of", "dependents_of"):
-        return basic.edge_rows(basic.edges_by_target(c.graph, target))
+        return basic.edge_rows(stored.edges_by_target(c.store, target))
     if query_type in ("callees_of", "dependencies_of"):
-        return basic.edge_rows(basic.edges_by_source(c.graph, target))
+        return basic.edge_rows(stored.edges_by_source(c.store, target))
     raise ValueError(f"unknown query type {query_type}")
 
 
@@ -71,7 +72,7 @@ def semantic_search_nodes(c: Context, query: str, kind: str | None = None, limit
 
 def list_graph_stats(c: Context) -> DataFrame:
     """Totals, when the graph was last updated, and how many rows have text and vector entries."""
-    stats = basic.graph_stats(c.graph).withColumn("last_updated", F.lit(c.store.metadata("last_updated")))
+    stats = stored.graph_stats(c.store).withColumn("last_updated", F.lit(c.store.metadata("last_updated")))
     count = lambda t: 0 if t is None else t.count()
     return stats.withColumns({"text_entries": F.lit(count(c.index)), "vector_entries": F.lit(count(c.vectors))})
 

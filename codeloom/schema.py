@@ -49,6 +49,11 @@ RISK = _struct(
     ("node_id", _L, 0), ("qualified_name", _S), ("risk_score", _D), ("caller_count", _L), ("test_coverage", _S), ("security_relevant", T.BooleanType()),
     ("last_computed", T.TimestampType()))
 
+#: What a store derives from nodes and edges. A link is an edge as seen from one of its ends, ``name``; owner is the
+#: file that the name belongs to, or the name itself. A count is of rows of one bucket of a table.
+LINK = _struct(("owner", _S, 0), ("name", _S, 0), ("other", _S, 0), ("outgoing", T.BooleanType(), 0), ("kind", _S, 0), ("file_path", _S, 0), ("line", _I, 0))
+COUNT = _struct(("part", _I, 0), ("counted", _S, 0), ("kind", _S), ("language", _S), ("n", _L, 0))
+
 SCHEMA_VERSION = 6
 #: What each version of the schema added: tables, and tables with new columns. Version 5 is that of the text index,
 #: which is built from the nodes.

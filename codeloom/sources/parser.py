@@ -10,6 +10,7 @@ be parsed is reported by its File node alone.
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import re
 from bisect import bisect_left
@@ -30,8 +31,11 @@ PARAMS, CALLEE = 500, 200
 
 @dataclass
 class Parsed:
+    """error says what of a file could not be read, if the rest was."""
+
     nodes: list[dict]
     edges: list[dict]
+    error: str | None = None
 
 
 def language_of(path: str) -> str:
@@ -269,13 +273,35 @@ def parse(path: str, content: bytes) -> Parsed:
     source = content.decode("utf-8", "replace")
     out = _Report(path, language, source.count("\n") + (not source.endswith("\n")))
     if language == "python":
+        wrong = _python(out, source)
+    else:
+        wrong = _lexical(out, source, RULES[language])
+    return Parsed(out.nodes, out.edges, wrong)
+
+
+def _python(out: _Report, source: str) -> str | None:
+    """Reads a Python file; one that doesn't parse as a whole statement by statement, as far as these do. Returns the
+    place of the first that doesn't."""
+    def read(text: str, first: int = 0) -> None:
+        known = len(out.nodes), len(out.edges)
         try:
-            _Python(out).visit(ast.parse(source))
+            _Python(out).visit(ast.increment_lineno(ast.parse(text), first))
         except (SyntaxError, ValueError, RecursionError):
-            pass  # the file is known, its symbols aren't
-    else:
-        _lexical(out, source, RULES[language])
-    return Parsed(out.nodes, out.edges)
+            del out.nodes[known[0]:], out.edges[known[1]:]
+            raise
+
+    try:
+        return read(source)
+    except (SyntaxError, ValueError, RecursionError) as e:
+        wrong = f"{out.path}:{getattr(e, 'lineno', None) or 1}: {type(e).__name__}: {getattr(e, 'msg', None) or e}"
+    lines = source.split("\n")
+    # A statement begins in the first column, but for what goes on with the one before: else, a bracket, a decorated name.
+    begins = [i for i, line in enumerate(lines) if line[:1] not in ("", " ", "\t", "#", ")", "]", "}") and not re.match(r"(?:elif|else|except|finally)\b", line)
+              and not (i and lines[i - 1].startswith("@"))]
+    for i, j in zip(begins, [*begins[1:], len(lines)]):
+        with contextlib.suppress(SyntaxError, ValueError, RecursionError):
+            read("\n".join(lines[i:j]), i)
+    return wrong
 
 
 # --- Spark --------------------------------------------------------------------------------------
@@ -302,7 +328,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content, digest in zip(*(batch.column(c).to_pylist() for c in range(3))):
             try:
-                p, error = parse(path, content or b""), None
+                p = parse(path, content or b"")
+                error = p.error
             except ValueError as e:
                 p, error = Parsed([], []), str(e)
             for row in (*p.nodes, *p.edges):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import porter
 from codeloom.graph import Graph
-from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, traverse
+from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, stored, traverse
 from codeloom.operators.ranking import rank_within
 from codeloom.operators.text_index import TextIndex
 from codeloom.plans import catalog
@@ -476,6 +476,82 @@ def test_rows_by_key_switch_with_the_slices(spark, tmp_path):
     assert sorted((r.id, r.depth) for r in s.read("flows").collect()) == [w for w in want if w[0] != 7] and "flows" in s.manifest()["dealt"]
 
 
+def buckets_read(df):
+    """(table, bucket) of the files that a plan reads."""
+    return {re.search(r"/(\w+)/[0-9a-f]+/bucket=(\d+)/", f).groups() for f in df.inputFiles()}
+
+
+def test_links_and_counts_follow_updates(spark, tmp_path):
+    """After each update, and after a full write: what a scan of nodes and edges finds."""
+    rng = random.Random(1)
+    s = store.GraphStore(spark, str(tmp_path / "g"))
+    s.BUCKETS = 8
+    whole = {f"{i}.py": slice_of(rng, i) for i in range(30)}
+
+    def now():
+        return graph(spark, [n for ns, _ in whole.values() for n in ns], [e for _, es in whole.values() for e in es])
+
+    def agrees():
+        g = now()
+        plain = lambda rows: sorted(map(str, rows.collect()))
+        shape = ("kind", "source_qualified", "target_qualified", "file_path", "line")
+        for name in ("3.py::f0", "ext", "5.py"):
+            assert plain(stored.edges_by_target(s, name).select(*shape)) == plain(basic.edges_by_target(g, name).select(*shape))
+            assert plain(stored.edges_by_source(s, name).select(*shape)) == plain(basic.edges_by_source(g, name).select(*shape))
+            assert names(stored.node(s, name)) == names(basic.node(g, name))
+        for files, depth in ((["3.py"], 2), (["1.py", "7.py", "absent.py"], 1), ([], 2)):
+            near = lambda df: sorted((r.qualified_name, r.min_depth) for r in df.collect())
+            assert near(stored.impacted(s, files, depth)) == near(traverse.impacted(g, files, depth))
+            if files:
+                assert sorted(stored.file_dependents(s, files, depth).collect()) == sorted(traverse.file_dependents(g, files, depth).collect())
+        columns = ("total_nodes", "total_edges", "files_count", "nodes_by_kind", "edges_by_kind", "languages")
+        assert stored.graph_stats(s).select(*columns).first() == basic.graph_stats(g).select(*columns).first()
+
+    s.write_graph(now())
+    agrees()
+    for _ in range(2):
+        files = [f"{i}.py" for i in rng.sample(range(32), 3)]
+        for f in files:
+            whole.pop(f, None)
+            if rng.random() < 0.7:
+                whole[f] = slice_of(rng, f.removesuffix(".py"))
+        new = graph(spark, [n for f in files if f in whole for n in whole[f][0]] or [dict(name="x", file="absent")], [e for f in files if f in whole for e in whole[f][1]])
+        new = Graph(new.nodes.filter("file_path <> 'absent'"), new.edges)
+        s.replace_slices(spark.createDataFrame([(f,) for f in files], "file_path string"), new)
+        assert {"links", "counts"} <= set(s.manifest()["tables"])
+        agrees()
+    s.write_graph(now())
+    assert not {"links", "counts"} & set(s.manifest()["tables"])
+    agrees()
+
+
+def slice_of(rng, i):
+    f = f"{i}.py"
+    nodes = [dict(name=f, kind="File", file=f)] + [dict(name=f"f{j}", file=f, kind=rng.choice(["Function", "Class", "Test"]), language=rng.choice(["python", "go", ""])) for j in range(rng.randrange(0, 4))]
+    any_name = lambda: rng.choice([f"{rng.randrange(32)}.py::f{rng.randrange(3)}", "ext"])
+    edges = [(rng.choice(["CALLS", "INHERITS", "TESTED_BY"]), f"{f}::f{rng.randrange(3)}", any_name(), rng.randrange(5)) for _ in range(rng.randrange(0, 5))]
+    return nodes, edges + [("IMPORTS_FROM", f, f"{rng.randrange(32)}.py", 1)]
+
+
+def test_pruned_reads_of_a_store(spark, tmp_path):
+    """A lookup reads one bucket, dependents of a file those of the file and of what depends on it."""
+    n = 300
+    s = store.GraphStore(spark, str(tmp_path / "g"))
+    s.write_graph(graph(spark, [dict(name=f"f{i}", file=f"{i}.py") for i in range(n)], [("CALLS", f"{i}.py::f{i}", f"{i + 1}.py::f{i + 1}") for i in range(n - 1)]))
+    assert len(s.manifest()["tables"]["nodes"]) > 50
+    for df in (stored.node(s, "7.py::f7"), stored.nodes_by_file(s, "7.py"), stored.edges_by_target(s, "7.py::f7"), stored.edges_by_source(s, "7.py::f7")):
+        assert len(buckets_read(df)) == 1 and df.count() == 1
+    two = spark.createDataFrame([("7.py::f7",), ("9.py::f9",), ("x",)], "qualified_name string")
+    assert len(buckets_read(stored.nodes_named(s, two))) <= 3 and stored.nodes_named(s, two).count() == 2
+    read, near = set(), s.near
+    s.near = lambda table, names_: (read.update(buckets_read(near(table, names_))), near(table, names_))[1]
+    assert sorted(map(tuple, stored.file_dependents(s, ["7.py"], 2).collect())) == [("5.py", 2), ("6.py", 1)]
+    assert {t for t, _ in read} == {"links", "nodes"} and len(read) <= 4
+    read.clear()
+    assert stored.impacted(s, ["7.py"], 2).count() == 4 and len(read) <= 3 + 5
+    assert {t for t, _ in buckets_read(stored.graph_stats(s))} == {"counts"}
+
+
 def test_older_stores_are_brought_up_to_date(spark, tmp_path):
     s = store.GraphStore(spark, str(tmp_path / "g"))
     assert s.migrate() == []

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import export, incremental
+from codeloom.operators import export, flows, incremental
 from codeloom.operators.store import GraphStore
 from codeloom.plans import tools
 from codeloom.sources import files as tree
@@ -142,6 +142,22 @@ def test_links_are_no_files(spark, tmp_path):
     assert incremental.full_build(spark, str(root), store).files == 1
 
 
+def test_a_broken_file_keeps_what_can_be_read(spark, tmp_path):
+    source = b"import os\n\n@cached\ndef one():\n    two()\n\nprint 'x'\n\nclass Box(Base):\n    def open(self):\n        one()\n\ndef torn(:\n    pass\n\nif os:\n    def inner():\n        pass\nelse:\n    three()\n"
+    got = parse("a.py", source)
+    assert [(n["kind"], n["name"], n["line_start"], n["line_end"]) for n in got.nodes] == [
+        ("File", "a.py", 1, 20), ("Function", "one", 4, 5), ("Class", "Box", 9, 11), ("Function", "open", 10, 11), ("Function", "inner", 17, 18)]
+    assert got.error.startswith("a.py:7: SyntaxError") and ("CALLS", "a.py::one", "two") in {(e["kind"], e["source_qualified"], e["target_qualified"]) for e in got.edges}
+    assert parse("a.py", b"def f():\n    pass\n").error is None and len(parse("a.py", b"x = (" * 5000).nodes) == 1
+    (tmp_path / "a.py").write_bytes(source)
+    (tmp_path / "b.py").write_bytes(b"def f():\n    pass\n")
+    built = incremental.full_build(spark, str(tmp_path), GraphStore(spark, str(tmp_path / "store")))
+    assert (built.files, built.errors) == (2, 1)
+    began = time.perf_counter()
+    parse("a.py", b"def f(:\n" + b"x = 1\n" * 40_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_build_update_and_tools(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     (root / "pkg").mkdir(parents=True)
