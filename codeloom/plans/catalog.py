@@ -12,6 +12,7 @@ from ..functions import keys
 from ..graph import Graph
 from ..operators import basic, community, export, flows, hints, refactor, search, store, stored, traverse
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..scratch import Scratch
 from ..sources.fixture_graph import GRAPH_SQL, fixture_graph
 from ..sources.parser import parse_files, parsed_graph
@@ -592,6 +593,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_topk(rows, _first_vector(spark, sf_dir), 20, "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
+@_query(f"""SELECT query, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT q.vec_id // 50 AS query, e.vec_id, {_COSINE.replace("q.v0", "q.v")} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id)::INT AS rank
+  FROM (SELECT vec_id, embedding AS v FROM embeddings) e, (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id IN (0, 50, 100)) q) WHERE rank <= 20""".replace(
+    "list_inner_product(v::", "list_inner_product(e.v::").replace(", v::DOUBLE", ", e.v::DOUBLE"), on_graph=False)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries through cells around centroids: what a scan finds."""
+    rows = _table(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(rows, f"{Scratch(spark, 'vectors').base}/index", "vec_id", "embedding")
+    asked = {r.vec_id: r.embedding for r in rows.filter("vec_id in (0, 50, 100)").collect()}
+    return index.search([asked[i] for i in (0, 50, 100)], 20).withColumn("query", F.col("query").cast("long")).withColumn("score", F.round("score", 6))
+
+
 @_query("""SELECT qualified_name, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (
   SELECT qualified_name, row_number() OVER (ORDER BY line_end - line_start DESC, qualified_name) AS rank FROM nodes WHERE kind <> 'File' QUALIFY rank <= 200
   UNION ALL SELECT qualified_name, row_number() OVER (ORDER BY line_end DESC, qualified_name) AS rank FROM nodes WHERE kind <> 'File' QUALIFY rank <= 200) GROUP BY 1""")

@@ -3,6 +3,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from codeloom.graph import Graph
 from codeloom.operators import basic, community, export, flows, hints, refactor, search, store, stored, traverse
 from codeloom.operators.ranking import rank_within
 from codeloom.operators.text_index import TextIndex
+from codeloom.operators.vector_index import VectorIndex
 from codeloom.plans import catalog
 from codeloom.scratch import Scratch
 
@@ -651,6 +653,27 @@ def test_resolution_of_a_name_that_everybody_has(spark):
         assert r.target_qualified == f"d/{i}.{'ts' if i % 2 == 0 else 'tsx'}::run"
 
 
+def test_vector_cells_find_what_a_scan_finds(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16))
+    points = centres[rng.integers(0, 20, 3000)] + 0.05 * rng.normal(size=(3000, 16))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(5000, [0.0] * 16), (5001, None), (5002, [1.0]), (5003, rows_0 := [float(x) for x in points[0]]), (5004, rows_0)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    index = VectorIndex.build(df, str(tmp_path / "index"), "id", "v", cells=20)
+    assert sum(n for _, _, n in index.cells.values()) == len(rows)
+    queries = [rows_0, [float(x) for x in centres[3]], [float(x) for x in rng.normal(size=16)], [-x for x in rows_0], [0.0] * 16, [1.0, 2.0]]
+    for limit in (1, 25, 5000):
+        got = index.search(queries, limit).collect()
+        for i, q in enumerate(queries):
+            want = [(r.id, round(r.score, 9)) for r in search.vector_topk(df, q, limit, "id", "v").collect()]
+            assert [(r.id, round(r.score, 9)) for r in sorted((r for r in got if r.query == i), key=lambda r: r["rank"])] == want
+    read = index.plan(queries[:2], 25)
+    assert max(sum(1 for p in read if p[0] == i) for i in (0, 1)) <= 4 < len(index.cells)  # one cluster, some of its cells
+    assert len({re.search(r"cell=(-?\d+)", f)[1] for f in index._scored(read, queries[:2], 25).inputFiles()}) == len({p[1] for p in read})
+    none = VectorIndex.build(df.limit(0), str(tmp_path / "none"), "id", "v")
+    assert none.search([rows_0], 3).isEmpty()
+
+
 def test_ranks_of_a_large_group_are_made_in_many_tasks(spark, tmp_path):
     rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("g"), (F.col("id") * 7919 % 20_011).alias("x"))
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
