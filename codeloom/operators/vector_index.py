@@ -73,7 +73,7 @@ class VectorIndex:
         found = sorted(spark.read.parquet(f"{self.path}/cells").collect(), key=lambda r: r.cell)  # as many as cells
         self.cells = {r.cell: (r.low, r.high, r.n) for r in found if r.n}
         self.centroids = {r.cell: np.array(r.centroid) for r in found}
-        self.size = next((len(c) for c in self.centroids.values()), 0)
+        self.size = max((len(c) for c in self.centroids.values()), default=0)
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, key: str = "qualified_name", column: str = "vector", cells: int = 256) -> VectorIndex:
