@@ -68,9 +68,9 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.rows = spark.read.parquet(f"{self.path}/rows")
-        self.key, self.column = self.rows.columns[:2]
         found = sorted(spark.read.parquet(f"{self.path}/cells").collect(), key=lambda r: r.cell)  # as many as cells
+        self.rows = spark.read.schema(found[0].kinds).parquet(f"{self.path}/rows")
+        self.key, self.column = self.rows.columns[:2]
         self.cells = {r.cell: (r.low, r.high, r.n) for r in found if r.n}
         self.centroids = {r.cell: np.array(r.centroid) for r in found}
         self.size = max((len(c) for c in self.centroids.values()), default=0)
@@ -95,15 +95,13 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far), pa.array(cell.astype(np.int32))], [*batch.schema.names, "r", "cell"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        placed = rows.mapInArrow(dealt, f"{kinds}, r double, cell int").repartitionByRange("cell", "r", key)
-        if rows.isEmpty():
-            placed = placed.limit(0).union(spark.createDataFrame([(None, None, 0.0, APART)], placed.schema)).filter("cell is null")
+        kinds += ", r double, cell int"
+        placed = rows.mapInArrow(dealt, kinds).repartitionByRange("cell", "r", key)
         placed.sortWithinPartitions("cell", "r").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-        shape = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
-        written = spark.read.schema(f"{kinds}, r double, cell int").parquet(f"{path}/rows")
+        shape = spark.createDataFrame([(APART, [])] + [(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").withColumn("kinds", F.lit(kinds))
+        written = spark.read.schema(kinds).parquet(f"{path}/rows")
         about = written.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n"))
-        about.join(shape, "cell", "full").select("cell", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("centroid", F.array().cast("array<double>")).alias("centroid")).coalesce(
-            1).write.mode("overwrite").parquet(f"{path}/cells")
+        shape.join(about, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
         return cls(spark, path)
 
     # --- search
