@@ -1,11 +1,13 @@
 import json
 import os
+import random
 import threading
 import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import hints
 from codeloom.operators.store import GraphStore
 from codeloom.streaming import session_state, watch
 
@@ -113,3 +115,45 @@ def test_intent_stream(spark, tmp_path):
     assert q.awaitTermination(60)
     got = spark.table("intents").orderBy("n").select("intent", "score", "n").collect()
     assert [tuple(r) for r in got][-1] == ("debugging", 9, 12) and len(got) == 2
+
+
+def test_intent_stream_is_the_batch_result(spark, tmp_path):
+    """Calls out of order over some batches, one session of 200,000 of them, a restart in between: as of a table."""
+    rng = random.Random(4)
+    tools = [t for own in hints.INTENTS.values() for t in own] + ["other"]
+    folder, check = tmp_path / "calls", str(tmp_path / "check")
+    folder.mkdir()
+    rows = [(f"s{rng.randrange(6)}", i, rng.choice(tools)) for i in range(900)]
+    rng.shuffle(rows)
+    stream = lambda: spark.readStream.schema("session string, seq long, tool string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+    out = []
+    for k in range(3):
+        part = rows[300 * k: 300 * (k + 1)]
+        (folder / f"{k}.json").write_text("".join(json.dumps({"session": s, "seq": i, "tool": t, "ts": (T0 + timedelta(seconds=k)).isoformat()}) + "\n" for s, i, t in part))
+        if k == 2:
+            spark.range(200_000).select(F.lit("long").alias("session"), F.col("id").alias("seq"), F.when(F.col("id") > 199_995, "refactor").otherwise("query_graph").alias("tool"),
+                                        F.lit(T0).alias("ts")).coalesce(1).write.json(str(tmp_path / "more"))
+            os.rename(next((tmp_path / "more").glob("part-*.json")), folder / "9.json")
+        q = session_state.intents(stream()).writeStream.outputMode("update").foreachBatch(lambda b, n: out.append({r.session: r for r in b.collect()})).option(
+            "checkpointLocation", check).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    last = {}
+    for batch in out:
+        last |= batch
+    table = spark.createDataFrame(rows, "session string, seq long, tool string")
+    want = {r.session: (r.intent, r.score) for r in hints.session_intent(table).collect()} | {"long": ("debugging", 6)}
+    assert {s: (r.intent, r.score) for s, r in last.items()} == want
+    assert last["long"].n == hints.KEPT == max(r.n for r in last.values())
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    folder, out = tmp_path / "calls", []
+    folder.mkdir()
+    for k, (session, seconds) in enumerate((("a", 0), ("b", 7200), ("b", 7201), ("a", 7202))):
+        (folder / f"{k}.json").write_text(json.dumps({"session": session, "seq": k, "tool": "refactor", "ts": (T0 + timedelta(seconds=seconds)).isoformat()}) + "\n")
+        os.utime(folder / f"{k}.json", (k, k))
+    calls = spark.readStream.schema("session string, seq long, tool string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+    q = session_state.intents(calls, idle_ms=60_000, late="1 second").writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(b.collect())).option(
+        "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert [(r.session, r.n) for r in out] == [("a", 1), ("b", 1), ("b", 2), ("a", 1)]  # the first call of a is forgotten
