@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 import threading
 from pathlib import Path
 
@@ -97,12 +98,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(tools.generate_wiki(c, rows))
     elif a.command == "watch":
         trigger = {"availableNow": True} if a.once else None
-        events, stop = a.events or f"{c.store.path}/events", threading.Event()
-        if not a.events:
-            Path(events).mkdir(parents=True, exist_ok=True)
-            watching.follow(root, events, stop, settings.quiet_ms / 1000)
+        if a.events or "://" not in c.store.path:  # listings of the tree are kept beside a local store
+            events = watching.read_events(spark, a.events) if a.events else watching.tree_events(spark, root, f"{c.store.path}/listings")
+            watching.watch(spark, events, root, c.store, f"{c.store.path}/watch", trigger, quiet_ms=settings.quiet_ms).awaitTermination()
+            return 0
+        folder, stop = tempfile.mkdtemp(prefix="codeloom-events-"), threading.Event()
+        watching.follow(root, folder, stop, settings.quiet_ms / 1000)
         try:
-            watching.watch(spark, watching.read_events(spark, events), root, c.store, f"{c.store.path}/watch", trigger, quiet_ms=settings.quiet_ms).awaitTermination()
+            watching.watch(spark, watching.read_events(spark, f"file://{folder}"), root, c.store, f"{c.store.path}/watch", trigger, quiet_ms=settings.quiet_ms).awaitTermination()
         finally:
             stop.set()
     return 0

@@ -24,6 +24,7 @@ from ..operators.basic import IGNORE_PATTERNS, is_ignored
 from ..scratch import Scratch
 from ..sources import files as tree
 from ..sources.parser import parse_files, parsed_graph
+from .tree_source import TreeEvents
 
 QUIET_MS = Settings.from_env().quiet_ms
 QUIET = f"{QUIET_MS} milliseconds"
@@ -35,6 +36,12 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).json(folder)
 
 
+def tree_events(spark: SparkSession, root: str, state: str, partitions: int = 1) -> DataFrame:
+    """A stream of the changes of a tree since its last listing in ``state``."""
+    spark.dataSource.register(TreeEvents)
+    return spark.readStream.format(TreeEvents.name()).option("root", root).option("state", state).option("partitions", partitions).load()
+
+
 def relevant(events: DataFrame, patterns: tuple[str, ...] = IGNORE_PATTERNS) -> DataFrame:
     """Events of files of a known language that no pattern ignores; renames are none of them."""
     known = keys.detect_language(F.col("path")) != ""

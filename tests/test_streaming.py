@@ -92,6 +92,44 @@ def test_changes_of_a_tree_become_events(tmp_path):
     thread.join(5)
 
 
+def test_tree_source_over_restarts(spark, tmp_path):
+    """Changes made while the stream runs and while it is down, each once; a batch that fails has the same events when
+    it runs again, whatever has changed since."""
+    root, out, fails = tmp_path / "src", [], []
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg/old.py").write_text("old")
+    state, check = tmp_path / "listings", str(tmp_path / "check")
+
+    def batch(rows, n):
+        if fails:
+            fails.pop()
+            raise RuntimeError("lost")
+        out.append(sorted((r.path, r.op) for r in rows.collect()))
+
+    def start():
+        return watch.tree_events(spark, str(root), str(state), partitions=3).writeStream.foreachBatch(batch).option("checkpointLocation", check).trigger(processingTime="100 milliseconds").start()
+
+    q = start()
+    until(lambda: q.lastProgress is not None)
+    (root / "pkg/a.py").write_text("a")
+    until(lambda: any(("pkg/a.py", "create") in b for b in out))
+    q.stop()
+    (root / "pkg/b.py").write_text("b")
+    (root / "pkg/old.py").unlink()
+    fails.append(1)
+    q = start()
+    until(lambda: not q.isActive)
+    assert not fails and "lost" in str(q.exception())
+    (root / "pkg/c.py").write_text("c")
+    (root / "pkg/b.py").unlink()
+    q = start()
+    until(lambda: any(("pkg/c.py", "create") in b for b in out))
+    q.stop()
+    said = [e for b in out for e in b]
+    assert said == [("pkg/a.py", "create"), ("pkg/b.py", "create"), ("pkg/old.py", "remove"), ("pkg/b.py", "remove"), ("pkg/c.py", "create")]
+    assert len(list(state.glob("*.json"))) <= 2
+
+
 def test_debounce(spark, tmp_path):
     land(tmp_path / "e", "1.json", [("a.py", "write", ms) for ms in (0, 100, 350, 1000)] + [("b.py", "write", 0)])
     land(tmp_path / "e", "2.json", [("z.py", "write", 60_000)])
