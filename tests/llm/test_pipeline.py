@@ -1,14 +1,19 @@
 """The pipeline on a small corpus with planted cases, and every corpus query against its SQL."""
 
+import hashlib
+import math
 import os
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import queries
+from codeloom.llm import language_id, queries
+from test_pairs import brute, brute_hits, brute_lines, brute_passages
+from test_records import filled
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +117,77 @@ def test_stages_of_nothing(spark, tmp_path):
         at.write.parquet(str(tmp_path / str(k)))
         at = spark.read.parquet(str(tmp_path / str(k)))
         assert at.isEmpty()
+
+
+def mixed(rows):
+    """{(doc_id, copy)} of (doc_id, text, source): systematic sampling, step by step."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(words(t) for _, t, x in rows if x == s) for s in sources}
+    target = filled(size)
+    taken = set()
+    for s in sources:
+        each = math.floor(target[s] / size[s] * 2**28 + 0.5) if size[s] else 0
+        at = int(hashlib.md5(f"offset:{s or ''}".encode()).hexdigest()[:7], 16)
+
+        def order(row):
+            n = words(row[1])
+            digits = f"{n:b}"
+            return (len(digits) * 8 + int(digits.ljust(4, "0")[1:4], 2) if n else 0, hashlib.md5(str(row[0]).encode()).hexdigest(), row[0])
+
+        for doc_id, _, _ in sorted((r for r in rows if r[2] == s), key=order):
+            at += each
+            taken |= {(doc_id, c + 1) for c in range((at >> 28) - ((at - each) >> 28))}
+    return taken
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_run_by_brute_force(spark, tmp_path, seed):
+    """The whole run on texts with shared lines, near copies, benchmark items and glued passages, each stage in plain
+    Python on what the stage before it left; the language model is the one thing that is taken as it was fitted."""
+    rng = random.Random(seed)
+    syllables = {"en": ["th", "er", "ing", "on", "a"], "fr": ["eau", "que", "oi", "é", "le"]}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 6)))
+    line = lambda lang: " ".join(word(lang) for _ in range(rng.choice([3, 6, 12, 20])))
+    pool = [line("en") for _ in range(6)] + [line("fr") for _ in range(6)]
+    items = [(i, " ".join(word("en") for _ in range(n))) for i, n in enumerate([4, 10, 15, 30])]
+    passage = [word("fr") for _ in range(70)]
+    docs = []
+    for i in range(90):
+        lang = rng.choice(["en", "fr"])
+        lines = [line(lang) for _ in range(rng.randrange(1, 7))]
+        if rng.random() < 0.3:
+            lines[rng.randrange(len(lines) + 1):0] = rng.sample(pool, 2)
+        if docs and rng.random() < 0.25:
+            w = rng.choice(docs)[1].replace("\n", " ").split(" ")
+            w[rng.randrange(len(w))] = word(lang)
+            lines = [" ".join(w)]
+        if rng.random() < 0.15:
+            lines[-1] += " " + rng.choice(items)[1].title() + " " + word(lang)
+        if rng.random() < 0.15:
+            a = rng.randrange(15)
+            lines[0] = word(lang) + " " + " ".join(passage[a:a + rng.choice([45, 52, 55])]) + " " + lines[0]
+        docs.append((i, "\n".join(lines), lang, rng.choice(["a", "a", "a", "b", None])))
+    docs += [(90, None, "en", "a"), (91, "12 -- 34", "en", "b"), (92, docs[0][1], "en", "a")]
+    rows = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    source = {d[0]: d[3] for d in docs}
+    field = language_id.train(rows, language_id.fold(F.col("doc_id"), 4) != 2)
+    langs, _, certainty = language_id.Tagger(field).documents([d[1] for d in docs])
+    at = [(d[0], d[1]) for d, lang, c in zip(docs, langs, certainty) if lang != "und" and c >= corpus_pipeline.LEAST_CERTAINTY]
+    counts = [len(at)]
+    at = [(d, t) for d, t, _ in brute_lines(at, 10) if t.strip()]
+    counts.append(len(at))
+    at = [(d, t) for (d, t), (_, _, least) in zip(sorted(at, key=lambda x: str(x[0])), brute(at, 5, 80, 100)) if str(d) == least]
+    counts.append(len(at))
+    at = sorted((d, t) for (d, t), hits in zip(sorted(at, key=lambda x: str((x[0],))), brute_hits(at, items)) if not hits[2])
+    at = [(d, " ".join(w)) for d, w in brute_passages(at, 50)]
+    counts.append(len(at))
+    want = mixed([(d, t, source[d]) for d, t in at])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.copy) for r in got} == want and len(got) == len(want)
+    text = dict(at)
+    assert all(r.text.split() == text[r.doc_id].split() and r.n_chars == len(r.text) for r in got)
+    assert 93 > counts[0] > counts[1] >= counts[2] > counts[3] > 20
