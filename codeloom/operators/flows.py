@@ -36,7 +36,8 @@ class Traced:
     """All flows, with what they share written once.
 
     Entries that call the same known names, themselves left out, reach the same nodes at the same depths: they are one
-    *class*, named by its first entry. entries: (entry, cls); reached: (cls, node, depth), from depth 1 on, written.
+    *class*, named by its first entry. entries: (entry, cls); reached: (cls, node, depth), from depth 1 on, as the
+    written tables of the walk's levels.
     An entry's flow is itself at depth 0 and what its class reaches, without itself.
     """
 
@@ -86,7 +87,7 @@ def traced(g: Graph, max_depth: int = MAX_DEPTH, entries: DataFrame | None = Non
     own = scratch.write(sets.join(named, ["n", "x", "y"]).select("entry", "cls"), "entries")
     seeds = steps.join(named.select(F.col("cls").alias("src")), "src").select(F.col("src").alias("cls"), F.col("dst").alias("node"))
     found = reach(seeds, steps, max(0, max_depth - 1), key=["cls"])
-    return Traced(own, scratch.write(found.withColumn("depth", F.col("depth") + 1), "reached"))
+    return Traced(own, found.withColumn("depth", F.col("depth") + 1))
 
 
 def trace(g: Graph, max_depth: int = MAX_DEPTH, entries: DataFrame | None = None) -> DataFrame:
