@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..graph import Graph
+from ..scratch import Scratch
 from .basic import graph_stats
 
 
@@ -72,8 +73,9 @@ def resolve_edges(g: Graph) -> DataFrame:
     file_of = lambda c: F.substring_index(c, "::", 1)
     raw = edges.join(exact, "target_qualified", "left_anti").withColumn("home", file_of("source_qualified"))
     # Few distinct (target, source file) pairs stand for many edges: resolve those, then join back.
-    asked = raw.select(F.col("target_qualified").alias("key"), "home").distinct()
-    index = name_index(nodes).select("key", "qualified_name")
+    asked = Scratch(g.spark, "resolve").write(raw.select(F.col("target_qualified").alias("key"), "home").distinct(), "asked")
+    # Only names that are asked for meet the files' homes.
+    index = name_index(nodes).select("key", "qualified_name").join(asked.select("key"), "key", "left_semi")
     least = index.groupBy("key").agg(F.min("qualified_name").alias("far"))
     homes = _homes(nodes.select(file_of("qualified_name").alias("file")).distinct())
     own = index.withColumn("file", file_of("qualified_name")).join(homes, "file").groupBy("key", "home").agg(F.min("qualified_name").alias("near"))

@@ -107,7 +107,8 @@ def file_dependents(g: Graph, files: list[str], hops: int = 2) -> DataFrame:
 
 
 def descendants(g: Graph, names: DataFrame) -> DataFrame:
-    """(ancestor, qualified_name, depth): all that the given nodes (qualified_name) hold, at any depth."""
+    """(ancestor, qualified_name, depth): all that the given nodes (qualified_name) hold, at any depth. A row for each
+    pair of an ancestor and what it holds: meant for the nodes that are shown, not for all of a graph."""
     steps = g.edges_of("CONTAINS").select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst"))
     seeds = names.select(F.col("qualified_name").alias("ancestor"), F.col("qualified_name").alias("node"))
     found = reach(seeds, steps, None, key=["ancestor"]).filter("depth > 0")
