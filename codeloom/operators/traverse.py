@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -39,8 +39,10 @@ def reach(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame],
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         own_steps = (steps(frontier) if callable(steps) else steps).select("src", "dst")
         step = frontier.join(own_steps, frontier["node"] == own_steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
-        frontier = scratch.write(step.join(seen.select(*own), own, "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if frontier.isEmpty():
+        found = Observation()
+        step = step.join(seen.select(*own), own, "left_anti").withColumn("depth", F.lit(depth))
+        frontier = scratch.write(step.observe(found, F.count("*").alias("n")), "level")
+        if not found.get["n"]:  # counted as it was written
             break
         seen = seen.unionByName(frontier)
     if many:
