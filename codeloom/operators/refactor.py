@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..graph import Graph
 from .basic import file_pattern, keyword_filter
+from .joins import large
 
 #: Kinds of inbound edges that keep a symbol alive.
 LIVE_KINDS = ("CALLS", "TESTED_BY", "IMPORTS_FROM", "REFERENCES")
@@ -31,7 +32,7 @@ def dead_code(g: Graph, kind: str | None = None, pattern: str | None = None) ->
     rows = rows.filter(~F.col("is_test") & ~keys.is_entry_name(F.col("name")))
     rows = rows.filter(~keys.has_framework_decorator(keys.decorators_of(F.col("extra"))))
     live = g.edges_of(*LIVE_KINDS).select(F.col("target_qualified").alias("qualified_name"))
-    return rows.join(live, "qualified_name", "left_anti")
+    return rows.join(large(live), "qualified_name", "left_anti")
 
 
 def suggest_moves(g: Graph) -> DataFrame:
@@ -41,8 +42,8 @@ def suggest_moves(g: Graph) -> DataFrame:
     callers = g.edges_of("CALLS").select("source_qualified", F.col("target_qualified").alias("qualified_name"))
     where = g.nodes.filter("community_id is not null").select(F.col("qualified_name").alias("source_qualified"), F.col("community_id").alias("c"))
     # The least and the greatest community of the callers tell whether they are one.
-    per = callers.join(where, "source_qualified").groupBy("qualified_name").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    return own.join(per.filter("low = high"), "qualified_name").filter("low <> community_id").select(
+    per = callers.join(large(where), "source_qualified").groupBy("qualified_name").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return own.join(large(per.filter("low = high")), "qualified_name").filter("low <> community_id").select(
         "qualified_name", "community_id", F.col("low").alias("target_community"))
 
 

@@ -1,0 +1,76 @@
+"""Sides of joins that grow with the graph never come to the driver, and what is summed up by class is what members give."""
+
+from pyspark.sql import functions as F
+
+from codeloom.graph import Graph
+from codeloom.operators import community, export, flows, joins, text_index, traverse
+from codeloom.sources.fixture_graph import fixture_graph
+from jobs import review_report
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def tables(spark, folder):
+    part = spark.range(1, 61).select(F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name"), F.concat(F.lit("Brand#1"), F.col("id") % 3).alias("p_brand"),
+                                     F.concat(F.lit("T"), F.col("id") % 5).alias("p_type"), F.lit(3).alias("p_size"))
+    line = spark.range(0, 180).select((F.col("id") / 3).cast("long").alias("l_orderkey"), (F.xxhash64("id") % 30 + 31).alias("l_partkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"),
+                                      F.when(F.col("id") % 3 < 2, 49).otherwise(1).alias("l_quantity"), F.col("id").alias("l_suppkey"), F.lit("R").alias("l_returnflag"))
+    part.write.parquet(f"{folder}/part.parquet")
+    line.write.parquet(f"{folder}/lineitem.parquet")
+    return fixture_graph(spark, str(folder))
+
+
+def test_no_side_that_grows_is_broadcast(spark, tmp_path):
+    g = tables(spark, tmp_path)
+    for df in (g.edges, traverse.file_steps(g), flows.entry_points(g), flows._about(g), community.crossing(g), export.resolve_edges(g)):
+        assert "BroadcastExchange" not in plan(df)
+    few, many = spark.range(3), spark.range(3)
+    assert "Broadcast" in plan(few.join(joins.counted(many, joins.FEW_ROWS), "id")) and "Broadcast" not in plan(few.join(joins.counted(many, joins.FEW_ROWS + 1), "id"))
+
+
+def test_flows_by_class(spark, tmp_path):
+    g = tables(spark, tmp_path)
+    found = flows.traced(g, 4)
+    members = found.members().join(g.nodes.select(F.col("qualified_name").alias("node"), "file_path", "community_id"), "node").collect()
+    assert members
+    by_community = {(r.community_id, r.entry) for r in members if r.community_id is not None}
+    got = [tuple(r) for r in community.community_flows(g, found).collect()]
+    assert set(got) == by_community and len(got) == len(by_community)
+    metrics = found.metrics(g).select("entry", "criticality")
+    weight = {r.entry: r.criticality for r in metrics.collect()}
+    want = {}
+    for file, entry in {(r.file_path, r.entry) for r in members}:
+        n, most = want.get(file, (0, 0.0))
+        want[file] = (n + 1, max(most, weight[entry]))
+    assert {r.file_path: (r.flows, r.criticality) for r in review_report.flows_through(g, found, metrics).collect()} == want
+    some = found.entries.orderBy("entry").limit(3)
+    assert {r.entry for r in found.of(some).members().collect()} == {r.entry for r in some.collect()}
+
+
+def test_places_are_brought_together_in_the_row(spark):
+    rows = spark.createDataFrame([(1, 3, 0, ["b", "a", "b"]), (2, 0, 0, []), (3, 1, 1, ["é"])], "key long, n_tokens long, column int, cell array<string>")
+    by_token = text_index._by_token(rows)
+    assert "Exchange" not in plan(by_token)
+    assert sorted((r.key, r.column, r.token, r.places) for r in by_token.collect()) == [(1, 0, "a", [1]), (1, 0, "b", [0, 2]), (3, 1, "é", [0])]
+
+
+def test_repeated_rows_of_a_text_are_one(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x y x"), (1, "y"), (2, None)], "id long, body string")
+    index = text_index.TextIndex.build(rows, str(tmp_path / "i"), "id", ("body",), stem=False, buckets=4)
+    assert sorted((r.token, r.key, r.places, r.n_tokens) for r in index.postings().collect()) == [("x", 1, [0, 2], 3), ("y", 1, [0, 1], 3)]
+
+
+def test_labels_go_by_names(spark, monkeypatch):
+    """Two cliques with a bridge, and a node alone: whatever numbers the nodes get, the labels are those of names."""
+    names = [f"{c}{i}" for c in "pq" for i in range(4)] + ["alone"]
+    nodes = spark.createDataFrame([(n,) for n in names], "qualified_name string").repartition(3)
+    ends = [(f"{c}{i}", f"{c}{j}") for c in "pq" for i in range(4) for j in range(i)] + [("p0", "q0"), ("p1", "unknown")]
+    edges = spark.createDataFrame([("CALLS", a, b) for a, b in ends], "kind string, source_qualified string, target_qualified string")
+    written, write = [], community.Scratch.write
+    monkeypatch.setattr(community.Scratch, "write", lambda self, df, name="t": (written.append((name, df.dtypes)), write(self, df, name))[1])
+    label = {r.qualified_name: r.community_id for r in community.detect(Graph(nodes, edges)).collect()}
+    own = {r.q: r.n for r in nodes.select(F.col("qualified_name").alias("q"), community.first_label(F.col("qualified_name")).alias("n")).collect()}
+    assert set(label) == set(names) and label["alone"] == own["alone"] and set(label.values()) <= set(own.values())
+    assert all(t != "string" for name, types in written if name != "nodes" for _, t in types)  # rounds carry numbers only
