@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import Graph
 from codeloom.operators import flows, refactor, traverse
+from codeloom.operators.joins import large
 from codeloom.operators.ranking import rank_within
 from codeloom.scratch import Scratch
 from codeloom.sources.fixture_graph import fixture_graph
@@ -38,24 +39,37 @@ def area_of(path) -> F.Column:
     return F.split_part(path, F.lit("/"), F.lit(2))
 
 
+def flows_through(g: Graph, found: flows.Traced, metrics: DataFrame) -> DataFrame:
+    """(file_path, flows, criticality): how many flows come through a file, and their highest criticality. Files that a
+    class of flows reaches count for all flows of it; an entry's own file counts for itself where its class doesn't
+    reach that. ``metrics``: (entry, criticality)."""
+    where = g.nodes.select(F.col("qualified_name").alias("node"), "file_path")
+    reached = found.reached.join(large(where), "node").select("cls", "file_path").distinct()
+    each = found.entries.join(large(metrics), "entry")
+    per = each.groupBy("cls").agg(F.count("*").alias("n"), F.max("criticality").alias("criticality"))
+    shared = reached.join(large(per), "cls").select("file_path", "n", "criticality")
+    own = each.join(large(where.withColumnRenamed("node", "entry")), "entry").join(large(reached), ["cls", "file_path"], "left_anti")
+    every = shared.unionByName(own.select("file_path", F.lit(1).cast("long").alias("n"), "criticality"))
+    return every.groupBy("file_path").agg(F.sum("n").alias("flows"), F.max("criticality").alias("criticality"))
+
+
 def review_rows(g: Graph, settings: dict) -> DataFrame:
     """The report's rows (COLUMNS) for all areas."""
+    scratch = Scratch(g.spark, "review_rows")
     symbols = g.nodes.filter("kind <> 'File'")
     checked = F.col("kind").isin("Function", "Class")
     tested = g.edges_of("TESTED_BY").select(F.col("target_qualified").alias("qualified_name")).distinct().withColumn("tested", F.lit(True))
     dead = refactor.dead_code(g).select("qualified_name").withColumn("dead", F.lit(True))
-    about = symbols.join(tested, "qualified_name", "left").join(dead, "qualified_name", "left")
+    about = symbols.join(large(tested), "qualified_name", "left").join(large(dead), "qualified_name", "left")
     about = about.groupBy("file_path").agg(
         F.count("*").alias("symbols"), F.count_if((F.col("kind") == "Function") & (F.col("line_end") - F.col("line_start") + 1 >= settings["long"])).alias("long_functions"),
         F.count_if(checked & F.col("tested").isNull()).alias("untested"), F.count_if(F.col("dead").isNotNull()).alias("dead"))
     dependents = traverse.file_steps(g).groupBy(F.col("src").alias("file_path")).agg(F.count("*").alias("dependents"))
     found = flows.traced(g)
-    metrics = found.metrics(g).select("entry", "criticality")
-    through = found.members().join(g.nodes.select(F.col("qualified_name").alias("node"), "file_path"), "node").select("entry", "file_path").distinct()
-    through = through.join(metrics, "entry").groupBy("file_path").agg(F.count("*").alias("flows"), F.max("criticality").alias("criticality"))
+    through = flows_through(g, found, scratch.write(found.metrics(g).select("entry", "criticality"), "metrics"))
     rows = g.nodes.select("file_path").distinct()
     for part in (about, dependents, through):
-        rows = rows.join(part, "file_path", "left")
+        rows = rows.join(large(part), "file_path", "left")
     rows = rows.fillna(0)
     share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("symbols")), F.lit(0.0))
     w = settings["weights"]
