@@ -13,6 +13,7 @@ from ..functions import keys
 from ..graph import Graph
 from ..scratch import Scratch
 from .basic import graph_stats
+from .joins import large
 
 
 # The page: files as a tree that opens along CONTAINS edges, a search box, and the chosen node with its neighbours.
@@ -55,7 +56,7 @@ def _homes(files: DataFrame) -> DataFrame:
     """(home, file): of the given files (file) those whose path begins with another's (home), itself too."""
     begins = F.transform(F.sequence(F.lit(1), F.length("file")), lambda n: F.substr("file", F.lit(1), n))
     every = files.select("file", F.explode(begins).alias("home"))
-    return every.join(files.select(F.col("file").alias("home")), "home", "left_semi")
+    return every.join(large(files.select(F.col("file").alias("home"))), "home", "left_semi")
 
 
 def resolve_edges(g: Graph) -> DataFrame:
@@ -67,21 +68,21 @@ def resolve_edges(g: Graph) -> DataFrame:
     """
     nodes = g.nodes.select("qualified_name", "name", "file_path", "kind")
     known = nodes.select(F.col("qualified_name").alias("source_qualified"))
-    edges = g.edges.select("kind", "source_qualified", "target_qualified", "file_path", "line").join(known, "source_qualified", "left_semi")
+    edges = g.edges.select("kind", "source_qualified", "target_qualified", "file_path", "line").join(large(known), "source_qualified", "left_semi")
     exact = nodes.select(F.col("qualified_name").alias("target_qualified"))
-    direct = edges.join(exact, "target_qualified", "left_semi").withColumn("target", F.col("target_qualified"))
+    direct = edges.join(large(exact), "target_qualified", "left_semi").withColumn("target", F.col("target_qualified"))
     file_of = lambda c: F.substring_index(c, "::", 1)
-    raw = edges.join(exact, "target_qualified", "left_anti").withColumn("home", file_of("source_qualified"))
+    raw = edges.join(large(exact), "target_qualified", "left_anti").withColumn("home", file_of("source_qualified"))
     # Few distinct (target, source file) pairs stand for many edges: resolve those, then join back.
     asked = Scratch(g.spark, "resolve").write(raw.select(F.col("target_qualified").alias("key"), "home").distinct(), "asked")
     # Only names that are asked for meet the files' homes.
-    index = name_index(nodes).select("key", "qualified_name").join(asked.select("key"), "key", "left_semi")
+    index = name_index(nodes).select("key", "qualified_name").join(large(asked.select("key")), "key", "left_semi")
     least = index.groupBy("key").agg(F.min("qualified_name").alias("far"))
     homes = _homes(nodes.select(file_of("qualified_name").alias("file")).distinct())
-    own = index.withColumn("file", file_of("qualified_name")).join(homes, "file").groupBy("key", "home").agg(F.min("qualified_name").alias("near"))
-    best = asked.join(least, "key").join(own, ["key", "home"], "left")
+    own = index.withColumn("file", file_of("qualified_name")).join(large(homes), "file").groupBy("key", "home").agg(F.min("qualified_name").alias("near"))
+    best = asked.join(large(least), "key").join(large(own), ["key", "home"], "left")
     best = best.select(F.col("key").alias("target_qualified"), "home", F.coalesce("near", "far").alias("target"))
-    looked = raw.join(best, ["target_qualified", "home"])
+    looked = raw.join(large(best), ["target_qualified", "home"])
     shape = ["kind", "source_qualified", "target", "target_qualified", "file_path", "line"]
     return direct.select(*shape).unionByName(looked.select(*shape)).select(
         "kind", "source_qualified", F.col("target").alias("target_qualified"), F.col("target_qualified").alias("raw_target"), "file_path", "line")
