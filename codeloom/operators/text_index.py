@@ -34,6 +34,17 @@ def _bucket(token, buckets: int):
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _by_token(cells: DataFrame) -> DataFrame:
+    """(key, n_tokens, column, token, places) of (key, n_tokens, column, cell), cell by cell: the places of a token are
+    brought together by sorting within the row, before anything is shuffled."""
+    rows = cells.select("key", "n_tokens", "column", F.sort_array(F.transform("cell", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
+    begins = F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["t"] != x["t"]), i))
+    rows = rows.withColumn("b", F.filter(begins, lambda i: i.isNotNull()))
+    runs = F.transform("b", lambda i, n: F.struct(F.get("s", i)["t"].alias("token"), F.transform(
+        F.slice("s", i + 1, F.coalesce(F.get("b", n + 1), F.size("s")) - i), lambda x: x["i"]).alias("places")))
+    return rows.select("key", "n_tokens", "column", F.explode(runs).alias("r")).select("key", "n_tokens", "column", "r.token", "r.places")
+
+
 def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Of rows (key, segment, ...) those that no segment has replaced or removed."""
     gone = gone.select(F.col("key").alias("_k"), F.col("of").alias("_s"))
@@ -87,11 +98,12 @@ class TextIndex:
             cells = [words.stems(c) for c in cells]
         own = rows.select(F.col(key).alias("key"), F.array(*cells).alias("cells"))
         own = own.withColumn("n_tokens", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.size(c)))
-        each = own.select("key", "n_tokens", F.posexplode("cells").alias("column", "cell")).select("key", "n_tokens", "column", F.posexplode("cell").alias("place", "token"))
-        # A group is one token of one text, so that no token, however common, comes to one task.
-        found = each.groupBy("token", "key", "column").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max("n_tokens").alias("n_tokens"))
+        each = _by_token(own.select("key", "n_tokens", F.posexplode("cells").alias("column", "cell")))
         # By ranges of the whole order: a task has few buckets, and a common token is in as many files as it fills.
-        found = found.withColumn("bucket", _bucket(F.col("token"), buckets)).repartitionByRange("bucket", "token", "key", "column")
+        each = each.withColumn("bucket", _bucket(F.col("token"), buckets)).repartitionByRange("bucket", "token", "key", "column")
+        # A group is one token of one text, so that no token, however common, comes to one task. Rows of a text that is
+        # given in several are in one range, so they are put together where they are.
+        found = each.groupBy("bucket", "token", "key", "column").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"), F.max("n_tokens").alias("n_tokens"))
         write(found.sortWithinPartitions("bucket", "token"), "postings", "bucket")
         write(own.groupBy("key").agg(F.max("n_tokens").alias("n_tokens")), "texts")
         change = read("texts", segment).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
