@@ -90,7 +90,7 @@ def candidate_stars(wide: DataFrame, scratch: Scratch) -> DataFrame:
     written = wide.select("node", F.explode("some").alias("band"))
     least = written.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low")
     least = scratch.write(least, "bands")
-    return written.join(least.hint("merge"), "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return written.join(least.hint("merge"), "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
 class MinHashMethod:

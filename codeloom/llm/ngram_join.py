@@ -393,10 +393,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     sets = _numbered(written, scratch)
     every = scratch.write(sets.select("doc_id", "n", "node", "check", "text_key", "text_check"), "documents")
     wide = scratch.write(sets.filter("n > 0").groupBy("node", "check").agg(
-        F.first("n").alias("n"), F.first("n_range").alias("n_range"), F.first("some").alias("some")), "wide")
+        F.first("n").alias("n"), F.first("n_range").alias("n_range"), F.first("some").alias("some"),
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", "text_check")).alias("t")), "wide")
     scratch.drop(written)
-    nodes = scratch.write(every.filter("n > 0").groupBy("node", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", "text_check")).alias("t")).select("node", "doc_id", "t.*"), "nodes")
+    nodes = scratch.write(wide.select("node", "doc_id", "t.*"), "nodes")
     clusters = method.clusters(wide, rule, scratch)
     scratch.drop(wide)
     # The sets of the candidates alone, anew from their texts.
@@ -407,11 +407,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     rows = _dealt(_refined(spark, members, rule, scratch), rule, scratch)
     scratch.drop(wanted, members)
     near = _pivot_links(rows, rule, scratch, method.screens)
-    labelled = _with_core(rows, method.components(spark, near), scratch)
+    labels = method.components(spark, near)
+    labelled = _with_core(rows, labels, scratch)
     scratch.drop(rows)
     links = _links(_meet(labelled, scratch), rule, scratch, method.screens)
     scratch.drop(labelled)
-    joined = method.components(spark, near.unionByName(links))
+    # What the pivots linked is known by its labels.
+    joined = method.components(spark, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
     led = nodes.select("node", "doc_id").join(joined, "node")
     least = scratch.write(led.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     linked = led.join(least, "label").select("node", "label", "least")
