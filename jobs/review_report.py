@@ -44,7 +44,7 @@ def flows_through(g: Graph, found: flows.Traced, metrics: DataFrame) -> DataFram
     class of flows reaches count for all flows of it; an entry's own file counts for itself where its class doesn't
     reach that. ``metrics``: (entry, criticality)."""
     where = g.nodes.select(F.col("qualified_name").alias("node"), "file_path")
-    reached = found.reached.join(large(where), "node").select("cls", "file_path").distinct()
+    reached = found.places(where, "file_path")
     each = found.entries.join(large(metrics), "entry")
     per = each.groupBy("cls").agg(F.count("*").alias("n"), F.max("criticality").alias("criticality"))
     shared = reached.join(large(per), "cls").select("file_path", "n", "criticality")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import flows, traverse
 from codeloom.sources.fixture_graph import fixture_graph
 
 
@@ -29,3 +30,20 @@ def test_order_lines_are_not_sorted_to_meet(spark, tmp_path):
             if a.l_quantity >= 48 and a.l_orderkey == b.l_orderkey and b.l_linenumber == a.l_linenumber + 1 and a.l_partkey != b.l_partkey}
     got = g.edges_of("CALLS").filter("target_qualified not like 'ext.%'").select("source_qualified", "target_qualified").collect()
     assert want and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def written(monkeypatch, cls, of):
+    """What is written as a table of that name, by ``of`` its DataFrame."""
+    seen, write = [], cls.write
+    monkeypatch.setattr(cls, "write", lambda self, df, name="t": (seen.append((name, of(df))), write(self, df, name))[1])
+    return seen
+
+
+def test_flows_are_walked_by_numbers(spark, tmp_path, monkeypatch):
+    g = tables(spark, tmp_path)
+    seen = written(monkeypatch, flows.Scratch, lambda df: df.dtypes)
+    found = flows.traced(g, 4)
+    found.metrics(g)
+    levels = [types for name, types in seen if name in ("level", "steps", "sets", "classes", "numbered", "files")]
+    assert len(levels) > 6 and all(t != "string" for types in levels for _, t in types)
+    assert not found.reached.isEmpty() and dict(found.members().dtypes)["node"] == "string"
