@@ -47,3 +47,13 @@ def test_flows_are_walked_by_numbers(spark, tmp_path, monkeypatch):
     levels = [types for name, types in seen if name in ("level", "steps", "sets", "classes", "numbered", "files")]
     assert len(levels) > 6 and all(t != "string" for types in levels for _, t in types)
     assert not found.reached.isEmpty() and dict(found.members().dtypes)["node"] == "string"
+
+
+def test_deep_walks_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """A chain with a branch: a walk of many levels sends none of them to the driver, one of a few may."""
+    steps = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(2, 9), (9, 3)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    seen = written(monkeypatch, traverse.Scratch, plan)
+    assert {r.node: r.depth for r in traverse.reach(seeds, steps, 5).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 3, 4: 4, 5: 5}
+    assert len(seen) == 7 and not any("Broadcast" in p for _, p in seen)
+    assert {r.node for r in traverse.reach(seeds, steps, 2).collect()} == {0, 1, 2}
