@@ -359,6 +359,30 @@ def test_communities(spark, tmp_path):
     assert community.read_page(tmp_path, "nothing") is None
 
 
+def test_page_lines_have_what_pages_have_no_room_for(spark):
+    people = [dict(name=f"m{i:02}", community=0) for i in range(60)] + [dict(name=f"e{i:03}", community=1) for i in range(205)]
+    people += [dict(name="w", community=2), dict(name="z", community=2), dict(name="a.py", kind="File", community=2)]
+    calls = [("CALLS", f"a.py::e{i:03}", t) for i in range(205) for t in ("a.py::m00", "ext")] + [("CALLS", "a.py::z", "a.py::w")]
+    g = graph(spark, people, calls + [("CALLS", "a.py::m01", f"ext{i:02}") for i in range(20)])
+    found = flows.traced(g)
+    metrics = found.metrics(g)
+    lines = {}
+    for r in community.page_lines(g, metrics, found).collect():
+        lines.setdefault((r.community_id, r.section), []).append((-(r.weight or 0), r.key, r.line))
+    lines = {k: [line for *_, line in sorted(v)] for k, v in lines.items()}
+    assert {k: len(v) for k, v in lines.items()} == {
+        (0, "member"): 60, (0, "outgoing"): 20, (0, "incoming"): 205, (0, "flow"): 205, (1, "member"): 205, (1, "outgoing"): 2, (1, "flow"): 205, (2, "member"): 2, (2, "flow"): 1}
+    rows = spark.createDataFrame([(i, f"c{i}", 0.5, n, None, None) for i, n in ((0, 60), (1, 205), (2, 3))],
+                                 "id long, name string, cohesion double, size long, dominant_language string, description string")
+    pages = {r.id: r.page.split("\n") for r in community.pages(g, rows, metrics, found).collect()}
+    for (c, section), own in lines.items():
+        most = {"member": community.MEMBERS, "flow": community.FLOWS}.get(section, community.DEPENDENCIES)
+        at = pages[c].index(own[0]) if (c, section) != (2, "flow") else None
+        assert at is None or pages[c][at:at + most][:len(own)] == own[:most]
+    assert lines[2, "flow"] == ["1. `z`, weighs 0.16, goes 1 calls deep"] and "Nothing that was traced comes through here." in pages[2]
+    assert {r.section for r in community.page_lines(g).collect()} == {"member", "outgoing", "incoming"}
+
+
 def test_label_propagation(spark):
     nodes = [dict(name=n) for n in "abcdef"]
     edges = [("CALLS", f"a.py::{x}", f"a.py::{y}") for x, y in ("ab", "bc", "ca", "de", "ef", "fd")]
